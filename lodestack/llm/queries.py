@@ -5,11 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, html_text, sharding
-from .common import table
+from . import ann, bpe, decontaminate, html_text, langid, language_model, licences, sharding, simhash, toxicity
+from .common import crc_fold, table
 
 VOCABULARY = "byte_bpe_50k.json"
+#: The chain's categories, as expressions over the table labels: low quality first, then toxic, which sees its probability.
+CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic"}
+TOXIC_FROM = 0.5
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -18,21 +22,60 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Documents with their label columns; only rows that have labels."""
+    categories = labels.select(F.col("doc_id").alias("_labelled"), *(F.expr(e).alias(c) for c, e in CATEGORIES.items()))
+    return docs.select("doc_id", "text").join(categories, F.col("doc_id") == F.col("_labelled")).drop("_labelled")
+
+
+def op1_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    chain = toxicity.fit(labelled(docs, table(spark, sf_dir, "labels")), tuple(CATEGORIES))
+    return toxicity.predict(docs, chain).withColumn("toxic", F.col("p_toxic") >= TOXIC_FROM)
+
+
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(langid.training_rows(docs)))
+    return langid.predict(docs, model).select("doc_id", (crc_fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_corpus(table(spark, sf_dir, "documents"))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop("component_root")
+
+
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe, op4_sharding, op6_html_text)}
+    every = (op1_licences, op2_bpe, op3_decontaminate, op4_sharding, op5_toxicity, op6_html_text, op7_langid, op8_language_model, op9_simhash, op10_ann)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_licences": licences.oracle_sql()}
