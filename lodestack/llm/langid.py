@@ -178,6 +178,18 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[s
     return docs.select(*dict.fromkeys([*keep, text_col])).mapInPandas(run, ", ".join([*(f"`{c}` {types[c]}" for c in keep), "lang_pred string", "score double"]))
 
 
+def confident(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
+    """The rows whose language is known with a score of at least ``least``, with their columns as they came."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def accepted(texts: pd.Series) -> pd.Series:
+        got = map(shared.value.predict, texts)
+        return pd.Series([lang != UNKNOWN and score >= least for lang, score in got], dtype=bool)
+
+    return docs.where(accepted(F.col(text_col)))
+
+
 def training_rows(docs: DataFrame, id_col: str = "doc_id") -> Column:
     """Rows that may be learned from: crc32 of the id as text, modulo 3, is not 1."""
     return crc_fold(F.col(id_col), 3) != 1

@@ -93,12 +93,31 @@ def links(fps: DataFrame) -> DataFrame:
     return of_two.unionByName(of_few).unionByName(of_many).where(_close("a", "b"))
 
 
+def classes(distinct: DataFrame) -> DataFrame:
+    """(fp, least, root) of distinct fingerprints (fp, least): root is the smallest fingerprint of their component."""
+    distinct = cut(distinct, "distinct")
+    roots = components(links(distinct.select("fp")))
+    return cut(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "classed")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each component, with its columns as they came: the one with the smallest id (null ids last)."""
+
+    @F.pandas_udf("bigint")
+    def fp(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.fromiter(map(fingerprint, texts), np.uint64, len(texts)).view(np.int64))
+
+    rows = cut(docs.select(F.struct("*").alias("row"), fp(F.col(text_col)).alias("fp"), F.monotonically_increasing_id().alias("uid")), "rows")
+    order = F.struct(F.col(f"row.{id_col}").isNull().alias("null"), F.col(f"row.{id_col}").alias("id"), "uid")
+    classed = classes(rows.groupBy("fp").agg(F.min(order).alias("least")))
+    first = classed.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.uid").alias("uid"))
+    return rows.join(first, "uid", "left_semi").select("row.*")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint, component_id, component_root) of every document; component_root names the component even where ids are null."""
     rows = cut(fingerprints(docs, id_col, text_col), "fingerprints")
-    distinct = cut(rows.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct")
-    roots = components(links(distinct.select("fp")))
-    classed = cut(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "classed")
+    classed = classes(rows.groupBy("fp").agg(F.min(id_col).alias("least")))
     ids = classed.groupBy("root").agg(F.min("least").alias("component_id"))
     of_fp = classed.select("fp", "root").join(ids, "root")
     return rows.join(of_fp, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("root").alias("component_root"))

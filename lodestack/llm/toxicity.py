@@ -181,3 +181,17 @@ def predict(docs: DataFrame, chain: Chain, text_col: str = "text", keep: tuple[s
             yield batch[list(keep)].assign(**{name: got[:, i] for i, name in enumerate(names)})
 
     return docs.select(*dict.fromkeys([*keep, text_col])).mapInPandas(run, ", ".join([*(f"`{c}` {types[c]}" for c in keep), *(f"{n} double" for n in names)]))
+
+
+def without(docs: DataFrame, chain: Chain, category: str, threshold: float, text_col: str = "text") -> DataFrame:
+    """The rows whose probability of a category is below a threshold, with their columns as they came."""
+    shared = docs.sparkSession.sparkContext.broadcast(chain)
+    at = [link.name for link in chain.links].index(category)
+
+    @F.pandas_udf("boolean")
+    def passes(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = Chain(shared.value.links)
+        for batch in texts:
+            yield pd.Series([model.predict(t)[at] < threshold for t in batch], dtype=bool)
+
+    return docs.where(passes(F.col(text_col)))
