@@ -292,8 +292,8 @@ def external_weighted_rrf(spark, d):
 
 
 @query(PATHS + """, f as (select qid, key, case when route = 'hash' then 0 else 1 end as place, rank from paths where rank <= case route when 'hash' then 8 else 5 end),
-g as (select qid, key, min(place * 1000 + rank) as at from f group by 1, 2)
-select qid, key, cast((at - at % 1000) / 1000 as integer) as first_place, cast(at % 1000 as integer) as first_rank, cast(row_number() over (partition by qid order by at) as integer) as rank from g""")
+g as (select qid, key, min(place * 1000 + rank) as spot from f group by 1, 2)
+select qid, key, cast((spot - spot % 1000) / 1000 as integer) as first_place, cast(spot % 1000 as integer) as first_rank, cast(row_number() over (partition by qid order by spot) as integer) as rank from g""")
 def quota_union(spark, d):
     return R.quota_union(paths(spark, d), {"hash": 8, "length": 5}).select("qid", "key", "first_place", "first_rank", "rank")
 
