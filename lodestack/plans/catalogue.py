@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ranking, retrieval  # noqa: F401
+from . import joins, ranking, retrieval  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
