@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 MIXED = r"[a-z0-9]+|[一-鿿]"
 LATIN = r"[a-z0-9]+"
 # Quotation marks and dashes that compare as their ASCII forms.
-QUOTES = ("“”‘’′″–—−", "\"\"''''---")
+QUOTES = ("“”‘’–—", "\"\"''--")
 # Words that carry no content when questions are compared with titles.
 STOP = ("about", "also", "been", "does", "from", "have", "into", "more", "most", "paper", "papers", "research", "study", "studies", "such", "that", "their", "there", "these", "they", "this", "using", "what", "when", "which", "with", "work", "works", "would")
 
@@ -38,7 +38,8 @@ def squeezed(text: Column) -> Column:
 
 def normal(text: Column) -> Column:
     """Lower case, plain quotes, single spaces: the form in which quotes are looked for."""
-    return squeezed(F.lower(F.translate(F.coalesce(text, F.lit("")), *QUOTES)))
+    plain = F.translate(F.coalesce(text, F.lit("")), *QUOTES)
+    return squeezed(F.lower(F.replace(plain, F.lit("…"), F.lit("..."))))
 
 
 def alnum(text: Column) -> Column:
@@ -46,12 +47,11 @@ def alnum(text: Column) -> Column:
 
 
 def evidence_state(quote: Column, text: Column) -> Column:
-    """hit: the quote stands in the text; loose: it does with nothing but letters and digits, or in parts around an ellipsis; miss."""
+    """hit: the quote stands in the text, be it but for signs and spaces; loose: all its parts around an ellipsis do; miss."""
     q, t = normal(quote), normal(text)
-    parts = F.filter(F.transform(F.split(q, r"\.{3,}|…"), lambda s: F.trim(s)), lambda s: s != "")
+    parts = F.filter(F.transform(F.split(q, r"\.{3}"), lambda s: F.trim(s)), lambda s: s != "")
     return (
-        F.when(q == "", "miss").when(t.contains(q), "hit")
-        .when((alnum(quote) != "") & alnum(text).contains(alnum(quote)), "loose")
+        F.when(q == "", "miss").when(t.contains(q), "hit").when((alnum(quote) != "") & alnum(text).contains(alnum(quote)), "hit")
         .when((F.size(parts) > 1) & F.forall(parts, lambda s: t.contains(s)), "loose").otherwise("miss")
     )
 

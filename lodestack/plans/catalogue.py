@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregates, evaluation, joins, ranking, retrieval  # noqa: F401
+from . import aggregates, documents, evaluation, joins, ranking, retrieval  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

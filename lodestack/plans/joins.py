@@ -43,8 +43,8 @@ _ALNUM = "regexp_replace(" + _NORM + ", '[^a-z0-9]+', '', 'g')"
 
 @query(f"""with c as (select doc_id, text, case doc_id % 4 when 0 then substr(text, 11, 60) when 1 then regexp_replace(substr(text, 11, 60), '[ ,.]', '-', 'g') when 2 then 'zzz' || substr(text, 11, 60) else substr(text, 3, 20) || ' ... ' || substr(text, 31, 20) end as quote from documents),
 n as (select doc_id, {_NORM.format('quote')} as q, {_NORM.format('text')} as t, {_ALNUM.format('quote')} as qa, {_ALNUM.format('text')} as ta from c),
-p as (select *, list_filter(list_transform(string_split_regex(q, '\\.{{3,}}|…'), lambda s: trim(s)), lambda s: s <> '') as parts from n)
-select doc_id, case when q = '' then 'miss' when contains(t, q) then 'hit' when qa <> '' and contains(ta, qa) then 'loose' when len(parts) > 1 and len(list_filter(parts, lambda s: not contains(t, s))) = 0 then 'loose' else 'miss' end as state from p""")
+p as (select *, list_filter(list_transform(string_split_regex(q, '\\.{{3}}'), lambda s: trim(s)), lambda s: s <> '') as parts from n)
+select doc_id, case when q = '' then 'miss' when contains(t, q) then 'hit' when qa <> '' and contains(ta, qa) then 'hit' when len(parts) > 1 and len(list_filter(parts, lambda s: not contains(t, s))) = 0 then 'loose' else 'miss' end as state from p""")
 def evidence_state(spark, d):
     """Claims carry their chunk's key and a quote: verbatim, with other marks, altered, or in two parts."""
     part = lambda a, n: F.substring("text", a, n)
