@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ascii_lower_words, cut
@@ -80,17 +80,15 @@ def links(fps: DataFrame) -> DataFrame:
 
     ``fps`` (fp, distinct) is read more than once, so it should be a written table.
     """
-    variants = _variants(fps)
-    shared = cut(variants.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "variants")
-    of_two = shared.where("n = 2").select("a", "b")
-    crowded = cut(variants.join(shared.where("n > 2").select("key", "n"), "key"), "crowded")
-    few = crowded.where(F.col("n") <= PAIRS_UP_TO)
+    together = F.count(F.lit(1)).over(Window.partitionBy("key"))
+    shared = cut(_variants(fps).withColumn("n", together).where("n > 1"), "shared")
+    few = shared.where(F.col("n") <= PAIRS_UP_TO)
     of_few = few.select("key", F.col("fp").alias("a")).join(few.select("key", F.col("fp").alias("b")), "key").where("a < b").select("a", "b")
-    many = crowded.where(F.col("n") > PAIRS_UP_TO).select("fp").distinct()
+    many = shared.where(F.col("n") > PAIRS_UP_TO).select("fp").distinct()
     points = many.select("fp", F.explode(F.expr("transform(sequence(-1, 63), i -> if(i < 0, fp, fp ^ shiftleft(1L, i)))")).alias("point"))
     least = points.groupBy("point").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
     of_many = points.join(least, "point").select(F.col("fp").alias("a"), "b").where("a <> b")
-    return of_two.unionByName(of_few).unionByName(of_many).where(_close("a", "b"))
+    return of_few.unionByName(of_many).where(_close("a", "b"))
 
 
 def classes(distinct: DataFrame) -> DataFrame:
