@@ -3,7 +3,7 @@
 Letters are lower-cased, everything else becomes one space, and the 1- to 3-grams of the whole text are hashed into
 2 ** ``BITS`` features, weighted (1 + log tf) * idf and scaled to length one. Document frequencies come from all training
 documents. The classifier is fitted by follow-the-regularised-leader with elastic-net penalties on a bounded sample, at most
-``PER_LANGUAGE`` documents of a language (those with the smallest hash of id and text), and a temperature, fitted on a fifth of
+``PER_LANGUAGE`` documents of a language (those with the smallest hash of their id), and a temperature, fitted on a fifth of
 that sample kept out of training, calibrates its probabilities.
 
 Results: a null text, or one without a letter, is "und" with score 0; so is every text where nothing could be learned.
@@ -118,7 +118,7 @@ def _temperature(logits: np.ndarray, labels: np.ndarray) -> float:
 
 def fit(training: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = PER_LANGUAGE) -> Model:
     """Learn from the text and non-null language of every row of ``training``."""
-    known = training.where(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(id_col, text_col).alias("h"))
+    known = training.where(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"))
 
     def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         df, n = np.zeros(1 << BITS, np.int64), 0
@@ -140,15 +140,19 @@ def fit(training: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
             df[feature] = n
     idf = np.log((1.0 + total) / (1.0 + df)) + 1.0
 
+    # Which rows are in the sample is settled on hashes alone, so that no text is shuffled for it; one threshold a language.
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    picked = known.withColumn("_r", rank).where(F.col("_r") <= per_language)
+    last = known.select("lang", "h").withColumn("_r", rank).where(F.col("_r") <= per_language).groupBy("lang").agg(F.max("h").alias("last"))
+    picked = known.join(F.broadcast(last), "lang").where(F.col("h") <= F.col("last"))
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             got = [(lang, h, *c) for lang, h, c in zip(batch["lang"], batch["h"], map(counts, batch["text"])) if c is not None]
             yield pd.DataFrame({"lang": [g[0] for g in got], "h": [g[1] for g in got], "at": [g[2].astype(np.uint16).tobytes() for g in got], "tf": [g[3].astype(np.uint32).tobytes() for g in got]})
 
-    sample = picked.select("lang", "h", "text").mapInPandas(features, "lang string, h bigint, at binary, tf binary").toPandas().sort_values(["lang", "h"], kind="stable")
+    found = picked.select("lang", "h", "text").mapInPandas(features, "lang string, h bigint, at binary, tf binary")
+    ordered = F.row_number().over(Window.partitionBy("lang").orderBy("h", "at", "tf"))
+    sample = found.withColumn("_r", ordered).where(F.col("_r") <= per_language).drop("_r").toPandas().sort_values(["lang", "h", "at"], kind="stable")
     languages = sorted(set(sample["lang"]))
     if not languages:
         return Model([], idf, np.zeros((1 << BITS, 0)), np.zeros(0), 1.0)

@@ -11,8 +11,9 @@ table: node keys and child pointers as monotone Elias-Fano sequences (keys of le
 index of their parent, and are searched as successors within the parent's range), values as 16-bit steps of one grid. Tasks
 write a level into an unlinked file, map it into memory and read only what queries touch.
 
-Counting and querying shuffle packed arrays (one blob for each batch of texts and shard), pre-aggregated in the batch.
-Words are 64-bit hashes, the words before them 40 bits more of the pair.
+Counting and querying shuffle packed arrays (one blob for each batch of texts and shard), pre-aggregated in the batch, and
+answers come back as one packed row for each blob. A model can be kept (``fit``, ``score``) or built where it is asked
+(``score_corpus``), which shuffles every token once. Words are 64-bit hashes, the words before them 40 bits more of the pair.
 
 Results: null and empty texts are one end token; repeated rows are learned from and scored each; without training texts
 every word is unknown (N = V = 0) and scores are those of the prior. Extra columns are ignored.
@@ -35,7 +36,7 @@ from .common import ascii_lower_words, crc_fold, cut, mix64
 
 PRIOR = 30.0
 #: Tokens gathered before a batch is packed, training tokens in a shard, and the fewest shards.
-BATCH_TOKENS = 1_500_000
+BATCH_TOKENS = 1_000_000
 SHARD_TOKENS = 3_000_000
 LEAST_SHARDS = 16
 #: Quantised values are multiples of STEP from 0 (log10).
@@ -215,7 +216,7 @@ class Trie:
         self.keys, self.pointers, self.children = parts
         n1, n2 = self.keys.n, self.children.n
         self.counts = words[at : at + n1]
-        values = words[at + n1 :].view(np.uint16)
+        values = np.asarray(words[at + n1 :]).view(np.uint16)
         self.unigram, self.backoff, self.extra = values[:n1], values[n1 : 2 * n1], values[2 * n1 : 2 * n1 + n2]
 
     @staticmethod
@@ -319,21 +320,33 @@ def _count_words(texts: DataFrame, buckets: int = 256) -> DataFrame:
     return blobs.groupBy("bucket").applyInPandas(merge, "word bigint, n bigint")
 
 
-def fit(training: DataFrame, text_col: str = "text") -> tuple[DataFrame, Totals]:
-    """(table of shard and trie, totals) from all rows of ``training``."""
-    texts = training.select(F.col(text_col).alias("text"))
+def _totals(texts: DataFrame) -> Totals:
+    """Counts of the training texts, and the words with more than an eighth of a shard's share: at most 8 * shards of them."""
     words = cut(_count_words(texts), "words")
     n, v, ends = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("word") == 1, F.col("n"))), F.lit(0))).first()
     shards = max(LEAST_SHARDS, -(-n // SHARD_TOKENS))
-    # Words with more than an eighth of a shard's share: at most 8 * shards of them.
     frequent = words.where(F.col("n") * 8 * shards > n).toPandas()
-    totals = Totals(n, v, ends, shards, dict(zip(frequent["word"].to_numpy(np.int64).view(np.uint64).tolist(), frequent["n"].tolist())))
+    return Totals(n, v, ends, shards, dict(zip(frequent["word"].to_numpy(np.int64).view(np.uint64).tolist(), frequent["n"].tolist())))
+
+
+def _merged(counted: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of pairs (w, v, n) added up, sorted by w then v."""
+    w, v, n = (np.concatenate([c[i] for c in counted]) for i in range(3))
+    order = np.lexsort((v, w))
+    w, v, n = w[order], v[order], n[order]
+    at = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (v[1:] != v[:-1])])) if len(w) else np.zeros(0, np.int64)
+    return w[at], v[at], np.add.reduceat(n, at) if len(at) else n
+
+
+def fit(training: DataFrame, text_col: str = "text") -> tuple[DataFrame, Totals]:
+    """A model to keep: (table of shard and trie, totals), from all rows of ``training``."""
+    texts = training.select(F.col(text_col).alias("text"))
+    totals = _totals(texts)
     shared = training.sparkSession.sparkContext.broadcast(totals)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _, tokens in _batches(batches, []):
-            w, v = _pairs(tokens)
-            w, v, n = _distinct_pairs(w, v)
+            w, v, n = _distinct_pairs(*_pairs(tokens))
             shard = _shard_of(w, v, shared.value)
             order = np.argsort(shard, kind="stable")
             starts = _groups(shard[order])
@@ -346,13 +359,8 @@ def fit(training: DataFrame, text_col: str = "text") -> tuple[DataFrame, Totals]
 
     def build(part: pd.DataFrame) -> pd.DataFrame:
         got = [_unpack(b) for b in part["blob"]]
-        w = np.concatenate([np.repeat(g[0], g[1].astype(np.int64)) for g in got])
-        v = np.concatenate([_from_v40(g[2], g[3]) for g in got])
-        n = np.concatenate([g[4].astype(np.int64) for g in got])
-        order = np.lexsort((v, w))
-        w, v, n = w[order], v[order], n[order]
-        at = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (v[1:] != v[:-1])]))
-        return pd.DataFrame({"shard": [int(part["shard"].iloc[0])], "trie": [Trie.build(w[at], v[at], np.add.reduceat(n, at), shared.value)]})
+        counted = [(np.repeat(g[0], g[1].astype(np.int64)), _from_v40(g[2], g[3]), g[4].astype(np.int64)) for g in got]
+        return pd.DataFrame({"shard": [int(part["shard"].iloc[0])], "trie": [Trie.build(*_merged(counted), shared.value)]})
 
     counted = texts.mapInPandas(run, "shard int, blob binary")
     return cut(counted.groupBy("shard").applyInPandas(build, "shard int, trie binary"), "tries"), totals
@@ -369,80 +377,116 @@ def _distinct_pairs(w: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarra
 # ---- scoring -------------------------------------------------------------------------------------------------------
 
 
-def score(docs: DataFrame, tries: DataFrame, totals: Totals, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, n_known, base_score, score) of every row of ``docs``."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(totals)
+def _ask(docs: DataFrame, totals, id_kind: str) -> DataFrame:
+    """(shard, batch, blob, ids): what every batch of (id, text, learn) asks of a shard.
 
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    A blob has the distinct words before distinct words, how often each pair occurs and in which texts of the batch, which of
+    those texts are learned from, and the texts whose end token falls to this shard: there, once, goes the text's id.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        task, serial = TaskContext.get().partitionId(), 0
-        for rows, tokens in _batches(batches, ["id"]):
-            w, v = _pairs(tokens)
+        task = TaskContext.get().partitionId()
+        for serial, (rows, tokens) in enumerate(_batches(batches, ["id", "learn"])):
+            learn = np.asarray([bool(r[1]) for r in rows]).astype(np.uint8)
             doc = np.repeat(np.arange(len(tokens), dtype=np.uint32), [len(t) for t in tokens])
-            order = np.lexsort((v, w))
-            w, v, doc = w[order], v[order], doc[order]
-            shard = _shard_of(w, v, shared.value)
-            order = np.argsort(shard, kind="stable")
-            starts = _groups(shard[order])
+            w, v = _pairs(tokens)
+            shard = _shard_of(w, v, totals.value)
+            order = np.lexsort((v, w, shard))
+            w, v, doc, shard = w[order], v[order], doc[order], shard[order]
+            starts = _groups(shard)
             out = []
             for a, b in zip(starts, np.append(starts[1:], len(w))):
-                at = order[a:b]
-                ww, vv, dd = w[at], v[at], doc[at]
+                ww, vv, dd = w[a:b], v[a:b], doc[a:b]
                 pair = np.flatnonzero(np.concatenate([[True], (ww[1:] != ww[:-1]) | (vv[1:] != vv[:-1])]))
                 heads = _groups(ww[pair])
-                out.append((int(shard[at[0]]), (task << 32) | serial, _pack(ww[pair][heads], _least(np.diff(np.append(heads, len(pair)))), *_v40(vv[pair]), _least(np.diff(np.append(pair, len(at)))), _least(dd))))
-            yield pd.DataFrame(out, columns=["shard", "batch", "blob"]).assign(ids=None)
-            yield pd.DataFrame({"shard": [-1], "batch": [(task << 32) | serial], "blob": [b""], "ids": [[r[0] for r in rows]]})
-            serial += 1
-
-    def answer(tries_of: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        t, out = shared.value, []
-        heavy = np.fromiter(t.heavy, np.uint64, len(t.heavy))
-        with tempfile.TemporaryFile() as file:
-            trie = None
-            if len(tries_of):
-                file.write(tries_of["trie"].iloc[0])
-                file.flush()
-                trie = Trie(np.memmap(file, np.uint64, "r"))
-            for batch, blob in zip(asked["batch"], asked["blob"]):
-                words, sizes, low, high, times, doc = _unpack(blob)
-                before, times = _from_v40(low, high), times.astype(np.int64)
-                count, unigram, back = np.zeros(len(words), np.int64), np.full(len(words), -np.log10(t.unigram(0))), np.zeros(len(words))
-                extra = np.zeros(len(before))
-                owner = np.repeat(np.arange(len(words)), sizes.astype(np.int64))
-                if trie is not None:
-                    node, known = trie.look(words)
-                    count[known] = trie.counts[node[known]].astype(np.int64)
-                    unigram[known] = trie.unigram[node[known]] * STEP
-                    back[known] = trie.backoff[node[known]] * STEP
-                    child = np.flatnonzero(known[owner])
-                    place, seen = trie.look_before(node[owner[child]], before[child])
-                    extra[child[seen]] = trie.extra[place[seen]] * STEP
-                # A heavy word may be new in this shard though not in the model.
-                new = np.flatnonzero((count == 0) & np.isin(words, heavy))
-                if new.size:
-                    c = np.asarray([t.heavy[k] for k in words[new].tolist()], np.int64)
-                    count[new], unigram[new], back[new] = c, -np.log10(t.unigram(c)), np.log10((c + PRIOR) / PRIOR)
-                back[words == END] = 0.0
-                pair = np.repeat(np.arange(len(before)), times)
-                word = owner[pair]
-                docs_here, doc = np.unique(doc, return_inverse=True)
-                total = lambda x: np.bincount(doc, x, len(docs_here))
-                out.append(pd.DataFrame({
-                    "batch": batch, "at": docs_here.astype(np.int32), "n_tokens": np.bincount(doc, minlength=len(docs_here)), "n_known": total((count > 0)[word]).astype(np.int64),
-                    "base_score": total(np.log10(t.unigram(count))[word]), "score": total((extra[pair] - unigram[word] - back[word])),
-                }))
-        return pd.concat(out) if out else pd.DataFrame({"batch": pd.Series(dtype="int64"), "at": pd.Series(dtype="int32"), "n_tokens": pd.Series(dtype="int64"), "n_known": pd.Series(dtype="int64"), "base_score": pd.Series(dtype="float64"), "score": pd.Series(dtype="float64")})
-
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    asked = cut(slim.mapInPandas(ask, f"shard int, batch bigint, blob binary, ids array<{kind}>"), "asked")
-    parts = tries.groupBy("shard").cogroup(asked.where("shard >= 0").select("shard", "batch", "blob").groupBy("shard")).applyInPandas(answer, "batch bigint, at int, n_tokens bigint, n_known bigint, base_score double, score double")
-    ids = asked.where("shard < 0").select("batch", F.posexplode("ids").alias("at", id_col))
-    sums = parts.groupBy("batch", "at").agg(*(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")))
+                ends = np.sort(dd[ww == END])
+                blob = _pack(ww[pair][heads], _least(np.diff(np.append(heads, len(pair)))), *_v40(vv[pair]), _least(np.diff(np.append(pair, len(ww)))), _least(dd), learn, _least(ends))
+                out.append((int(shard[a]), (task << 32) | serial, blob, [rows[i][0] for i in ends]))
+            yield pd.DataFrame(out, columns=["shard", "batch", "blob", "ids"])
+
+    return docs.mapInPandas(run, f"shard int, batch bigint, blob binary, ids array<{id_kind}>")
+
+
+def _answer(trie: Trie | None, asked: pd.DataFrame, totals: Totals) -> pd.DataFrame:
+    """One row for each blob: sums of each of its texts, and the ids that it brought."""
+    heavy = np.fromiter(totals.heavy, np.uint64, len(totals.heavy))
+    out = []
+    for batch, blob, ids in zip(asked["batch"], asked["blob"], asked["ids"]):
+        words, sizes, low, high, times, doc, _, ends = _unpack(blob)
+        before, times = _from_v40(low, high), times.astype(np.int64)
+        count, unigram, back = np.zeros(len(words), np.int64), np.full(len(words), _steps(-np.log10(totals.unigram(0))), np.int64), np.zeros(len(words), np.int64)
+        extra = np.zeros(len(before), np.int64)
+        owner = np.repeat(np.arange(len(words)), sizes.astype(np.int64))
+        if trie is not None:
+            node, known = trie.look(words)
+            at = node[known]
+            count[known], unigram[known], back[known] = trie.counts[at], trie.unigram[at], trie.backoff[at]
+            child = np.flatnonzero(known[owner])
+            place, seen = trie.look_before(node[owner[child]], before[child])
+            extra[child[seen]] = trie.extra[place[seen]]
+        # A heavy word may be new in this shard though not in the model.
+        new = np.flatnonzero((count == 0) & np.isin(words, heavy))
+        if new.size:
+            c = np.asarray([totals.heavy[k] for k in words[new].tolist()], np.int64)
+            count[new], unigram[new], back[new] = c, _steps(-np.log10(totals.unigram(c))), _steps(np.log10((c + PRIOR) / PRIOR))
+        back[words == END] = 0
+        pair = np.repeat(np.arange(len(before)), times)
+        word = owner[pair]
+        here, doc = np.unique(doc, return_inverse=True)
+        total = lambda x: np.bincount(doc, x, len(here))
+        steps = np.rint(total(extra[pair] - unigram[word] - back[word])).astype(np.int64)
+        sums = (_least(here), _least(np.bincount(doc, minlength=len(here))), _least(np.rint(total((count > 0)[word])).astype(np.int64)), steps.view(np.uint64), total(np.log10(totals.unigram(count))[word]).view(np.uint64))
+        out.append((batch, _pack(_least(ends), *sums), ids))
+    return pd.DataFrame(out, columns=["batch", "blob", "ids"])
+
+
+def _add_up(parts: DataFrame, totals: Totals, id_col: str, id_kind: str) -> DataFrame:
+    """Sums over the shards for each text of a batch."""
     begin = float(np.log10(PRIOR / (totals.documents + PRIOR)))
-    return sums.join(ids, ["batch", "at"]).select(id_col, "n_tokens", "n_known", "base_score", (F.col("score") + F.lit(begin)).alias("score"))
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        got = [_unpack(b) for b in part["blob"]]
+        ends = np.concatenate([g[0].astype(np.int64) for g in got])
+        n = int(ends.max()) + 1
+        tokens, known, steps, base = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
+        for _, here, t, k, s, b in got:
+            here = here.astype(np.int64)
+            tokens[here] += t.astype(np.int64)
+            known[here] += k.astype(np.int64)
+            steps[here] += s.view(np.int64)
+            base[here] += b.view(np.float64)
+        ids = [x for some in part["ids"] for x in some]
+        return pd.DataFrame({id_col: pd.Series(ids, dtype=object if id_kind == "string" else None), "n_tokens": tokens[ends], "n_known": known[ends], "base_score": base[ends], "score": steps[ends] * STEP + begin})
+
+    return parts.groupBy("batch").applyInPandas(run, f"`{id_col}` {id_kind}, n_tokens bigint, n_known bigint, base_score double, score double")
+
+
+_ANSWER = "batch bigint, blob binary, ids array<{}>"
+
+
+def _mapped(blob: bytes | None, use) -> pd.DataFrame:
+    """Call ``use`` with a trie over an unlinked, memory-mapped file."""
+    if blob is None:
+        return use(None)
+    with tempfile.TemporaryFile() as file:
+        file.write(blob)
+        file.flush()
+        return use(Trie(np.memmap(file, np.uint64, "r")))
+
+
+def score(docs: DataFrame, tries: DataFrame, totals: Totals, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_tokens, n_known, base_score, score) of every row of ``docs`` by a kept model."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(totals)
+
+    def run(tries_of: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        return _mapped(tries_of["trie"].iloc[0] if len(tries_of) else None, lambda trie: _answer(trie, asked, shared.value))
+
+    asked = _ask(docs.select(F.col(id_col).alias("id"), F.lit(False).alias("learn"), F.col(text_col).alias("text")), shared, kind)
+    parts = tries.groupBy("shard").cogroup(asked.groupBy("shard")).applyInPandas(run, _ANSWER.format(kind))
+    return _add_up(parts, totals, id_col, kind)
 
 
 def held_out(column: Column) -> Column:
@@ -450,8 +494,26 @@ def held_out(column: Column) -> Column:
     return crc_fold(column, 7) == 2
 
 
-def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Fit on the rows that are not held out, score all."""
-    tries, totals = fit(docs.where(~held_out(F.col(id_col))), text_col)
-    got = score(docs, tries, totals, id_col, text_col)
-    return got.select(id_col, held_out(F.col(id_col)).alias("held_out"), "n_tokens", "n_known", F.lit(totals.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+def score_corpus(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Totals]:
+    """Learn from the rows that ``learn`` holds for and score all of ``docs``, with one shuffle of their tokens.
+
+    What a batch asks of a shard also says what can be learned from it, so each shard builds its trie from the blobs that it
+    is about to answer. Scores are those of ``fit`` and ``score``.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), learn.alias("learn"), F.col(text_col).alias("text"))
+    totals = _totals(rows.where("learn").select("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(totals)
+
+    def run(asked: pd.DataFrame) -> pd.DataFrame:
+        counted = []
+        for blob in asked["blob"]:
+            words, sizes, low, high, times, doc, learn, _ = _unpack(blob)
+            n = np.add.reduceat(learn[doc].astype(np.int64), np.cumsum(times.astype(np.int64)) - times)
+            some = n > 0
+            counted.append((np.repeat(words, sizes.astype(np.int64))[some], _from_v40(low, high)[some], n[some]))
+        trie = Trie.build(*_merged(counted), shared.value)
+        return _mapped(trie, lambda t: _answer(t, asked, shared.value))
+
+    parts = _ask(rows, shared, kind).groupBy("shard").applyInPandas(run, _ANSWER.format(kind))
+    return _add_up(parts, totals, id_col, kind), totals

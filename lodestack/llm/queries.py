@@ -23,9 +23,10 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents with their label columns; only rows that have labels."""
+    """Documents with their label columns, for the labels with the smallest hashes, as many as the classifier uses: few enough to broadcast."""
     categories = labels.select(F.col("doc_id").alias("_labelled"), *(F.expr(e).alias(c) for c, e in CATEGORIES.items()))
-    return docs.select("doc_id", "text").join(categories, F.col("doc_id") == F.col("_labelled")).drop("_labelled")
+    used = categories.orderBy(F.xxhash64("_labelled"), *CATEGORIES).limit(toxicity.LABELLED_UP_TO)
+    return docs.select("doc_id", "text").join(F.broadcast(used), F.col("doc_id") == F.col("_labelled")).drop("_labelled")
 
 
 def op1_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +62,9 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_model.score_corpus(table(spark, sf_dir, "documents"))
+    held_out = language_model.held_out(F.col("doc_id"))
+    scored, totals = language_model.score_corpus(table(spark, sf_dir, "documents"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(totals.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

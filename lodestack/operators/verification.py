@@ -43,7 +43,7 @@ def signed_delta(value: Column, baseline: Column) -> Column:
     d = bare(value) - bare(baseline)
     digits = F.greatest(F.lit(0), 3 - F.floor(F.log10(F.greatest(F.abs(d), F.lit(1e-300)))).cast("int"))
     text = F.regexp_replace(F.regexp_replace(F.format_string("%+.12f", F.round(d * F.pow(F.lit(10.0), digits)) / F.pow(F.lit(10.0), digits)), r"0+$", ""), r"\.$", "")
-    return F.when(d == 0, "+0").otherwise(text)
+    return F.when(d == 0, "+0").when(d.isNotNull(), text)
 
 
 def strict_verdict(located: Column, value: Column, baseline: Column, quote: Column, together: Column) -> dict[str, Column]:
