@@ -39,6 +39,8 @@ PRIOR = 30.0
 BATCH_TOKENS = 1_000_000
 SHARD_TOKENS = 3_000_000
 LEAST_SHARDS = 16
+#: Pairs of words that a task looks up together; fewer than 2 ** 24, as their words are numbered in the bits above _V_BITS.
+ANSWER_PAIRS = 4_000_000
 #: Quantised values are multiples of STEP from 0 (log10).
 STEP = 1.0 / 3072
 END, BEGIN = np.uint64(1), np.uint64(2)
@@ -112,6 +114,7 @@ class EliasFano:
     """A monotone sequence: low bits packed at fixed width, high parts in unary. Read from (mapped) words without unpacking it all."""
 
     RATE = 64  # every so many ones, the place of a one is kept
+    BLOCK = 1 << 15  # values decoded together in searches
 
     def __init__(self, words: np.ndarray, n: int, low: int, n_low: int, n_high: int, first: int):
         self.n, self.low, self.first = n, low, np.uint64(first)
@@ -175,15 +178,43 @@ class EliasFano:
         part[over] |= self.lows[w[over] + 1] << (np.uint64(64) - off[over])
         return ((high << np.uint64(self.low)) | (part & np.uint64((1 << self.low) - 1))) + self.first
 
+    def decode(self, begin: int, end: int) -> np.ndarray:
+        """The values at positions begin to end - 1, one after another."""
+        kept = begin // self.RATE
+        place = int(self.places[kept])
+        last = (end - 1) // self.RATE + 1
+        stop = int(self.places[last]) // 64 + 1 if last < len(self.places) else len(self.highs)
+        bits = np.unpackbits(np.ascontiguousarray(self.highs[place // 64 : stop]).view(np.uint8), bitorder="little")
+        bits[: place % 64] = 0
+        ones = np.flatnonzero(bits)[begin - kept * self.RATE :][: end - begin] + place // 64 * 64
+        i = np.arange(begin, end)
+        high = (ones - i).astype(np.uint64)
+        if not self.low:
+            return high + self.first
+        bit = i.astype(np.uint64) * np.uint64(self.low)
+        w, off = (bit >> np.uint64(6)).astype(np.int64), bit & np.uint64(63)
+        part = self.lows[w] >> off
+        over = np.flatnonzero(off + np.uint64(self.low) > np.uint64(64))
+        part[over] |= self.lows[w[over] + 1] << (np.uint64(64) - off[over])
+        return ((high << np.uint64(self.low)) | (part & np.uint64((1 << self.low) - 1))) + self.first
+
     def successor(self, begin: np.ndarray, end: np.ndarray, value: np.ndarray) -> np.ndarray:
-        """First position in [begin, end) whose element is at least the value, else end, for each query."""
-        lo, hi = begin.astype(np.int64).copy(), end.astype(np.int64).copy()
-        while (go := np.flatnonzero(lo < hi)).size:
-            mid = (lo[go] + hi[go]) >> 1
-            less = self.access(mid) < value[go]
-            lo[go] = np.where(less, mid + 1, lo[go])
-            hi[go] = np.where(less, hi[go], mid)
-        return lo
+        """First position in [begin, end) whose element is at least the value, else end, for queries in ascending order.
+
+        Blocks that hold a query's range are decoded once for all queries that fall into them; the others are skipped.
+        """
+        out, done, at = end.astype(np.int64).copy(), 0, 0
+        while done < len(value):
+            at = max(at, int(begin[done]) // self.BLOCK * self.BLOCK)
+            if at >= self.n:
+                break
+            values = self.decode(at, min(at + self.BLOCK, self.n))
+            upto = int(np.searchsorted(value, values[-1], side="right"))
+            if upto > done:
+                out[done:upto] = at + np.searchsorted(values, value[done:upto])
+                done = upto
+            at += self.BLOCK
+        return np.minimum(np.maximum(out, begin), end)
 
 
 def _steps(x: np.ndarray) -> np.ndarray:
@@ -240,7 +271,7 @@ class Trie:
         return np.concatenate([head, *(words for words, _ in levels), sums.astype(np.uint64), values.view(np.uint64)]).tobytes()
 
     def look(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(node, known) of words."""
+        """(node, known) of ascending words."""
         zero = np.zeros(len(w), np.int64)
         at = self.keys.successor(zero, zero + self.keys.n, w)
         known = at < self.keys.n
@@ -248,7 +279,7 @@ class Trie:
         return np.where(known, at, 0), known
 
     def look_before(self, node: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place, known) of the words before known nodes, relative to their context."""
+        """(place, known) of the words before known nodes, relative to their context; ascending by node, then word before."""
         begin, end = self.pointers.access(node).astype(np.int64), self.pointers.access(node + 1).astype(np.int64)
         wanted = node.astype(np.uint64) * np.uint64(1 << _V_BITS) + v
         at = self.children.successor(begin, end, wanted)
@@ -411,35 +442,57 @@ def _ask(docs: DataFrame, totals, id_kind: str) -> DataFrame:
 
 def _answer(trie: Trie | None, asked: pd.DataFrame, totals: Totals) -> pd.DataFrame:
     """One row for each blob: sums of each of its texts, and the ids that it brought."""
+    out, some, size = [], [], 0
+    for row in zip(asked["batch"], asked["blob"], asked["ids"]):
+        some.append((row[0], _unpack(row[1]), row[2]))
+        size += len(some[-1][1][2])
+        if size >= ANSWER_PAIRS:
+            out += _answer_some(trie, some, totals)
+            some, size = [], 0
+    return pd.DataFrame(out + _answer_some(trie, some, totals), columns=["batch", "blob", "ids"])
+
+
+def _answer_some(trie: Trie | None, asked: list[tuple], totals: Totals) -> list[tuple]:
+    """Each distinct word and pair of the blobs is looked up once, in the order of the levels."""
+    if not asked:
+        return []
+    words, word_of = np.unique(np.concatenate([g[0] for _, g, _ in asked]), return_inverse=True)
+    owner = np.repeat(word_of.astype(np.uint64), np.concatenate([g[1].astype(np.int64) for _, g, _ in asked]))
+    pairs, pair_of = np.unique((owner << np.uint64(_V_BITS)) | np.concatenate([_from_v40(g[2], g[3]) for _, g, _ in asked]), return_inverse=True)
+    owner_of = (pairs >> np.uint64(_V_BITS)).astype(np.int64)
+    count, unigram, back = np.zeros(len(words), np.int64), np.full(len(words), _steps(-np.log10(totals.unigram(0))), np.int64), np.zeros(len(words), np.int64)
+    extra = np.zeros(len(pairs), np.int64)
+    if trie is not None:
+        node, known = trie.look(words)
+        at = node[known]
+        count[known], unigram[known], back[known] = trie.counts[at], trie.unigram[at], trie.backoff[at]
+        child = np.flatnonzero(known[owner_of])
+        place, seen = trie.look_before(node[owner_of[child]], pairs[child] & _V_MASK)
+        extra[child[seen]] = trie.extra[place[seen]]
+    # A heavy word may be new in this shard though not in the model.
     heavy = np.fromiter(totals.heavy, np.uint64, len(totals.heavy))
-    out = []
-    for batch, blob, ids in zip(asked["batch"], asked["blob"], asked["ids"]):
-        words, sizes, low, high, times, doc, _, ends = _unpack(blob)
-        before, times = _from_v40(low, high), times.astype(np.int64)
-        count, unigram, back = np.zeros(len(words), np.int64), np.full(len(words), _steps(-np.log10(totals.unigram(0))), np.int64), np.zeros(len(words), np.int64)
-        extra = np.zeros(len(before), np.int64)
-        owner = np.repeat(np.arange(len(words)), sizes.astype(np.int64))
-        if trie is not None:
-            node, known = trie.look(words)
-            at = node[known]
-            count[known], unigram[known], back[known] = trie.counts[at], trie.unigram[at], trie.backoff[at]
-            child = np.flatnonzero(known[owner])
-            place, seen = trie.look_before(node[owner[child]], before[child])
-            extra[child[seen]] = trie.extra[place[seen]]
-        # A heavy word may be new in this shard though not in the model.
-        new = np.flatnonzero((count == 0) & np.isin(words, heavy))
-        if new.size:
-            c = np.asarray([totals.heavy[k] for k in words[new].tolist()], np.int64)
-            count[new], unigram[new], back[new] = c, _steps(-np.log10(totals.unigram(c))), _steps(np.log10((c + PRIOR) / PRIOR))
-        back[words == END] = 0
-        pair = np.repeat(np.arange(len(before)), times)
-        word = owner[pair]
-        here, doc = np.unique(doc, return_inverse=True)
-        total = lambda x: np.bincount(doc, x, len(here))
-        steps = np.rint(total(extra[pair] - unigram[word] - back[word])).astype(np.int64)
-        sums = (_least(here), _least(np.bincount(doc, minlength=len(here))), _least(np.rint(total((count > 0)[word])).astype(np.int64)), steps.view(np.uint64), total(np.log10(totals.unigram(count))[word]).view(np.uint64))
+    new = np.flatnonzero((count == 0) & np.isin(words, heavy))
+    if new.size:
+        c = np.asarray([totals.heavy[k] for k in words[new].tolist()], np.int64)
+        count[new], unigram[new], back[new] = c, _steps(-np.log10(totals.unigram(c))), _steps(np.log10((c + PRIOR) / PRIOR))
+    back[words == END] = 0
+    of_pair, in_model, base = extra - (unigram + back)[owner_of], (count > 0)[owner_of], np.log10(totals.unigram(count))[owner_of]
+    out, start = [], 0
+    for batch, (_, _, low, _, times, doc, _, ends), ids in asked:
+        pair = np.repeat(pair_of[start : start + len(low)], times.astype(np.int64))
+        start += len(low)
+        here, doc = _dense(doc)
+        total = lambda x: np.bincount(doc, x[pair], len(here))
+        steps = np.rint(total(of_pair)).astype(np.int64)
+        sums = (_least(here), _least(np.bincount(doc, minlength=len(here))), _least(np.rint(total(in_model)).astype(np.int64)), steps.view(np.uint64), total(base).view(np.uint64))
         out.append((batch, _pack(_least(ends), *sums), ids))
-    return pd.DataFrame(out, columns=["batch", "blob", "ids"])
+    return out
+
+
+def _dense(doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct of small numbers, and each one's place among them."""
+    there = np.bincount(doc) > 0
+    return np.flatnonzero(there), (np.cumsum(there) - 1)[doc]
 
 
 def _add_up(parts: DataFrame, totals: Totals, id_col: str, id_kind: str) -> DataFrame:
@@ -473,7 +526,7 @@ def _mapped(blob: bytes | None, use) -> pd.DataFrame:
     with tempfile.TemporaryFile() as file:
         file.write(blob)
         file.flush()
-        return use(Trie(np.memmap(file, np.uint64, "r")))
+        return use(Trie(np.memmap(file, np.uint64, "r").view(np.ndarray)))
 
 
 def score(docs: DataFrame, tries: DataFrame, totals: Totals, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -489,6 +542,18 @@ def score(docs: DataFrame, tries: DataFrame, totals: Totals, id_col: str = "doc_
     return _add_up(parts, totals, id_col, kind)
 
 
+def _serve(asked: pd.DataFrame, totals: Totals) -> pd.DataFrame:
+    """A shard's trie of what its blobs let learn, and their answers from it."""
+    counted = []
+    for blob in asked["blob"]:
+        words, sizes, low, high, times, doc, learn, _ = _unpack(blob)
+        n = np.add.reduceat(learn[doc].astype(np.int64), np.cumsum(times.astype(np.int64)) - times)
+        some = n > 0
+        counted.append((np.repeat(words, sizes.astype(np.int64))[some], _from_v40(low, high)[some], n[some]))
+    trie = Trie.build(*_merged(counted), totals)
+    return _mapped(trie, lambda t: _answer(t, asked, totals))
+
+
 def held_out(column: Column) -> Column:
     """crc32 of an id as text, modulo 7, is 2."""
     return crc_fold(column, 7) == 2
@@ -506,14 +571,7 @@ def score_corpus(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_co
     shared = docs.sparkSession.sparkContext.broadcast(totals)
 
     def run(asked: pd.DataFrame) -> pd.DataFrame:
-        counted = []
-        for blob in asked["blob"]:
-            words, sizes, low, high, times, doc, learn, _ = _unpack(blob)
-            n = np.add.reduceat(learn[doc].astype(np.int64), np.cumsum(times.astype(np.int64)) - times)
-            some = n > 0
-            counted.append((np.repeat(words, sizes.astype(np.int64))[some], _from_v40(low, high)[some], n[some]))
-        trie = Trie.build(*_merged(counted), shared.value)
-        return _mapped(trie, lambda t: _answer(t, asked, shared.value))
+        return _serve(asked, shared.value)
 
     parts = _ask(rows, shared, kind).groupBy("shard").applyInPandas(run, _ANSWER.format(kind))
     return _add_up(parts, totals, id_col, kind), totals
