@@ -535,6 +535,8 @@ def score(docs: DataFrame, tries: DataFrame, totals: Totals, id_col: str = "doc_
     shared = docs.sparkSession.sparkContext.broadcast(totals)
 
     def run(tries_of: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked):  # a shard that nothing is asked of
+            return pd.DataFrame({"batch": pd.Series(dtype="int64"), "blob": pd.Series(dtype=object), "ids": pd.Series(dtype=object)})
         return _mapped(tries_of["trie"].iloc[0] if len(tries_of) else None, lambda trie: _answer(trie, asked, shared.value))
 
     asked = _ask(docs.select(F.col(id_col).alias("id"), F.lit(False).alias("learn"), F.col(text_col).alias("text")), shared, kind)

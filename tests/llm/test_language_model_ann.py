@@ -92,6 +92,12 @@ def test_kept_model_scores_alike(spark, sf):
         assert math.isclose(r.score, kept[r.doc_id].score, abs_tol=1e-9) and r.n_known == r.n_tokens
 
 
+def test_kept_model_of_shards_that_nothing_is_asked_of(spark, sf):
+    tries, totals = lm.fit(spark.read.parquet(f"{sf}/documents.parquet").limit(60))
+    got = lm.score(spark.createDataFrame([(7, "xyzzy")], SCHEMA), tries, totals).collect()
+    assert [(r.doc_id, r.n_tokens, r.n_known) for r in got] == [(7, 2, 1)]
+
+
 def test_language_model_edge_cases(spark):
     rows = [(1, None), (1, None), (None, ""), (2, "A b A b"), (3, "a B c"), (4, "new " * 5_000)]
     df = spark.createDataFrame(rows, SCHEMA).withColumn("score", F.lit("x"))
