@@ -135,7 +135,7 @@ def is_pdf(content: Column, length: Column, least: int = 1_024) -> Column:
 
 def may_upload(name: Column, content: Column, length: Column, largest: int) -> Column:
     """ok, or why not: extension, size, or no magic bytes in the first kilobyte."""
-    head = F.decode(F.substring(content, 1, 1024), F.lit("ISO-8859-1"))
+    head = F.decode(F.substring(content, 1, 1024), "ISO-8859-1")
     return F.when(~F.lower(name).endswith(".pdf"), "extension").when(length > largest, "too large").when(F.instr(head, PDF_MAGIC) == 0, "not a PDF").otherwise("ok")
 
 
