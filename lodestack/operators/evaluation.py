@@ -154,7 +154,7 @@ def multi_value_match(gold: DataFrame, predicted: DataFrame, by: str) -> DataFra
     kind = gold.schema[by].dataType.simpleString()
 
     def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        g, p = left["value"].tolist(), right["value"].tolist()
+        g, p = (side["value"].tolist() if len(side) else [] for side in (left, right))  # a side without rows has no columns
         n = max(len(g), len(p))
         gain = np.zeros((n, n))
         for i, a in enumerate(g):
@@ -165,7 +165,8 @@ def multi_value_match(gold: DataFrame, predicted: DataFrame, by: str) -> DataFra
         key = (left if len(left) else right)[by].iloc[0]
         return pd.DataFrame({by: [key], "matched": [met], "exact": [met == len(g) and bool(g)], "recall": [r], "precision": [q], "f1": [2 * r * q / (r + q) if r + q else 0.0]})
 
-    return gold.select(by, "value").groupBy(by).cogroup(predicted.select(by, "value").groupBy(by)).applyInPandas(match, f"{by} {kind}, matched int, exact boolean, recall double, precision double, f1 double")
+    said = predicted.select(F.col(by).alias(by), F.col("value").alias("value"))  # columns of its own, where both tables come from one
+    return gold.select(by, "value").groupBy(by).cogroup(said.groupBy(by)).applyInPandas(match, f"{by} {kind}, matched int, exact boolean, recall double, precision double, f1 double")
 
 
 def ratchet(baseline: DataFrame, current: DataFrame, keys: tuple[str, ...] = ("layer", "name", "metric")) -> DataFrame:
