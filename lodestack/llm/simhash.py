@@ -7,6 +7,10 @@ is verified. Variants shared by more than ``PAIRS_UP_TO`` fingerprints would giv
 linked exactly through the points at distance one instead: two fingerprints differ in at most two bits just if they share
 one of their 65 points, and a point needs only one link from each member to its smallest.
 
+``keep_one`` removes near copies: distinct word lists at ``NEAR`` (5) or fewer differing bits, found in three segments the
+same way, are linked where the Jaccard similarity of their five-word shingles is at least ``SIMILARITY``. In a variant that
+more than ``NEAR_PAIRS_UP_TO`` word lists share, each is compared with the smallest and the next of them, and the points link as above.
+
 Results: a null or wordless text has fingerprint zero and is linked like any other; equal texts share a fingerprint;
 null ids take no part in finding the smallest id (a component of null ids only has a null id); repeated rows are
 returned each. Empty tables give empty results.
@@ -30,6 +34,11 @@ SEED = 42
 DISTANCE = 2
 #: Largest variant bucket whose pairs are compared one by one.
 PAIRS_UP_TO = 4
+#: Of keep_one: bits, words of a shingle, Jaccard similarity, largest variant bucket whose pairs are compared one by one.
+NEAR = 5
+NEAR_WORDS = 5
+SIMILARITY = 0.8
+NEAR_PAIRS_UP_TO = 32
 _CHUNK = 1 << 16
 
 
@@ -63,16 +72,25 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(id_col, text_col).mapInPandas(run, f"`{id_col}` {kind}, fp bigint")
 
 
-def _variants(fps: DataFrame) -> DataFrame:
-    """(fp, key) under each of the 64 signatures of a fingerprint."""
-    one = F.expr("sequence(0, 63)")
-    at = fps.select("fp", F.explode(one).alias("i"))
-    segment = F.expr("shiftrightunsigned(fp, 32 * (i >> 5)) & 4294967295L")
-    return at.select("fp", (segment.bitwiseAND(F.expr("~shiftleft(1L, i & 31)"))).bitwiseOR(F.expr("shiftleft(cast(i as bigint), 32)")).alias("key"))
+def _variants(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """The columns of ``fps`` and key, under each of the 64 signatures of a fingerprint: ceil((distance + 1) / 2) segments, one bit wiped."""
+    n = distance // 2 + 1
+    ends = [64 * k // n for k in range(n + 1)]
+    segment = [next((a, b) for a, b in zip(ends, ends[1:]) if a <= i < b) for i in range(64)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    masks = F.array(*[F.lit(signed((1 << b) - (1 << a) & ~(1 << i))).cast("bigint") for i, (a, b) in enumerate(segment)])
+    offsets = F.array(*[F.lit(a) for a, _ in segment])
+    at = fps.select("*", F.explode(F.expr("sequence(0, 63)")).alias("i")).withColumns({"_mask": masks[F.col("i")], "_from": offsets[F.col("i")]})
+    return at.withColumn("key", F.expr("shiftrightunsigned(fp & _mask, _from) | shiftleft(cast(i as bigint), 32)")).drop("i", "_mask", "_from")
+
+
+def _close(a: str, b: str, distance: int = DISTANCE) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
 
 
-def _close(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= DISTANCE
+def _points(fps: DataFrame) -> DataFrame:
+    """The columns of ``fps`` and point: the fingerprint and its 64 neighbours at distance one."""
+    return fps.select("*", F.explode(F.expr("transform(sequence(-1, 63), i -> if(i < 0, fp, fp ^ shiftleft(1L, i)))")).alias("point"))
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -85,7 +103,7 @@ def links(fps: DataFrame) -> DataFrame:
     few = shared.where(F.col("n") <= PAIRS_UP_TO)
     of_few = few.select("key", F.col("fp").alias("a")).join(few.select("key", F.col("fp").alias("b")), "key").where("a < b").select("a", "b")
     many = shared.where(F.col("n") > PAIRS_UP_TO).select("fp").distinct()
-    points = many.select("fp", F.explode(F.expr("transform(sequence(-1, 63), i -> if(i < 0, fp, fp ^ shiftleft(1L, i)))")).alias("point"))
+    points = _points(many)
     least = points.groupBy("point").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
     of_many = points.join(least, "point").select(F.col("fp").alias("a"), "b").where("a <> b")
     return of_few.unionByName(of_many).where(_close("a", "b"))
@@ -98,17 +116,61 @@ def classes(distinct: DataFrame) -> DataFrame:
     return cut(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "classed")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component, with its columns as they came: the one with the smallest id (null ids last)."""
-
-    @F.pandas_udf("bigint")
-    def fp(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.fromiter(map(fingerprint, texts), np.uint64, len(texts)).view(np.int64))
-
-    rows = cut(docs.select(F.struct("*").alias("row"), fp(F.col(text_col)).alias("fp"), F.monotonically_increasing_id().alias("uid")), "rows")
+def _shingles(text: str | None) -> set[bytes]:
+    words = ascii_lower_words(text)
+    width = min(NEAR_WORDS, len(words))
+    return {b" ".join(words[i : i + width]) for i in range(len(words) - width + 1)} if words else set()
+
+
+def similarity(a: str | None, b: str | None) -> float:
+    """Jaccard similarity of the sets of five-word shingles; two wordless texts are equal."""
+    x, y = _shingles(a), _shingles(b)
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def _candidates(nodes: DataFrame, distance: int) -> DataFrame:
+    """(a, b) pairs of nodes (node, fp) whose fingerprints differ in at most ``distance`` bits, a < b."""
+    w = Window.partitionBy("key")
+    shared = cut(_variants(nodes, distance).withColumn("n", F.count(F.lit(1)).over(w)).where("n > 1"), "shared")
+    few, many = shared.where(F.col("n") <= NEAR_PAIRS_UP_TO), shared.where(F.col("n") > NEAR_PAIRS_UP_TO)
+    a, b = (few.select("key", F.col("node").alias(x), F.col("fp").alias(f"fp_{x}")) for x in "ab")
+    of_few = a.join(b, (a.key == b.key) & (F.col("a") < F.col("b")) & _close("fp_a", "fp_b", distance)).select("a", "b")
+    point = F.struct("fp", "node")
+    least = many.groupBy("key").agg(F.min(point).alias("other"))
+    following = many.withColumn("other", F.lead(point).over(w.orderBy("fp", "node"))).where("other is not null").drop("key", "n")
+    points = _points(many.select("node", "fp").distinct())
+    of_point = points.groupBy("point").agg(F.min(point).alias("other"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    star = [big.join(small, by).select("node", "fp", "other") for big, small, by in ((many, least, "key"), (points, of_point, "point"))]
+    met = following.select("node", "fp", "other").unionByName(star[0]).unionByName(star[1]).withColumn("other_fp", F.col("other.fp")).where(_close("fp", "other_fp", distance))
+    of_many = met.select(F.least("node", "other.node").alias("a"), F.greatest("node", "other.node").alias("b")).where("a < b")
+    return of_few.unionByName(of_many).distinct()
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = NEAR, least_similarity: float = SIMILARITY) -> DataFrame:
+    """One document of each component of near copies, with its columns as they came: the one with the smallest id (null ids last)."""
+
+    @F.pandas_udf("fp bigint, node bigint")
+    def marks(texts: pd.Series) -> pd.DataFrame:
+        fps = np.fromiter(map(fingerprint, texts), np.uint64, len(texts)).view(np.int64)
+        nodes = np.fromiter((xxhash.xxh64_intdigest(b" ".join(ascii_lower_words(t))) for t in texts), np.uint64, len(texts)).view(np.int64)
+        return pd.DataFrame({"fp": fps, "node": nodes})
+
+    marked = docs.select(F.struct("*").alias("row"), marks(F.col(text_col)).alias("m"), F.monotonically_increasing_id().alias("uid"))
+    rows = cut(marked.select("row", "m.fp", "m.node", "uid"), "rows")
     order = F.struct(F.col(f"row.{id_col}").isNull().alias("null"), F.col(f"row.{id_col}").alias("id"), "uid")
-    classed = classes(rows.groupBy("fp").agg(F.min(order).alias("least")))
-    first = classed.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.uid").alias("uid"))
+    distinct = cut(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min(order).alias("least")), "distinct")
+    pairs = cut(_candidates(distinct.select("node", "fp"), distance), "candidates")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(distinct, "node").select("node", F.col("least.uid").alias("uid"))
+    texts = cut(rows.select("uid", F.col(f"row.{text_col}").alias("text")).join(asked, "uid").select("node", "text"), "texts")
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+
+    @F.pandas_udf("double")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([similarity(x, y) for x, y in zip(a, b)], dtype=float)
+
+    roots = components(both.where(alike("text_a", "text_b") >= least_similarity).select("a", "b"))
+    rooted = distinct.select(F.col("node").alias("_node"), "least").join(roots, F.col("_node") == F.col("node"), "left").select("least", F.coalesce("root", "_node").alias("root"))
+    first = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.uid").alias("uid"))
     return rows.join(first, "uid", "left_semi").select("row.*")
 
 

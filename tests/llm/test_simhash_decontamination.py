@@ -166,3 +166,47 @@ def test_whole_table_against_brute_force_on_leaks(spark, sf):
     found = {(r.doc_id, r.item_id) for r in op3_decontaminate(spark, sf).collect()}
     want = brute_leaks(short, items)
     assert {x for x in found if x[0] in dict(short)} == want
+
+
+def test_keep_one_links_near_copies_and_checks_them(spark):
+    """Pairs of three to five differing bits are linked where five-word shingles agree, and only there."""
+    rng = np.random.default_rng(3)
+    near = apart = None
+    for _ in range(4_000):
+        words = [f"w{i}" for i in rng.integers(0, 9_000, 120)]
+        other = list(words)
+        other[int(rng.integers(0, 120))] = "changed"
+        a, b = " ".join(words), " ".join(other)
+        bits = (simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count()
+        if 3 <= bits <= 5 and simhash.similarity(a, b) >= 0.8:
+            near = (a, b)
+            break
+    line = "one line of seven words comes again "
+    for k in range(400):
+        a, b = line * 60 + "one end", line * 60 + " ".join(f"u{k}x{i}" for i in range(20))
+        if (simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count() <= 2 and simhash.similarity(a, b) < 0.8:
+            apart = (a, b)
+            break
+    assert near and apart
+    df = spark.createDataFrame([(1, near[0]), (2, near[1]), (3, apart[0]), (4, apart[1]), (5, None)], SCHEMA)
+    assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == [1, 3, 4, 5]
+
+
+def test_keep_one_of_a_large_group_of_near_copies(spark):
+    words = [f"w{i}" for i in range(300)]
+    texts = {" ".join(words)} | {" ".join([*words[:i], f"x{i}", *words[i + 1 :]]) for i in range(150)}
+    rows = sorted(texts, key=lambda t: t != " ".join(words))
+    kept = simhash.keep_one(spark.createDataFrame(list(enumerate(rows)), SCHEMA)).collect()
+    points = {i: simhash.fingerprint(t) for i, t in enumerate(rows)}
+    root = {i: i for i in points}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in points:
+        for j in range(i):
+            if (points[i] ^ points[j]).bit_count() <= simhash.NEAR and simhash.similarity(rows[i], rows[j]) >= 0.8:
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    assert sorted(r.doc_id for r in kept) == sorted(i for i in points if root[i] == i)
