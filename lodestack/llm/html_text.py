@@ -30,7 +30,12 @@ HINT = re.compile(
     r"cookies?|consent|notice|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|popular|trending|tags|pagination|pager|comments?|commentlist|disqus|replies|respond|popup|modal|toolbar|skip)(?:$|[\s_-])", re.I)
 ROLE = re.compile(r"""\brole\s*=\s*["']?(navigation|banner|contentinfo|complementary|search|form|dialog|alert|menu|menubar)\b""", re.I)
 NAMED = re.compile(r"""\b(?:class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-HIDDEN = re.compile(r"""\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+#: hidden as an attribute of its own, with or without a value, once quoted values are taken out; quoted or bare style and aria-hidden.
+HIDDEN = re.compile(r"(?:^|[\s/])hidden(?=$|[\s=/])", re.I)
+UNSEEN = re.compile(r"""(?:^|[\s"'/])(?:aria-hidden\s*=\s*["']?true\b|style\s*=\s*(?:"[^"]*?display\s*:\s*none|'[^']*?display\s*:\s*none|[^\s"'>]*display:none))""", re.I)
+VALUE = re.compile(r"""=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)""")
+#: Class tokens that speak of what an element has, lacks or allows, not of what it is.
+ABOUT = re.compile(r"(?:^|[-_])(?:no|not|non|has|with|without)[-_]|[-_](?:open|closed|enabled|disabled)$", re.I)
 QUOTED = r"""(?:[^>"']|"[^"]*"|'[^']*')*"""
 TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)({QUOTED})>|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|</?[a-zA-Z][^<>]*\Z", re.S)
 SPACE = re.compile(r"\s+")
@@ -84,10 +89,20 @@ def trained_tree() -> tuple:
     return grow(data[:, :-1], data[:, -1])
 
 
+def hinted(name: str, attributes: str) -> bool:
+    """Whether a class or id announces boilerplate; those of body, main and article speak of the whole page."""
+    if name in ARTICLE or name == "body":
+        return False
+    return any(HINT.search(token) and not ABOUT.search(token) for m in NAMED.findall(attributes) for token in " ".join(m).split())
+
+
+def marked_out(name: str, attributes: str) -> bool:
+    """Whether an element is boilerplate for sure: by its name or role, or because it is hidden."""
+    return bool(name in BOILERPLATE or UNSEEN.search(attributes) or HIDDEN.search(VALUE.sub("=v", attributes)) or ROLE.search(attributes))
+
+
 def place_of(name: str, attributes: str) -> int:
-    if name in BOILERPLATE or HIDDEN.search(attributes) or ROLE.search(attributes):
-        return -1
-    if any(HINT.search(" ".join(m)) for m in NAMED.findall(attributes)):
+    if marked_out(name, attributes) or hinted(name, attributes):
         return -1
     return int(name in ARTICLE)
 
@@ -97,7 +112,7 @@ def blocks(html: str) -> list[tuple[str, int, float, int]]:
     found: list[tuple[str, int, float, int]] = []
     parts: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, int]] = []
+    stack: list[tuple[str, int, bool]] = []
     links = 0
 
     def flush() -> None:
@@ -136,7 +151,7 @@ def blocks(html: str) -> list[tuple[str, int, float, int]]:
                 parts.append(" ")
             elif not closing and name not in VOID and place_of(name, attributes) < 0:
                 flush()
-                stack.append((name, -1))
+                stack.append((name, -1, marked_out(name, attributes) or bool(stack) and stack[-1][2]))
             elif closing and stack and stack[-1][0] == name:
                 flush()
                 stack.pop()
@@ -144,15 +159,20 @@ def blocks(html: str) -> list[tuple[str, int, float, int]]:
         flush()
         marked = place_of(name, attributes) if not closing else 0
         if closing:
-            if any(n == name for n, _ in stack):
+            if any(n == name for n, *_ in stack):
                 while stack.pop()[0] != name:
                     pass
                 links = 0 if name in CONTAINERS else links
         elif (name in CONTAINERS or marked) and name not in VOID and not attributes.endswith("/"):
             above = stack[-1][1] if stack else 0
-            # A heading group inside an article belongs to it; an article inside boilerplate does not leave it.
-            place = above if above < 0 else 1 if above > 0 and name == "header" and not HINT.search(attributes) else marked or above
-            stack.append((name, place))
+            out = bool(stack) and stack[-1][2]
+            # A heading group inside an article belongs to it. An article inside boilerplate does not leave it; inside what
+            # is merely hinted at by a class or id it is judged by its words and links.
+            if above < 0:
+                place = 0 if name in ARTICLE and not out and marked > 0 else above
+            else:
+                place = 1 if above > 0 and name == "header" and not HINT.search(attributes) else marked or above
+            stack.append((name, place, out or place < 0 and marked_out(name, attributes)))
         elif name == "p" and stack and stack[-1][0] == "p":
             stack.pop()
     if at < end:

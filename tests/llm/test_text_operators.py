@@ -70,6 +70,25 @@ def test_article_without_its_surroundings():
     assert got == "Title & more\nFirst paragraph with bold text and words enough.\nSecond paragraph, with one link in it."
 
 
+@pytest.mark.parametrize(
+    "before, after",
+    [
+        ('<div style="overflow:hidden"><article>', "</article></div>"), ('<div class="overflow-hidden"><article>', "</article></div>"), ('<body class="single no-sidebar"><article>', "</article></body>"),
+        ('<article class="post comments-open">', "</article>"), ('<main id="related-content">', "</main>"), ('<div class="content with-sidebar"><main>', "</main></div>"), ('<div data-note="is hidden now"><article>', "</article></div>"),
+        ('<div class="header-banner"><article>', "</article></div>"),
+    ],
+)
+def test_marks_that_only_look_like_boilerplate(before, after):
+    text = "A paragraph of the article that is long enough to be read by itself, with more than twenty plain words and no link in it."
+    assert html_text.main_text(f"<html>{before}<p>{text}</p>{after}</html>", html_text.trained_tree()) == text
+
+
+@pytest.mark.parametrize("mark", ["hidden", 'hidden=""', 'HIDDEN="until-found"', 'id="a" hidden', 'id="a" hidden class="b"', 'style="color:red; display : none"', "style=display:none", 'aria-hidden="true"', 'class="sidebar"', 'class="post-comments"', 'role="navigation"'])
+def test_marks_that_are_boilerplate(mark):
+    text = "A paragraph outside of the article that is long enough to be read by itself, with more than twenty plain words in it."
+    assert html_text.main_text(f"<div {mark}><p>{text}</p></div><article><p>Kept words of it.</p></article>", html_text.trained_tree()) == "Kept words of it."
+
+
 def test_html_that_is_broken_or_missing():
     tree = html_text.trained_tree()
     assert html_text.main_text(None, tree) == "" and html_text.main_text("", tree) == "" and html_text.main_text("<div", tree) == ""
