@@ -4,11 +4,14 @@ Texts become lower-case word tokens. A mask such as 1101101 selects five of seve
 selected ones is a seed, which survives substitutions at the positions that the mask ignores. Seeds of documents and
 benchmark items are equality-joined, and around each hit the two texts are laid on each other without gaps: an overlap
 counts when at least ``SIMILARITY`` of the item's tokens agree in place. Items longer than ``REACH`` tokens are verified over
-windows of that length around the hit.
+windows of that length around the hit, and any overlap of more than ``RUN`` tokens counts as well when one of its windows of
+``RUN`` tokens agrees that far, however long the item is.
 
 What is broadcast is bounded: a bitmap of 2 ** ``BITMAP`` bits of the benchmark's seeds, and the seeds themselves only while
 they are no more than ``EXACT_UP_TO``; beyond, the bitmap alone thins the documents' seeds before the same join.
 
+Items of five and six words have seeds for each place of a substitution (``SHORT_MASKS``) besides.
+
 Results: null and wordless documents and items match nothing; an item shorter than the longest mask uses the masks that
 fit, one shorter than every mask is compared as one seed of its own length; equal items are one item, under the smallest id
 (null ids last); repeated documents are reported each. Empty tables give an empty result.
@@ -33,6 +36,10 @@ TOKEN = re.compile(r"[^\W_]+")
 MASKS = ("11111", "1110011", "1101101", "11010011", "101101001")
 SIMILARITY = 0.8
 REACH = 512
+#: Tokens of a part of an item that counts by itself.
+RUN = 128
+#: All that ignore one word of an item so long; at its ends one word less is selected.
+SHORT_MASKS = {5: ("1111", "10111", "11011", "11101"), 6: ("11111", "101111", "110111", "111011", "111101")}
 BITMAP = 27
 EXACT_UP_TO = 4_000_000
 #: Token hashes remembered by a Python worker.
@@ -53,18 +60,23 @@ class TokenHash(dict):
         return np.fromiter(map(self.__getitem__, tokens), np.uint64, len(tokens))
 
 
-def seeds(tokens: np.ndarray, masks: tuple[str, ...] = MASKS) -> Iterator[tuple[np.ndarray, int]]:
-    """(seed at each position, span) for each mask that fits."""
+def seeds(tokens: np.ndarray, masks: tuple[str, ...] = MASKS, first: int = 1) -> Iterator[tuple[np.ndarray, int]]:
+    """(seed at each position, span) for each mask that fits; masks are numbered from ``first``."""
     for m, mask in enumerate(masks):
         n = len(tokens) - len(mask) + 1
         if n > 0:
-            total = np.full(n, m + 1, np.uint64)
+            total = np.full(n, m + first, np.uint64)
             for at, one in enumerate(mask):
                 if one == "1":
                     total = mix64(total * np.uint64(0x9E3779B97F4A7C15) + tokens[at : at + n])
             yield total, len(mask)
 
 
+def substituted(tokens: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, int]]:
+    """Seeds that find items of ``n`` words with one substitution."""
+    return seeds(tokens, SHORT_MASKS[n], first=100_000 + 100 * n)
+
+
 def short_seed(tokens: np.ndarray) -> np.ndarray:
     """The seed of a text shorter than every mask: all of its tokens."""
     total = np.full(1, 1000 + len(tokens), np.uint64)
@@ -85,6 +97,8 @@ def _items(benchmark: DataFrame, masks: tuple[str, ...], id_col: str, text_col:
                 tokens = known.of(text)
                 if len(tokens):
                     found = [*seeds(tokens, masks)] if len(tokens) >= shortest else [(short_seed(tokens), len(tokens))]
+                    if len(tokens) in SHORT_MASKS:
+                        found += substituted(tokens, len(tokens))
                     out.append((item, tokens.tobytes(), len(tokens), [(h, p) for s, _ in found for p, h in enumerate(s.view(np.int64).tolist())]))
             yield pd.DataFrame(out, columns=["item_id", "tokens", "n", "seeds"])
 
@@ -113,6 +127,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     exact = np.sort(index.select("h").distinct().toPandas()["h"].to_numpy(np.int64)) if n_seeds <= EXACT_UP_TO else None
     shortest = min(map(len, masks))
     lengths = [r[0] for r in items.where(F.col("n") < shortest).select("n").distinct().collect()]  # fewer than a mask is long
+    few_words = [r[0] for r in items.where(F.col("n").isin(*SHORT_MASKS)).select("n").distinct().collect()]
     shared = spark.sparkContext.broadcast((bitmap, exact))
     low = np.uint64((1 << BITMAP) - 1)
 
@@ -131,6 +146,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
                         for at in range(n):
                             total = mix64(total * np.uint64(0x9E3779B97F4A7C15) + tokens[at : at + len(total)])
                         found.append(total)
+                found += [s for n in few_words for s, _ in substituted(tokens, n)]
                 hits: list[tuple[int, int]] = []
                 for s in found:
                     slot = s & low
@@ -164,14 +180,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
                 a, b = max(0, -r.shift), min(len(item), len(doc) - r.shift)
                 same = np.zeros(len(item), np.int64)
                 same[a:b] = doc[r.shift + a : r.shift + b] == item[a:b]
-                width = min(len(item), REACH)
                 run = np.concatenate([[0], np.cumsum(same)])
-                best = int((run[width:] - run[:-width]).max())
+                found = []
+                for width in dict.fromkeys(min(len(item), w) for w in (REACH, RUN)):
+                    best = int((run[width:] - run[:-width]).max())
+                    found.append((best / width >= similarity, width, best))
+                _, width, best = max(found)
                 out.append((r.uid, r.doc, r.text_hash, r.item_id, best, width, best / width))
             yield pd.DataFrame(out, columns=["uid", "doc", "text_hash", "item_id", "n_matched", "n_item", "similarity"])
 
     checked = pairs.select("uid", "doc", "text_hash", "tokens", "item_id", "item_tokens", "shift").mapInPandas(verify, f"uid string, doc {kind}, text_hash bigint, item_id {item_kind}, n_matched int, n_item int, similarity double")
-    best = checked.where(F.col("similarity") >= similarity).groupBy("uid", "item_id").agg(F.max(F.struct("similarity", "n_matched", "n_item", "doc", "text_hash")).alias("m"))
+    best = checked.where(F.col("similarity") >= similarity).groupBy("uid", "item_id").agg(F.max(F.struct("n_item", "similarity", "n_matched", "doc", "text_hash")).alias("m"))
     return best.select(F.col("m.doc").alias(id_col), "m.text_hash", F.col("item_id").alias(item_col), "m.n_matched", "m.n_item", "m.similarity")
 
 

@@ -210,3 +210,30 @@ def test_keep_one_of_a_large_group_of_near_copies(spark):
             if (points[i] ^ points[j]).bit_count() <= simhash.NEAR and simhash.similarity(rows[i], rows[j]) >= 0.8:
                 root[max(find(i), find(j))] = min(find(i), find(j))
     assert sorted(r.doc_id for r in kept) == sorted(i for i in points if root[i] == i)
+
+
+def test_parts_of_long_items_are_leaks(spark):
+    rng = np.random.default_rng(9)
+    draw = lambda n: [f"t{i}" for i in rng.integers(0, 50_000, n)]
+    items = {1: draw(500), 2: draw(2_000), 3: draw(140)}
+    worn = [w if i % 6 else "other" for i, w in enumerate(items[2][900:1_100])]
+    docs = {1: items[1][:300], 2: draw(50) + items[1][100:400] + draw(50), 3: items[2][-150:], 4: worn, 5: items[3][:60] + draw(80), 6: draw(400), 7: items[3][:128]}
+    table = lambda x, schema: spark.createDataFrame([(k, " ".join(v)) for k, v in x.items()], schema)
+    got = decontaminate.leaks(table(docs, SCHEMA), table(items, "item_id bigint, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 1), (2, 1), (3, 2), (4, 2), (7, 3)]
+    assert all(r.similarity >= 0.8 and r.similarity == r.n_matched / r.n_item for r in got)
+
+
+def test_items_of_five_and_six_words_with_one_substitution(spark):
+    items = [(5, "a5 b5 c5 d5 e5"), (6, "a6 b6 c6 d6 e6 f6")]
+    docs = []
+    for n, text in items:
+        for at in range(n):
+            words = text.split()
+            words[at] = "other"
+            docs += [(len(docs), " ".join(["x", "y", *words, "z"]), n), (len(docs) + 1, " ".join(words), n)]
+        docs += [(len(docs), " ".join(text.split()[1:]), n), (len(docs) + 1, " ".join(text.split()[:-1]), n)]
+    docs += [(900, "x a5 b5 c5 z z", 0), (901, "a6 other c6 other e6 f6", 0)]
+    df = spark.createDataFrame(docs, f"{SCHEMA}, item int")
+    got = decontaminate.leaks(df, spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(i, n) for i, _, n in docs if n]
