@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
@@ -57,19 +57,28 @@ def strict_verdict(located: Column, value: Column, baseline: Column, quote: Colu
     return {"verify": verify, "baseline": kept, "delta": F.when(kept != "", signed_delta(value, kept))}
 
 
-def number_support(answers: DataFrame, chunks: DataFrame, by: str = "qid") -> DataFrame:
+def number_support(answers: DataFrame, chunks: DataFrame, by: str = "qid", group: str | None = None) -> DataFrame:
     """For each answer: numbers that its cited evidence lacks, split into those that other chunks hold and those nowhere found.
 
     answers: (qid, question, answer, evidence); chunks: (qid, chunk, text). Numbers of the question are not asked about; results of
     + - * / on two numbers that answer and evidence share are accepted. At most three chunks are named for a number.
+    With ``group``, a column of both, an answer is checked against the chunks of its group without those of its own ``by``.
     """
-    nums = answers.select(by, N.significant_numbers(F.col("question")).alias("q"), N.significant_numbers(F.col("answer")).alias("a"), N.significant_numbers(F.col("evidence")).alias("e"))
+    place = group or by
+    nums = answers.select(*dict.fromkeys([by, place]), N.significant_numbers(F.col("question")).alias("q"), N.significant_numbers(F.col("answer")).alias("a"), N.significant_numbers(F.col("evidence")).alias("e"))
     open_ = F.array_except(F.array_except("a", "q"), "e")
     operands = F.array_intersect("a", "e")
-    asked = nums.withColumn("_o", operands).withColumn("open", F.filter(open_, lambda v: ~N.derivable(v, F.col("_o")))).select(by, "open")
-    each = asked.select(by, F.explode("open").alias("value"))
-    held = chunks.select(by, "chunk", F.explode(N.significant_numbers(F.col("text"))).alias("value"))
-    met = each.join(held, [by, "value"]).groupBy(by, "value").agg(F.slice(F.array_sort(F.collect_set("chunk")), 1, 3).alias("chunks"))
+    asked = nums.withColumn("_o", operands).withColumn("open", F.filter(open_, lambda v: ~N.derivable(v, F.col("_o")))).select(*dict.fromkeys([by, place]), "open")
+    each = asked.select(*dict.fromkeys([by, place]), F.explode("open").alias("value"))
+    held = chunks.select(F.col(place).alias("_place"), F.col(by).alias("_own"), "chunk", F.explode(N.significant_numbers(F.col("text"))).alias("_value")).distinct()
+    # With a group, one chunk of each owner and one owner more than is named: the own one may be among them.
+    w = Window.partitionBy("_place", "_value")
+    first = held.groupBy("_place", "_value", "_own").agg(F.min("chunk").alias("chunk")) if group else held
+    few = first.withColumn("_n", F.row_number().over(w.orderBy("chunk", "_own"))).where(F.col("_n") <= (4 if group else 3))
+    least = few.groupBy("_place", "_value").agg(F.array_sort(F.collect_list(F.struct("chunk", "_own"))).alias("_held"))
+    met = each.join(least, (F.col(place) == F.col("_place")) & (F.col("value") == F.col("_value")))
+    others = F.filter("_held", lambda c: ~c["_own"].eqNullSafe(F.col(by))) if group else F.col("_held")
+    met = met.select(by, "value", F.slice(others["chunk"], 1, 3).alias("chunks")).where(F.size("chunks") > 0).distinct()
     per = met.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("value", "chunks"))).alias("supplements"))
     out = asked.join(per, by, "left")
     empty = F.array().cast("array<struct<value:double,chunks:array<string>>>")

@@ -75,9 +75,9 @@ def number_support(spark, d):
     """Numbers of a document's first part against its second part, and against what other documents of its source hold."""
     docs = table(spark, d, "documents")
     half = F.greatest(F.floor(F.length("text") / 2).cast("int"), F.lit(1))
-    answers = docs.select(F.col("doc_id").alias("qid"), F.lit("").alias("question"), F.substr("text", F.lit(1), half).alias("answer"), F.substr("text", half + 1).alias("evidence"))
-    chunks = docs.select(F.col("doc_id").alias("qid"), F.concat(F.lit("c"), F.col("doc_id")).alias("chunk"), "text")
-    return V.number_support(answers, chunks).select("qid", F.size("supplements").alias("n_supplements"), F.size("unverified").alias("n_unverified"))
+    answers = docs.select(F.col("doc_id").alias("qid"), "source", F.lit("").alias("question"), F.substr("text", F.lit(1), half).alias("answer"), F.substr("text", half + 1).alias("evidence"))
+    chunks = docs.select(F.col("doc_id").alias("qid"), "source", F.concat(F.lit("c"), F.col("doc_id")).alias("chunk"), "text")
+    return V.number_support(answers, chunks, group="source").select("qid", F.size("supplements").alias("n_supplements"), F.size("unverified").alias("n_unverified"))
 
 
 @query("""with a as (select conv_id, turn, 'Yes [1]. See [' || (turn + 3) || '] and [9].' as answer, 4 as n, case when turn % 2 = 0 then 'as [9] says' else '' end as evidence from conversations)

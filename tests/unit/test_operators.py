@@ -203,3 +203,12 @@ def test_permuted_rows_give_equal_results(spark, sf):
     a = sorted(map(tuple, R.rrf(R.top_k(docs, 50, ("qid", "route"))).select("qid", "key", "rank").collect()))
     b = sorted(map(tuple, R.rrf(R.top_k(docs.repartition(7, "score"), 50, ("qid", "route"))).select("qid", "key", "rank").collect()))
     assert a == b
+
+
+def test_number_support_looks_at_other_documents_of_the_source(spark, tmp_path):
+    from lodestack.plans import catalogue
+
+    rows = [(1, "we found 4321 of them" + " " * 60, "s"), (2, "other text with 4321 in it" + " " * 60, "s"), (3, "alone with 8765 here" + " " * 60, "s"), (4, "elsewhere 8765 again" + " " * 60, "t")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.qid: (r.n_supplements, r.n_unverified) for r in catalogue.QUERIES["number_support"](spark, str(tmp_path)).collect()}
+    assert got == {1: (1, 0), 2: (1, 0), 3: (0, 1), 4: (0, 1)}
