@@ -154,8 +154,8 @@ def figure_references(spark, d):
     captions = docs.groupBy("source", num.alias("num")).agg(F.min(F.col("doc_id") % 12).alias("caption_page"))
     said = F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("Figure "), num, F.lit(" "))).otherwise(F.concat(F.lit("As Figure "), num, F.lit(" shows, ")))
     blocks = docs.select("source", "doc_id", (F.col("doc_id") * 5 % 12).alias("page"), F.concat(said, "text").alias("text"))
-    mention = F.nullif(F.regexp_extract(F.substring("text", 1, 40), r"Figure (\d+)", 1), F.lit("")).cast("long")
-    body = blocks.where(~F.col("text").startswith("Figure") & (F.length("text") > 15)).withColumn("num", mention)
+    mentions = F.array_distinct(F.transform(T.matches(F.col("text"), r"Figure (\d+)", 1), lambda n: n.try_cast("long")))
+    body = blocks.where(~F.col("text").startswith("Figure") & (F.length("text") > 15)).withColumn("num", F.explode(mentions))
     return body.join(captions, ["source", "num"]).where("page >= caption_page - 1").select("source", "num", "doc_id", "page")
 
 

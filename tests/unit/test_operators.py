@@ -212,3 +212,13 @@ def test_number_support_looks_at_other_documents_of_the_source(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.qid: (r.n_supplements, r.n_unverified) for r in catalogue.QUERIES["number_support"](spark, str(tmp_path)).collect()}
     assert got == {1: (1, 0), 2: (1, 0), 3: (0, 1), 4: (0, 1)}
+
+
+def test_every_figure_of_a_block_is_a_reference(spark, tmp_path):
+    from lodestack.plans import catalogue
+
+    text = "words that go on for longer than forty letters, see Figure 2 and Figure 2 and Figure 99999999999999999999"
+    rows = [(1, text, "s"), (2, "short one with enough letters", "s")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id, r.num) for r in catalogue.QUERIES["figure_references"](spark, str(tmp_path)).collect())
+    assert got == [(1, 1), (1, 2), (2, 2)]
