@@ -149,7 +149,7 @@ def json_object(text: Column) -> Column:
 def ranking(text: Column, k: int, complete: bool = True) -> Column:
     """The first bracketed list of numbers of an answer: those in 1..k, each once; ``complete`` appends the missing ones in order."""
     listed = F.regexp_extract(text, r"\[[\s\d,]*\]", 0)
-    got = F.array_distinct(F.filter(F.transform(matches(listed, r"\d+"), lambda x: x.cast("int")), lambda x: x.between(1, k)))
+    got = F.array_distinct(F.filter(F.transform(matches(listed, r"\d+"), lambda x: x.try_cast("int")), lambda x: x.between(1, k)))
     return F.concat(got, F.array_except(F.sequence(F.lit(1), F.lit(k)), got)) if complete else got
 
 

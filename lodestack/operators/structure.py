@@ -41,7 +41,7 @@ def numbering(line: Column) -> dict[str, Column]:
     rest = F.regexp_extract(line, r"^(?:\d+(?:\.\d+)*|[A-Z])(?:\.|:)?:?\s+(\S.{2,119})$", 1)
     parts = F.split(no, r"\.")
     titled = rest.rlike(r"^\p{Lu}")
-    numbered = (no != "") & titled & F.forall(parts, lambda p: p.cast("int").between(1, 20))
+    numbered = (no != "") & titled & F.forall(parts, lambda p: F.coalesce(p.try_cast("int"), F.lit(0)).between(1, 20))
     appendix = (no == "") & (letter != "") & titled
     return {
         "kind": F.when(numbered, F.concat(F.lit("L"), F.size(parts))).when(appendix, "APPENDIX"), "no": F.when(numbered, no).when(appendix, letter),
