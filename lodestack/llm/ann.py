@@ -1,11 +1,14 @@
 """Approximate nearest neighbours: inverted file of coarse centroids, product-quantised residuals, exact reranking.
 
 Centroids and codebooks are fitted on a bounded sample (``SAMPLE`` vectors, those with the smallest hash of their id); every
-vector is indexed. A query looks into its ``probe`` nearest cells, ranks their codes with an asymmetric distance table, and
-the best ``rerank`` of each cell block are measured exactly, in double precision, on the original vectors.
+vector is indexed. A query looks into its nearest cells, as many as hold the share ``recall`` of the true neighbours of sample
+vectors. Asymmetric distance tables rank the codes of all cells that it looks into: its shortlist is what lies within one
+radius of it, the asymmetric distance of so many sample vectors that about ``rerank`` of all vectors are nearer (at least
+``2 * (k + 1)`` of the sample, so that k are always found). Only the shortlist is measured, in double precision, on the original vectors.
 
 Of equal vectors only the k + 1 with the smallest ids can ever be among k neighbours (ties go to smaller ids), so the
-others need no place in a cell: a third of all rows being one vector costs nothing. Large cells are dealt into blocks.
+others need no place in a cell: a third of all rows being one vector costs nothing. Large cells are dealt into blocks, and so
+are the queries that meet them, so that a task holds at most ``BLOCK`` vectors and about ``QUERIES`` queries.
 
 Results: vectors that are null, all zero, or hold null or non-finite components take no part; nor do vectors of another
 length than the most common one (of equally common lengths the shortest counts). A repeated id is one query, with the
@@ -25,8 +28,11 @@ from pyspark.sql import functions as F
 from .common import cut
 
 SAMPLE = 16_384
-#: Rows of a cell that one task compares with its queries.
+#: Rows of a cell that one task compares with its queries, and queries that it compares them with.
 BLOCK = 8_192
+QUERIES = 16_384
+#: Sample vectors that are searched for among the sample, to find how many cells to look into.
+TRIED = 256
 
 
 @dataclass
@@ -71,42 +77,89 @@ def _usable(vec: Column) -> Column:
     return vec.isNotNull() & fine & F.exists(vec, lambda x: x != 0)
 
 
-def _search_block(rows: np.ndarray, ids: np.ndarray, codes: np.ndarray, qids: np.ndarray, queries: np.ndarray, centroid: np.ndarray, index: Index, k: int, rerank: int) -> list[tuple]:
-    """(query id, row id, distance) of the k best of one block for each query: asymmetric distances first, exact ones then."""
+def _tables(q: np.ndarray, centroid: np.ndarray, index: Index) -> list[np.ndarray]:
+    """For each group of dimensions, squared distances of the queries' residuals to its codes."""
+    return [((part[:, None, :] - book[None, :, :]) ** 2).sum(2).astype(np.float32) for part, book in zip(np.split(q - centroid, index.parts, axis=1), index.books)]
+
+
+def _asymmetric(q: np.ndarray, codes: np.ndarray, centroid: np.ndarray, index: Index) -> np.ndarray:
+    """Squared distances of queries to the vectors that codes of one cell stand for."""
+    near = np.zeros((len(q), len(codes)), np.float32)
+    for m, table in enumerate(_tables(q, centroid, index)):
+        near += table[:, codes[:, m]]
+    return near
+
+
+def cells_to_look_into(sample: np.ndarray, index: Index, k: int, recall: float) -> int:
+    """How many nearest cells hold the share ``recall`` of the k nearest neighbours, of sample vectors among the sample."""
+    tried = sample[np.linspace(0, len(sample) - 1, min(TRIED, len(sample))).astype(int)]
+    cell, found = _nearest(sample, index.centroids), []
+    for q in tried:
+        distance = ((sample - q) ** 2).sum(1)
+        order = np.argsort(((index.centroids - q) ** 2).sum(1), kind="stable")
+        rank = np.empty(len(order), int)
+        rank[order] = np.arange(len(order))
+        nearest = np.argpartition(distance, min(k, len(sample) - 1))[: k + 1]
+        found.append(rank[cell[nearest[np.argsort(distance[nearest])][1:]]])
+    ranks = np.sort(np.concatenate(found))
+    return int(ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))))]) + 1 if len(ranks) else len(index.centroids)
+
+
+class Radius:
+    """The asymmetric distance of the m-th nearest sample vector in the cells that a query looks into."""
+
+    def __init__(self, ids: np.ndarray, sample: np.ndarray, index: Index, m: int):
+        self.index, self.m, self.cell = index, m, _nearest(sample, index.centroids)
+        order = np.argsort(self.cell, kind="stable")
+        self.ids, self.codes = ids[order], _codes(sample, self.cell, index)[order]
+        self.begin = np.searchsorted(self.cell[order], np.arange(len(index.centroids) + 1))
+
+    def of(self, qid: int, q: np.ndarray, cells: np.ndarray) -> float:
+        near = [np.zeros(0, np.float32)]
+        for c in cells:
+            a, b = self.begin[c], self.begin[c + 1]
+            if b > a:
+                near.append(_asymmetric(q[None], self.codes[a:b], self.index.centroids[c], self.index)[0][self.ids[a:b] != qid])
+        every = np.concatenate(near)
+        return float(np.partition(every, self.m - 1)[self.m - 1]) if len(every) >= self.m else float("inf")
+
+
+def _search_block(rows: np.ndarray, ids: np.ndarray, codes: np.ndarray, qids: np.ndarray, queries: np.ndarray, radius: np.ndarray, centroid: np.ndarray, index: Index, k: int) -> list[tuple]:
+    """(query id, row id, distance, measured) of the k best of one block for each query, of those within its radius; a query's first row says how many were measured."""
     out = []
     for at in range(0, len(queries), 64):
         q = queries[at : at + 64]
-        near = np.zeros((len(q), len(rows)), np.float32)
-        for m, (part, book) in enumerate(zip(np.split(q - centroid, index.parts, axis=1), index.books)):
-            table = ((part[:, None, :] - book[None, :, :]) ** 2).sum(2, dtype=np.float64).astype(np.float32)
-            near += table[:, codes[:, m]]
-        for i in range(len(q)):
-            other = np.flatnonzero(ids != qids[at + i])
-            best = other[np.argpartition(near[i, other], rerank)[:rerank]] if len(other) > rerank else other
-            exact = np.sqrt(((rows[best] - q[i]) ** 2).sum(axis=1))
-            for j in np.lexsort((ids[best], exact))[:k]:
-                out.append((qids[at + i], ids[best[j]], float(exact[j])))
+        near = _asymmetric(q, codes, centroid, index) <= radius[at : at + 64, None]
+        for i in np.flatnonzero(near.any(axis=1)):
+            short = np.flatnonzero(near[i] & (ids != qids[at + i]))
+            exact = np.sqrt(((rows[short] - q[i]) ** 2).sum(axis=1))
+            for place, j in enumerate(np.lexsort((ids[short], exact))[:k]):
+                out.append((qids[at + i], ids[short[j]], float(exact[j]), 0 if place else len(short)))
     return out
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 10, probe: float = 0.7, rerank: int = 96, parts: int = 16, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): the ``k`` nearest found for each row that ``is_query`` holds for.
+def search(vectors: DataFrame, is_query: Column, k: int = 10, recall: float = 0.97, rerank: int = 256, parts: int = 16, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(query_id, rank, vec_id, score, n_measured): the ``k`` nearest found for each row that ``is_query`` holds for.
 
-    The number of cells is about the square root of the number of vectors; ``probe`` is the share of cells looked into. Its
-    default is high since vectors spread evenly over directions, as those of the test tables are, have no near cells.
+    The number of cells is about the square root of the number of vectors. n_measured is the size of the query's shortlist.
     """
     valid = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), is_query.alias("q")).where(F.col("id").isNotNull() & _usable(F.col("vec")))
     spark = vectors.sparkSession
-    sizes = valid.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    empty = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    sizes = valid.groupBy(F.size("vec").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("q"), 1)).alias("n_queries")).orderBy(F.desc("n"), "d").limit(1).collect()
     if not sizes:
-        return empty
-    d, n = sizes[0]["d"], sizes[0]["count"]
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double, n_measured bigint")
+    d, n, n_queries = sizes[0]
     valid = valid.where(F.size("vec") == d)
-    sample = np.asarray([r["vec"] for r in valid.select("vec", F.xxhash64("id").alias("h")).orderBy("h", "vec").limit(SAMPLE).collect()])
+    drawn = valid.select("id", "vec", F.xxhash64("id").alias("h")).orderBy("h", "vec").limit(SAMPLE).collect()
+    # Of equal vectors as many as the index keeps, so that each sample vector stands for one that can be found.
+    copies: dict[tuple, int] = {}
+    drawn = [r for r in drawn if copies.setdefault(key := tuple(r["vec"]), 0) <= k and not copies.__setitem__(key, copies[key] + 1)]
+    sample = np.asarray([r["vec"] for r in drawn])
     parts = next(p for p in range(min(parts, d), 0, -1) if d % p == 0)
     index = fit(sample, cells=max(1, min(SAMPLE // 16, round(np.sqrt(n)))), parts=parts)
-    shared = spark.sparkContext.broadcast(index)
+    looked = cells_to_look_into(sample, index, k, recall)
+    nearer = min(len(sample), max(2 * (k + 1), int(np.ceil(rerank * len(sample) / n))))
+    shared = spark.sparkContext.broadcast((index, Radius(np.asarray([r["id"] for r in drawn]), sample, index, nearer)))
 
     first = F.row_number().over(Window.partitionBy("h", "vec").orderBy("id"))
     distinct = valid.select("id", "vec", F.xxhash64("vec").alias("h")).withColumn("_copy", first).where(F.col("_copy") <= k + 1)
@@ -115,38 +168,45 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, probe: float = 0.7
         for batch in batches:
             if len(batch):
                 x = np.stack(batch["vec"])
-                cell = _nearest(x, shared.value.centroids)
-                yield pd.DataFrame({"id": batch["id"], "cell": cell.astype(np.int32), "code": [c.tobytes() for c in _codes(x, cell, shared.value)], "vec": batch["vec"]})
+                cell = _nearest(x, shared.value[0].centroids)
+                yield pd.DataFrame({"id": batch["id"], "cell": cell.astype(np.int32), "code": [c.tobytes() for c in _codes(x, cell, shared.value[0])], "vec": batch["vec"]})
 
     indexed = cut(distinct.select("id", "vec").mapInPandas(place, "id bigint, cell int, code binary, vec array<double>"), "ivf")
     # One count for each cell, of which there are at most SAMPLE / 16.
     held = {r["cell"]: r["count"] for r in indexed.groupBy("cell").count().collect()}
     counts = np.asarray([held.get(c, 0) for c in range(len(index.centroids))])
     blocks = np.maximum(1, -(-counts // BLOCK))
-    looked = max(1, round(probe * len(counts)))
+    dealt = max(1, -(-n_queries // QUERIES))
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = shared.value.centroids
+        c, radius = shared.value[0].centroids, shared.value[1]
         for batch in batches:
             rows = []
             for qid, vec in zip(batch["id"], batch["vec"]):
                 order = np.argsort(((c - np.asarray(vec)) ** 2).sum(1), kind="stable")
                 enough = int(np.searchsorted(np.cumsum(counts[order]), 8 * (k + 1))) + 1
-                rows += [(qid, vec, int(cell), b) for cell in order[: max(looked, enough)] if counts[cell] for b in range(blocks[cell])]
-            yield pd.DataFrame(rows, columns=["id", "vec", "cell", "block"]).astype({"cell": "int32", "block": "int32"})
+                cells = order[: max(looked, enough)]
+                within = radius.of(qid, np.asarray(vec), cells)
+                rows += [(qid, vec, within, int(cell), b, qid % dealt) for cell in cells if counts[cell] for b in range(blocks[cell])]
+            if rows:
+                yield pd.DataFrame(rows, columns=["id", "vec", "radius", "cell", "block", "deal"]).astype({"cell": "int32", "block": "int32", "deal": "int32"})
 
-    queries = valid.where("q").groupBy("id").agg(F.min("vec").alias("vec")).mapInPandas(route, "id bigint, vec array<double>, cell int, block int")
+    queries = valid.where("q").groupBy("id").agg(F.min("vec").alias("vec")).mapInPandas(route, "id bigint, vec array<double>, radius double, cell int, block int, deal int")
     spread = F.create_map(*[x for c in np.flatnonzero(blocks > 1) for x in (F.lit(int(c)), F.lit(int(blocks[c])))]) if (blocks > 1).any() else None
     block = F.lit(0) if spread is None else F.pmod(F.xxhash64("id"), F.coalesce(spread[F.col("cell")], F.lit(1)).cast("long"))
-    rows = indexed.withColumn("block", block.cast("int"))
+    rows = indexed.withColumn("block", block.cast("int")).withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(dealt - 1))))
 
     def look(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(left) and len(right):
             codes = np.frombuffer(b"".join(left["code"]), np.uint8).reshape(len(left), -1)
-            found = _search_block(np.stack(left["vec"]), left["id"].to_numpy(), codes, right["id"].to_numpy(), np.stack(right["vec"]), shared.value.centroids[int(left["cell"].iloc[0])], shared.value, k, rerank)
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+            index = shared.value[0]
+            found = _search_block(np.stack(left["vec"]), left["id"].to_numpy(), codes, right["id"].to_numpy(), np.stack(right["vec"]), right["radius"].to_numpy(), index.centroids[int(left["cell"].iloc[0])], index, k)
+        return pd.DataFrame(found, columns=["query_id", "vec_id", "score", "measured"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64", "measured": "int64"})
 
-    found = rows.groupBy("cell", "block").cogroup(queries.groupBy("cell", "block")).applyInPandas(look, "query_id bigint, vec_id bigint, score double")
+    by = ("cell", "block", "deal")
+    found = cut(rows.groupBy(*by).cogroup(queries.groupBy(*by)).applyInPandas(look, "query_id bigint, vec_id bigint, score double, measured bigint"), "found")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = found.select("query_id", "vec_id", "score").withColumn("rank", rank).where(F.col("rank") <= k)
+    measured = found.groupBy("query_id").agg(F.sum("measured").alias("n_measured"))
+    return best.join(measured, "query_id").select("query_id", "rank", "vec_id", "score", "n_measured")

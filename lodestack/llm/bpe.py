@@ -5,7 +5,7 @@ smallest rank is searched again and again, its boundary deleted and the two neig
 longer than ``LONG`` bytes take the same merges from a heap, so that one endless word costs n log n.
 
 Results: nulls and empty texts have no tokens; repeated rows are encoded each; every other column is kept out of the
-result unless named in ``keep``.
+result unless named in ``keep``. Ids and kept columns never leave Spark.
 """
 
 from __future__ import annotations
@@ -13,12 +13,14 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import computed
 
 LONG = 192
 #: How GPT-2 style byte-level vocabularies split text before merging (fixed pattern).
@@ -129,26 +131,26 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_i
 
     Narrow: no shuffle, and memory is one Arrow batch plus the remembered words.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(load_vocabulary(vocabulary_path))
-    fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    kept = [c for c in keep if c != id_col]
-    schema = ", ".join([f"`{id_col}` {fields[id_col]}", "n_tokens bigint", "ids_sha256 string", "decoded_sha256 string", *["token_ids array<bigint>"] * with_ids, *(f"`{c}` {fields[c]}" for c in kept)])
+    shared = docs.sparkSession.sparkContext.broadcast(load_vocabulary(vocabulary_path))
+    kept = tuple(c for c in keep if c != id_col)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         codec = Codec(shared.value)
-        for batch in batches:
-            ids = [codec.encode(t) for t in batch[text_col]]
+
+        def work(texts: pd.Series) -> pd.DataFrame:
+            ids = [codec.encode(t) for t in texts]
             out = pd.DataFrame({
-                id_col: batch[id_col],
-                "n_tokens": [len(x) // 4 for x in ids],
+                "n_tokens": np.asarray([len(x) // 4 for x in ids], np.int64),
                 "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
                 "decoded_sha256": [hashlib.sha256(codec.decode(x)).hexdigest() for x in ids],
             })
             if with_ids:
                 out["token_ids"] = [np.frombuffer(x, "<u4").astype(np.int64) for x in ids]
-            for c in kept:
-                out[c] = batch[c]
-            yield out
+            return out
+
+        return work
 
-    return docs.select(*dict.fromkeys([id_col, text_col, *kept])).mapInPandas(run, schema)
+    fields = ["n_tokens", "ids_sha256", "decoded_sha256", *["token_ids"] * with_ids]
+    kinds = {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string", "token_ids": "array<bigint>"}
+    made = computed(docs.select(id_col, F.col(text_col).alias("_text"), F.struct(*(kept or [id_col])).alias("_kept")), "_text", (id_col, "_kept"), ", ".join(f"{f}:{kinds[f]}" for f in fields), make)
+    return made.select(id_col, *fields, *(F.col(f"_kept.{c}").alias(c) for c in kept))

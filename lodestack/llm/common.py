@@ -6,8 +6,10 @@ import re
 import tempfile
 import uuid
 import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (unset, as in tests) one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or (unset in a single local process, as in tests) one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='lodestack-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -37,6 +41,21 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def computed(df: DataFrame, text_col: str, keep: tuple[str, ...], schema: str, make: Callable[[], Callable[[pd.Series], pd.DataFrame]]) -> DataFrame:
+    """The ``keep`` columns and the fields of ``schema``, which the function made once a task by ``make`` computes from batches of texts.
+
+    Only the text passes through Python: ids and other columns stay in Spark, so a null beside a large id changes neither.
+    """
+
+    @F.pandas_udf(f"struct<{schema}>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        work = make()
+        for texts in batches:
+            yield work(texts)
+
+    return df.select(*keep, run(F.col(text_col)).alias("_computed")).select(*keep, "_computed.*")
+
+
 def crc_fold(column: Column, folds: int) -> Column:
     """crc32 of a value as text, modulo ``folds``; a null value counts as the empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % F.lit(folds)

@@ -1,8 +1,12 @@
 """Main text of web pages: flat text blocks, described by their and their neighbours' words and links, judged by a decision tree.
 
-A page is cut at block-level tags into flat blocks. Each block has its word count and link density, those of the block
-before and after, and what the enclosing elements announce themselves as (part of an article, or of a menu, footer,
-advert, form, comment list...). A decision tree grown from the small labelled table below keeps or drops a block.
+A page is cut at block-level tags into flat blocks. Each block has its word count and link density, those of the block before
+and after, and what encloses it: an article or main element (1), nothing of note (0), an element whose class or id merely
+mentions a part of a page that is no article (-1), or one that is such a part by its element, role, hiding or whole class name
+(-2). A decision tree grown from the small labelled table below keeps or drops a block.
+
+The scanner reads a page once from left to right; what it looks ahead for and does not find (a closing quote, a closing
+script) is not looked for again, so that a page takes time in proportion to its length whatever it holds.
 
 Results: null or empty html gives an empty text; pages cut off anywhere are read as far as they go; text inside
 script, style, template and other unrendered elements never counts; repeated rows give repeated results.
@@ -11,53 +15,68 @@ script, style, template and other unrendered elements never counts; repeated row
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
 from html import unescape
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import computed
 
 # Names of HTML elements by role.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-UNRENDERED = frozenset("script style noscript template head title textarea select svg math iframe object canvas audio video datalist".split())
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
+UNSEEN = frozenset("noscript template head select svg math object canvas audio video datalist".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BOILERPLATE = frozenset("nav header footer aside form menu dialog button fieldset".split())
+BOILERPLATE = frozenset("nav header footer aside form menu dialog button fieldset".split()) | UNSEEN
 ARTICLE = frozenset("article main".split())
-CONTAINERS = frozenset("div section td table ul ol dl figure blockquote center body details".split()) | BOILERPLATE | ARTICLE
-HINT = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|header|masthead|banner|footer|copyright|sidebar|aside|widget|ads?|advert|advertisement|adverts|sponsor|sponsored|promo|promotion|"
-    r"cookies?|consent|notice|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|popular|trending|tags|pagination|pager|comments?|commentlist|disqus|replies|respond|popup|modal|toolbar|skip)(?:$|[\s_-])", re.I)
-ROLE = re.compile(r"""\brole\s*=\s*["']?(navigation|banner|contentinfo|complementary|search|form|dialog|alert|menu|menubar)\b""", re.I)
-NAMED = re.compile(r"""\b(?:class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-#: hidden as an attribute of its own, with or without a value, once quoted values are taken out; quoted or bare style and aria-hidden.
-HIDDEN = re.compile(r"(?:^|[\s/])hidden(?=$|[\s=/])", re.I)
-UNSEEN = re.compile(r"""(?:^|[\s"'/])(?:aria-hidden\s*=\s*["']?true\b|style\s*=\s*(?:"[^"]*?display\s*:\s*none|'[^']*?display\s*:\s*none|[^\s"'>]*display:none))""", re.I)
-VALUE = re.compile(r"""=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)""")
-#: Class tokens that speak of what an element has, lacks or allows, not of what it is.
-ABOUT = re.compile(r"(?:^|[-_])(?:no|not|non|has|with|without)[-_]|[-_](?:open|closed|enabled|disabled)$", re.I)
-QUOTED = r"""(?:[^>"']|"[^"]*"|'[^']*')*"""
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)({QUOTED})>|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|</?[a-zA-Z][^<>]*\Z", re.S)
+ITEMS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"}, "option": {"option"}}
+CONTAINERS = frozenset("div section td th tr table ul ol dl li dt dd figure blockquote center body details summary".split()) | BOILERPLATE | ARTICLE
+ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
+# Words of class and id names. PARTS name a part of a page that is no article; HOLDERS say only that something is a box, a list, or where
+# it stands; OWN before "header" or "title" make it the article's own.
+PARTS = frozenset(
+    "nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead banner footer copyright sidebar aside widget widgets ad ads adv advert adverts advertisement advertisements advertising adslot adsense adbox "
+    "adunit dfp sponsor sponsored sponsors promo promos promotion promotions promoted cookie cookies gdpr ccpa consent notice notices newsletter newsletters subscribe subscription signup signin login share sharing sharebar social "
+    "related recommended recommendations popular trending tags tagcloud pagination pager comment comments commentlist disqus reply replies respond response responses reactions popup modal overlay toolbar skip skiplink skiplinks paywall".split())
+HOLDERS = frozenset("wrapper wrap container inner outer box area block list listing item items section group row col column bar left right top bottom site page global main primary secondary fixed sticky slot unit panel form button buttons icons icon links link posts articles stories reads news thread body text title heading count feed small large mobile desktop 1 2 3 4".split())
+OWN = frozenset("entry post article story content section chapter card".split())
+COMMENTS = frozenset("comment comments commentlist reply replies respond response responses".split())
+#: Names that speak of what an element has, lacks or allows, not of what it is.
+ABOUT = re.compile(r"(?:^|[-_])(?:no|not|non|has|with|without|is|show|hide|enable|disable)[-_]|[-_](?:open|opened|closed|enabled|disabled|visible|active)$", re.I)
+PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+NONE_SHOWN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\s*(?:!\s*important\s*)?(?:;|$)", re.I)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+BETWEEN = re.compile(r"[\s/]*+")
+ATTRIBUTE = re.compile(r"[^\s/>][^\s/>=]*+")
+EQUALS = re.compile(r"\s*+=\s*+")
+BARE = re.compile(r"[^\s>]*+")
 SPACE = re.compile(r"\s+")
+#: What an element announces; OUT is STRONG by element, role or hiding rather than by name, which not even an article inside of it can mend.
+WEAK, STRONG, OUT = -1, -2, -3
 
 #: The labelled table: words, link density, words before, link density before, words after, link density after,
-#: place (1 inside an article or main element, 0 unmarked, -1 inside an element that announces itself as boilerplate), keep.
+#: what encloses the block (1 an article, 0 nothing of note, -1 something that mentions boilerplate, -2 boilerplate), keep.
 LABELLED = (
-    (6, 1.0, 0, 0.0, 8, 0.0, -1, 0), (1, 1.0, 0, 0.0, 1, 1.0, -1, 0), (1, 1.0, 1, 1.0, 1, 1.0, -1, 0), (1, 1.0, 1, 1.0, 12, 0.0, -1, 0),
-    (9, 0.0, 1, 1.0, 7, 0.0, -1, 0), (14, 0.0, 6, 1.0, 60, 0.0, -1, 0), (12, 0.0, 80, 0.0, 0, 0.0, -1, 0), (30, 0.1, 40, 0.0, 0, 0.0, -1, 0),
-    (45, 0.0, 50, 0.0, 40, 0.0, -1, 0), (90, 0.0, 120, 0.0, 60, 0.0, -1, 0), (3, 0.0, 20, 0.0, 35, 0.0, -1, 0), (200, 0.0, 10, 0.0, 20, 0.0, -1, 0),
+    (6, 1.0, 0, 0.0, 8, 0.0, -2, 0), (1, 1.0, 0, 0.0, 1, 1.0, -2, 0), (1, 1.0, 1, 1.0, 1, 1.0, -2, 0), (1, 1.0, 1, 1.0, 12, 0.0, -2, 0),
+    (9, 0.0, 1, 1.0, 7, 0.0, -2, 0), (14, 0.0, 6, 1.0, 60, 0.0, -2, 0), (12, 0.0, 80, 0.0, 0, 0.0, -2, 0), (30, 0.1, 40, 0.0, 0, 0.0, -2, 0),
+    (45, 0.0, 50, 0.0, 40, 0.0, -2, 0), (90, 0.0, 120, 0.0, 60, 0.0, -2, 0), (3, 0.0, 20, 0.0, 35, 0.0, -2, 0), (200, 0.0, 10, 0.0, 20, 0.0, -2, 0),
     (7, 0.0, 12, 0.0, 45, 0.0, 1, 1), (1, 0.0, 60, 0.0, 80, 0.0, 1, 1), (2, 0.0, 3, 0.0, 12, 0.0, 1, 1), (55, 0.0, 8, 0.0, 30, 0.0, 1, 1),
     (120, 0.05, 60, 0.0, 90, 0.0, 1, 1), (4, 0.5, 80, 0.0, 20, 0.0, 1, 1), (10, 1.0, 60, 0.0, 40, 0.0, 1, 1), (300, 0.0, 0, 0.0, 0, 0.0, 1, 1), (1, 0.0, 0, 0.0, 0, 0.0, 1, 1),
     (2, 0.0, 50, 0.0, 3, 0.0, 1, 1), (70, 0.0, 9, 0.0, 1, 0.0, 1, 1), (4, 0.0, 4, 0.0, 2, 0.0, 1, 1), (20, 0.2, 30, 0.0, 4, 0.9, 1, 1), (40, 0.0, 70, 0.0, 5, 1.0, 1, 1), (3, 0.0, 2, 1.0, 2, 1.0, 1, 1), (12, 0.8, 30, 0.0, 2, 0.0, 1, 1),
     (60, 0.0, 6, 0.0, 70, 0.0, 0, 1), (80, 0.1, 60, 0.0, 9, 0.0, 0, 1), (25, 0.0, 50, 0.0, 40, 0.0, 0, 1), (35, 0.0, 3, 0.5, 60, 0.0, 0, 1), (18, 0.0, 40, 0.0, 30, 0.0, 0, 1),
-    (8, 0.0, 2, 1.0, 60, 0.0, 0, 1), (5, 0.0, 45, 0.0, 55, 0.0, 0, 1), (150, 0.0, 0, 0.0, 0, 0.0, 0, 1), (6, 0.0, 30, 0.0, 25, 0.0, 0, 1),
+    (8, 0.0, 2, 1.0, 60, 0.0, 0, 1), (5, 0.0, 45, 0.0, 55, 0.0, 0, 1), (150, 0.0, 0, 0.0, 0, 0.0, 0, 1), (6, 0.0, 30, 0.0, 25, 0.0, 0, 1), (20, 0.0, 0, 0.0, 0, 0.0, 0, 1), (22, 0.0, 3, 0.0, 0, 0.0, 0, 1), (4, 0.0, 0, 0.0, 30, 0.0, 0, 1), (5, 0.0, 0, 0.0, 90, 0.0, 0, 1),
     (3, 1.0, 2, 1.0, 4, 1.0, 0, 0), (2, 1.0, 0, 0.0, 3, 1.0, 0, 0), (20, 0.9, 10, 1.0, 15, 0.8, 0, 0), (5, 0.0, 2, 1.0, 3, 1.0, 0, 0),
     (4, 0.0, 3, 0.0, 2, 0.0, 0, 0), (9, 0.6, 40, 0.0, 3, 1.0, 0, 0), (12, 0.7, 60, 0.0, 0, 0.0, 0, 0), (3, 0.0, 0, 0.0, 4, 1.0, 0, 0), (40, 0.8, 60, 0.0, 50, 0.0, 0, 0),
+    (60, 0.0, 6, 0.0, 70, 0.0, -1, 1), (80, 0.1, 60, 0.0, 9, 0.0, -1, 1), (24, 0.0, 0, 0.0, 0, 0.0, -1, 1), (150, 0.0, 0, 0.0, 0, 0.0, -1, 1), (30, 0.1, 40, 0.0, 0, 0.0, -1, 1), (6, 0.0, 0, 0.0, 60, 0.0, -1, 1), (25, 0.0, 4, 0.0, 40, 0.0, -1, 1),
+    (5, 0.0, 0, 0.0, 3, 0.0, -1, 0), (9, 0.0, 1, 1.0, 7, 0.0, -1, 0), (12, 0.0, 80, 0.0, 0, 0.0, -1, 0), (3, 1.0, 2, 1.0, 4, 1.0, -1, 0), (40, 0.8, 60, 0.0, 50, 0.0, -1, 0), (12, 0.0, 30, 0.0, 5, 0.0, -1, 0), (6, 0.5, 20, 0.0, 8, 0.0, -1, 0),
 )
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "place")
 
 
-def grow(rows: np.ndarray, labels: np.ndarray, depth: int = 6) -> tuple:
+def grow(rows: np.ndarray, labels: np.ndarray, depth: int = 8) -> tuple:
     """CART by Gini impurity: (keep,) or (feature, threshold, tree at or below, tree above)."""
     share = labels.mean()
     if depth == 0 or share in (0.0, 1.0):
@@ -89,22 +108,79 @@ def trained_tree() -> tuple:
     return grow(data[:, :-1], data[:, -1])
 
 
-def hinted(name: str, attributes: str) -> bool:
-    """Whether a class or id announces boilerplate; those of body, main and article speak of the whole page."""
-    if name in ARTICLE or name == "body":
-        return False
-    return any(HINT.search(token) and not ABOUT.search(token) for m in NAMED.findall(attributes) for token in " ".join(m).split())
+def named(token: str) -> int:
+    """What one class or id says: STRONG where, boxes and positions aside, its last word names a part that is no article, WEAK where an earlier word does, else 0."""
+    if ABOUT.search(token):
+        return 0
+    pieces = [p.lower() for p in PIECES.findall(token)]
+    told = [p for p in pieces if p not in HOLDERS] or pieces
+    if not told or not any(p in PARTS for p in told):
+        return 0
+    if told[-1] == "header" and len(told) > 1 and told[-2] in OWN:
+        return 0
+    return STRONG if told[-1] in PARTS else WEAK
+
+
+def place_of(name: str, attributes: dict[str, str]) -> int:
+    """What an element announces: 1 an article, 0 nothing, WEAK, STRONG or OUT."""
+    if "hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true" or NONE_SHOWN.search(attributes.get("style", "")):
+        return OUT
+    if attributes.get("role", "").strip().lower() in ROLES or name in BOILERPLATE:
+        return OUT
+    if name == "body" or not attributes:
+        return int(name in ARTICLE)
+    tokens = f"{attributes.get('class', '')} {attributes.get('id', '')}".split()
+    if name in ARTICLE:  # its names speak of the whole page, but that a comment is one
+        return STRONG if any(t.lower().split("-")[0] in COMMENTS and not ABOUT.search(t) for t in tokens) else 1
+    return min(map(named, tokens), default=0)
 
 
-def marked_out(name: str, attributes: str) -> bool:
-    """Whether an element is boilerplate for sure: by its name or role, or because it is hidden."""
-    return bool(name in BOILERPLATE or UNSEEN.search(attributes) or HIDDEN.search(VALUE.sub("=v", attributes)) or ROLE.search(attributes))
+class Scanner:
+    """Reads tags from left to right; remembers what no longer occurs."""
 
+    def __init__(self, html: str):
+        self.html, self.gone = html, set()
 
-def place_of(name: str, attributes: str) -> int:
-    if marked_out(name, attributes) or hinted(name, attributes):
-        return -1
-    return int(name in ARTICLE)
+    def find(self, what: str, at: int) -> int:
+        if what in self.gone:
+            return -1
+        found = self.html.find(what, at)
+        if found < 0:
+            self.gone.add(what)
+        return found
+
+    def after_raw(self, name: str, at: int) -> int:
+        """The end of the closing tag of an element whose content is no markup, or of the page."""
+        m = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(self.html, at)
+        end = self.find(">", m.end()) if m else -1
+        return end + 1 if end >= 0 else len(self.html)
+
+    def tag(self, at: int) -> tuple[str, dict[str, str], int]:
+        """(name, attributes, position after the tag) of the tag whose name begins at ``at``; the position is beyond the page where the tag never ends."""
+        html, end = self.html, len(self.html)
+        m = NAME.match(html, at)
+        name, at, attributes = m[0].lower(), m.end(), {}
+        while True:
+            at = BETWEEN.match(html, at).end()
+            if at >= end:
+                return name, attributes, end + 1
+            if html[at] == ">":
+                if html[at - 1] == "/":
+                    attributes["/"] = ""
+                return name, attributes, at + 1
+            m = ATTRIBUTE.match(html, at)
+            key, at, value = m[0].lower(), m.end(), ""
+            if m := EQUALS.match(html, at):
+                at = m.end()
+                quote = html[at : at + 1]
+                close = self.find(quote, at + 1) if quote in ('"', "'") else -1
+                if close >= 0:
+                    value, at = html[at + 1 : close], close + 1
+                else:
+                    m = BARE.match(html, at)
+                    value, at = m[0].strip("\"'"), m.end()
+            if len(attributes) < 64:
+                attributes.setdefault(key, unescape(value) if "&" in value else value)
 
 
 def blocks(html: str) -> list[tuple[str, int, float, int]]:
@@ -112,71 +188,113 @@ def blocks(html: str) -> list[tuple[str, int, float, int]]:
     found: list[tuple[str, int, float, int]] = []
     parts: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, int, bool]] = []
-    links = 0
+    stack: list[tuple[str, int]] = []
+    opened: Counter[str] = Counter()
+    scanner, link, at, end = Scanner(html), False, 0, len(html)
 
     def flush() -> None:
-        text = SPACE.sub(" ", unescape("".join(parts))).strip()
+        text = SPACE.sub(" ", "".join(parts)).strip()
         if text:
             words = len(text.split(" "))
-            in_links = len(SPACE.sub(" ", unescape(" ".join(linked))).split())
-            found.append((text, words, min(1.0, in_links / words), stack[-1][1] if stack else 0))
+            found.append((text, words, min(1.0, len(" ".join(linked).split()) / words), max(STRONG, stack[-1][1]) if stack else 0))
         parts.clear()
         linked.clear()
 
-    at, end, skip = 0, len(html), None
-    for m in TOKEN.finditer(html):
-        if m.start() < at:
+    def put(run: str) -> None:
+        run = unescape(run) if "&" in run else run
+        parts.append(run)
+        if link:
+            linked.append(run)
+
+    def pop() -> str:
+        name = stack.pop()[0]
+        opened[name] -= 1
+        return name
+
+    def push(name: str, place: int) -> None:
+        stack.append((name, place))
+        opened[name] += 1
+
+    while at < end:
+        lt = scanner.find("<", at)
+        if lt < 0:
+            put(html[at:])
+            break
+        if lt > at:
+            put(html[at:lt])
+        mark = html[lt + 1 : lt + 2]
+        if mark in ("!", "?"):
+            comment = html.startswith("<!--", lt)
+            close = scanner.find("-->" if comment else ">", lt + 2)
+            at = end if close < 0 else close + (3 if comment else 1)
             continue
-        if m.start() > at:
-            run = html[at : m.start()]
-            parts.append(run)
-            if links:
-                linked.append(run)
-        at = m.end()
-        name = (m[2] or "").lower()
-        if not name:
+        closing = mark == "/"
+        begin = lt + 1 + closing
+        if not (html[begin : begin + 1].isascii() and html[begin : begin + 1].isalpha()):
+            if closing:
+                close = scanner.find(">", begin)
+                at = end if close < 0 else close + 1
+            else:
+                put("<")
+                at = lt + 1
             continue
-        closing, attributes = m[1], m[3] or ""
-        if name in UNRENDERED:
-            if name != "head" and not closing and not attributes.endswith("/"):
-                skip = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
-                at = skip.end() if skip else end
-            flush()
+        name, attributes, at = scanner.tag(begin)
+        if at > end:
+            break  # a tag that never ends holds no text
+        if name in RAW:
+            if not closing:
+                at = scanner.after_raw(name, at)
+            if name not in ("script", "style"):
+                flush()
             continue
         if name == "a":
-            links = max(0, links + (-1 if closing else 1))
+            link = not closing
         if name in INLINE:
             if name == "br":
-                parts.append(" ")
-            elif not closing and name not in VOID and place_of(name, attributes) < 0:
-                flush()
-                stack.append((name, -1, marked_out(name, attributes) or bool(stack) and stack[-1][2]))
-            elif closing and stack and stack[-1][0] == name:
-                flush()
-                stack.pop()
+                put(" ")
+            elif name in VOID:
+                continue
+            elif closing:
+                if opened[name] and stack[-1][0] in INLINE:
+                    flush()
+                    while stack and stack[-1][0] in INLINE and pop() != name:
+                        pass
+            elif (place := place_of(name, attributes) if attributes else 0) < 0 or opened[name]:
+                # A marked inline element, or one inside of it by the same name: its end must not be taken for the outer one's.
+                above = stack[-1][1] if stack else 0
+                if place < 0:
+                    flush()
+                push(name, min(place, above) if place < 0 else above)
             continue
         flush()
-        marked = place_of(name, attributes) if not closing else 0
         if closing:
-            if any(n == name for n, *_ in stack):
-                while stack.pop()[0] != name:
+            if opened[name]:
+                while pop() != name:
                     pass
-                links = 0 if name in CONTAINERS else links
-        elif (name in CONTAINERS or marked) and name not in VOID and not attributes.endswith("/"):
+                link = link and name not in CONTAINERS
+            continue
+        if name in VOID:
+            continue
+        while stack and (stack[-1][0] == "p" or stack[-1][0] in INLINE and opened["p"]):
+            pop()
+        ends = ITEMS.get(name)
+        if ends and stack and stack[-1][0] in ends:
+            while stack and stack[-1][0] in ends:
+                pop()
+        place = place_of(name, attributes)
+        if (name in CONTAINERS or place < 0) and not ("/" in attributes and name in UNSEEN):
             above = stack[-1][1] if stack else 0
-            out = bool(stack) and stack[-1][2]
-            # A heading group inside an article belongs to it. An article inside boilerplate does not leave it; inside what
-            # is merely hinted at by a class or id it is judged by its words and links.
-            if above < 0:
-                place = 0 if name in ARTICLE and not out and marked > 0 else above
+            if above == OUT:
+                inside = OUT
+            elif above == STRONG:  # an article inside of what is only named so is judged by its words and links
+                inside = 0 if place == 1 else min(place, STRONG)
+            elif above == WEAK:
+                inside = place if place == 1 or place < WEAK else WEAK
+            elif above == 1:  # a heading group inside an article belongs to it
+                inside = 1 if place >= 0 or name == "header" and min(map(named, attributes.get("class", "").split()), default=0) >= 0 else place
             else:
-                place = 1 if above > 0 and name == "header" and not HINT.search(attributes) else marked or above
-            stack.append((name, place, out or place < 0 and marked_out(name, attributes)))
-        elif name == "p" and stack and stack[-1][0] == "p":
-            stack.pop()
-    if at < end:
-        parts.append(html[at:])
+                inside = place
+            push(name, inside)
     flush()
     return found
 
@@ -194,12 +312,12 @@ def main_text(html: str | None, tree: tuple) -> str:
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """id, url, text, n_chars of every page. Narrow: no shuffle, memory is one Arrow batch."""
-    types = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
     tree = trained_tree()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = [main_text(h, tree) for h in batch[html_col]]
-            yield pd.DataFrame({id_col: batch[id_col], url_col: batch[url_col], "text": texts, "n_chars": [len(t) for t in texts]})
+    def work(htmls: pd.Series) -> pd.DataFrame:
+        texts = [main_text(h, tree) for h in htmls]
+        return pd.DataFrame({"text": texts, "n_chars": np.asarray([len(t) for t in texts], np.int64)})
 
-    return pages.select(id_col, url_col, html_col).mapInPandas(run, f"`{id_col}` {types[id_col]}, `{url_col}` {types[url_col]}, text string, n_chars bigint")
+    kept = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).alias("_html"))
+    made = computed(kept, "_html", ("_id", "_url"), "text:string, n_chars:bigint", lambda: work)
+    return made.select(F.col("_id").alias(id_col), F.col("_url").alias(url_col), "text", "n_chars")

@@ -3,11 +3,11 @@
 Letters are lower-cased, everything else becomes one space, and the 1- to 3-grams of the whole text are hashed into
 2 ** ``BITS`` features, weighted (1 + log tf) * idf and scaled to length one. Document frequencies come from all training
 documents. The classifier is fitted by follow-the-regularised-leader with elastic-net penalties on a bounded sample, at most
-``PER_LANGUAGE`` documents of a language (those with the smallest hash of their id), and a temperature, fitted on a fifth of
+``PER_LANGUAGE`` documents of a language (those with the smallest hash of their id, of equal hashes one), and a temperature, fitted on a fifth of
 that sample kept out of training, calibrates its probabilities.
 
 Results: a null text, or one without a letter, is "und" with score 0; so is every text where nothing could be learned.
-Repeated rows are predicted each, and training counts them each. Ties between languages go to the first by name.
+Repeated rows are predicted each; document frequencies count them each, the sample holds an id once. Ties between languages go to the first by name.
 """
 
 from __future__ import annotations
@@ -18,10 +18,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, mix64
+from .common import computed, crc_fold, mix64
 
 BITS = 15
 ORDERS = (1, 2, 3)
@@ -116,6 +116,30 @@ def _temperature(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(np.exp((a + b) / 2))
 
 
+def _thresholds(known: DataFrame, per_language: int) -> DataFrame | None:
+    """(lang, last): the hash up to which a language's documents are in the sample; None without languages.
+
+    Settled on hashes alone, so that no text is shuffled for it. A language with n rows has about ``4 * per_language`` of them
+    below the hash 4 * per_language / n of the way up, and only those are gathered, each hash once. Where ids repeat so often that they
+    hold fewer different hashes than wanted, the range is widened and searched again.
+    """
+    rows = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    if not rows:
+        return None
+    share, last = {lang: min(1.0, 4.0 * per_language / n) for lang, n in rows.items()}, {}
+    while share:
+        reach = known.sparkSession.createDataFrame([(lang, min((1 << 63) - 1, int(f * 2.0**64) - (1 << 63))) for lang, f in share.items()], "lang string, reach bigint")
+        below = known.select("lang", "h").join(F.broadcast(reach), "lang").where(F.col("h") <= F.col("reach")).select("lang", "h").distinct().toPandas()
+        for lang, f in [*share.items()]:
+            hashes = np.sort(below.loc[below["lang"] == lang, "h"].to_numpy(np.int64))
+            if len(hashes) >= per_language or f >= 1.0:
+                last[lang] = int(hashes[min(len(hashes), per_language) - 1])
+                del share[lang]
+            else:
+                share[lang] = min(1.0, 16.0 * f)
+    return known.sparkSession.createDataFrame([*last.items()], "lang string, last bigint")
+
+
 def fit(training: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = PER_LANGUAGE) -> Model:
     """Learn from the text and non-null language of every row of ``training``."""
     known = training.where(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"))
@@ -140,19 +164,18 @@ def fit(training: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
             df[feature] = n
     idf = np.log((1.0 + total) / (1.0 + df)) + 1.0
 
-    # Which rows are in the sample is settled on hashes alone, so that no text is shuffled for it; one threshold a language.
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    last = known.select("lang", "h").withColumn("_r", rank).where(F.col("_r") <= per_language).groupBy("lang").agg(F.max("h").alias("last"))
-    picked = known.join(F.broadcast(last), "lang").where(F.col("h") <= F.col("last"))
+    last = _thresholds(known, per_language)
+    picked = known.join(F.broadcast(last), "lang").where(F.col("h") <= F.col("last")) if last is not None else known.limit(0)
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             got = [(lang, h, *c) for lang, h, c in zip(batch["lang"], batch["h"], map(counts, batch["text"])) if c is not None]
-            yield pd.DataFrame({"lang": [g[0] for g in got], "h": [g[1] for g in got], "at": [g[2].astype(np.uint16).tobytes() for g in got], "tf": [g[3].astype(np.uint32).tobytes() for g in got]})
+            if got:
+                yield pd.DataFrame({"lang": [g[0] for g in got], "h": [g[1] for g in got], "at": [g[2].astype(np.uint16).tobytes() for g in got], "tf": [g[3].astype(np.uint32).tobytes() for g in got]})
 
     found = picked.select("lang", "h", "text").mapInPandas(features, "lang string, h bigint, at binary, tf binary")
-    ordered = F.row_number().over(Window.partitionBy("lang").orderBy("h", "at", "tf"))
-    sample = found.withColumn("_r", ordered).where(F.col("_r") <= per_language).drop("_r").toPandas().sort_values(["lang", "h", "at"], kind="stable")
+    one = found.groupBy("lang", "h").agg(F.min(F.struct("at", "tf")).alias("m")).select("lang", "h", "m.at", "m.tf")
+    sample = one.toPandas().sort_values(["lang", "h"], kind="stable")
     languages = sorted(set(sample["lang"]))
     if not languages:
         return Model([], idf, np.zeros((1 << BITS, 0)), np.zeros(0), 1.0)
@@ -172,14 +195,14 @@ def fit(training: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
 def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, lang_pred and score of every row. Narrow; the model (a fixed number of weights) is broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            got = [shared.value.predict(t) for t in batch[text_col]]
-            yield batch[list(keep)].assign(lang_pred=[g[0] for g in got], score=[g[1] for g in got])
+    def work(texts: pd.Series) -> pd.DataFrame:
+        got = [shared.value.predict(t) for t in texts]
+        return pd.DataFrame({"lang_pred": [g[0] for g in got], "score": np.asarray([g[1] for g in got], float)})
 
-    return docs.select(*dict.fromkeys([*keep, text_col])).mapInPandas(run, ", ".join([*(f"`{c}` {types[c]}" for c in keep), "lang_pred string", "score double"]))
+    kept = docs.select(F.struct(*keep).alias("_kept"), F.col(text_col).alias("_text"))
+    made = computed(kept, "_text", ("_kept",), "lang_pred:string, score:double", lambda: work)
+    return made.select(*(F.col(f"_kept.{c}").alias(c) for c in keep), "lang_pred", "score")
 
 
 def confident(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:

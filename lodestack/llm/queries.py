@@ -23,9 +23,10 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents with their label columns, for the labels with the smallest hashes, as many as the classifier uses: few enough to broadcast."""
-    categories = labels.select(F.col("doc_id").alias("_labelled"), *(F.expr(e).alias(c) for c, e in CATEGORIES.items()))
-    used = categories.orderBy(F.xxhash64("_labelled"), *CATEGORIES).limit(toxicity.LABELLED_UP_TO)
+    """Documents with their label columns, for the fully labelled ids that have a document, those with the smallest hashes, as many as the classifier uses: few enough to broadcast."""
+    categories = labels.select(F.col("doc_id").alias("_labelled"), *(F.expr(e).alias(c) for c, e in CATEGORIES.items())).dropna()
+    there = categories.join(docs.select("doc_id"), F.col("_labelled") == F.col("doc_id"), "left_semi")
+    used = there.orderBy(F.xxhash64("_labelled"), *CATEGORIES).limit(toxicity.LABELLED_UP_TO)
     return docs.select("doc_id", "text").join(F.broadcast(used), F.col("doc_id") == F.col("_labelled")).drop("_labelled")
 
 

@@ -18,15 +18,13 @@ returned each. Empty tables give empty results.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower_words, cut
+from .common import ascii_lower_words, computed, cut
 from .components import components
 
 WORDS = 3
@@ -62,14 +60,11 @@ def fingerprint(text: str | None, width: int = WORDS, seed: int = SEED) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp bigint) of every document. Narrow."""
-    kind = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            fps = np.fromiter(map(fingerprint, batch[text_col]), np.uint64, len(batch)).view(np.int64)
-            yield pd.DataFrame({id_col: batch[id_col], "fp": fps})
+    def work(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"fp": np.fromiter(map(fingerprint, texts), np.uint64, len(texts)).view(np.int64)})
 
-    return docs.select(id_col, text_col).mapInPandas(run, f"`{id_col}` {kind}, fp bigint")
+    return computed(docs, text_col, (id_col,), "fp:bigint", lambda: work)
 
 
 def _variants(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:

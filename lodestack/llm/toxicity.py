@@ -24,6 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import computed
+
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
 BITS = 20
@@ -174,16 +176,15 @@ def fit(labelled: DataFrame, categories: tuple[str, ...], id_col: str = "doc_id"
 def predict(docs: DataFrame, chain: Chain, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns and p_<category> of every row. Narrow."""
     shared = docs.sparkSession.sparkContext.broadcast(chain)
-    types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     names = [f"p_{link.name}" for link in chain.links]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         model = Chain(shared.value.links)
-        for batch in batches:
-            got = np.asarray([model.predict(t) for t in batch[text_col]]).reshape(-1, len(names))
-            yield batch[list(keep)].assign(**{name: got[:, i] for i, name in enumerate(names)})
+        return lambda texts: pd.DataFrame(np.asarray([model.predict(t) for t in texts], float).reshape(-1, len(names)), columns=names)
 
-    return docs.select(*dict.fromkeys([*keep, text_col])).mapInPandas(run, ", ".join([*(f"`{c}` {types[c]}" for c in keep), *(f"{n} double" for n in names)]))
+    kept = docs.select(F.struct(*keep).alias("_kept"), F.col(text_col).alias("_text"))
+    made = computed(kept, "_text", ("_kept",), ", ".join(f"`{n}`:double" for n in names), make)
+    return made.select(*(F.col(f"_kept.{c}").alias(c) for c in keep), *names)
 
 
 def without(docs: DataFrame, chain: Chain, category: str, threshold: float, text_col: str = "text") -> DataFrame:

@@ -152,3 +152,30 @@ def test_vectors_that_take_no_part_ties_and_repeats(spark):
     assert ann.search(df.where("vec_id in (0, 200)"), F.col("vec_id") % 100 == 0).count() == 2
     assert ann.search(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
     assert ann.search(df.where("vec_id = 101"), F.col("vec_id") % 100 == 1).count() == 0
+
+
+@pytest.mark.parametrize("spread", ["even", "clustered"])
+def test_shortlists_where_codes_select(spark, spread):
+    """20,000 vectors: recall of 0.9 or more with at most a twentieth of them measured exactly."""
+    rng = np.random.default_rng(4)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = rng.normal(size=(20_000, 32)) if spread == "even" else unit(rng.normal(size=(150, 32)))[rng.integers(0, 150, 20_000)] + 0.08 * rng.normal(size=(20_000, 32))
+    x = unit(x).astype(np.float32).astype(float)
+    df = spark.createDataFrame([*enumerate(x.tolist())], "vec_id bigint, embedding array<double>")
+    got = ann.search(df, F.col("vec_id") % 100 == 0).toPandas()
+    hits = 0
+    for q, part in got.groupby("query_id"):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len({*np.argsort(d)[:10].tolist()} & {*part["vec_id"]})
+    assert hits / (200 * 10) >= 0.9 and got.groupby("query_id").size().eq(10).all()
+    assert got["n_measured"].max() <= 0.05 * len(x)
+
+
+def test_cells_and_queries_dealt_into_blocks_find_the_same(spark, sf, monkeypatch):
+    table = spark.read.parquet(f"{sf}/embeddings.parquet")
+    find = lambda: {(r.query_id, r.rank, r.vec_id, r.n_measured) for r in ann.search(table, F.col("vec_id") % 20 == 0).collect()}
+    want = find()
+    monkeypatch.setattr(ann, "BLOCK", 7)
+    monkeypatch.setattr(ann, "QUERIES", 5)
+    assert find() == want
