@@ -1,27 +1,36 @@
 """N-gram language model in Elias-Fano tries, fitted and queried shard by shard.
 
-The model is a bigram mixture with a Dirichlet prior: p(w | v) = (c(v w) + PRIOR * p(w)) / (c(v) + PRIOR) with
-p(w) = (c(w) + 1) / (N + V + 1). In logarithms this is a sum of values that sit on trie nodes:
-log p(w), plus log(PRIOR / (c(v) + PRIOR)) on the context's node, plus, where v w was seen, log(1 + c(v w) / (PRIOR p(w))).
-So a text's score is a sum of independent look-ups, and no look-up waits for another.
+The model is a trigram mixture whose parts weigh as much as their evidence:
 
-Tries are suffix tries: level one holds words, level two the words seen before them. A shard holds the words of one range
-of hashes; words too frequent for that are dealt over all shards by the word before them. Each level is a row of bytes in a
-table: node keys and child pointers as monotone Elias-Fano sequences (keys of level two become monotone by adding the
-index of their parent, and are searched as successors within the parent's range), values as 16-bit steps of one grid. Tasks
-write a level into an unlinked file, map it into memory and read only what queries touch.
+    p(w | u v) = (p(w) + b(v) c(v w) + g(v) c(u v w)) / (1 + b(v) c(v) + g(v) c(u v))
 
-Counting and querying shuffle packed arrays (one blob for each batch of texts and shard), pre-aggregated in the batch, and
-answers come back as one packed row for each blob. A model can be kept (``fit``, ``score``) or built where it is asked
-(``score_corpus``), which shuffles every token once. Words are 64-bit hashes, the words before them 40 bits more of the pair.
+with p(w) = (c(w) - D) / N for known words and D V / N for an unknown one (absolute discounting, D from the numbers of words met
+once and twice). With prior sizes A(v) = PRIOR * k(v) ** GROWTH and ``PRIOR_3`` it is b = 1 / A and g = (k + A) / (A * PRIOR_3), where k(v) is the
+count of v to the nearest power of two, from a table of 2 ** ``CELLS`` cells that all words share: any k(v) gives probabilities that add up to one. In
+logarithms numerator and denominator part: the former sits on the longest node w, v w or u v w, the latter on the longest
+node of the context, v or u v. Both are met on the way from a word back through the two before it, so a text's score is a sum of
+independent look-ups, one path for each token.
+
+Tries are suffix tries of three levels: words, the words before them, and those before these. A shard holds the words of one
+range of hashes; words too frequent for that (``HEAVY`` of them at most) are dealt over all shards by the word before. Each level is a row of bytes:
+node keys, child pointers and cumulative counts as monotone Elias-Fano sequences, probabilities as 16-bit steps of one grid. A
+look-up goes from level to level: the pointers of its node bound the range of its children, and the successor of the next
+word is searched for inside of that range only, by keys relative to it. Tasks map a level into memory (an anonymous map, no
+file) and decode only the blocks that such ranges touch.
+
+Counting and querying shuffle packed arrays (one blob for each batch of texts and shard), pre-aggregated in the batch: a path
+that a text holds often is sent once. Answers come back as one packed row for each blob. A model can be kept (``fit`` writes
+the tries into the shared folder, ``score`` uses them) or built where it is asked (``score_corpus``), which shuffles every path once.
+Words are 64-bit hashes, the words before them 40 bits.
 
 Results: null and empty texts are one end token; repeated rows are learned from and scored each; without training texts
-every word is unknown (N = V = 0) and scores are those of the prior. Extra columns are ignored.
+every word is unknown (N = V = 0) and has probability 1. Extra columns are ignored. Ids travel as text and come back as they
+were, so a null changes no other id.
 """
 
 from __future__ import annotations
 
-import tempfile
+import mmap
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,21 +43,34 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower_words, crc_fold, cut, mix64
 
-PRIOR = 30.0
+PRIOR, GROWTH, PRIOR_3 = 10.0, 0.7, 8.0
 #: Tokens gathered before a batch is packed, training tokens in a shard, and the fewest shards.
 BATCH_TOKENS = 1_000_000
 SHARD_TOKENS = 3_000_000
 LEAST_SHARDS = 16
-#: Pairs of words that a task looks up together; fewer than 2 ** 24, as their words are numbered in the bits above _V_BITS.
-ANSWER_PAIRS = 4_000_000
-#: Quantised values are multiples of STEP from 0 (log10).
-STEP = 1.0 / 3072
+#: Most words that are dealt over all shards.
+HEAVY = 1 << 16
+CELLS = 20
+#: Paths that a task looks up together.
+ANSWER_PATHS = 4_000_000
+#: Bytes of packed paths that one task of ``score`` answers.
+ASKED_BYTES = 256_000_000
+#: Quantised values are multiples of STEP (log10) in 16 bits.
+STEP = 1.0 / 1536
 END, BEGIN = np.uint64(1), np.uint64(2)
 _V_BITS = 40
 _V_MASK = np.uint64((1 << _V_BITS) - 1)
+_CELL = np.uint64((1 << CELLS) - 1)
+_HALF = np.uint64(32)
+_LOW = np.uint64(0xFFFFFFFF)
 REMEMBER = 400_000
 
 
+def before(word: np.ndarray) -> np.ndarray:
+    """The 40 bits under which a word stands as context."""
+    return mix64(word) & _V_MASK
+
+
 class WordHash(dict):
     """Word to 64-bit hash, remembered; 0 to 2 are kept for marks."""
 
@@ -198,27 +220,33 @@ class EliasFano:
         part[over] |= self.lows[w[over] + 1] << (np.uint64(64) - off[over])
         return ((high << np.uint64(self.low)) | (part & np.uint64((1 << self.low) - 1))) + self.first
 
-    def successor(self, begin: np.ndarray, end: np.ndarray, value: np.ndarray) -> np.ndarray:
-        """First position in [begin, end) whose element is at least the value, else end, for queries in ascending order.
+    def successor(self, begin: np.ndarray, end: np.ndarray, key: np.ndarray, base: np.ndarray) -> np.ndarray:
+        """First position in [begin, end) whose value less ``base`` is at least the key, else end.
 
-        Blocks that hold a query's range are decoded once for all queries that fall into them; the others are skipped.
+        Only blocks that a range touches are decoded; each query then halves its own range.
         """
-        out, done, at = end.astype(np.int64).copy(), 0, 0
-        while done < len(value):
-            at = max(at, int(begin[done]) // self.BLOCK * self.BLOCK)
-            if at >= self.n:
-                break
-            values = self.decode(at, min(at + self.BLOCK, self.n))
-            upto = int(np.searchsorted(value, values[-1], side="right"))
-            if upto > done:
-                out[done:upto] = at + np.searchsorted(values, value[done:upto])
-                done = upto
-            at += self.BLOCK
-        return np.minimum(np.maximum(out, begin), end)
+        low, high = begin.astype(np.int64), end.astype(np.int64)
+        live = np.flatnonzero(low < high)
+        if not live.size:
+            return low
+        touched = np.zeros(self.n // self.BLOCK + 2, np.int64)
+        np.add.at(touched, low[live] // self.BLOCK, 1)
+        np.add.at(touched, (high[live] - 1) // self.BLOCK + 1, -1)
+        blocks = np.flatnonzero(np.cumsum(touched)[:-1] > 0)
+        values = np.concatenate([self.decode(b * self.BLOCK, min((b + 1) * self.BLOCK, self.n)) for b in blocks.tolist()])
+        moved = np.zeros(len(touched), np.int64)
+        moved[blocks] = (blocks - np.arange(len(blocks))) * self.BLOCK
+        while live.size:
+            middle = (low[live] + high[live]) >> 1
+            less = values[middle - moved[middle // self.BLOCK]] - base[live] < key[live]
+            low[live] = np.where(less, middle + 1, low[live])
+            high[live] = np.where(less, high[live], middle)
+            live = live[low[live] < high[live]]
+        return low
 
 
 def _steps(x: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(x / STEP), 0, 65535).astype(np.uint16)
+    return np.clip(np.rint(x / STEP), -32767, 32767).astype(np.int16)
 
 
 @dataclass
@@ -227,68 +255,113 @@ class Totals:
     distinct: int  # V
     documents: int
     shards: int
+    discount: float  # D
     heavy: dict[int, int]  # counts of the words dealt over all shards
+    classes: np.ndarray  # for each cell of contexts, the logarithm to base two of the largest count, rounded
 
     def unigram(self, count: np.ndarray) -> np.ndarray:
+        """The contract's base probability."""
         return (count + 1.0) / (self.tokens + self.distinct + 1.0)
 
+    def smoothed(self, count: np.ndarray) -> np.ndarray:
+        """p(w) of known words, and of an unknown one where the count is zero."""
+        if not self.tokens:
+            return np.ones(np.shape(count))
+        return np.where(count > 0, count - self.discount, self.discount * self.distinct) / self.tokens
+
+    def weights(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(b, g) of the 40 bits of contexts."""
+        k = 2.0 ** self.classes[(context & _CELL).astype(np.int64)]
+        a = PRIOR * k**GROWTH
+        return 1.0 / a, (k + a) / (a * PRIOR_3)
+
+
+def _starts(*sorted_columns: np.ndarray) -> np.ndarray:
+    """Positions where a row of sorted columns differs from the one before."""
+    if not len(sorted_columns[0]):
+        return np.zeros(0, np.int64)
+    new = np.zeros(len(sorted_columns[0]), bool)
+    new[0] = True
+    for c in sorted_columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def _lengths(starts: np.ndarray, n: int) -> np.ndarray:
+    return np.diff(np.append(starts, n))
+
 
 class Trie:
     """A shard's levels, over one buffer of 64-bit words."""
 
+    SEQUENCES = 6  # keys, pointers, keys, pointers, keys, counts
+    HEAD = 5 * SEQUENCES + 2
+
     def __init__(self, words: np.ndarray):
-        self.sizes = words[:24].astype(np.int64)
-        at, parts = 24, []
-        for k in range(3):
-            n, low, n_low, n_high, _ = self.sizes[5 * k : 5 * k + 5].tolist()
+        at, parts = self.HEAD, []
+        for k in range(self.SEQUENCES):
+            n, low, n_low, n_high = words[5 * k : 5 * k + 4].astype(np.int64).tolist()
             size = n_low + n_high + (n + EliasFano.RATE - 1) // EliasFano.RATE
             parts.append(EliasFano(words[at : at + size], n, low, n_low, n_high, int(words[5 * k + 4])))
             at += size
-        self.keys, self.pointers, self.children = parts
-        n1, n2 = self.keys.n, self.children.n
-        self.counts = words[at : at + n1]
-        values = np.asarray(words[at + n1 :]).view(np.uint16)
-        self.unigram, self.backoff, self.extra = values[:n1], values[n1 : 2 * n1], values[2 * n1 : 2 * n1 + n2]
+        self.keys, self.pointers, self.seconds, self.more, self.thirds, self.sums = parts
+        self.cut = words[self.HEAD - 2 : self.HEAD]  # bits of context keys that do not fit beside the parent's number
+        values, self.values = words[at:].view(np.int16), []
+        at = 0
+        for n in (self.keys.n, self.keys.n, self.seconds.n, self.seconds.n, self.thirds.n):
+            self.values.append(values[at : at + n])
+            at += n
 
     @staticmethod
-    def build(w: np.ndarray, v: np.ndarray, count: np.ndarray, totals: Totals) -> bytes:
-        """Of distinct pairs sorted by w then v."""
-        heads = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]])) if len(w) else np.zeros(0, np.int64)
-        keys = w[heads]
-        sums = np.add.reduceat(count, heads) if len(heads) else np.zeros(0, np.int64)
-        heavy = totals.heavy
-        if heavy:
-            sums = np.asarray([heavy.get(k, s) for k, s in zip(keys.tolist(), sums.tolist())], np.int64)
-        owner = np.repeat(np.arange(len(keys)), np.diff(np.append(heads, len(w))))
-        p = totals.unigram(sums)
-        extra = np.log10(1.0 + count / (PRIOR * p[owner]))
-        levels = [EliasFano.build(keys), EliasFano.build(np.append(heads, len(w)).astype(np.uint64)), EliasFano.build(owner.astype(np.uint64) * np.uint64(1 << _V_BITS) + v)]
-        values = np.concatenate([_steps(-np.log10(p)), _steps(np.log10((sums + PRIOR) / PRIOR)), _steps(extra)])
-        values = np.concatenate([values, np.zeros(-len(values) % 4, np.uint16)])
-        head = np.zeros(24, np.uint64)
-        for k, (_, parameters) in enumerate(levels):
-            head[5 * k : 5 * k + 5] = np.asarray(parameters, np.uint64)
-        return np.concatenate([head, *(words for words, _ in levels), sums.astype(np.uint64), values.view(np.uint64)]).tobytes()
+    def build(w: np.ndarray, v: np.ndarray, u: np.ndarray, count: np.ndarray, totals: Totals) -> bytes:
+        """Of distinct paths, sorted by w, then v, then u."""
+        at2 = _starts(w, v)
+        w2, v2, c2 = w[at2], v[at2], np.add.reduceat(count, at2) if len(at2) else count
+        at1 = _starts(w2)
+        keys, c1 = w2[at1], np.add.reduceat(c2, at1) if len(at1) else c2
+        if totals.heavy:
+            c1 = np.asarray([totals.heavy.get(k, c) for k, c in zip(keys.tolist(), c1.tolist())], np.int64)
+        owner2, owner3 = np.repeat(np.arange(len(at1)), _lengths(at1, len(w2))), np.repeat(np.arange(len(at2)), _lengths(at2, len(w)))
+        p, (b_own, g_own), (b, g) = totals.smoothed(c1), totals.weights(before(keys)), totals.weights(v2)
+        second = p[owner2] + b * c2
+        numbers = [
+            np.log10(p), np.log10(1.0 + b_own * c1), np.log10(second),
+            np.log10(1.0 + (b_own * c1)[owner2] + g_own[owner2] * c2), np.log10(second[owner3] + g[owner3] * count),
+        ]
+        shifts = [max(0, len(at1).bit_length() + _V_BITS - 64), max(0, len(at2).bit_length() + _V_BITS - 64)]
+        under = lambda owner, key, shift: (owner.astype(np.uint64) << np.uint64(_V_BITS - shift)) + (key >> np.uint64(shift))
+        levels = [EliasFano.build(np.asarray(x, np.uint64)) for x in (
+            keys, np.append(at1, len(w2)), under(owner2, v2, shifts[0]), np.append(at2, len(w)), under(owner3, u, shifts[1]), np.concatenate([[0], np.cumsum(c1)]))]
+        values = np.concatenate([_steps(x) for x in numbers])
+        values = np.concatenate([values, np.zeros(-len(values) % 4, np.int16)])
+        head = np.asarray([x for _, parameters in levels for x in parameters] + shifts, np.uint64)
+        return np.concatenate([head, *(words for words, _ in levels), values.view(np.uint64)]).tobytes()
 
     def look(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(node, known) of ascending words."""
+        """(node, known) of words."""
         zero = np.zeros(len(w), np.int64)
-        at = self.keys.successor(zero, zero + self.keys.n, w)
+        at = self.keys.successor(zero, zero + self.keys.n, w, zero.astype(np.uint64))
         known = at < self.keys.n
         known[known] = self.keys.access(at[known]) == w[known]
         return np.where(known, at, 0), known
 
-    def look_before(self, node: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place, known) of the words before known nodes, relative to their context; ascending by node, then word before."""
-        begin, end = self.pointers.access(node).astype(np.int64), self.pointers.access(node + 1).astype(np.int64)
-        wanted = node.astype(np.uint64) * np.uint64(1 << _V_BITS) + v
-        at = self.children.successor(begin, end, wanted)
+    def look_below(self, level: int, node: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(node, known) of context words among the children of nodes of a level (1 or 2)."""
+        pointers, children, shift = (self.pointers, self.seconds, self.cut[0]) if level == 1 else (self.more, self.thirds, self.cut[1])
+        if not len(node):
+            return node, np.zeros(0, bool)
+        begin, end = pointers.access(node).astype(np.int64), pointers.access(node + 1).astype(np.int64)
+        base, key = node.astype(np.uint64) << (np.uint64(_V_BITS) - shift), context >> shift
+        at = children.successor(begin, end, key, base)
         known = at < end
-        known[known] = self.children.access(at[known]) == wanted[known]
+        known[known] = children.access(at[known]) - base[known] == key[known]
         return np.where(known, at, 0), known
 
+    def counts(self, node: np.ndarray) -> np.ndarray:
+        return (self.sums.access(node + 1) - self.sums.access(node)).astype(np.int64) if len(node) else np.zeros(0, np.int64)
 
-# ---- fitting -------------------------------------------------------------------------------------------------------
+
+# ---- counting ------------------------------------------------------------------------------------------------------
 
 
 def _batches(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[tuple[list[list], list[np.ndarray]]]:
@@ -306,198 +379,222 @@ def _batches(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[tu
         yield rows, tokens
 
 
-def _pairs(tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(word, 40 bits of the word before) at every position of texts laid end to end."""
-    w = np.concatenate(tokens)
-    v = np.empty_like(w)
-    v[1:] = w[:-1]
-    v[np.cumsum([0, *map(len, tokens[:-1])])] = BEGIN
-    return w, mix64(v) & _V_MASK
-
-
-def _shard_of(w: np.ndarray, v: np.ndarray, totals: Totals) -> np.ndarray:
-    shard = ((w >> np.uint64(32)) * np.uint64(totals.shards) >> np.uint64(32)).astype(np.int64)
-    if totals.heavy:
-        heavy = np.sort(np.fromiter(totals.heavy, np.uint64, len(totals.heavy)))
-        is_heavy = heavy[np.minimum(np.searchsorted(heavy, w), len(heavy) - 1)] == w
-        shard[is_heavy] = (v[is_heavy] % np.uint64(totals.shards)).astype(np.int64)
-    return shard
-
-
-def _groups(sorted_keys: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])) if len(sorted_keys) else np.zeros(0, np.int64)
-
-
-def _count_words(texts: DataFrame, buckets: int = 256) -> DataFrame:
-    """(word, n) of every distinct token: counted in batches, merged by ranges of hashes."""
+def _totals(texts: DataFrame) -> Totals:
+    """Counts of all training texts. To the driver come one row of sums, at most ``HEAVY`` words and one number for each of 2 ** ``CELLS`` cells."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _, tokens in _batches(batches, []):
             w, n = np.unique(np.concatenate(tokens), return_counts=True)
-            bucket = (w >> np.uint64(56)).astype(int)
-            starts = _groups(bucket)
-            yield pd.DataFrame({"bucket": bucket[starts], "blob": [_pack(w[a:b], _least(n[a:b])) for a, b in zip(starts, np.append(starts[1:], len(w)))]})
+            yield pd.DataFrame({"word": w.view(np.int64), "cell": (before(w) & _CELL).astype(np.int32), "n": n})
 
-    def merge(part: pd.DataFrame) -> pd.DataFrame:
-        got = [_unpack(b) for b in part["blob"]]
-        w, n = np.concatenate([g[0] for g in got]), np.concatenate([g[1].astype(np.int64) for g in got])
-        order = np.argsort(w, kind="stable")
-        w, n = w[order], n[order]
-        at = _groups(w)
-        total = np.add.reduceat(n, at)
-        return pd.DataFrame({"word": w[at].view(np.int64), "n": total})
+    words = cut(texts.mapInPandas(run, "word bigint, cell int, n bigint").groupBy("word", "cell").agg(F.sum("n").alias("n")), "words")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    n, v, ends, once, twice = words.agg(total("n"), F.count(F.lit(1)), total(F.when(F.col("word") == int(END), F.col("n"))), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
+    shards = max(LEAST_SHARDS, -(-n // SHARD_TOKENS))
+    frequent = words.where(F.col("n") * min(8 * shards, HEAVY) > n).select("word", "n").toPandas()
+    cells = words.groupBy("cell").agg(F.max("n").alias("n")).toPandas()
+    classes = np.zeros(1 << CELLS, np.uint8)
+    classes[cells["cell"].to_numpy(np.int64)] = np.rint(np.log2(cells["n"].to_numpy(float))).astype(np.uint8)
+    begin = int(before(np.asarray([BEGIN]))[0] & _CELL)
+    classes[begin] = max(int(classes[begin]), round(np.log2(max(1, ends))))
+    discount = min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
+    return Totals(n, v, ends, shards, discount, dict(zip(frequent["word"].to_numpy(np.int64).view(np.uint64).tolist(), frequent["n"].tolist())), classes)
 
-    blobs = texts.mapInPandas(run, "bucket int, blob binary")
-    return blobs.groupBy("bucket").applyInPandas(merge, "word bigint, n bigint")
 
+# ---- paths of texts, packed for shards -----------------------------------------------------------------------------
 
-def _totals(texts: DataFrame) -> Totals:
-    """Counts of the training texts, and the words with more than an eighth of a shard's share: at most 8 * shards of them."""
-    words = cut(_count_words(texts), "words")
-    n, v, ends = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("word") == 1, F.col("n"))), F.lit(0))).first()
-    shards = max(LEAST_SHARDS, -(-n // SHARD_TOKENS))
-    frequent = words.where(F.col("n") * 8 * shards > n).toPandas()
-    return Totals(n, v, ends, shards, dict(zip(frequent["word"].to_numpy(np.int64).view(np.uint64).tolist(), frequent["n"].tolist())))
 
+def _paths(tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct words, number of the word, of the one before plus one, of the one before that plus one) at every position of texts laid end to end; 0 is their begin."""
+    words, w = np.unique(np.concatenate(tokens), return_inverse=True)
+    first = np.cumsum([0, *map(len, tokens[:-1])])
+    v = np.empty_like(w)
+    v[1:] = w[:-1] + 1
+    v[first] = 0
+    u = np.empty_like(w)
+    u[1:] = v[:-1]
+    u[first] = 0
+    return words, w, v, u
+
+
+def _shard_of(w: np.ndarray, v: np.ndarray, totals: Totals, heavy: np.ndarray) -> np.ndarray:
+    """The shard of words after contexts; ``heavy`` holds the sorted words that are dealt by context."""
+    shard = ((w >> _HALF) * np.uint64(totals.shards) >> _HALF).astype(np.int64)
+    if len(heavy):
+        dealt = heavy[np.minimum(np.searchsorted(heavy, w), len(heavy) - 1)] == w
+        shard[dealt] = (v[dealt] % np.uint64(totals.shards)).astype(np.int64)
+    return shard
 
-def _merged(counted: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counts of pairs (w, v, n) added up, sorted by w then v."""
-    w, v, n = (np.concatenate([c[i] for c in counted]) for i in range(3))
-    order = np.lexsort((v, w))
-    w, v, n = w[order], v[order], n[order]
-    at = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (v[1:] != v[:-1])])) if len(w) else np.zeros(0, np.int64)
-    return w[at], v[at], np.add.reduceat(n, at) if len(at) else n
 
+def _ask(docs: DataFrame, shared) -> DataFrame:
+    """(shard, batch, blob, ids): what every batch of (id, learn, text) asks of a shard.
 
-def fit(training: DataFrame, text_col: str = "text") -> tuple[DataFrame, Totals]:
-    """A model to keep: (table of shard and trie, totals), from all rows of ``training``."""
-    texts = training.select(F.col(text_col).alias("text"))
-    totals = _totals(texts)
-    shared = training.sparkSession.sparkContext.broadcast(totals)
+    A blob has the paths of the batch that fall to the shard: words with the number of their paths, the contexts that
+    occur, the two contexts of each path, and the texts that hold it, how often, and whether they are learned from. Where the
+    end token of a text falls to the shard goes, once, the text's id.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, tokens in _batches(batches, []):
-            w, v, n = _distinct_pairs(*_pairs(tokens))
-            shard = _shard_of(w, v, shared.value)
-            order = np.argsort(shard, kind="stable")
-            starts = _groups(shard[order])
-            out = []
-            for a, b in zip(starts, np.append(starts[1:], len(w))):
-                at = order[a:b]
-                heads = _groups(w[at])
-                out.append((int(shard[at[0]]), _pack(w[at][heads], _least(np.diff(np.append(heads, len(at)))), *_v40(v[at]), _least(n[at]))))
-            yield pd.DataFrame(out, columns=["shard", "blob"])
+        from pyspark import TaskContext
 
-    def build(part: pd.DataFrame) -> pd.DataFrame:
-        got = [_unpack(b) for b in part["blob"]]
-        counted = [(np.repeat(g[0], g[1].astype(np.int64)), _from_v40(g[2], g[3]), g[4].astype(np.int64)) for g in got]
-        return pd.DataFrame({"shard": [int(part["shard"].iloc[0])], "trie": [Trie.build(*_merged(counted), shared.value)]})
+        task, totals = TaskContext.get().partitionId(), shared.value
+        heavy = np.sort(np.fromiter(totals.heavy, np.uint64, len(totals.heavy)))
+        for serial, (rows, tokens) in enumerate(_batches(batches, ["id", "learn"])):
+            learn = np.asarray([bool(r[1]) for r in rows])
+            words, w, v, u = _paths(tokens)
+            contexts = np.concatenate([before(np.asarray([BEGIN])), before(words)])
+            text = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
+            bits = np.uint64(len(contexts).bit_length())
+            pair = (w.astype(np.uint64) << bits) | v.astype(np.uint64)
+            if 3 * int(bits) > 64:
+                pair = np.unique(pair, return_inverse=True)[1].astype(np.uint64)
+            path = (pair << bits) | u.astype(np.uint64)
+            order = np.argsort(path, kind="stable")
+            path, text = path[order], text[order]
+            entry = _starts(path, text)
+            of_path = _starts(path[entry])  # in entries
+            at = order[entry[of_path]]
+            texts, times, held = text[entry], _lengths(entry, len(path)), _lengths(of_path, len(entry))
+            w, v, u = w[at], v[at], u[at]
+            shard = _shard_of(words[w], contexts[v], totals, heavy)
+            sorted_paths, sorted_entries = np.argsort(shard, kind="stable"), np.argsort(np.repeat(shard, held), kind="stable")
+            w, v, u, held, shard, texts, times = (*(x[sorted_paths] for x in (w, v, u, held, shard)), texts[sorted_entries], times[sorted_entries])
+            ends = np.concatenate([[0], np.cumsum(held)])
+            starts, out = _starts(shard), []
+            for a, b in zip(starts.tolist(), np.append(starts[1:], len(w)).tolist()):
+                heads = _starts(w[a:b])
+                used, place = np.unique(np.concatenate([v[a:b], u[a:b]]), return_inverse=True)
+                i, j = ends[a], ends[b]
+                mine = texts[i:j]
+                last = np.unique(mine[np.repeat(words[w[a:b]] == END, held[a:b])])
+                blob = _pack(
+                    words[w[a:b][heads]], _least(_lengths(heads, b - a)), *_v40(contexts[used]), _least(place[: b - a]), _least(place[b - a :]), _least(held[a:b]),
+                    _least(mine << 1 | learn[mine]), _least(times[i:j]), _least(last))
+                out.append((int(shard[a]), (task << 32) | serial, blob, [rows[k][0] for k in last]))
+            yield pd.DataFrame(out, columns=["shard", "batch", "blob", "ids"])
 
-    counted = texts.mapInPandas(run, "shard int, blob binary")
-    return cut(counted.groupBy("shard").applyInPandas(build, "shard int, trie binary"), "tries"), totals
+    return docs.mapInPandas(run, "shard int, batch bigint, blob binary, ids array<string>")
+
+
+class Asked:
+    """The distinct words, pairs and paths of some blobs of one shard, and what each blob says of them."""
+
+    def __init__(self, blobs: list[bytes]):
+        got = [_unpack(b) for b in blobs]
+        join = lambda k: np.concatenate([g[k] for g in got]).astype(np.int64)
+        self.words, word_of = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
+        self.contexts, context_of = np.unique(np.concatenate([_from_v40(g[2], g[3]) for g in got]), return_inverse=True)
+        sizes = [len(g[4]) for g in got]
+        offset = np.repeat(np.cumsum([0, *(len(g[2]) for g in got[:-1])]), sizes)
+        w, v, u = np.repeat(word_of, join(1)), context_of[join(4) + offset], context_of[join(5) + offset]
+        pairs, self.pair_of = np.unique((w.astype(np.uint64) << _HALF) | v.astype(np.uint64), return_inverse=True)
+        self.pair_word, self.pair_context = (pairs >> _HALF).astype(np.int64), (pairs & _LOW).astype(np.int64)
+        paths, self.path_of = np.unique((self.pair_of.astype(np.uint64) << _HALF) | u.astype(np.uint64), return_inverse=True)
+        self.path_pair, self.path_context = (paths >> _HALF).astype(np.int64), (paths & _LOW).astype(np.int64)
+        self.blobs, self.begin = got, np.cumsum([0, *sizes])
+
+    def learned(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(w, v, u, count) of the distinct paths that texts to learn from hold, sorted."""
+        every = []
+        for g in self.blobs:
+            n = np.where(g[7] & 1, g[8], 0).astype(np.int64)
+            every.append(np.add.reduceat(n, np.cumsum(g[6].astype(np.int64)) - g[6]))
+        count = np.bincount(self.path_of, np.concatenate(every), len(self.path_pair)).astype(np.int64)
+        some = np.flatnonzero(count)
+        pair = self.path_pair[some]
+        return self.words[self.pair_word[pair]], self.contexts[self.pair_context[pair]], self.contexts[self.path_context[some]], count[some]
+
+    def answers(self, trie: Trie | None, totals: Totals) -> list[bytes]:
+        """For each blob the sums of its texts."""
+        count, first, back = np.zeros(len(self.words), np.int64), np.zeros(len(self.words), np.int64), np.zeros(len(self.words), np.int64)
+        first[:] = _steps(np.log10(totals.smoothed(np.zeros(1))))[0]
+        second, second_back, third = (np.zeros(n, np.int64) for n in (len(self.pair_word), len(self.pair_word), len(self.path_pair)))
+        met2, met3 = np.zeros(len(second), bool), np.zeros(len(third), bool)
+        if trie is not None:
+            node, known = trie.look(self.words)
+            at = node[known]
+            count[known], first[known], back[known] = trie.counts(at), trie.values[0][at], trie.values[1][at]
+            asked = np.flatnonzero(known[self.pair_word])
+            at, seen = trie.look_below(1, node[self.pair_word[asked]], self.contexts[self.pair_context[asked]])
+            node2 = np.zeros(len(second), np.int64)
+            met2[asked], node2[asked] = seen, at
+            second[met2], second_back[met2] = trie.values[2][node2[met2]], trie.values[3][node2[met2]]
+            asked = np.flatnonzero(met2[self.path_pair])
+            at, seen = trie.look_below(2, node2[self.path_pair[asked]], self.contexts[self.path_context[asked]])
+            met3[asked] = seen
+            third[asked[seen]] = trie.values[4][at[seen]]
+        # A heavy word may be new in this shard though not in the model.
+        heavy = np.fromiter(totals.heavy, np.uint64, len(totals.heavy))
+        new = np.flatnonzero((count == 0) & np.isin(self.words, heavy))
+        if new.size:
+            c = np.asarray([totals.heavy[k] for k in self.words[new].tolist()], np.int64)
+            b = totals.weights(before(self.words[new]))[0]
+            count[new], first[new], back[new] = c, _steps(np.log10(totals.smoothed(c))), _steps(np.log10(1.0 + b * c))
+        ends = self.words == END
+        pair = np.where(met2, second, first[self.pair_word]) - np.where(ends[self.pair_word], 0, np.where(met2, second_back, back[self.pair_word]))
+        value = np.where(met3, third - second[self.path_pair], 0) + pair[self.path_pair]
+        word = self.pair_word[self.path_pair]
+        known, base = (count > 0)[word], np.log10(totals.unigram(count))[word]
+        out = []
+        for k, g in enumerate(self.blobs):
+            path = np.repeat(self.path_of[self.begin[k] : self.begin[k + 1]], g[6].astype(np.int64))
+            here, text = _dense((g[7] >> 1).astype(np.int64))
+            times = g[8].astype(np.int64)
+            total = lambda x: np.bincount(text, x, len(here))
+            whole = lambda x: np.rint(total(x)).astype(np.int64)
+            out.append(_pack(g[9], _least(here), _least(whole(times)), _least(whole(known[path] * times)), whole(value[path] * times).view(np.uint64), total(base[path] * times).view(np.uint64)))
+        return out
 
 
-def _distinct_pairs(w: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs sorted by w, and how often each occurs."""
-    order = np.lexsort((v, w))
-    w, v = w[order], v[order]
-    at = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (v[1:] != v[:-1])]))
-    return w[at], v[at], np.diff(np.append(at, len(w)))
+def _dense(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct of small numbers, and each one's place among them."""
+    there = np.bincount(text) > 0
+    return np.flatnonzero(there), (np.cumsum(there) - 1)[text]
 
 
-# ---- scoring -------------------------------------------------------------------------------------------------------
+def _portions(blobs: pd.Series) -> Iterator[tuple[int, int, Asked]]:
+    """(from, to, asked) of blobs in portions of about ANSWER_PATHS paths."""
+    begin, size = 0, 0
+    for k, blob in enumerate(blobs):
+        raw = zstandard.get_frame_parameters(blob).content_size
+        if size and size + raw > 16 * ANSWER_PATHS:
+            yield begin, k, Asked([*blobs[begin:k]])
+            begin, size = k, 0
+        size += raw
+    if begin < len(blobs):
+        yield begin, len(blobs), Asked([*blobs[begin:]])
 
 
-def _ask(docs: DataFrame, totals, id_kind: str) -> DataFrame:
-    """(shard, batch, blob, ids): what every batch of (id, text, learn) asks of a shard.
+def _built(portions: list[Asked], totals: Totals) -> bytes:
+    """The trie of what blobs let learn."""
+    got = [a.learned() for a in portions]
+    w, v, u, n = got[0] if len(got) == 1 else (np.concatenate([g[k] for g in got]) for k in range(4))
+    if len(got) > 1:
+        order = np.lexsort((u, v, w))
+        w, v, u, n = w[order], v[order], u[order], n[order]
+        at = _starts(w, v, u)
+        w, v, u, n = w[at], v[at], u[at], np.add.reduceat(n, at) if len(at) else n
+    return Trie.build(w, v, u, n, totals)
 
-    A blob has the distinct words before distinct words, how often each pair occurs and in which texts of the batch, which of
-    those texts are learned from, and the texts whose end token falls to this shard: there, once, goes the text's id.
-    """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
+def _mapped(trie: bytes) -> Trie:
+    """A trie over an anonymous memory map."""
+    memory = mmap.mmap(-1, len(trie))
+    memory.write(trie)
+    return Trie(np.frombuffer(memory, np.uint64))
 
-        task = TaskContext.get().partitionId()
-        for serial, (rows, tokens) in enumerate(_batches(batches, ["id", "learn"])):
-            learn = np.asarray([bool(r[1]) for r in rows]).astype(np.uint8)
-            doc = np.repeat(np.arange(len(tokens), dtype=np.uint32), [len(t) for t in tokens])
-            w, v = _pairs(tokens)
-            shard = _shard_of(w, v, totals.value)
-            order = np.lexsort((v, w, shard))
-            w, v, doc, shard = w[order], v[order], doc[order], shard[order]
-            starts = _groups(shard)
-            out = []
-            for a, b in zip(starts, np.append(starts[1:], len(w))):
-                ww, vv, dd = w[a:b], v[a:b], doc[a:b]
-                pair = np.flatnonzero(np.concatenate([[True], (ww[1:] != ww[:-1]) | (vv[1:] != vv[:-1])]))
-                heads = _groups(ww[pair])
-                ends = np.sort(dd[ww == END])
-                blob = _pack(ww[pair][heads], _least(np.diff(np.append(heads, len(pair)))), *_v40(vv[pair]), _least(np.diff(np.append(pair, len(ww)))), _least(dd), learn, _least(ends))
-                out.append((int(shard[a]), (task << 32) | serial, blob, [rows[i][0] for i in ends]))
-            yield pd.DataFrame(out, columns=["shard", "batch", "blob", "ids"])
 
-    return docs.mapInPandas(run, f"shard int, batch bigint, blob binary, ids array<{id_kind}>")
-
-
-def _answer(trie: Trie | None, asked: pd.DataFrame, totals: Totals) -> pd.DataFrame:
-    """One row for each blob: sums of each of its texts, and the ids that it brought."""
-    out, some, size = [], [], 0
-    for row in zip(asked["batch"], asked["blob"], asked["ids"]):
-        some.append((row[0], _unpack(row[1]), row[2]))
-        size += len(some[-1][1][2])
-        if size >= ANSWER_PAIRS:
-            out += _answer_some(trie, some, totals)
-            some, size = [], 0
-    return pd.DataFrame(out + _answer_some(trie, some, totals), columns=["batch", "blob", "ids"])
-
-
-def _answer_some(trie: Trie | None, asked: list[tuple], totals: Totals) -> list[tuple]:
-    """Each distinct word and pair of the blobs is looked up once, in the order of the levels."""
-    if not asked:
-        return []
-    words, word_of = np.unique(np.concatenate([g[0] for _, g, _ in asked]), return_inverse=True)
-    owner = np.repeat(word_of.astype(np.uint64), np.concatenate([g[1].astype(np.int64) for _, g, _ in asked]))
-    pairs, pair_of = np.unique((owner << np.uint64(_V_BITS)) | np.concatenate([_from_v40(g[2], g[3]) for _, g, _ in asked]), return_inverse=True)
-    owner_of = (pairs >> np.uint64(_V_BITS)).astype(np.int64)
-    count, unigram, back = np.zeros(len(words), np.int64), np.full(len(words), _steps(-np.log10(totals.unigram(0))), np.int64), np.zeros(len(words), np.int64)
-    extra = np.zeros(len(pairs), np.int64)
-    if trie is not None:
-        node, known = trie.look(words)
-        at = node[known]
-        count[known], unigram[known], back[known] = trie.counts[at], trie.unigram[at], trie.backoff[at]
-        child = np.flatnonzero(known[owner_of])
-        place, seen = trie.look_before(node[owner_of[child]], pairs[child] & _V_MASK)
-        extra[child[seen]] = trie.extra[place[seen]]
-    # A heavy word may be new in this shard though not in the model.
-    heavy = np.fromiter(totals.heavy, np.uint64, len(totals.heavy))
-    new = np.flatnonzero((count == 0) & np.isin(words, heavy))
-    if new.size:
-        c = np.asarray([totals.heavy[k] for k in words[new].tolist()], np.int64)
-        count[new], unigram[new], back[new] = c, _steps(-np.log10(totals.unigram(c))), _steps(np.log10((c + PRIOR) / PRIOR))
-    back[words == END] = 0
-    of_pair, in_model, base = extra - (unigram + back)[owner_of], (count > 0)[owner_of], np.log10(totals.unigram(count))[owner_of]
-    out, start = [], 0
-    for batch, (_, _, low, _, times, doc, _, ends), ids in asked:
-        pair = np.repeat(pair_of[start : start + len(low)], times.astype(np.int64))
-        start += len(low)
-        here, doc = _dense(doc)
-        total = lambda x: np.bincount(doc, x[pair], len(here))
-        steps = np.rint(total(of_pair)).astype(np.int64)
-        sums = (_least(here), _least(np.bincount(doc, minlength=len(here))), _least(np.rint(total(in_model)).astype(np.int64)), steps.view(np.uint64), total(base).view(np.uint64))
-        out.append((batch, _pack(_least(ends), *sums), ids))
-    return out
+_ANSWER = "batch bigint, blob binary, ids array<string>"
 
 
-def _dense(doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct of small numbers, and each one's place among them."""
-    there = np.bincount(doc) > 0
-    return np.flatnonzero(there), (np.cumsum(there) - 1)[doc]
+def _rows(docs: DataFrame, learn: Column, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(learn, F.lit(False)).alias("learn"), F.col(text_col).alias("text"))
 
 
 def _add_up(parts: DataFrame, totals: Totals, id_col: str, id_kind: str) -> DataFrame:
     """Sums over the shards for each text of a batch."""
-    begin = float(np.log10(PRIOR / (totals.documents + PRIOR)))
+    b, g = (float(x[0]) for x in totals.weights(before(np.asarray([BEGIN]))))
+    begin = -float(np.log10(1.0 + (b + g) * totals.documents))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         got = [_unpack(b) for b in part["blob"]]
@@ -510,50 +607,48 @@ def _add_up(parts: DataFrame, totals: Totals, id_col: str, id_kind: str) -> Data
             known[here] += k.astype(np.int64)
             steps[here] += s.view(np.int64)
             base[here] += b.view(np.float64)
-        ids = [x for some in part["ids"] for x in some]
-        return pd.DataFrame({id_col: pd.Series(ids, dtype=object if id_kind == "string" else None), "n_tokens": tokens[ends], "n_known": known[ends], "base_score": base[ends], "score": steps[ends] * STEP + begin})
+        ids = pd.Series([x for some in part["ids"] for x in some], dtype=object)
+        return pd.DataFrame({"id": ids, "n_tokens": tokens[ends], "n_known": known[ends], "base_score": base[ends], "score": steps[ends] * STEP + begin})
+
+    summed = parts.groupBy("batch").applyInPandas(run, "id string, n_tokens bigint, n_known bigint, base_score double, score double")
+    return summed.select(F.col("id").cast(id_kind).alias(id_col), "n_tokens", "n_known", "base_score", "score")
+
 
-    return parts.groupBy("batch").applyInPandas(run, f"`{id_col}` {id_kind}, n_tokens bigint, n_known bigint, base_score double, score double")
+# ---- fitting and scoring -------------------------------------------------------------------------------------------
 
 
-_ANSWER = "batch bigint, blob binary, ids array<{}>"
+def fit(training: DataFrame, text_col: str = "text") -> tuple[DataFrame, Totals]:
+    """A model to keep: (table of shard and trie in the shared folder, totals), from all rows of ``training``."""
+    rows = training.select(F.lit(None).cast("string").alias("id"), F.lit(True).alias("learn"), F.col(text_col).alias("text"))
+    totals = _totals(rows.select("text"))
+    shared = training.sparkSession.sparkContext.broadcast(totals)
 
+    def build(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"shard": part["shard"].iloc[:1], "trie": [_built([a for _, _, a in _portions(part["blob"])], shared.value)]})
 
-def _mapped(blob: bytes | None, use) -> pd.DataFrame:
-    """Call ``use`` with a trie over an unlinked, memory-mapped file."""
-    if blob is None:
-        return use(None)
-    with tempfile.TemporaryFile() as file:
-        file.write(blob)
-        file.flush()
-        return use(Trie(np.memmap(file, np.uint64, "r").view(np.ndarray)))
+    return cut(_ask(rows, shared).groupBy("shard").applyInPandas(build, "shard int, trie binary"), "tries"), totals
 
 
 def score(docs: DataFrame, tries: DataFrame, totals: Totals, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, n_known, base_score, score) of every row of ``docs`` by a kept model."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    """(id, n_tokens, n_known, base_score, score) of every row of ``docs`` by a kept model.
+
+    What is asked of a shard is dealt into parts of about ``ASKED_BYTES``, each with a copy of the shard's trie.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(totals)
+    asked = cut(_ask(_rows(docs, F.lit(False), id_col, text_col), shared), "asked")
+    parts = asked.groupBy("shard").agg(F.ceil(F.sum(F.length("blob")) / ASKED_BYTES).cast("int").alias("parts"))
+    dealt = asked.join(parts, "shard").withColumn("part", F.pmod(F.xxhash64("batch"), F.col("parts")).cast("int")).drop("parts")
+    copies = tries.join(parts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "trie")
 
-    def run(tries_of: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if not len(asked):  # a shard that nothing is asked of
+    def run(model: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
+        if not len(some):
             return pd.DataFrame({"batch": pd.Series(dtype="int64"), "blob": pd.Series(dtype=object), "ids": pd.Series(dtype=object)})
-        return _mapped(tries_of["trie"].iloc[0] if len(tries_of) else None, lambda trie: _answer(trie, asked, shared.value))
-
-    asked = _ask(docs.select(F.col(id_col).alias("id"), F.lit(False).alias("learn"), F.col(text_col).alias("text")), shared, kind)
-    parts = tries.groupBy("shard").cogroup(asked.groupBy("shard")).applyInPandas(run, _ANSWER.format(kind))
-    return _add_up(parts, totals, id_col, kind)
-
+        trie = _mapped(model["trie"].iloc[0]) if len(model) else None
+        return pd.DataFrame({"batch": some["batch"], "blob": [x for _, _, a in _portions(some["blob"]) for x in a.answers(trie, shared.value)], "ids": some["ids"]})
 
-def _serve(asked: pd.DataFrame, totals: Totals) -> pd.DataFrame:
-    """A shard's trie of what its blobs let learn, and their answers from it."""
-    counted = []
-    for blob in asked["blob"]:
-        words, sizes, low, high, times, doc, learn, _ = _unpack(blob)
-        n = np.add.reduceat(learn[doc].astype(np.int64), np.cumsum(times.astype(np.int64)) - times)
-        some = n > 0
-        counted.append((np.repeat(words, sizes.astype(np.int64))[some], _from_v40(low, high)[some], n[some]))
-    trie = Trie.build(*_merged(counted), totals)
-    return _mapped(trie, lambda t: _answer(t, asked, totals))
+    by = ("shard", "part")
+    answers = copies.groupBy(*by).cogroup(dealt.groupBy(*by)).applyInPandas(run, _ANSWER)
+    return _add_up(answers, totals, id_col, docs.schema[id_col].dataType.simpleString())
 
 
 def held_out(column: Column) -> Column:
@@ -562,18 +657,18 @@ def held_out(column: Column) -> Column:
 
 
 def score_corpus(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Totals]:
-    """Learn from the rows that ``learn`` holds for and score all of ``docs``, with one shuffle of their tokens.
+    """Learn from the rows that ``learn`` holds for and score all of ``docs``, with one shuffle of their paths.
 
     What a batch asks of a shard also says what can be learned from it, so each shard builds its trie from the blobs that it
-    is about to answer. Scores are those of ``fit`` and ``score``.
+    is about to answer, and no trie is moved or kept. Scores are those of ``fit`` and ``score``.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), learn.alias("learn"), F.col(text_col).alias("text"))
+    rows = _rows(docs, learn, id_col, text_col)
     totals = _totals(rows.where("learn").select("text"))
     shared = docs.sparkSession.sparkContext.broadcast(totals)
 
     def run(asked: pd.DataFrame) -> pd.DataFrame:
-        return _serve(asked, shared.value)
+        portions = [*_portions(asked["blob"])]
+        trie = _mapped(_built([a for _, _, a in portions], shared.value))
+        return pd.DataFrame({"batch": asked["batch"], "blob": [x for _, _, a in portions for x in a.answers(trie, shared.value)], "ids": asked["ids"]})
 
-    parts = _ask(rows, shared, kind).groupBy("shard").applyInPandas(run, _ANSWER.format(kind))
-    return _add_up(parts, totals, id_col, kind), totals
+    return _add_up(_ask(rows, shared).groupBy("shard").applyInPandas(run, _ANSWER), totals, id_col, docs.schema[id_col].dataType.simpleString()), totals
