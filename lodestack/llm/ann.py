@@ -109,19 +109,17 @@ class Radius:
     """The asymmetric distance of the m-th nearest sample vector in the cells that a query looks into."""
 
     def __init__(self, ids: np.ndarray, sample: np.ndarray, index: Index, m: int):
-        self.index, self.m, self.cell = index, m, _nearest(sample, index.centroids)
-        order = np.argsort(self.cell, kind="stable")
-        self.ids, self.codes = ids[order], _codes(sample, self.cell, index)[order]
-        self.begin = np.searchsorted(self.cell[order], np.arange(len(index.centroids) + 1))
+        self.m, self.ids, self.cell, self.cells = m, ids, _nearest(sample, index.centroids), len(index.centroids)
+        codes = _codes(sample, self.cell, index)
+        # A code's asymmetric distance is that to the vector it stands for.
+        self.decoded = index.centroids[self.cell] + np.concatenate([book[codes[:, k]] for k, book in enumerate(index.books)], axis=1)
+        self.norm = (self.decoded * self.decoded).sum(1)
 
     def of(self, qid: int, q: np.ndarray, cells: np.ndarray) -> float:
-        near = [np.zeros(0, np.float32)]
-        for c in cells:
-            a, b = self.begin[c], self.begin[c + 1]
-            if b > a:
-                near.append(_asymmetric(q[None], self.codes[a:b], self.index.centroids[c], self.index)[0][self.ids[a:b] != qid])
-        every = np.concatenate(near)
-        return float(np.partition(every, self.m - 1)[self.m - 1]) if len(every) >= self.m else float("inf")
+        inside = np.zeros(self.cells, bool)
+        inside[cells] = True
+        near = (self.norm - 2.0 * (self.decoded @ q) + q @ q)[inside[self.cell] & (self.ids != qid)]
+        return float(np.partition(near, self.m - 1)[self.m - 1]) * (1 + 1e-6) if len(near) >= self.m else float("inf")
 
 
 def _search_block(rows: np.ndarray, ids: np.ndarray, codes: np.ndarray, qids: np.ndarray, queries: np.ndarray, radius: np.ndarray, centroid: np.ndarray, index: Index, k: int) -> list[tuple]:
