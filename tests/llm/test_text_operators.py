@@ -30,7 +30,7 @@ def test_licence_rules_in_order(spark):
     assert scanned(
         spark, "Released under the MIT License.", "Nothing to see.", None, "", "All rights reserved", "SPDX-License-Identifier: Apache-2.0",
         "Licensed under the MIT license. More prose. Licensed under the Apache License, Version 2.0", "A licence of our own making.",
-    ) == ["MIT", "none", "none", "none", "AllRightsReserved", "Apache-2.0", "Apache-2.0|MIT", "unmatched"]
+    ) == ["MIT", "none", "none", "none", "AllRightsReserved", "Apache-2.0", "MIT|Apache-2.0", "unmatched"]
     assert "none" != scanned(spark, gpl)[0]
 
 
@@ -46,6 +46,138 @@ def test_licences_equal_their_sql(spark, sf):
     assert sorted(map(tuple, op1_licences(spark, sf).select(columns).collect())) == sorted(want)
 
 
+# Notices as they are published, wrapped.
+WRAPPED = {
+    "MIT": """MIT License
+
+Copyright (c) 2021 Jane Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.""",
+    "GPL-3.0-or-later": """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.""",
+    "GPL-2.0-or-later": """ * This program is free software; you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation; either version 2 of the License, or
+ * (at your option) any later version.""",
+    "LGPL-2.1-or-later": """# This library is free software; you can redistribute it and/or
+# modify it under the terms of the GNU Lesser General Public
+# License as published by the Free Software Foundation; either
+# version 2.1 of the License, or (at your option) any later version.""",
+    "AGPL-3.0-or-later": """// This program is free software: you can redistribute it and/or modify it under the terms of the
+// GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the
+// License, or (at your option) any later version.""",
+    "Apache-2.0": """/*
+ * Copyright 2019 The Authors
+ *
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ *
+ * Unless required by applicable law or agreed to in writing, software
+ * distributed under the License is distributed on an "AS IS" BASIS,
+ * WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+ * See the License for the specific language governing permissions and
+ * limitations under the License.
+ */""",
+    "BSD-3-Clause": """Copyright (c) 2015, Some Company
+All rights of the authors stay.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of Some Company nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted
+provided that the following conditions are met:
+
+* Redistributions of source code must retain the above copyright notice, this list of conditions
+  and the following disclaimer.
+* Redistributions in binary form must reproduce the above copyright notice, this list of conditions
+  and the following disclaimer in the documentation and/or other materials provided with the
+  distribution.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0\nInternational License.",
+    "CC-BY-NC-ND-3.0": "SPDX-License-Identifier: CC-BY-NC-ND-3.0",
+}
+
+
+def unrolled(text):
+    return " ".join(line.lstrip(" */#") for line in text.split("\n")).strip()
+
+
+def test_published_notices_wrapped_and_unwrapped(spark):
+    names = [*WRAPPED]
+    for forms in (WRAPPED.values(), (f"Some prose.\r\n\r\n{t}".replace("\n", "\r\n") for t in WRAPPED.values())):
+        got = scanned(spark, *forms)
+        assert got == names
+    got = scanned(spark, *(unrolled(WRAPPED[n]) for n in ("GPL-3.0-or-later", "MPL-2.0", "ISC", "CC-BY-SA-4.0")))
+    assert got == ["GPL-3.0-or-later", "MPL-2.0", "ISC", "CC-BY-SA-4.0"]
+
+
+def test_prose_between_sentences_breaks_a_rule(spark):
+    notice, as_is = (licences.SENTENCES[k][0] for k in ("MitNotice", "MitAsIs"))
+    assert scanned(spark, f"{notice}. {as_is}.", f"{notice}. Something else in between. {as_is}.", f"{notice}.\nCopyright (c) 2020 Me\n{as_is}.") == ["MIT", "unmatched", "MIT"]
+
+
+def test_lines_that_are_sentences_by_themselves(spark):
+    assert scanned(spark, "prose before\nReleased under the MIT License\nprose after", "This code is available under the terms of the GPLv3+", "license: Apache-2.0", "under the licence of nobody") == ["MIT", "GPL-3.0-or-later", "Apache-2.0", "unmatched"]
+
+
+def test_wrapped_notices_equal_their_sql(spark, tmp_path):
+    """On every published notice, its unwrapped form, its lines joined to prose, and pieces of it."""
+    texts = [None, "", "\n", "licence", "a\rb licensed under\r\nthe MIT license", *WRAPPED.values(), *map(unrolled, WRAPPED.values())]
+    texts += [f"x y z\n{t}\nq. r" for t in WRAPPED.values()] + [t[len(t) // 3 :] for t in WRAPPED.values()]
+    docs = spark.createDataFrame([*enumerate(texts)], SCHEMA)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    columns = ["doc_id", "n_sentences", "n_unknown", "sentence_ids", "licenses"]
+    want = con.execute(f"select {', '.join(columns)} from ({licences.oracle_sql()})").fetchall()
+    assert sorted(map(tuple, licences.scan(docs).select(columns).collect())) == sorted(want)
+
+
 def test_licences_run_without_python(spark, sf):
     plan = op1_licences(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "Exchange"))
