@@ -1,7 +1,7 @@
 """Reproducible shuffle into shards: a keyed Feistel permutation over global row numbers.
 
-Row numbers are positions in the order of md5(doc_id), then doc_id, then crc32 and size of the text, so they do not
-depend on files or partitions. The permutation sends row number r to p(r); the shard is p(r) mod shards and the slot
+Row numbers are positions in the order of md5(doc_id / crc32 / size of the text), then doc_id, crc32 and size, so they do not
+depend on files or partitions, and rows of one id fall into different buckets unless their texts are equal too. The permutation sends row number r to p(r); the shard is p(r) mod shards and the slot
 p(r) div shards: counts differ by at most one and slots are gapless.
 
 Null ids sort as the empty text; null texts have size 8 and crc 0; rows that agree in id, crc and size are equal for
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from .common import mix64
 
 ROUNDS = 6
-#: Hex digits of md5 that name a bucket of rows numbered by one window; 16 ** BUCKET_DIGITS counts are all that is gathered.
-BUCKET_DIGITS = 3
+#: Rows numbered by one window, about; buckets are named by leading hex digits of md5.
+BUCKET_ROWS = 100_000
 
 
 def feistel(rows: np.ndarray, n: int, seed: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -45,16 +45,23 @@ def feistel(rows: np.ndarray, n: int, seed: int, rounds: int = ROUNDS) -> np.nda
     return x.astype(np.int64)
 
 
+def bucket_digits(rows: int) -> int:
+    """Hex digits that name buckets of about ``BUCKET_ROWS`` rows, 3 to 5 of them: at most 16 ** 5 counts."""
+    return min(5, max(3, int(np.ceil(np.log2(max(1, rows / BUCKET_ROWS)) / 4))))
+
+
 def shard_documents(docs: DataFrame, shards: int = 24, seed: int = 20250101, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, size, text_crc32, law, shard, slot, grown_shard, row_number for every document.
 
-    Two passes: one counts rows per bucket (16 ** BUCKET_DIGITS numbers), one numbers rows inside buckets; only ids,
-    sizes and checksums are shuffled, never texts.
+    Two passes: one counts rows per bucket, one numbers rows inside buckets; only ids, sizes and checksums are shuffled,
+    never texts.
     """
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
-    slim = docs.select(F.col(id_col).alias("_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), key.alias("_key"), F.substring(key, 1, BUCKET_DIGITS).alias("_bucket"))
-    counts = docs.select(F.substring(key, 1, BUCKET_DIGITS).alias("_bucket")).groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    size, crc = (F.octet_length(text) + 8).cast("long"), F.crc32(text)
+    key = F.md5(F.concat_ws("/", F.coalesce(F.col(id_col).cast("string"), F.lit("")), crc.cast("string"), size.cast("string")).cast("binary"))
+    digits = bucket_digits(docs.count())
+    slim = docs.select(F.col(id_col).alias("_id"), size.alias("size"), crc.alias("text_crc32"), key.alias("_key")).withColumn("_bucket", F.substring("_key", 1, digits))
+    counts = slim.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     whole = Window.orderBy("_bucket")
     offsets = counts.select("_bucket", (F.sum("_n").over(whole) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_total"))
     inside = Window.partitionBy("_bucket").orderBy("_key", F.col("_id").asc_nulls_first(), "text_crc32", "size")

@@ -79,6 +79,12 @@ def _variants(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return at.withColumn("key", F.expr("shiftrightunsigned(fp & _mask, _from) | shiftleft(cast(i as bigint), 32)")).drop("i", "_mask", "_from")
 
 
+def _shared(variants: DataFrame) -> DataFrame:
+    """Variants with n, the number of rows that share their key, where that is more than one. Keys are counted before they are joined, so that a key of many rows is split among tasks."""
+    counted = variants.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return cut(variants.join(counted, "key"), "shared")
+
+
 def _close(a: str, b: str, distance: int = DISTANCE) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
 
@@ -93,8 +99,7 @@ def links(fps: DataFrame) -> DataFrame:
 
     ``fps`` (fp, distinct) is read more than once, so it should be a written table.
     """
-    together = F.count(F.lit(1)).over(Window.partitionBy("key"))
-    shared = cut(_variants(fps).withColumn("n", together).where("n > 1"), "shared")
+    shared = _shared(_variants(fps))
     few = shared.where(F.col("n") <= PAIRS_UP_TO)
     of_few = few.select("key", F.col("fp").alias("a")).join(few.select("key", F.col("fp").alias("b")), "key").where("a < b").select("a", "b")
     many = shared.where(F.col("n") > PAIRS_UP_TO).select("fp").distinct()
@@ -126,7 +131,7 @@ def similarity(a: str | None, b: str | None) -> float:
 def _candidates(nodes: DataFrame, distance: int) -> DataFrame:
     """(a, b) pairs of nodes (node, fp) whose fingerprints differ in at most ``distance`` bits, a < b."""
     w = Window.partitionBy("key")
-    shared = cut(_variants(nodes, distance).withColumn("n", F.count(F.lit(1)).over(w)).where("n > 1"), "shared")
+    shared = _shared(_variants(nodes, distance))
     few, many = shared.where(F.col("n") <= NEAR_PAIRS_UP_TO), shared.where(F.col("n") > NEAR_PAIRS_UP_TO)
     a, b = (few.select("key", F.col("node").alias(x), F.col("fp").alias(f"fp_{x}")) for x in "ab")
     of_few = a.join(b, (a.key == b.key) & (F.col("a") < F.col("b")) & _close("fp_a", "fp_b", distance)).select("a", "b")
