@@ -14,13 +14,13 @@ def core_points(groups: DataFrame, by: str, n: int = 8, least: int = 5) -> DataF
 
 
 def section_views(groups: DataFrame, by: str, shown_from: int = 4) -> DataFrame:
-    """Sections of a paper in order of first appearance, with the ids of shown and folded groups, each by importance and total."""
+    """Groups with the place of their section in its paper (by first appearance) and whether they are shown or folded.
+
+    One row a group, which is shown in the order importance, total (both falling), pos: no section is gathered in one place.
+    """
     first = groups.groupBy(by, "section").agg(F.min("pos").alias("_first"))
     place = first.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy("_first"))).drop("_first")
-    item = F.struct(-F.col("importance"), -F.col("total"), F.col("pos"), F.col("id").alias("id"))
-    shown = F.col("importance") >= shown_from
-    per = groups.groupBy(by, "section").agg(F.array_sort(F.collect_list(F.when(shown, item)))["id"].alias("shown"), F.array_sort(F.collect_list(F.when(~shown, item)))["id"].alias("folded"))
-    return per.join(place, [by, "section"])
+    return groups.join(place, [by, "section"]).withColumn("shown", F.col("importance") >= shown_from)
 
 
 def remaining(candidates: DataFrame, yes: DataFrame, unclear: DataFrame, key: str) -> DataFrame:

@@ -12,6 +12,7 @@ from ..operators import ranking as R
 from ..operators import reports as B
 from ..operators import structure as D
 from ..operators import verification as V
+from ..sources import readers as I
 from .ranking import PATHS, one, paths
 from .registry import query, table
 
@@ -80,17 +81,19 @@ def number_support(spark, d):
     return V.number_support(answers, chunks, group="source").select("qid", F.size("supplements").alias("n_supplements"), F.size("unverified").alias("n_unverified"))
 
 
-@query("""with a as (select conv_id, turn, 'Yes [1]. See [' || (turn + 3) || '] and [9].' as answer, 4 as n, case when turn % 2 = 0 then 'as [9] says' else '' end as evidence from conversations)
-select conv_id, turn, array_to_string(list_sort(list_filter(list_distinct([1, turn + 3, 9]), lambda x: (x < 1 or x > n) and not contains(evidence, '[' || x || ']'))), ',') as issues from a""")
+@query("""with a as (select doc_id, list_transform(regexp_extract_all(text, '[0-9]+'), lambda x: substr(x, 1, 6)) as cited, n_chars % 40 as n from documents)
+select doc_id, array_to_string(list_sort(list_filter(list_distinct(list_transform(cited, lambda x: cast(x as integer))), lambda x: (x < 1 or x > n) and (doc_id % 2 = 0 or len(cited) = 0 or '[' || x || ']' <> '[' || cited[1] || ']'))), ',') as issues from a""")
 def citation_bounds(spark, d):
-    answer = F.concat(F.lit("Yes [1]. See ["), F.col("turn") + 3, F.lit("] and [9]."))
-    evidence = F.when(F.col("turn") % 2 == 0, "as [9] says").otherwise("")
-    issues = V.citation_issues(answer, F.lit(4), evidence)
-    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(F.transform(issues, lambda x: x.cast("string")), ",").alias("issues"))
+    """The numbers of a document as citations into a list; in every other one the first of them stands in the evidence as it is."""
+    cited = F.transform(T.matches(F.col("text"), "[0-9]+"), lambda x: F.concat(F.lit("["), F.substring(x, 1, 6), F.lit("]")))
+    evidence = F.when(F.col("doc_id") % 2 == 1, F.concat(F.lit("as "), F.try_element_at("cited", F.lit(1)), F.lit(" says")))
+    rows = table(spark, d, "documents").select("doc_id", "n_chars", cited.alias("cited"))
+    issues = V.citation_issues(F.concat(F.lit("Yes "), F.array_join("cited", " and ")), F.col("n_chars") % 40, evidence)
+    return rows.select("doc_id", F.array_join(F.transform(issues, lambda x: x.cast("string")), ",").alias("issues"))
 
 
 @query("""with g as (select d.doc_id, case d.doc_id % 4 when 0 then 'core_claim' when 1 then 'result_primary' when 2 then 'method' else 'detail' end as label, case when d.n_chars % 3 = 0 then 2.0e0 when d.n_chars % 3 = 1 then 1.0e0 else 0.0e0 end as pos, 1 + d.n_chars % 4 as sections,
-  substr(d.text, 1, 400) as text, case when l.quality = 1 then 'hit' when l.quality = 0 then 'miss' else 'loose' end as ev from documents d left join labels l using (doc_id)),
+  d.text as text, case when l.quality = 1 then 'hit' when l.quality = 0 then 'miss' else 'loose' end as ev from documents d left join labels l using (doc_id)),
 s as (select doc_id, label, (case label when 'core_claim' then 4.0e0 when 'result_primary' then 4.0e0 when 'method' then 3.0e0 else 1.0e0 end + pos + least(greatest(sections - 1, 0), 2) * 0.3e0 + case when label = 'result_primary' then case when regexp_matches(lower(text), '%|percent|fold|outperform|improve|reduce|surpass|exceed|greater|higher') then 0.6e0 else -0.5e0 end else 0.0e0 end + case ev when 'hit' then 0.3e0 when 'loose' then 0.0e0 else -0.8e0 end)::double as total from g)
 select doc_id, cast(greatest(1, least(case label when 'detail' then 3 else 5 end, round_even(total, 0))) as integer) as importance from s""")
 def importance_score(spark, d):
@@ -99,7 +102,7 @@ def importance_score(spark, d):
     label = F.when(k == 0, "core_claim").when(k == 1, "result_primary").when(k == 2, "method").otherwise("detail")
     pos = F.when(m == 0, 2.0).when(m == 1, 1.0).otherwise(0.0)
     ev = F.when(F.col("quality") == 1, "hit").when(F.col("quality") == 0, "miss").otherwise("loose")
-    return docs.select("doc_id", V.importance(label, pos, (1 + F.col("n_chars") % 4).cast("int"), F.substring("text", 1, 400), ev).alias("importance"))
+    return docs.select("doc_id", V.importance(label, pos, (1 + F.col("n_chars") % 4).cast("int"), F.col("text"), ev).alias("importance"))
 
 
 @query("""with m as (select event_id, case event_type when 'click' then 'Acc' when 'view' then 'BLEU score' else 'LaSE' end as name, case when event_id % 3 = 0 then 'Test set' else 'CNN/DM (mT5)' end as dataset, cast(round(value, 2) as varchar) as value, 'we get ' || case when event_id % 2 = 0 then cast(round(value, 2) as varchar) else 'more' end as quote from events)
@@ -113,27 +116,38 @@ def metric_normalisation(spark, d):
     return rows.select("event_id", metric.alias("metric"), comparable.alias("comparable"), dataset.alias("dataset"), model.alias("model"), V.value_in(F.col("value"), F.col("quote")).alias("value_quoted"))
 
 
-@query("""with s as (select doc_id, 'I rank [' || (doc_id % 5 + 1) || ', ' || (doc_id % 3 + 1) || ', 99] so' as answer from documents)
-select doc_id, array_to_string(list_distinct_two || list_filter([1, 2, 3, 4, 5, 6], lambda x: not list_contains(list_distinct_two, x)), ',') as full_order, array_to_string(list_distinct_two, ',') as partial from (select doc_id, case when doc_id % 5 = doc_id % 3 then [doc_id % 5 + 1] else [doc_id % 5 + 1, doc_id % 3 + 1] end as list_distinct_two from s)""")
+@query("""with s as (select doc_id, list_filter(list_transform(regexp_extract_all(text, '[0-9]+'), lambda x: try_cast(x as integer)), lambda x: x between 1 and 30) as n from documents),
+u as (select doc_id, list_filter(n, lambda x, i: list_position(n, x) = i) as n from s)
+select doc_id, array_to_string(n || list_filter(range(1, 31), lambda x: not list_contains(n, x)), ',') as full_order, array_to_string(n, ',') as partial from u""")
 def parsed_rankings(spark, d):
-    answer = F.concat(F.lit("I rank ["), F.col("doc_id") % 5 + 1, F.lit(", "), F.col("doc_id") % 3 + 1, F.lit(", 99] so"))
+    """The numbers of a document, of any size, as a model's ranking of thirty entries."""
+    answer = F.concat(F.lit("I rank ["), F.array_join(T.matches(F.col("text"), "[0-9]+"), ", "), F.lit("] so, not [3]"))
     show = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
-    return table(spark, d, "documents").select("doc_id", show(T.ranking(answer, 6)).alias("full_order"), show(T.ranking(answer, 6, complete=False)).alias("partial"))
+    return table(spark, d, "documents").select("doc_id", show(T.ranking(answer, 30)).alias("full_order"), show(T.ranking(answer, 30, complete=False)).alias("partial"))
 
 
-@query("""select doc_id, array_to_string(case doc_id % 3 when 0 then [doc_id, doc_id + 1] when 1 then [doc_id] else [doc_id, 7] end, ',') as ids from documents""")
+@query("""with n as (select doc_id, list_transform(regexp_extract_all(text, '[1-9][0-9]{0,8}'), lambda x: cast(x as bigint)) as n from documents)
+select doc_id, cast(len(m) as bigint) as n_ids, coalesce(list_sum(m), 0)::bigint as total from (select doc_id, case when doc_id % 3 = 2 then list_slice(n, 1, 1) else n end as m from n)""")
 def heterogeneous_lists(spark, d):
-    i = F.col("doc_id").cast("string")
-    raw = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("["), i, F.lit(", "), (F.col("doc_id") + 1).cast("string"), F.lit("]"))).when(F.col("doc_id") % 3 == 1, i).otherwise(F.concat(i, F.lit(", 7")))
-    return table(spark, d, "documents").select("doc_id", F.array_join(F.transform(T.as_list(raw), lambda x: x.cast("string")), ",").alias("ids"))
+    """The numbers of a document as a JSON list, as a bare list, or the first of them alone."""
+    n = T.matches(F.col("text"), "[1-9][0-9]{0,8}")
+    raw = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("["), F.array_join(n, ", "), F.lit("]"))).when(F.col("doc_id") % 3 == 1, F.array_join(n, ", ")).otherwise(F.coalesce(F.try_element_at(n, F.lit(1)), F.lit("")))
+    ids = F.coalesce(T.as_list(raw), F.array().cast("array<bigint>"))
+    return table(spark, d, "documents").select("doc_id", F.size(ids).cast("long").alias("n_ids"), F.aggregate(ids, F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
 
 
-@query("""select doc_id, case when doc_id % 3 = 2 then null else lpad(cast(doc_id % 10000 as varchar), 4, '0') || '.0' || lpad(cast(doc_id % 10000 as varchar), 4, '0') end as arxiv from documents""")
+@query("""with n as (select doc_id, substr(cast(10000 + n_chars % 10000 as varchar), 2) as y, cast(doc_id * 7919 % 1000000 as varchar) as no, lower(substr(source, 1, 3)) as area from documents)
+select doc_id, case when doc_id % 6 = 5 then case when length(no) = 6 then area || '/0' || no end when doc_id % 6 <> 4 and length(no) between 4 and 5 then y || '.' || no end as arxiv,
+  case when doc_id % 6 = 5 then case when length(no) = 6 then area || '_0' || no || '.pdf' end when doc_id % 6 <> 4 and length(no) between 4 and 5 then y || '.' || no || '.pdf' end as file from n""")
 def arxiv_identifiers(spark, d):
-    n = F.lpad((F.col("doc_id") % 10000).cast("string"), 4, "0")
-    bare = F.concat(n, F.lit(".0"), n)
-    raw = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("https://arxiv.org/abs/"), bare, F.lit("v2"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("arXiv:"), bare)).otherwise(F.concat(F.lit("x"), bare))
-    return table(spark, d, "documents").select("doc_id", T.arxiv_id(raw).alias("arxiv"))
+    """Numbers of one to six digits behind years, as addresses, with versions and file endings, and of the older kind: only those of the right length are identifiers."""
+    no, y, k = (F.col("doc_id") * 7919 % 1_000_000).cast("string"), F.substring((10_000 + F.col("n_chars") % 10_000).cast("string"), 2, 4), F.col("doc_id") % 6
+    bare = F.concat(y, F.lit("."), no)
+    raw = (
+        F.when(k == 0, F.concat(F.lit("https://arxiv.org/abs/"), bare, F.lit("v2"))).when(k == 1, F.concat(F.lit(" arXiv:"), bare)).when(k == 2, F.concat(F.lit("http://arxiv.org/pdf/"), bare, F.lit("v11.pdf")))
+        .when(k == 3, bare).when(k == 4, F.concat(F.lit("x"), bare)).otherwise(F.concat(F.lower(F.substring("source", 1, 3)), F.lit("/0"), no))
+    )
+    return table(spark, d, "documents").select("doc_id", T.arxiv_id(raw).alias("arxiv"), I.pdf_name(T.arxiv_id(raw)).alias("file"))
 
 
 @query("""with f as (select doc_id, regexp_matches(text, '[0-9]{4}') as long_number, contains(text, '|') as table_like, regexp_matches(text, '[A-Z]{4,}') as shouting, n_chars > 3000 as failed from documents),
@@ -197,18 +211,33 @@ def heading_chunks(spark, d):
     return D.titled_chunks(blocks, 1_000).select("doc_id", "chunk_id", "pos", F.array_join("title_path", " · ").alias("path"), "part", "parts", "first_page", "last_page", F.length("text").alias("n_chars"))
 
 
-@query("""select conv_id, '| turn | role |' || chr(10) || '|---|---|' || chr(10) || string_agg('| ' || turn || ' | ' || role || ' |', chr(10) order by turn, role) as markdown from conversations group by 1""")
+@query("""with r as (select conv_id, turn, role, case when turn % 3 = 0 then role || '\\|a' else role end as said, case when turn % 3 = 1 then role else cast(length(text) as varchar) end as size, turn % 2 = 0 as noted from conversations),
+n as (select conv_id, bool_or(noted) as noted from r group by 1)
+select r.conv_id, '| turn | said/role | said/size |' || case when n.noted then ' note |' else '' end || chr(10) || '|---|---|---|' || case when n.noted then '---|' else '' end || chr(10)
+  || string_agg('| ' || turn || ' | ' || said || ' | ' || size || ' |' || case when not n.noted then '' when r.noted then ' a & b |' else '  |' end, chr(10) order by turn, role) as markdown from r join n using (conv_id) group by r.conv_id, n.noted""")
 def table_markdown(spark, d):
-    row = F.concat(F.lit("<tr><td>"), F.col("turn"), F.lit("</td><td> "), F.col("role"), F.lit("</td><td></td></tr>"))
-    cells = F.array_sort(F.collect_list(F.struct("turn", "role", row.alias("r"))))
-    html = F.concat(F.lit("<table><thead><tr><th>turn</th><th>role</th><th></th></tr></thead>"), F.array_join(F.col("c.r"), ""), F.lit("</table>"))
-    return table(spark, d, "conversations").groupBy("conv_id").agg(cells.alias("c")).select("conv_id", H.markdown(html).alias("markdown"))
-
-
-@query("""select doc_id, 'RNN + 1 Softmax x ' || doc_id as words from documents""")
+    """Tables with two header rows, cells over several columns and rows, marks and signs in cells, and a column that may be empty; one for each conversation."""
+    said = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("<b>"), "role", F.lit("</b>|a"))).otherwise(F.col("role"))
+    cells = F.when(F.col("turn") % 3 == 1, F.concat(F.lit('<td colspan="2">'), "role", F.lit("</td>"))).otherwise(F.concat(F.lit("<td> "), said, F.lit("</td><td>"), F.length("text"), F.lit("</td>")))
+    row = F.concat(F.lit("<tr><td>"), "turn", F.lit("</td>"), cells, F.when(F.col("turn") % 2 == 0, "<td>a &amp; <i>b</i></td>").otherwise("<td></td>"), F.lit("</tr>"))
+    rows = F.array_sort(F.collect_list(F.struct("turn", "role", row.alias("r"))))
+    head = F.lit("<table><thead><tr><th rowspan=2>turn</th><th colspan=2>said</th><th rowspan=2>note</th></tr><tr><th>role</th><th>size</th></tr></thead>")
+    named = F.when(F.exists("c", lambda x: x["turn"] % 2 == 0), head).otherwise(F.replace(head, F.lit(">note<"), F.lit("><")))
+    html = F.concat(named, F.array_join(F.col("c.r"), ""), F.lit("</table>"))
+    return table(spark, d, "conversations").groupBy("conv_id").agg(rows.alias("c")).select("conv_id", H.markdown(html).alias("markdown"))
+
+
+@query("""with t as (select doc_id, regexp_extract_all(lower(text), '[a-z]+') as t from documents)
+select doc_id, cast(len(t) as bigint) as n, md5(array_to_string(list_transform(t, lambda w, i: case i % 5 when 1 then upper(w) when 2 then 'alpha ' || w when 3 then w when 4 then w || ' 2' else case when length(w) >= 5 then upper(w[1]) || substr(w, 2) else array_to_string(list_transform(range(1, length(w) + 1), lambda k: substr(w, k, 1)), ' ') end end), ' ')) as words from t""")
 def latex_words(spark, d):
-    raw = F.concat(F.lit(r"$$\mathrm { R N N } + 1 \left( S o f t m a x \right) x ^ {"), F.col("doc_id").cast("string"), F.lit("}$$"))
-    return table(spark, d, "documents").select("doc_id", F.regexp_replace(H.latex_words(raw), r"[()] ?", "").alias("words"))
+    """A document's words as a formula: set apart in capitals, under commands, as scripts, in environments, and set apart in small letters."""
+    apart = lambda w: F.array_join(F.split(w, ""), " ")
+    title = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2)))
+    shown = lambda w, i: (
+        F.when(i % 5 == 0, F.concat(F.lit(r"\mathrm { "), apart(F.upper(w)), F.lit(" } "))).when(i % 5 == 1, F.concat(F.lit(r"\alpha _ { "), w, F.lit(" } "))).when(i % 5 == 2, F.concat(F.lit("$"), w, F.lit("$")))
+        .when(i % 5 == 3, F.concat(F.lit(r"\begin{array} {l}"), w, F.lit(r"\left ^ {2} \end {array}"))).otherwise(F.concat(F.lit(r"\operatorname { "), apart(F.when(F.length(w) >= 5, title(w)).otherwise(w)), F.lit(r" } \quad "))))
+    words = T.matches(F.lower("text"), "[a-z]+")
+    return table(spark, d, "documents").select("doc_id", F.size(words).cast("long").alias("n"), F.md5(H.latex_words(F.array_join(F.transform(words, shown), " ")).cast("binary")).alias("words"))
 
 
 @query("""with c as (select conv_id, 100 * turn + case role when 'user' then 0 else 1 end as pos, length(text) as n, 1 + turn % 3 as paper from conversations), s as (select conv_id, sum(n + 48) + 120 * count(distinct paper) as n_chars from c group by 1)
@@ -231,11 +260,9 @@ def core_points(spark, d):
 
 
 @query(_GROUPS + """, f as (select source, section, row_number() over (partition by source order by min(pos)) as place from g group by 1, 2)
-select g.source, g.section, cast(f.place as integer) as place, array_to_string(list(id order by importance desc, total desc, pos) filter (importance >= 4), ',') as shown, array_to_string(list(id order by importance desc, total desc, pos) filter (importance < 4), ',') as folded from g join f using (source, section) group by 1, 2, 3""")
+select g.source, g.section, cast(f.place as integer) as place, id, importance >= 4 as shown, importance, total, pos from g join f using (source, section)""")
 def section_views(spark, d):
-    got = B.section_views(_groups(spark, d), "source")
-    show = lambda c: F.nullif(F.array_join(F.transform(c, lambda x: x.cast("string")), ","), F.lit(""))
-    return got.select("source", "section", "place", show("shown").alias("shown"), show("folded").alias("folded"))
+    return B.section_views(_groups(spark, d), "source").select("source", "section", "place", "id", "shown", "importance", "total", "pos")
 
 
 @query(_GROUPS + " select source, count(*) as groups, count(distinct section) as sections, count(*) filter (importance >= 5) as must, sum(cast(importance = 3 as integer))::bigint as limitations from g group by 1")
@@ -287,11 +314,13 @@ def set_judgement(spark, d):
     return R.ranked(per, ("qid", "route"), (F.desc("best"), F.asc("owner")))
 
 
-@query("""select conv_id, turn, array_to_string(list_slice(q, 1, 4), '|') as plan from (select conv_id, turn, list_filter([trim(substr(text, 1, 12)), role, trim(substr(text, 13, 12)), 'x'], lambda s: s <> '') as q from conversations)""")
+@query("""with q as (select conv_id, turn, role, [trim(text, ' '), role, trim(lower(text), ' '), role, 'x'] as q from conversations), n as (select conv_id, turn, role, list_filter(q, lambda s: s <> '') as q from q)
+select conv_id, turn, role, cast(len(u) as bigint) as n, md5(array_to_string(list_slice(u, 1, 3), '|')) as plan from (select conv_id, turn, role, list_filter(q, lambda s, i: list_position(q, s) = i) as u from n)""")
 def query_plan(spark, d):
-    part = lambda a: F.substring("text", a, 12)
-    plan = B.query_plan(part(1), F.array("role", part(13)), F.array(F.lit(" x ")), 4)
-    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(plan, "|").alias("plan"))
+    """The turn itself, its role and its small letters, and a variant: trimmed, each once, in order."""
+    every = B.query_plan(F.col("text"), F.array("role", F.lower("text"), "role"), F.array(F.lit(" x ")), 99)
+    first = B.query_plan(F.col("text"), F.array("role", F.lower("text"), "role"), F.array(F.lit(" x ")), 3)
+    return table(spark, d, "conversations").select("conv_id", "turn", "role", F.size(every).cast("long").alias("n"), F.md5(F.array_join(first, "|").cast("binary")).alias("plan"))
 
 
 @query("""with q as (select doc_id as qid, 'compare ' || source || ' with ' || 'src1' as question from documents), w as (select qid, unnest(list_distinct(regexp_extract_all(lower(question), '[a-z0-9_-]+'))) as w from q),
@@ -304,10 +333,10 @@ def focus_resolution(spark, d):
     return B.focused(questions, papers)
 
 
-@query("""with s as (select conv_id, turn, role, text, list_distinct(regexp_extract_all(substr(text, 1, 80), '[0-9]+|[A-Z]{2,}')) as sig from conversations), n as (select conv_id, turn, sig, lower(coalesce(lead(text) over (partition by conv_id order by turn, role, text), '')) as nxt, text from s)
+@query("""with s as (select conv_id, turn, role, text, list_distinct(regexp_extract_all(text, '[0-9]+|[A-Z]{2,}')) as sig from conversations), n as (select conv_id, turn, sig, lower(coalesce(lead(text) over (partition by conv_id order by turn, role, text), '')) as nxt, text from s)
 select conv_id, turn, cast(len(sig) as bigint) as n_signals, len(list_filter(sig, lambda x: not contains(nxt, lower(x)))) = 0 as hard_ok from n""")
 def signal_hard_check(spark, d):
-    sig = F.array_distinct(T.matches(F.substring("text", 1, 80), "[0-9]+|[A-Z]{2,}"))
+    sig = F.array_distinct(T.matches(F.col("text"), "[0-9]+|[A-Z]{2,}"))
     after = F.lower(F.coalesce(F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")), F.lit("")))
     rows = table(spark, d, "conversations").select("conv_id", "turn", sig.alias("sig"), after.alias("nxt"))
     return rows.select("conv_id", "turn", F.size("sig").cast("long").alias("n_signals"), F.forall("sig", lambda x: F.contains(F.col("nxt"), F.lower(x))).alias("hard_ok"))

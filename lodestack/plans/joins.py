@@ -78,14 +78,14 @@ def tiered_location(spark, d):
     return R.first_nonempty_tier(met, F.col("tier"), ("item_id",)).select("item_id", "tier", "doc_id").distinct()
 
 
-_VALUES = "list_slice(list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) >= 8))), 1, 3)"
+_VALUES = "list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) >= 10))"
 
 
 @query(f"""with v as (select item_id, {_VALUES} as vals from benchmark), t as (select doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) as words from documents)
 select v.item_id, t.doc_id, cast(len(vals) as bigint) as n_values from v join t on list_has_all(t.words, v.vals) where len(vals) > 0""")
 def value_cooccurrence(spark, d):
     """Documents that hold all values of a fact: values and words meet by equality, and matches are counted."""
-    vals = F.slice(F.sort_array(F.array_distinct(F.filter(T.latin_tokens(F.col("text")), lambda w: F.length(w) >= 8))), 1, 3)
+    vals = F.array_distinct(F.filter(T.latin_tokens(F.col("text")), lambda w: F.length(w) >= 10))
     facts = table(spark, d, "benchmark").select("item_id", vals.alias("vals")).where(F.size("vals") > 0)
     each = facts.select("item_id", F.size("vals").cast("long").alias("n_values"), F.explode("vals").alias("word"))
     words = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(T.latin_tokens(F.col("text")))).alias("word")).join(each.select("word").distinct(), "word", "left_semi")
@@ -146,7 +146,8 @@ def index_join_chain(spark, d):
 
 @query("""with c as (select source, doc_id % 9 as num, min(doc_id % 12) as page from documents group by 1, 2),
 b as (select source, doc_id, (doc_id * 5) % 12 as page, case when doc_id % 10 = 0 then 'Figure ' || (doc_id % 9) || ' ' else 'As Figure ' || (doc_id % 9) || ' shows, ' end || text as text from documents),
-m as (select source, doc_id, page, text, cast(nullif(regexp_extract(substr(text, 1, 40), 'Figure (\\d+)', 1), '') as bigint) as num from b where not starts_with(text, 'Figure') and length(text) > 15)
+n as (select source, doc_id, page, try_cast(unnest(regexp_extract_all(text, 'Figure (\\d+)', 1)) as bigint) as num from b where not starts_with(text, 'Figure') and length(text) > 15),
+m as (select distinct source, doc_id, page, num from n)
 select m.source, m.num, m.doc_id, m.page from m join c on c.source = m.source and c.num = m.num and m.page >= c.page - 1""")
 def figure_references(spark, d):
     docs = table(spark, d, "documents")
