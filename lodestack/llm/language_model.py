@@ -46,13 +46,13 @@ from .common import ascii_lower_words, crc_fold, cut, mix64
 PRIOR, GROWTH, PRIOR_3 = 10.0, 0.7, 8.0
 #: Tokens gathered before a batch is packed, training tokens in a shard, and the fewest shards.
 BATCH_TOKENS = 1_000_000
-SHARD_TOKENS = 3_000_000
+SHARD_TOKENS = 1_500_000
 LEAST_SHARDS = 16
 #: Most words that are dealt over all shards.
 HEAVY = 1 << 16
 CELLS = 20
 #: Paths that a task looks up together.
-ANSWER_PATHS = 4_000_000
+ANSWER_PATHS = 2_000_000
 #: Bytes of packed paths that one task of ``score`` answers.
 ASKED_BYTES = 256_000_000
 #: Quantised values are multiples of STEP (log10) in 16 bits.
@@ -220,15 +220,21 @@ class EliasFano:
         part[over] |= self.lows[w[over] + 1] << (np.uint64(64) - off[over])
         return ((high << np.uint64(self.low)) | (part & np.uint64((1 << self.low) - 1))) + self.first
 
-    def successor(self, begin: np.ndarray, end: np.ndarray, key: np.ndarray, base: np.ndarray) -> np.ndarray:
-        """First position in [begin, end) whose value less ``base`` is at least the key, else end.
+    def gather(self, i: np.ndarray) -> np.ndarray:
+        """Values at positions; decoded one after another where most are asked for."""
+        return self.decode(0, self.n)[i] if 4 * len(i) > self.n else self.access(i)
+
+    def successor(self, begin: np.ndarray, end: np.ndarray, key: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the first position in [begin, end) whose value less ``base`` is at least the key, else end; whether it is the key).
 
         Only blocks that a range touches are decoded; each query then halves its own range.
         """
         low, high = begin.astype(np.int64), end.astype(np.int64)
         live = np.flatnonzero(low < high)
+        same = np.zeros(len(low), bool)
         if not live.size:
-            return low
+            return low, same
+        inside = live
         touched = np.zeros(self.n // self.BLOCK + 2, np.int64)
         np.add.at(touched, low[live] // self.BLOCK, 1)
         np.add.at(touched, (high[live] - 1) // self.BLOCK + 1, -1)
@@ -242,7 +248,10 @@ class EliasFano:
             low[live] = np.where(less, middle + 1, low[live])
             high[live] = np.where(less, high[live], middle)
             live = live[low[live] < high[live]]
-        return low
+        inside = inside[low[inside] < end[inside]]
+        at = low[inside]
+        same[inside] = values[at - moved[at // self.BLOCK]] - base[inside] == key[inside]
+        return low, same
 
 
 def _steps(x: np.ndarray) -> np.ndarray:
@@ -340,9 +349,7 @@ class Trie:
     def look(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(node, known) of words."""
         zero = np.zeros(len(w), np.int64)
-        at = self.keys.successor(zero, zero + self.keys.n, w, zero.astype(np.uint64))
-        known = at < self.keys.n
-        known[known] = self.keys.access(at[known]) == w[known]
+        at, known = self.keys.successor(zero, zero + self.keys.n, w, zero.astype(np.uint64))
         return np.where(known, at, 0), known
 
     def look_below(self, level: int, node: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -350,15 +357,12 @@ class Trie:
         pointers, children, shift = (self.pointers, self.seconds, self.cut[0]) if level == 1 else (self.more, self.thirds, self.cut[1])
         if not len(node):
             return node, np.zeros(0, bool)
-        begin, end = pointers.access(node).astype(np.int64), pointers.access(node + 1).astype(np.int64)
-        base, key = node.astype(np.uint64) << (np.uint64(_V_BITS) - shift), context >> shift
-        at = children.successor(begin, end, key, base)
-        known = at < end
-        known[known] = children.access(at[known]) - base[known] == key[known]
+        begin, end = pointers.gather(node).astype(np.int64), pointers.gather(node + 1).astype(np.int64)
+        at, known = children.successor(begin, end, context >> shift, node.astype(np.uint64) << (np.uint64(_V_BITS) - shift))
         return np.where(known, at, 0), known
 
     def counts(self, node: np.ndarray) -> np.ndarray:
-        return (self.sums.access(node + 1) - self.sums.access(node)).astype(np.int64) if len(node) else np.zeros(0, np.int64)
+        return (self.sums.gather(node + 1) - self.sums.gather(node)).astype(np.int64) if len(node) else np.zeros(0, np.int64)
 
 
 # ---- counting ------------------------------------------------------------------------------------------------------
@@ -385,9 +389,9 @@ def _totals(texts: DataFrame) -> Totals:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _, tokens in _batches(batches, []):
             w, n = np.unique(np.concatenate(tokens), return_counts=True)
-            yield pd.DataFrame({"word": w.view(np.int64), "cell": (before(w) & _CELL).astype(np.int32), "n": n})
+            yield pd.DataFrame({"word": w.view(np.int64), "cell": (before(w) & _CELL).astype(np.int32), "n": n.astype(np.int32)})
 
-    words = cut(texts.mapInPandas(run, "word bigint, cell int, n bigint").groupBy("word", "cell").agg(F.sum("n").alias("n")), "words")
+    words = cut(texts.mapInPandas(run, "word bigint, cell int, n int").groupBy("word", "cell").agg(F.sum("n").alias("n")), "words")
     total = lambda c: F.coalesce(F.sum(c), F.lit(0))
     n, v, ends, once, twice = words.agg(total("n"), F.count(F.lit(1)), total(F.when(F.col("word") == int(END), F.col("n"))), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
     shards = max(LEAST_SHARDS, -(-n // SHARD_TOKENS))
@@ -457,13 +461,14 @@ def _ask(docs: DataFrame, shared) -> DataFrame:
             texts, times, held = text[entry], _lengths(entry, len(path)), _lengths(of_path, len(entry))
             w, v, u = w[at], v[at], u[at]
             shard = _shard_of(words[w], contexts[v], totals, heavy)
+            shard = _least(shard)
             sorted_paths, sorted_entries = np.argsort(shard, kind="stable"), np.argsort(np.repeat(shard, held), kind="stable")
             w, v, u, held, shard, texts, times = (*(x[sorted_paths] for x in (w, v, u, held, shard)), texts[sorted_entries], times[sorted_entries])
             ends = np.concatenate([[0], np.cumsum(held)])
             starts, out = _starts(shard), []
             for a, b in zip(starts.tolist(), np.append(starts[1:], len(w)).tolist()):
                 heads = _starts(w[a:b])
-                used, place = np.unique(np.concatenate([v[a:b], u[a:b]]), return_inverse=True)
+                used, place = _dense(np.concatenate([v[a:b], u[a:b]]))
                 i, j = ends[a], ends[b]
                 mine = texts[i:j]
                 last = np.unique(mine[np.repeat(words[w[a:b]] == END, held[a:b])])
@@ -476,21 +481,26 @@ def _ask(docs: DataFrame, shared) -> DataFrame:
     return docs.mapInPandas(run, "shard int, batch bigint, blob binary, ids array<string>")
 
 
+def _numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order, and the number of each value among them, of which a task holds fewer than 2 ** 31."""
+    values, number = np.unique(x, return_inverse=True)
+    return values, number.astype(np.int32)
+
+
 class Asked:
     """The distinct words, pairs and paths of some blobs of one shard, and what each blob says of them."""
 
     def __init__(self, blobs: list[bytes]):
         got = [_unpack(b) for b in blobs]
-        join = lambda k: np.concatenate([g[k] for g in got]).astype(np.int64)
-        self.words, word_of = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
-        self.contexts, context_of = np.unique(np.concatenate([_from_v40(g[2], g[3]) for g in got]), return_inverse=True)
+        self.words, word_of = _numbered(np.concatenate([g[0] for g in got]))
+        self.contexts, context_of = _numbered(np.concatenate([_from_v40(g[2], g[3]) for g in got]))
         sizes = [len(g[4]) for g in got]
-        offset = np.repeat(np.cumsum([0, *(len(g[2]) for g in got[:-1])]), sizes)
-        w, v, u = np.repeat(word_of, join(1)), context_of[join(4) + offset], context_of[join(5) + offset]
-        pairs, self.pair_of = np.unique((w.astype(np.uint64) << _HALF) | v.astype(np.uint64), return_inverse=True)
-        self.pair_word, self.pair_context = (pairs >> _HALF).astype(np.int64), (pairs & _LOW).astype(np.int64)
-        paths, self.path_of = np.unique((self.pair_of.astype(np.uint64) << _HALF) | u.astype(np.uint64), return_inverse=True)
-        self.path_pair, self.path_context = (paths >> _HALF).astype(np.int64), (paths & _LOW).astype(np.int64)
+        offset = np.repeat(np.cumsum([0, *(len(g[2]) for g in got[:-1])]).astype(np.int32), sizes)
+        joined = lambda k: np.concatenate([g[k] for g in got]).astype(np.int32)
+        pairs, pair_of = _numbered((np.repeat(word_of, joined(1)).astype(np.uint64) << _HALF) | context_of[joined(4) + offset].astype(np.uint64))
+        self.pair_word, self.pair_context = (pairs >> _HALF).astype(np.int32), (pairs & _LOW).astype(np.int32)
+        paths, self.path_of = _numbered((pair_of.astype(np.uint64) << _HALF) | context_of[joined(5) + offset].astype(np.uint64))
+        self.path_pair, self.path_context = (paths >> _HALF).astype(np.int32), (paths & _LOW).astype(np.int32)
         self.blobs, self.begin = got, np.cumsum([0, *sizes])
 
     def learned(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -506,9 +516,9 @@ class Asked:
 
     def answers(self, trie: Trie | None, totals: Totals) -> list[bytes]:
         """For each blob the sums of its texts."""
-        count, first, back = np.zeros(len(self.words), np.int64), np.zeros(len(self.words), np.int64), np.zeros(len(self.words), np.int64)
+        count, first, back = (np.zeros(len(self.words), kind) for kind in (np.int64, np.int32, np.int32))
         first[:] = _steps(np.log10(totals.smoothed(np.zeros(1))))[0]
-        second, second_back, third = (np.zeros(n, np.int64) for n in (len(self.pair_word), len(self.pair_word), len(self.path_pair)))
+        second, second_back, third = (np.zeros(n, np.int32) for n in (len(self.pair_word), len(self.pair_word), len(self.path_pair)))
         met2, met3 = np.zeros(len(second), bool), np.zeros(len(third), bool)
         if trie is not None:
             node, known = trie.look(self.words)
@@ -552,29 +562,36 @@ def _dense(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(there), (np.cumsum(there) - 1)[text]
 
 
-def _portions(blobs: pd.Series) -> Iterator[tuple[int, int, Asked]]:
-    """(from, to, asked) of blobs in portions of about ANSWER_PATHS paths."""
-    begin, size = 0, 0
-    for k, blob in enumerate(blobs):
+def _portions(blobs: pd.Series) -> list[list[bytes]]:
+    """Blobs in portions of about ANSWER_PATHS paths."""
+    out, size = [[]], 0
+    for blob in blobs:
         raw = zstandard.get_frame_parameters(blob).content_size
-        if size and size + raw > 16 * ANSWER_PATHS:
-            yield begin, k, Asked([*blobs[begin:k]])
-            begin, size = k, 0
+        if size and size + raw > 14 * ANSWER_PATHS:
+            out, size = [*out, []], 0
+        out[-1].append(blob)
         size += raw
-    if begin < len(blobs):
-        yield begin, len(blobs), Asked([*blobs[begin:]])
+    return out
 
 
-def _built(portions: list[Asked], totals: Totals) -> bytes:
-    """The trie of what blobs let learn."""
-    got = [a.learned() for a in portions]
+def _built(portions: list[list[bytes]], totals: Totals) -> tuple[bytes, Asked | None]:
+    """The trie of what blobs let learn, and what they ask if they are one portion."""
+    got = []
+    for some in portions:
+        asked = Asked(some)
+        got.append(asked.learned())
     w, v, u, n = got[0] if len(got) == 1 else (np.concatenate([g[k] for g in got]) for k in range(4))
     if len(got) > 1:
+        asked = None
         order = np.lexsort((u, v, w))
         w, v, u, n = w[order], v[order], u[order], n[order]
         at = _starts(w, v, u)
         w, v, u, n = w[at], v[at], u[at], np.add.reduceat(n, at) if len(at) else n
-    return Trie.build(w, v, u, n, totals)
+    return Trie.build(w, v, u, n, totals), asked
+
+
+def _answered(portions: list[list[bytes]], asked: Asked | None, trie: Trie | None, totals: Totals) -> list[bytes]:
+    return [x for some in portions for x in (asked or Asked(some)).answers(trie, totals)]
 
 
 def _mapped(trie: bytes) -> Trie:
@@ -624,7 +641,7 @@ def fit(training: DataFrame, text_col: str = "text") -> tuple[DataFrame, Totals]
     shared = training.sparkSession.sparkContext.broadcast(totals)
 
     def build(part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"shard": part["shard"].iloc[:1], "trie": [_built([a for _, _, a in _portions(part["blob"])], shared.value)]})
+        return pd.DataFrame({"shard": part["shard"].iloc[:1], "trie": [_built(_portions(part["blob"]), shared.value)[0]]})
 
     return cut(_ask(rows, shared).groupBy("shard").applyInPandas(build, "shard int, trie binary"), "tries"), totals
 
@@ -644,7 +661,7 @@ def score(docs: DataFrame, tries: DataFrame, totals: Totals, id_col: str = "doc_
         if not len(some):
             return pd.DataFrame({"batch": pd.Series(dtype="int64"), "blob": pd.Series(dtype=object), "ids": pd.Series(dtype=object)})
         trie = _mapped(model["trie"].iloc[0]) if len(model) else None
-        return pd.DataFrame({"batch": some["batch"], "blob": [x for _, _, a in _portions(some["blob"]) for x in a.answers(trie, shared.value)], "ids": some["ids"]})
+        return pd.DataFrame({"batch": some["batch"], "blob": _answered(_portions(some["blob"]), None, trie, shared.value), "ids": some["ids"]})
 
     by = ("shard", "part")
     answers = copies.groupBy(*by).cogroup(dealt.groupBy(*by)).applyInPandas(run, _ANSWER)
@@ -667,8 +684,8 @@ def score_corpus(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_co
     shared = docs.sparkSession.sparkContext.broadcast(totals)
 
     def run(asked: pd.DataFrame) -> pd.DataFrame:
-        portions = [*_portions(asked["blob"])]
-        trie = _mapped(_built([a for _, _, a in portions], shared.value))
-        return pd.DataFrame({"batch": asked["batch"], "blob": [x for _, _, a in portions for x in a.answers(trie, shared.value)], "ids": asked["ids"]})
+        portions = _portions(asked["blob"])
+        trie, whole = _built(portions, shared.value)
+        return pd.DataFrame({"batch": asked["batch"], "blob": _answered(portions, whole, _mapped(trie), shared.value), "ids": asked["ids"]})
 
     return _add_up(_ask(rows, shared).groupBy("shard").applyInPandas(run, _ANSWER), totals, id_col, docs.schema[id_col].dataType.simpleString()), totals
