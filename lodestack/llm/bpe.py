@@ -15,7 +15,6 @@ import heapq
 import json
 
 import numpy as np
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -137,20 +136,18 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_i
     def make():
         codec = Codec(shared.value)
 
-        def work(texts: pd.Series) -> pd.DataFrame:
+        def work(texts: list) -> dict:
             ids = [codec.encode(t) for t in texts]
-            out = pd.DataFrame({
-                "n_tokens": np.asarray([len(x) // 4 for x in ids], np.int64),
-                "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
-                "decoded_sha256": [hashlib.sha256(codec.decode(x)).hexdigest() for x in ids],
-            })
-            if with_ids:
-                out["token_ids"] = [np.frombuffer(x, "<u4").astype(np.int64) for x in ids]
-            return out
+            return {
+                "n_tokens": [len(x) // 4 for x in ids], "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids], "decoded_sha256": [hashlib.sha256(codec.decode(x)).hexdigest() for x in ids],
+                "token_ids": [np.frombuffer(x, "<u4").astype(np.int64) for x in ids] if with_ids else None,
+            }
 
         return work
 
-    fields = ["n_tokens", "ids_sha256", "decoded_sha256", *["token_ids"] * with_ids]
-    kinds = {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string", "token_ids": "array<bigint>"}
-    made = computed(docs.select(id_col, F.col(text_col).alias("_text"), F.struct(*(kept or [id_col])).alias("_kept")), "_text", (id_col, "_kept"), ", ".join(f"{f}:{kinds[f]}" for f in fields), make)
-    return made.select(id_col, *fields, *(F.col(f"_kept.{c}").alias(c) for c in kept))
+    fields = {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"} | ({"token_ids": "array<bigint>"} if with_ids else {})
+    made = computed(docs, text_col, (id_col, *kept), fields, make)
+    # Kept columns go behind the fields, by place, as they may be named like them.
+    order = [0, *range(len(kept) + 1, len(made.columns)), *range(1, len(kept) + 1)]
+    plain = made.toDF(*(f"_{i}" for i in range(len(made.columns))))
+    return plain.select(*(F.col(f"_{i}").alias(made.columns[i]) for i in order))

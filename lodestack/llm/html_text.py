@@ -19,9 +19,7 @@ from collections import Counter
 from html import unescape
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import computed
 
@@ -314,10 +312,8 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     """id, url, text, n_chars of every page. Narrow: no shuffle, memory is one Arrow batch."""
     tree = trained_tree()
 
-    def work(htmls: pd.Series) -> pd.DataFrame:
+    def work(htmls: list) -> dict:
         texts = [main_text(h, tree) for h in htmls]
-        return pd.DataFrame({"text": texts, "n_chars": np.asarray([len(t) for t in texts], np.int64)})
+        return {"text": texts, "n_chars": [len(t) for t in texts]}
 
-    kept = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).alias("_html"))
-    made = computed(kept, "_html", ("_id", "_url"), "text:string, n_chars:bigint", lambda: work)
-    return made.select(F.col("_id").alias(id_col), F.col("_url").alias(url_col), "text", "n_chars")
+    return computed(pages, html_col, (id_col, url_col), {"text": "string", "n_chars": "bigint"}, lambda: work)

@@ -196,13 +196,11 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[s
     """``keep`` columns, lang_pred and score of every row. Narrow; the model (a fixed number of weights) is broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def work(texts: pd.Series) -> pd.DataFrame:
+    def work(texts: list) -> dict:
         got = [shared.value.predict(t) for t in texts]
-        return pd.DataFrame({"lang_pred": [g[0] for g in got], "score": np.asarray([g[1] for g in got], float)})
+        return {"lang_pred": [g[0] for g in got], "score": [g[1] for g in got]}
 
-    kept = docs.select(F.struct(*keep).alias("_kept"), F.col(text_col).alias("_text"))
-    made = computed(kept, "_text", ("_kept",), "lang_pred:string, score:double", lambda: work)
-    return made.select(*(F.col(f"_kept.{c}").alias(c) for c in keep), "lang_pred", "score")
+    return computed(docs, text_col, keep, {"lang_pred": "string", "score": "double"}, lambda: work)
 
 
 def confident(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:

@@ -61,10 +61,10 @@ def fingerprint(text: str | None, width: int = WORDS, seed: int = SEED) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp bigint) of every document. Narrow."""
 
-    def work(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame({"fp": np.fromiter(map(fingerprint, texts), np.uint64, len(texts)).view(np.int64)})
+    def work(texts: list) -> dict:
+        return {"fp": np.fromiter(map(fingerprint, texts), np.uint64, len(texts)).view(np.int64)}
 
-    return computed(docs, text_col, (id_col,), "fp:bigint", lambda: work)
+    return computed(docs, text_col, (id_col,), {"fp": "bigint"}, lambda: work)
 
 
 def _variants(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:

@@ -180,11 +180,9 @@ def predict(docs: DataFrame, chain: Chain, text_col: str = "text", keep: tuple[s
 
     def make():
         model = Chain(shared.value.links)
-        return lambda texts: pd.DataFrame(np.asarray([model.predict(t) for t in texts], float).reshape(-1, len(names)), columns=names)
+        return lambda texts: dict(zip(names, np.asarray([model.predict(t) for t in texts], float).reshape(-1, len(names)).T))
 
-    kept = docs.select(F.struct(*keep).alias("_kept"), F.col(text_col).alias("_text"))
-    made = computed(kept, "_text", ("_kept",), ", ".join(f"`{n}`:double" for n in names), make)
-    return made.select(*(F.col(f"_kept.{c}").alias(c) for c in keep), *names)
+    return computed(docs, text_col, keep, dict.fromkeys(names, "double"), make)
 
 
 def without(docs: DataFrame, chain: Chain, category: str, threshold: float, text_col: str = "text") -> DataFrame:
