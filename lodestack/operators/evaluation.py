@@ -100,6 +100,72 @@ def judgeable(budget: float, cost: float) -> int:
     return max(0, math.floor((budget - 2 * cost) / cost))
 
 
+def judgeable_items(budget: Column, cost: Column) -> Column:
+    """``judgeable`` as an expression."""
+    return F.greatest(F.lit(0), F.floor((budget - 2 * cost) / cost)).cast("long")
+
+
+def subtopic_recall(paths: DataFrame, topics: DataFrame, depths: tuple[int, ...], by: tuple[str, ...] = ("qid",), route: str = "route") -> DataFrame:
+    """(by, route, k, n_topics, met, recall): how many of a question's subtopics the gold keys among the first k belong to.
+
+    topics: (by, key, topic) of the gold keys. A key may have several topics; depths without a hit have recall 0.
+    """
+    n = topics.groupBy(*by).agg(F.countDistinct("topic").alias("n_topics"))
+    swept = paths.select(*by, route, "key", "rank").withColumn("k", F.explode(F.array(*map(F.lit, depths))))
+    lists = swept.select(*by, route, "k").distinct().join(n, list(by))
+    met = swept.where(F.col("rank") <= F.col("k")).join(topics.select(*by, "key", "topic"), [*by, "key"]).groupBy(*by, route, "k").agg(F.countDistinct("topic").alias("met"))
+    met_or_none = F.coalesce("met", F.lit(0))
+    return lists.join(met, [*by, route, "k"], "left").select(*by, route, "k", "n_topics", met_or_none.alias("met"), F.round(met_or_none / F.col("n_topics"), 6).alias("recall"))
+
+
+def confusion(rows: DataFrame, truth: Column, said: Column, by: tuple[str, ...] = ()) -> DataFrame:
+    """tp, fp, fn, tn, precision, recall, F1 and accuracy of a yes-or-no classification; a figure without a base is null."""
+    of = lambda t, s: F.count_if((truth if t else ~truth) & (said if s else ~said))
+    c = rows.groupBy(*by).agg(of(True, True).alias("tp"), of(False, True).alias("fp"), of(True, False).alias("fn"), of(False, False).alias("tn"))
+    tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
+    share = lambda a, b: F.round(a / F.nullif(b, F.lit(0)), 6)
+    return c.select(*by, "tp", "fp", "fn", "tn", share(tp, tp + fp).alias("precision"), share(tp, tp + fn).alias("recall"), share(2 * tp, 2 * tp + fp + fn).alias("f1"), share(tp + tn, tp + fp + fn + tn).alias("accuracy"))
+
+
+def cross_validated(rows: DataFrame, features: tuple[str, ...], truth: str, id_col: str, folds: int = 5) -> DataFrame:
+    """``confusion`` of each fold of a logistic regression that learned from the others; folds by a hash of the id."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    dealt = VectorAssembler(inputCols=[*features], outputCol="_x").transform(rows).select(F.pmod(F.xxhash64(id_col), F.lit(folds)).cast("int").alias("fold"), "_x", F.col(truth).cast("double").alias("_y"))
+    judged = None
+    for k in range(folds):
+        learn, test = dealt.where(F.col("fold") != k), dealt.where(F.col("fold") == k)
+        said = LogisticRegression(featuresCol="_x", labelCol="_y", predictionCol="_said", maxIter=25, standardization=True).fit(learn).transform(test).select("fold", (F.col("_y") == 1).alias("truth"), (F.col("_said") == 1).alias("said"))
+        judged = said if judged is None else judged.unionByName(said)
+    return confusion(judged, F.col("truth"), F.col("said"), ("fold",))
+
+
+def coverage(rows: DataFrame, anchors: Column, evidence: Column, by: tuple[str, ...]) -> DataFrame:
+    """How many anchors of answers (an array each) stand in their evidence."""
+    held = F.size(F.filter(anchors, lambda a: evidence.contains(a)))
+    c = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("answers"), F.sum(F.size(anchors)).cast("long").alias("n"), F.sum(held).cast("long").alias("held"))
+    return c.withColumn("coverage", F.round(F.col("held") / F.nullif(F.col("n"), F.lit(0)), 6))
+
+
+def reachable(anchors: Column, views: dict[str, Column]) -> dict[str, Column]:
+    """For each view of a document how many of the anchors can be met in it."""
+    from ..functions.text import anchor_in
+
+    met = lambda view: F.size(F.filter(anchors, lambda a: anchor_in(a, view)))
+    return {name: met(view) for name, view in views.items()}
+
+
+def paired_decisions(pairs: DataFrame, by: str, id_col: str) -> DataFrame:
+    """A row for each value of ``by`` (a depth): means of two 0/1 outcomes x and y, their difference, questions gained and lost, the exact p of
+    that split, and the bootstrap interval of the difference."""
+    gained, lost = F.count_if(F.col("y") > F.col("x")), F.count_if(F.col("x") > F.col("y"))
+    mean = lambda c: F.round(F.avg(c), 6)
+    rows = pairs.groupBy(by).agg(F.count(F.lit(1)).alias("n"), mean("x").alias("mean_x"), mean("y").alias("mean_y"), F.round(F.avg("y") - F.avg("x"), 6).alias("delta"), gained.alias("gained"), lost.alias("lost"))
+    interval = paired_bootstrap(pairs, F.col("y") - F.col("x"), (by,), id_col).select(by, "low", "high")
+    return rows.withColumn("p_exact", mcnemar_p(F.col("gained"), F.col("lost"))).join(interval, by)
+
+
 def expected_ceiling(scores: DataFrame, sizes: tuple[int, ...], k: int, by: tuple[str, ...] = ("qid",)) -> DataFrame:
     """How much of the gold would still be in the first k if the corpus grew by D documents like the ones at hand.
 

@@ -211,6 +211,35 @@ def head_replaced(paths: DataFrame, picked: DataFrame, by: tuple[str, ...] = ("q
     return ranked(joined, by, (F.asc_nulls_last("pick"), F.asc("rank_before")))
 
 
+def cross_corpus(old: DataFrame, new: DataFrame, mode: str, quota_old: int, quota_new: int, weight: float = 0.5, outside: DataFrame | None = None, by: tuple[str, ...] = ("qid",), missing: float = -1e9) -> DataFrame:
+    """Ranked lists of two corpora as one.
+
+    rrf: by weighted ranks of whole lists (the new corpus weighs ``weight``); quota: the first of the old list, then of the new one;
+    score: those by their own scores, which must be of one scale; ce: those by outside scores (absent: ``missing``).
+    """
+    both = old.withColumn("corpus", F.lit(0)).unionByName(new.withColumn("corpus", F.lit(1))).withColumnRenamed("rank", "rank_before")
+    if mode == "rrf":
+        share = F.when(F.col("corpus") == 0, 1 - weight).otherwise(weight)
+        return ranked(both.withColumn("_s", F.round(share / (60 + F.col("rank_before")), 12)), by, (F.desc("_s"), F.asc("key"))).drop("_s")
+    pool = both.where(F.col("rank_before") <= F.when(F.col("corpus") == 0, quota_old).otherwise(quota_new))
+    if mode == "quota":
+        return ranked(pool, by, (F.asc("corpus"), F.asc("rank_before")))
+    if mode == "score":
+        return ranked(pool, by, (F.desc("score"), F.asc("key")))
+    if mode == "ce":
+        scored = pool.join(outside.select(*by, "key", F.col("score").alias("_ce")), [*by, "key"], "left").withColumn("_ce", F.coalesce("_ce", F.lit(missing)))
+        return ranked(scored, by, (F.desc("_ce"), F.asc("corpus"), F.asc("rank_before"))).drop("_ce")
+    raise ValueError(f"unknown mode {mode}")
+
+
+def z_added(rows: DataFrame, weights: dict[str, float], k: int, by: tuple[str, ...] = ("qid",)) -> DataFrame:
+    """(by, key, fused, rank): weighted sum of the z-scores of columns within each list (0 where a column does not vary), the first k."""
+    w = Window.partitionBy(*by)
+    z = lambda c: F.when(F.stddev_pop(c).over(w) > 1e-9, (F.col(c) - F.avg(c).over(w)) / F.stddev_pop(c).over(w)).otherwise(0.0)
+    total = sum((z(c) * x for c, x in weights.items()), F.lit(0.0))
+    return top_k(rows.select(*by, "key", F.round(total, 6).alias("fused")), k, by, (F.desc("fused"), F.asc("key")))
+
+
 def gated(old: DataFrame, new: DataFrame, threshold: float, quota_old: int, quota_new: int, by: tuple[str, ...] = ("qid",)) -> DataFrame:
     """Old list's quota; the new corpus' follows for queries where max(old) - max(new) < threshold, or where the old list is empty."""
     best_old = old.groupBy(*by).agg(F.max("score").alias("_old"))

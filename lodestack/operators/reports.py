@@ -72,6 +72,62 @@ def check_levels(levels: tuple[str, ...]) -> tuple[str, ...]:
     return levels
 
 
+#: Flagged claims beyond this share cast doubt on the flagging.
+ABNORMAL = 0.3
+
+
+def too_noisy(flagged: Column, every: Column) -> Column:
+    """Whether so many claims are flagged that a person should look at it before they go."""
+    return (every > 0) & (flagged / every > ABNORMAL)
+
+
+def material(rows: DataFrame, n: int, focus: DataFrame | None = None) -> DataFrame:
+    """(paper, key, score, rank): the n best keys of each paper, of the papers in focus if any are named."""
+    kept = rows if focus is None else rows.join(focus.select("paper"), "paper", "left_semi")
+    return top_k(kept, n, ("paper",), (F.desc("score"), F.asc("key")))
+
+
+def listing(rows: DataFrame, unclear: int = 5, by: str = "qid") -> DataFrame:
+    """(by, key, verdict, place, unshown): accepted keys by rank, then the first ``unclear`` undecided ones with the number of those left out.
+
+    Rejected keys are not listed, and undecided ones never count as rejected.
+    """
+    w = Window.partitionBy(by)
+    of_kind = F.count(F.lit(1)).over(Window.partitionBy(by, "verdict"))
+    numbered = rows.where(F.col("verdict") != "no").withColumns({"_n": F.row_number().over(Window.partitionBy(by, "verdict").orderBy("rank")), "_all": of_kind})
+    kept = numbered.where((F.col("verdict") == "yes") | (F.col("_n") <= unclear))
+    unshown = F.when(F.col("verdict") == "unclear", F.greatest(F.col("_all") - unclear, F.lit(0)))
+    return kept.select(by, "key", "verdict", F.row_number().over(w.orderBy(F.col("verdict") == "unclear", "rank")).alias("place"), unshown.alias("unshown"))
+
+
+# Ordinals in words, and the patterns that name a paper by its place in the corpus.
+ORDINALS = ("first", "second", "third", "fourth", "fifth", "sixth", "seventh", "eighth", "ninth")
+PLACES = (r"\bpaper (\d{1,3})\b", r"\b(\d{1,3})(?:st|nd|rd|th) paper\b", r"\bpaper ([a-z])\b", r"\b(" + "|".join(ORDINALS) + r") paper\b")
+
+
+def focus(questions: DataFrame, papers: DataFrame, names: DataFrame) -> DataFrame:
+    """(qid, paper) of papers that a question names, by place or by name; a question that names none has no row.
+
+    questions: (qid, question), papers: (paper, no), names: (paper, name), names of any number of words. A name inside a longer
+    name of another paper that the question also holds does not count. Questions and names meet by equality of word runs,
+    as long as the longest name (a number that the driver reads).
+    """
+    low = F.lower("question")
+    number = F.coalesce(F.col("_m").try_cast("int"), F.when(F.length("_m") == 1, F.ascii("_m") - 96), F.nullif(F.array_position(F.array(*map(F.lit, ORDINALS)), F.col("_m")), F.lit(0)).cast("int"))
+    said = questions.select("qid", F.explode(F.flatten(F.array(*(F.regexp_extract_all(low, F.lit(p), F.lit(1)) for p in PLACES)))).alias("_m")).select("qid", number.alias("no"))
+    by_place = said.join(papers, "no").select("qid", "paper")
+    tokens = F.regexp_extract_all(F.lower("name"), F.lit(r"[a-z0-9_-]+"), F.lit(0))
+    called = names.select("paper", F.array_join(tokens, " ").alias("_name"), F.size(tokens).alias("_n"))
+    longest = called.agg(F.max("_n")).first()[0] or 0
+    words = F.regexp_extract_all(low, F.lit(r"[a-z0-9_-]+"), F.lit(0))
+    runs = lambda n: F.when(F.size("_w") >= n, F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), lambda i: F.array_join(F.slice("_w", i, n), " ")))
+    every = F.array_distinct(F.flatten(F.array(*(F.coalesce(runs(n), F.array().cast("array<string>")) for n in range(1, longest + 1))))) if longest else F.array().cast("array<string>")
+    met = questions.select("qid", words.alias("_w")).select("qid", F.explode(every).alias("_name")).join(called, "_name").select("qid", "paper", "_name").distinct()
+    held = met.groupBy("qid").agg(F.collect_set(F.struct("paper", "_name")).alias("_all"))
+    inside = F.exists("_all", lambda o: (o["paper"] != F.col("paper")) & o["_name"].contains(F.col("_name")))
+    return met.join(held, "qid").where(~inside).select("qid", "paper").unionByName(by_place).distinct()
+
+
 def focused(questions: DataFrame, papers: DataFrame, qid: str = "qid", text: str = "question", paper: str = "paper", name: str = "name") -> DataFrame:
     """(qid, paper) of papers that a question names; a name inside a longer name that is also there does not count.
 

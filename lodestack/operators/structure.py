@@ -164,6 +164,27 @@ def titled_chunks(blocks: DataFrame, max_len: int = 4_000) -> DataFrame:
     return blocks.groupBy("doc_id").applyInPandas(fold, "doc_id bigint, chunk_id string, pos int, title_path array<string>, part int, parts int, first_page int, last_page int, text string")
 
 
+def length_batches(rows: DataFrame, most: int, budget: int, by: str) -> DataFrame:
+    """(by, key, size, batch): keys of a group by size, in batches of at most ``most`` whose number times the largest size is at most ``budget``.
+
+    For models that pad a batch to its longest text; a text beyond the budget stands alone. A group's sizes are one array, so
+    groups should be what one worker embeds.
+    """
+
+    def fold(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["size", "key"], kind="stable")
+        batch, n, numbers = 1, 0, []
+        for size in part["size"]:  # ascending, so the newest is the largest
+            if n and (n >= most or size * (n + 1) > budget):
+                batch, n = batch + 1, 0
+            n += 1
+            numbers.append(batch)
+        return part.assign(batch=numbers)
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    return rows.select(by, "key", "size").groupBy(by).applyInPandas(fold, f"{by} {kinds[by]}, key {kinds['key']}, size {kinds['size']}, batch int")
+
+
 def element_text(kind: Column, text: Column, caption: Column, body: Column, footnote: Column) -> Column:
     """The searchable text of a layout element by its type; body is already plain."""
     joined = lambda *cs: F.array_join(F.filter(F.array(*(F.coalesce(c, F.lit("")) for c in cs)), lambda x: F.trim(x) != ""), "\n")

@@ -143,7 +143,8 @@ def salvaged_facts(text: Column) -> Column:
 def plain_answer(text: Column) -> Column:
     """Lower case, no articles, no punctuation, single spaces; accents are taken off letters."""
     folded = F.translate(F.lower(text), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
-    return T.squeezed(F.regexp_replace(F.regexp_replace(folded, r"[^\p{L}\p{N}\s]", ""), r"\b(?:a|an|the)\b", " "))
+    words = F.split(F.regexp_replace(folded, r"[^\p{L}\p{N}\s]", ""), r"\s+")
+    return F.array_join(F.filter(words, lambda w: ~w.isin("", "a", "an", "the")), " ")
 
 
 def identity(stored: Column, now: Column) -> Column:
