@@ -9,8 +9,8 @@ from ..functions import text as T
 
 #: Consecutive inner words of a quote by which it is looked up before it is compared.
 PROBE = 3
-#: Short quotes that are looked for in one pass over the texts, about.
-SHORT_BLOCK = 2_000
+#: Characters of the runs by which quotes of one or two words are looked up.
+GRAM = 3
 
 
 def numbered(rows: DataFrame, group: str, order: str, block: Column | None = None) -> DataFrame:
@@ -40,8 +40,8 @@ def containing(quotes: DataFrame, texts: DataFrame, quote_id: str, quote_col: st
 
     Instead of comparing every pair, the least frequent of a quote's inner runs of three words is looked up among the texts'
     runs, and only texts that have it are searched. Quotes of fewer than five words have no inner run that must be whole in a
-    text; they are few and short, and each is looked up by its longest inner word; those of one or two words are
-    searched for in all texts, block after block.
+    text; each is looked up by its longest inner word. Those of one or two words may stand inside other words and are looked up by
+    the rarest of their runs of three characters, those of one or two characters by the characters.
     """
     q = quotes.select(F.col(quote_id).alias("_qid"), T.normal(F.col(quote_col)).alias("_q")).where("_q <> ''").withColumn("_w", _words(F.col("_q")))
     t = texts.select(F.col(text_id).alias("_tid"), T.normal(F.col(text_col)).alias("_t")).withColumn("_w", _words(F.col("_t")))
@@ -56,15 +56,21 @@ def containing(quotes: DataFrame, texts: DataFrame, quote_id: str, quote_col: st
     words = t.select("_tid", F.explode(F.array_distinct("_w")).alias("_word")).join(middling.select("_word").distinct(), "_word", "left_semi")
     by_word = middling.join(words, "_word").select("_qid", "_q", "_tid")
     near = by_run.unionByName(by_word).distinct().join(t.select("_tid", "_t"), "_tid").where(F.col("_t").contains(F.col("_q")))
-    # One or two words may stand inside other words, so all texts are searched for such quotes, taken in blocks of bounded size.
+    # One or two words may stand inside other words, so they are looked up by characters.
     short = q.where(F.size("_w") < 3).select("_qid", "_q")
-    n = short.count()
+    grams = lambda text, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substr(text, i, F.lit(n)))
     found = near.select("_qid", "_tid")
-    blocks = -(-n // SHORT_BLOCK)
-    for i in range(blocks):
-        block = short.where(F.pmod(F.xxhash64("_qid"), F.lit(blocks)) == i).groupBy().agg(F.collect_list(F.struct("_qid", "_q")).alias("_all"))
-        met = t.join(F.broadcast(block)).select("_tid", F.explode(F.filter("_all", lambda s: F.instr(F.col("_t"), s["_q"]) > 0)).alias("s"))
-        found = found.unionByName(met.select(F.col("s._qid").alias("_qid"), "_tid"))
+    if short.isEmpty():
+        return found.select(F.col("_qid").alias(quote_id), F.col("_tid").alias(text_id))
+    size = F.least(F.length("_q"), F.lit(GRAM))
+    asked = short.select("_qid", "_q", F.explode(F.array_distinct(grams(F.col("_q"), size))).alias("_run"))
+    wanted_runs = asked.select("_run").distinct()
+    pieces = F.flatten(F.array(*(grams(F.col("_t"), n) for n in range(1, GRAM + 1))))
+    texts_of = t.select("_tid", F.explode(F.array_distinct(pieces)).alias("_run")).join(wanted_runs, "_run", "left_semi")
+    count = texts_of.groupBy("_run").agg(F.count(F.lit(1)).alias("_n"))
+    least = asked.join(count, "_run", "left").groupBy("_qid", "_q").agg(F.min_by("_run", F.struct(F.coalesce("_n", F.lit(0)), F.col("_run"))).alias("_run"))
+    by_gram = least.join(texts_of, "_run").select("_qid", "_q", "_tid").join(t.select("_tid", "_t"), "_tid").where(F.col("_t").contains(F.col("_q")))
+    found = found.unionByName(by_gram.select("_qid", "_tid"))
     return found.select(F.col("_qid").alias(quote_id), F.col("_tid").alias(text_id))
 
 

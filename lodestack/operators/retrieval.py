@@ -1,7 +1,7 @@
 """Lexical and dense retrieval over whole corpora.
 
 Lexical scores join query terms with postings: documents are tokenised once, only tokens of some query survive the join, and
-counts are combined before the shuffle. Dense scores take the queries in blocks of bounded size, each sent to all vectors.
+counts are combined before the shuffle. Dense scores compare blocks of queries with blocks of vectors.
 """
 
 from __future__ import annotations
@@ -28,6 +28,9 @@ class Bm25:
     min_df: int = 1
 
 
+#: Documents of a term that are joined with its queries at one place.
+DEALT = 1 << 20
+
 PLAIN = Bm25()
 SPARSE = Bm25(query_power=2, numerator=True, min_df=2)
 DISTINCT = Bm25(k1=1.2, query_power=0, numerator=True)
@@ -51,61 +54,68 @@ def idf(n: Column, df: Column) -> Column:
 
 
 def bm25(docs: DataFrame, queries: DataFrame, tokenise, model: Bm25 = PLAIN, id_col: str = "doc_id", qid_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(qid, key, score) of every document that shares a term with a query; queries without any signal have no rows."""
+    """(qid, key, score) of every document that shares a term with a query; queries without any signal have no rows.
+
+    Documents are tokenised once for their postings (whose shuffle serves both the counts of terms and the scores) and once for the
+    one row of their number and mean length. Postings meet queries in shares of about ``DEALT`` documents, so that a term that most
+    documents hold is not one task's.
+    """
     terms = queries.select(F.col(qid_col).alias("qid"), F.explode(tokenise(F.col(text_col))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qf"))
     found = postings(docs, tokenise(F.col(text_col)), id_col, terms)
-    df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= model.min_df)
+    # A sum over tf, not a count, so that this reads the same columns as the scores and shares their shuffle.
+    df = found.groupBy("term").agg(F.sum(F.when(F.col("tf") > 0, 1)).alias("df")).where(F.col("df") >= model.min_df)
     stats = F.broadcast(corpus_stats(docs, tokenise(F.col(text_col))))  # one row
+    shares = -(-docs.count() // DEALT) or 1
+    wanted, by = terms.join(df, "term"), ["term"]
+    if shares > 1:
+        wanted, by = wanted.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))), ["term", "_share"]
+        found = found.withColumn("_share", F.pmod(F.xxhash64("key"), F.lit(shares)).cast("int"))
     length = F.when(F.col("avgdl") > 0, 1 - model.b + model.b * F.col("dl") / F.col("avgdl"))
     below = F.when(F.col("avgdl") > 0, F.col("tf") + model.k1 * length).otherwise(F.lit(1.0))
     weight = idf(F.col("n_docs"), F.col("df")) * F.pow(F.col("qf"), F.lit(model.query_power)) * F.col("tf") * (model.k1 + 1 if model.numerator else 1.0) / below
-    joined = found.join(terms.join(df, "term"), "term").join(stats)
+    joined = found.join(wanted, by).join(stats)
     return joined.groupBy("qid", "key").agg(F.sum(weight).alias("score")).where("score > 0")
 
 
-def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", block: int = 16_384, digits: int = 6, drop_self: bool = True) -> DataFrame:
+def _best(rows: np.ndarray, keys: np.ndarray, queries: np.ndarray, qids: np.ndarray, k: int, digits: int, drop_self: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(query id, keys, scores) of each query's k best rows, ties to the smaller key; queries in portions, so that no whole product is held."""
+    norm = np.maximum(np.linalg.norm(rows, axis=1), 1e-300)
+    for at in range(0, len(queries), 64):
+        q = queries[at : at + 64]
+        s = np.round((q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)) @ rows.T / norm, digits)
+        for qid, own in zip(qids[at : at + 64], s):
+            if drop_self:
+                own = np.where(keys == qid, -np.inf, own)
+            top = np.arange(len(own)) if len(own) <= k else np.flatnonzero(own >= np.partition(own, -k)[-k])
+            top = top[np.lexsort((keys[top], -own[top]))][:k]
+            top = top[own[top] > -np.inf]
+            if len(top):
+                yield qid, keys[top], own[top]
+
+
+def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", rows_at_once: int = 32_768, queries_at_once: int = 4_096, digits: int = 6, drop_self: bool = True) -> DataFrame:
     """(qid, key, rank, score): exact cosine in double precision, ties to the smaller key.
 
-    Queries are taken in blocks of at most about ``block`` vectors (by a hash of their id), and each block, of known size,
-    meets every vector; a task keeps its k best of each query, and the last merge is a window over those.
+    Both sides are dealt into blocks of bounded size by a hash of their ids; each pair of blocks is one task, which keeps its k best
+    of each query, and the last merge is a window over those. Only two counts reach the driver.
     """
     spark = vectors.sparkSession
     asked = queries.select(F.col(id_col).cast("long").alias("qid"), F.col(vec_col).cast("array<double>").alias("vec")).where("qid is not null and vec is not null")
-    n = asked.count()
-    blocks = max(1, -(-2 * n // block)) if n > block else 1
     rows = vectors.select(F.col(id_col).cast("long").alias("key"), F.col(vec_col).cast("array<double>").alias("vec")).where("key is not null and vec is not null")
-    parts = []
-    for i in range(blocks):
-        held = asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i).toPandas()
-        if not len(held):
-            continue
-        q = np.stack(held["vec"])
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        shared = spark.sparkContext.broadcast((held["qid"].to_numpy(), q))
-
-        def best(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            qids, q = shared.value
-            for batch in batches:
-                if not len(batch):
-                    continue
-                x = np.stack(batch["vec"])
-                keys = batch["key"].to_numpy()
-                s = np.round((q @ x.T) / np.maximum(np.linalg.norm(x, axis=1), 1e-300), digits)
-                for j, qid in enumerate(qids):
-                    own = s[j].copy()
-                    if drop_self:
-                        own[keys == qid] = -np.inf
-                    top = np.lexsort((keys, -own))[:k]
-                    top = top[own[top] > -np.inf]
-                    yield pd.DataFrame({"qid": qid, "key": keys[top], "score": own[top]})
-
-        parts.append(rows.mapInPandas(best, "qid bigint, key bigint, score double"))
-    if not parts:
-        return spark.createDataFrame([], "qid bigint, key bigint, score double, rank int")
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    return top_k(every, k, by=("qid",))
+    n_queries, n_rows = asked.count(), rows.count()
+    dealt = max(-(-n_rows // rows_at_once), min(n_rows // 256, spark.sparkContext.defaultParallelism), 1)
+    portions = max(1, -(-n_queries // queries_at_once))
+    row_blocks = rows.withColumn("rb", F.pmod(F.xxhash64("key"), F.lit(dealt)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(portions - 1))))
+    query_blocks = asked.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(portions)).cast("int")).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(dealt - 1))))
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = [*_best(np.stack(left["vec"]), left["key"].to_numpy(), np.stack(right["vec"]), right["qid"].to_numpy(), k, digits, drop_self)] if len(left) and len(right) else []
+        sizes = [len(keys) for _, keys, _ in found]
+        joined = lambda j, kind: np.concatenate([f[j] for f in found]) if found else np.zeros(0, kind)
+        return pd.DataFrame({"qid": np.repeat(np.asarray([q for q, _, _ in found], np.int64), sizes), "key": joined(1, np.int64), "score": joined(2, np.float64)})
+
+    met = row_blocks.groupBy("qb", "rb").cogroup(query_blocks.groupBy("qb", "rb")).applyInPandas(meet, "qid bigint, key bigint, score double")
+    return top_k(met, k, by=("qid",))
 
 
 def hash_embedding(docs: DataFrame, tokens: Column, id_col: str, dim: int = 256) -> DataFrame:

@@ -22,5 +22,11 @@ def query(sql: str | None = None) -> Callable:
     return keep
 
 
+#: Tables whose rows are work enough to be worth more tasks than a small file has row groups.
+HEAVY = ("documents", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one of long texts that has fewer partitions than there are cores (a small file) is dealt over them."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in HEAVY and df.rdd.getNumPartitions() < cores else df

@@ -36,29 +36,61 @@ def submitted_once(requests: DataFrame, key: str, active: DataFrame) -> DataFram
     return requests.dropDuplicates([key]).join(waiting, key, "left_anti")
 
 
-def follow_latest(records: DataFrame, keys: tuple[str, ...], at: str, pos: str, folder: str, checkpoint: str) -> StreamingQuery:
+#: Parts of a followed table, by a hash of its keys; a micro-batch rewrites those that it touches.
+PARTS = 64
+
+
+def follow_latest(records: DataFrame, keys: tuple[str, ...], at: str, pos: str, folder: str, checkpoint: str, parts: int = PARTS) -> StreamingQuery:
     """Keep a table of the latest record of each key next to a stream of records.
 
-    Each micro-batch is reduced first and written as a snapshot named by its number, together with what was there before, so a
-    batch that is run again after a failure writes the same snapshot again. Read the newest with ``read_latest``.
+    Each micro-batch is reduced first; the parts that hold its keys are read, merged and written as a new version named by the
+    batch's number, and versions that no newer batch needs go. A batch that is run again after a failure reads the version before
+    its own and writes the same again. Read the newest with ``read_latest``.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        now = latest(batch, keys, at, pos)
-        before = read_latest(batch.sparkSession, folder, number)
-        every = now if before is None else before.unionByName(now)
-        latest(every, keys, at, pos).select(*batch.columns).write.mode("overwrite").parquet(f"{folder}/snapshot={number:012d}")
+        now = latest(batch, keys, at, pos).select(*batch.columns, F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int").alias("part"))
+        touched = sorted(r[0] for r in now.select("part").distinct().collect())  # ``parts`` at most
+        held = versions(batch.sparkSession, folder)
+        before = {p: max((v for v in held.get(p, []) if v < number), default=None) for p in touched}
+        old = _read(batch.sparkSession, folder, {p: v for p, v in before.items() if v is not None})
+        every = now if old is None else old.select(*now.columns).unionByName(now)
+        merged = latest(every, (*keys, "part"), at, pos).select(*batch.columns, "part")
+        merged.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{folder}/version={number:012d}")
+        fs, root = _filesystem(batch.sparkSession, folder)
+        for p in touched:  # what a repetition of this batch reads stays
+            for v in held.get(p, []):
+                if before[p] is not None and v < before[p]:
+                    fs.delete(root.suffix(f"/version={v:012d}/part={p}"), True)
 
     return records.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(merge).start()
 
 
-def read_latest(spark, folder: str, before: int | None = None) -> DataFrame | None:
-    """The newest snapshot (with a number below ``before``), or None."""
+def _filesystem(spark, folder: str):
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def versions(spark, folder: str) -> dict[int, list[int]]:
+    """The versions of each part of a followed table that were written whole."""
+    fs, root = _filesystem(spark, folder)
+    out: dict[int, list[int]] = {}
+    for version in fs.listStatus(root) if fs.exists(root) else []:
+        name = version.getPath().getName()
+        if name.startswith("version=") and fs.exists(version.getPath().suffix("/_SUCCESS")):
+            for part in fs.listStatus(version.getPath()):
+                if part.getPath().getName().startswith("part="):
+                    out.setdefault(int(part.getPath().getName().split("=")[1]), []).append(int(name.split("=")[1]))
+    return out
+
+
+def _read(spark, folder: str, chosen: dict[int, int]) -> DataFrame | None:
+    if not chosen:
         return None
-    names = [s.getPath().getName() for s in fs.listStatus(path)]
-    numbers = sorted(int(n.split("=")[1]) for n in names if n.startswith("snapshot="))
-    numbers = [n for n in numbers if before is None or n < before]
-    return spark.read.parquet(f"{folder}/snapshot={numbers[-1]:012d}") if numbers else None
+    return spark.read.option("basePath", folder).parquet(*(f"{folder}/version={v:012d}/part={p}" for p, v in chosen.items())).drop("version")
+
+
+def read_latest(spark, folder: str) -> DataFrame | None:
+    """The newest version of every part, or None."""
+    got = _read(spark, folder, {p: max(v) for p, v in versions(spark, folder).items()})
+    return None if got is None else got.drop("part")

@@ -46,7 +46,7 @@ def test_cosine_in_blocks_is_exact(spark):
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     for block in (16_384, 7):
         got = {}
-        for r in S.cosine_topk(v, v.where("vec_id < 20"), 3, block=block).orderBy("qid", "rank").collect():
+        for r in S.cosine_topk(v, v.where("vec_id < 20"), 3, rows_at_once=block, queries_at_once=block).orderBy("qid", "rank").collect():
             got.setdefault(r.qid, []).append(r.key)
         s = u[:20] @ u.T
         s[np.arange(20), np.arange(20)] = -9
