@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregates, checks, documents, evaluation, joins, layout, ranking, retrieval  # noqa: F401
+from . import aggregates, checks, documents, evaluation, inputs, joins, layout, ranking, retrieval  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -153,3 +153,64 @@ def search_recall(spark, d):
         at(5).alias("hits5"), F.round(at(5) / F.col("n_gold"), 6).alias("recall5"), F.round(at(20) / F.col("n_gold"), 6).alias("recall20"),
         F.coalesce(F.round(F.max(F.when(F.col("rank") <= 10, 1.0 / F.col("rank"))), 6), F.lit(0.0)).alias("rr10"),
     )
+
+
+_SUBQUERIES = """
+with g as (select vec_id as qid, unnest([vec_id, vec_id + 1, vec_id + 7]) as sub from embeddings where vec_id % 100 = 0),
+q as (select distinct sub, e.embedding::double[] as a from g join embeddings e on e.vec_id = g.sub),
+s as (select q.sub, e.vec_id as key, round(list_dot_product(q.a, e.embedding::double[]) / (sqrt(list_dot_product(q.a, q.a)) * sqrt(list_dot_product(e.embedding::double[], e.embedding::double[]))), 6) as score from q join embeddings e on e.vec_id <> q.sub),
+r as (select * from (select *, row_number() over (partition by sub order by score desc, key) as rank from s) where rank <= 50)"""
+
+
+@query(_SUBQUERIES + """, f as (select g.qid, r.key, count(*) as n_queries, round(avg(score), 6) as mean_cosine, round(sum(1.0 / (60 + rank)), 9) as fused from g join r using (sub) group by 1, 2)
+select qid, key, n_queries, mean_cosine, fused, cast(rank as integer) as rank from (select *, row_number() over (partition by qid order by fused desc, key) as rank from f) where rank <= 10""")
+def multi_query_rrf(spark, d):
+    """A question asked in three ways: dense lists of each fused by rank; the mean cosine is carried along."""
+    v = table(spark, d, "embeddings").select("vec_id", "embedding")
+    asked = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.explode(F.array("vec_id", F.col("vec_id") + 1, F.col("vec_id") + 7)).alias("sub"))
+    found = S.cosine_topk(v, v.join(asked.select(F.col("sub").alias("vec_id")).distinct(), "vec_id", "left_semi"), 50).withColumnRenamed("qid", "sub")
+    per = asked.join(found, "sub").groupBy("qid", "key").agg(F.count(F.lit(1)).alias("n_queries"), F.round(F.avg("score"), 6).alias("mean_cosine"), F.round(F.sum(1.0 / (60 + F.col("rank"))), 9).alias("fused"))
+    return R.top_k(per, 10, order=(F.desc("fused"), F.asc("key")))
+
+
+_BOTH = "with lexical as (" + _bm25_sql(MIXED_SQL, 1.5, "qf", "1", 1, 50) + """),
+q as (select item_id as qid, e.embedding::double[] as a from benchmark join embeddings e on e.vec_id = item_id),
+s as (select q.qid, e.vec_id as key, round(list_dot_product(q.a, e.embedding::double[]) / (sqrt(list_dot_product(q.a, q.a)) * sqrt(list_dot_product(e.embedding::double[], e.embedding::double[]))), 6) as score from q join embeddings e on e.vec_id <> q.qid),
+dense as (select * from (select *, row_number() over (partition by qid order by score desc, key) as rank from s) where rank <= 50),
+u as (select qid, key, rank, score as cosine from dense union all select qid, key, rank, null from lexical),
+f as (select qid, key, count(*) as n_routes, max(cosine) as cosine, round(sum(case when cosine is null then 0.5 else 1.5 end / (60 + rank)), 9) as fused from u group by 1, 2),
+r as (select *, row_number() over (partition by qid order by fused desc, key) as rank from f)"""
+
+
+def _lexical_and_dense(spark, d):
+    v = table(spark, d, "embeddings").select("vec_id", "embedding")
+    dense = S.cosine_topk(v, v.join(table(spark, d, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi"), 50).select("qid", "key", "rank", F.col("score").alias("cosine"))
+    both = dense.unionByName(_top(spark, d, T.mixed_tokens, S.PLAIN, 50).select("qid", "key", "rank", F.lit(None).cast("double").alias("cosine")))
+    weight = F.when(F.col("cosine").isNull(), 0.5).otherwise(1.5)
+    return both.groupBy("qid", "key").agg(F.count(F.lit(1)).alias("n_routes"), F.max("cosine").alias("cosine"), F.round(F.sum(weight / (60 + F.col("rank"))), 9).alias("fused"))
+
+
+@query(_BOTH + " select qid, key, n_routes, cosine, fused, cast(rank as integer) as rank from r where rank <= 10")
+def lexical_dense_hybrid(spark, d):
+    """Lexical and dense lists of one question fused by weighted ranks; a question without a lexical signal has its dense list only."""
+    return R.top_k(_lexical_and_dense(spark, d), 10, order=(F.desc("fused"), F.asc("key")))
+
+
+@query(_BOTH + """, e as (select qid, key, row_number() over (partition by qid order by score desc, key) as n from dense where key % 3 = 0),
+k as (select qid, key, 0 as late, rank from r where rank <= 8 union all select qid, key, 1, n from e where n <= 2)
+select qid, key, cast(row_number() over (partition by qid order by late, rank) as integer) as rank from (select qid, key, min(late) as late, min(late * 1000 + rank) - min(late) * 1000 as rank from k group by 1, 2)""")
+def hybrid_with_quota(spark, d):
+    """A hybrid list, and behind it the best of outside blocks that are not in it."""
+    base = R.top_k(_lexical_and_dense(spark, d), 8, order=(F.desc("fused"), F.asc("key"))).select("qid", "key", "rank", F.lit("base").alias("route"))
+    v = table(spark, d, "embeddings").select("vec_id", "embedding")
+    outside = S.cosine_topk(v, v.join(table(spark, d, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi"), 50).where("key % 3 = 0").drop("rank")
+    every = base.unionByName(R.top_k(outside, 2).select("qid", "key", "rank", F.lit("outside").alias("route")))
+    return R.quota_union(every, {"base": 8, "outside": 2}).select("qid", "key", "rank")
+
+
+@query(_DENSE + " select qid, key, round(score, 4) as score, e.label, rank from r join embeddings e on e.vec_id = r.key where rank <= 8")
+def claim_search(spark, d):
+    """The best groups of an index with their own columns and scores to four places."""
+    v = table(spark, d, "embeddings")
+    found = _dense(spark, d, 8)
+    return found.join(v.select(F.col("vec_id").alias("key"), "label"), "key").select("qid", "key", F.round("score", 4).alias("score"), "label", "rank")

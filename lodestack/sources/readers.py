@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schemas import ELEMENT, METRIC
+from .scratch import resume
 
 # Layers that metric records may belong to, and the first bytes of a PDF file.
 LAYERS = ("L0", "L1", "L2", "L3", "L4", "L5")
@@ -37,9 +38,12 @@ def chunks(spark: SparkSession, path: str, docids: tuple[str, ...] | None = None
         first = rows.groupBy("docid").agg(F.min("pos").alias("_first"))
         if n is not None:
             first = first.orderBy("_first", "docid").limit(n)
-        placed = first.withColumn("doc_pos", F.row_number().over(Window.orderBy("_first", "docid")) - 1) if n is not None else first.withColumn("doc_pos", F.col("_first"))
+            placed = first.withColumn("doc_pos", F.row_number().over(Window.orderBy("_first", "docid")) - 1)  # n rows
+        else:
+            placed = first.withColumn("doc_pos", F.col("_first"))  # all documents: their order, not numbered in one task
         out = rows.join(placed.drop("_first"), "docid")
-    if out.isEmpty():
+    # Whether any is left is asked of the narrow column, not of the whole plan.
+    if out.select("docid").isEmpty():
         raise ValueError("no chunks left")
     return out
 
@@ -119,6 +123,18 @@ def resumption_token(xml: Column) -> Column:
     return F.nullif(F.trim(F.regexp_extract(xml, r"(?s)<resumptionToken[^>]*>(.*?)</resumptionToken>", 1)), F.lit(""))
 
 
+def missing_months(months: DataFrame, cached: DataFrame) -> DataFrame:
+    """Months that no cached page is of, newest first: those still to be fetched. cached: (month_start)."""
+    return months.join(cached.select("month_start").distinct(), "month_start", "left_anti").orderBy(F.desc("month_start"))
+
+
+def harvest_of_months(pages: DataFrame, months: DataFrame) -> DataFrame:
+    """Records of cached pages (month_start, page, xml) that were created in their page's month; of records met again the last page's."""
+    rows = harvested(pages).join(months, "month_start").where(F.col("created").between(F.col("month_start"), F.col("month_end")))
+    last = rows.groupBy("arxiv_id").agg(F.max(F.struct("month_start", "page", *(c for c in rows.columns if c not in ("month_start", "page", "arxiv_id", "month_end")))).alias("_r"))
+    return last.select("arxiv_id", "_r.*")
+
+
 def months_back(spark: SparkSession, last: str, n: int) -> DataFrame:
     """The n months that end with the one of ``last`` (a date), newest first: (month_start, month_end)."""
     return spark.sql(f"select explode(reverse(sequence(add_months(trunc(date '{last}', 'MM'), {1 - int(n)}), trunc(date '{last}', 'MM'), interval 1 month))) as month_start").withColumn("month_end", F.last_day("month_start"))
@@ -148,8 +164,9 @@ def pdf_url(arxiv: Column) -> Column:
 
 
 def write_vectors(vectors: DataFrame, path: str, id_col: str, per_file: int = 5_000) -> None:
-    """Vector shards ordered by id, of at most ``per_file`` rows."""
-    vectors.repartitionByRange(id_col).sortWithinPartitions(id_col).write.option("maxRecordsPerFile", per_file).mode("overwrite").parquet(path)
+    """Vector shards of ``per_file`` consecutive ids each, as folders part=0, 1, ...; shards that are there already are not written again."""
+    parted = vectors.withColumn("part", F.floor(F.col(id_col) / per_file).cast("long"))
+    resume(parted.repartition("part").sortWithinPartitions("part", id_col), path, "part")
 
 
 def write_index(docs: DataFrame, tokens: Column, id_col: str, path: str) -> None:
@@ -163,6 +180,11 @@ def write_index(docs: DataFrame, tokens: Column, id_col: str, path: str) -> None
     docs.select(F.col(id_col).alias("key"), F.size(tokens).alias("dl")).write.mode("overwrite").parquet(f"{path}/doc_stats")
 
 
+def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(postings, term_stats, doc_stats) of a written index."""
+    return tuple(spark.read.parquet(f"{path}/{name}") for name in ("postings", "term_stats", "doc_stats"))
+
+
 def markdown(df: DataFrame, digits: int = 4, rows: int = 1_000) -> str:
     """A small result as a pipe table (at most ``rows`` rows; more are an error)."""
     got = df.limit(rows + 1).collect()
