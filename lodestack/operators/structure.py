@@ -83,9 +83,9 @@ def scored_blocks(blocks: DataFrame) -> DataFrame:
 
 def without_running_heads(scored: DataFrame, pages: int = 3) -> DataFrame:
     """A heading whose words stand on three or more pages of a document is a running head, not a heading."""
-    heads = scored.where("is_heading").groupBy("doc_id", F.trim("title").alias("_t")).agg(F.countDistinct("page").alias("_p")).where((F.col("_p") >= pages) & (F.col("_t") != ""))
-    met = scored.join(heads.select("doc_id", "_t", F.lit(True).alias("_running")), (scored.doc_id == heads.doc_id) & (F.trim(scored.title) == heads._t), "left").drop(heads.doc_id)
-    return met.withColumn("is_heading", F.col("is_heading") & F.col("_running").isNull()).drop("_t", "_running")
+    heads = scored.where("is_heading").groupBy(F.col("doc_id").alias("_d"), F.trim("title").alias("_t")).agg(F.countDistinct("page").alias("_p")).where((F.col("_p") >= pages) & (F.col("_t") != ""))
+    met = scored.join(heads.select("_d", "_t", F.lit(True).alias("_running")), (F.col("doc_id") == F.col("_d")) & (F.trim("title") == F.col("_t")), "left")
+    return met.withColumn("is_heading", F.col("is_heading") & F.col("_running").isNull()).drop("_d", "_t", "_running")
 
 
 def islands(lines: DataFrame, by: tuple[str, ...] = ("doc_id", "page"), factor: float = 2.5, least: float = 4.0, indent: float = 8.0, column_gap: float = 12.0) -> DataFrame:

@@ -197,7 +197,41 @@ def overlapping_windows(spark, d):
     return pieces.select("doc_id", (F.col("_i") * 400 + 1).cast("long").alias("start"), F.length("p").cast("long").alias("n_chars"), F.md5(F.col("p").cast("binary")).alias("digest"))
 
 
-@query()
+_TITLED = "([^ \\t\\n\\x0B\\f\\r].{2,119})$'"
+
+
+def _numbering_sql(line: str, name: str) -> str:
+    """kind, number's bonus and title of a line, under names that begin with ``name``."""
+    space = "[ \\t\\n\\x0B\\f\\r]"
+    no, letter = f"regexp_extract({line}, '^(\\d+(?:\\.\\d+)*)\\.?:?{space}+{_TITLED}, 1)", f"regexp_extract({line}, '^([A-Z])(?:\\.|:)?{space}+{_TITLED}, 1)"
+    rest = f"regexp_extract({line}, '^(?:\\d+(?:\\.\\d+)*|[A-Z])(?:\\.|:)?:?{space}+{_TITLED}, 1)"
+    fine = f"len(list_filter(string_split({no}, '.'), lambda p: coalesce(try_cast(p as integer), 0) not between 1 and 20)) = 0"
+    return (
+        f"case when {no} <> '' and regexp_matches({rest}, '^\\p{{Lu}}') and {fine} then 'L' || len(string_split({no}, '.')) when {no} = '' and {letter} <> '' and regexp_matches({rest}, '^\\p{{Lu}}') then 'APPENDIX' end as {name}_kind, "
+        f"{rest} as {name}_rest, regexp_replace({line}, '^[^ \\t\\n\\x0B\\f\\r]+{space}+', '') as {name}_bare"
+    )
+
+
+_HEADINGS = (
+    _LINES + ", a as (select *, y0 + 10 as y1, x0 + length(line) * 5.0 as x1, 'b' || lpad(cast(i as varchar), 6, '0') as block_id, trim(regexp_replace(line, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' ') as clean, trim(line, ' ') as first from g), "
+    "w as (select doc_id, max(x1) - min(x0) as page_w from a group by 1), "
+    f"k as (select a.*, w.page_w, {_numbering_sql('clean', 'm')}, {_numbering_sql('first', 's')} from a join w using (doc_id)), "
+    "n as (select *, m_kind is null and s_kind is not null as alone, coalesce(m_kind, s_kind) as kind from k), "
+    "t as (select *, case when alone then s_rest when m_kind is not null then m_rest else m_bare end as title, case when kind = 'APPENDIX' then 3 when kind = 'L1' then 2 when kind is not null then 3 else 0 end as bonus, clean in ("
+    + ", ".join(f"'{x}'" for x in D.SPECIAL) + ") as special, coalesce(bool_or(clean in (" + ", ".join(f"'{x}'" for x in D.REFERENCES)
+    + ")) over (partition by doc_id order by page, y0, x0, block_id rows between unbounded preceding and 1 preceding), false) as after, y0 - lag(y1) over p as above, lead(y0) over p - y1 as below from n window p as (partition by doc_id, page order by y0, x0, block_id)), "
+    "f as (select *, 0 as f_font, case when special then greatest(case when after and kind is distinct from 'APPENDIX' then -8 else bonus end, 3) when kind is null then -3 when after and kind <> 'APPENDIX' then -8 else bonus end as f_number, "
+    "case when length(clean) <= 120 and (page_w < 1 or (x1 - x0) / page_w < 0.7) then 2 else 0 end as f_short, case when above > 20 then 2 else 0 end + case when below > 20 then 2 else 0 end as f_white, "
+    "case when ends_with(clean, '.') then 0 when regexp_matches(clean, '[:：]$') then -2 else 2 end as f_end, case when " + " or ".join(f"starts_with(clean, '{x}')" for x in D.EXCLUDED) + " then -8 else 0 end as f_prefix from t), "
+    "s as (select *, case when clean = '' then -99 else f_font + f_number + f_short + f_white + f_end + f_prefix end as total from f), "
+    "r as (select *, not (after and kind is distinct from 'APPENDIX' or kind is not distinct from 'APPENDIX' and (not after or len(regexp_extract_all(title, ',')) >= 2) or kind is not distinct from 'L1' and not (regexp_matches(title, '\\p{L}') and upper(title) = title) and total < "
+    + str(D.L1_FLOOR) + ") and (kind is not null or total >= " + str(D.THRESHOLD) + ") as heading from s), "
+    "h as (select doc_id, trim(title, ' ') as title from r where heading and trim(title, ' ') <> '' group by 1, 2 having count(distinct page) >= 3) "
+    "select r.doc_id, block_id, f_font, f_number, f_short, f_white, f_end, f_prefix, total, heading and h.title is null as is_heading from r left join h on h.doc_id = r.doc_id and h.title = trim(r.title, ' ')"
+)
+
+
+@query(_HEADINGS)
 def heading_features(spark, d):
     blocks = lines(spark, d).select("doc_id", F.concat(F.lit("b"), F.lpad(F.col("i").cast("string"), 6, "0")).alias("block_id"), "page", "x0", "y0", "x1", "y1", F.col("line").alias("text"))
     scored = D.without_running_heads(D.scored_blocks(blocks))
