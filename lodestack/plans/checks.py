@@ -11,6 +11,7 @@ from ..operators import ranking as R
 from ..operators import reports as B
 from ..operators import verification as V
 from ..sources import readers as I
+from ..streaming import logs as L
 from .documents import _anchor_sql
 from .evaluation import GOLD, gold
 from .ranking import PATHS, paths
@@ -323,3 +324,62 @@ def answer_listing(spark, d):
     verdict = F.when(F.col("quality") == 1, "yes").when(F.col("quality") == 0, "no").otherwise("unclear")
     rows = paths(spark, d).where("route = 'length'").join(table(spark, d, "labels").select(F.col("doc_id").alias("key"), "quality"), "key", "left").select("qid", "key", "rank", verdict.alias("verdict"))
     return B.listing(rows, 5)
+
+
+@query("""with m as (select event_id, case event_type when 'click' then 'Acc' when 'view' then 'BLEU score' else 'LaSE' end as name, cast(event_id % 1000 as varchar) as value, 'we get ' || case when event_id % 2 = 0 then cast(event_id % 1000 as varchar) else 'more' end as quote, event_id % 7 > 1 as located from events)
+select event_id, case name when 'Acc' then 'Accuracy' when 'BLEU score' then 'BLEU' else name end as metric, name <> 'LaSE' as comparable, value from m where located and contains(replace(quote, ' ', ''), value)""")
+def verified_metrics(spark, d):
+    """Only values that stand in their quote, which was found; with their plain names and whether those can be compared."""
+    i = F.col("event_id")
+    value = (i % 1000).cast("string")
+    name = F.when(F.col("event_type") == "click", "Acc").when(F.col("event_type") == "view", "BLEU score").otherwise("LaSE")
+    rows = table(spark, d, "events").select(i, name.alias("name"), value.alias("value"), _join("we get ", F.when(i % 2 == 0, value).otherwise("more")).alias("quote"), (i % 7 > 1).alias("located"))
+    metric, comparable = V.canonical_metric(F.col("name"))
+    kept = rows.where(V.strict_verdict(F.col("located"), F.col("value"), F.lit(""), F.col("quote"), F.lit(False))["verify"] == "exact")
+    return kept.select("event_id", metric.alias("metric"), comparable.alias("comparable"), "value")
+
+
+@query("""select lang, count(*) as n, count(*) filter (not contains(text, '|') and not regexp_matches(text, '[ ]{2,}|^[ \\n]|[ \\n]$')) as clean, round(count(*) filter (not contains(text, '|') and not regexp_matches(text, '[ ]{2,}|^[ \\n]|[ \\n]$')) / cast(count(*) as double), 6) as rate, median(n_chars) as median_size from documents group by 1""")
+def format_clean_rate(spark, d):
+    """How many answers hold to their format (here: no tables, no stray spaces), and the median size."""
+    clean = ~F.col("text").contains("|") & ~F.col("text").rlike(r"[ ]{2,}|^[ \n]|[ \n]\z")
+    n = F.count(F.lit(1))
+    return table(spark, d, "documents").groupBy("lang").agg(n.alias("n"), F.count_if(clean).alias("clean"), F.round(F.count_if(clean) / n, 6).alias("rate"), F.median("n_chars").alias("median_size"))
+
+
+@query("""with s as (select doc_id, case doc_id % 4 when 0 then md5(text) when 1 then md5(text || 'x') when 2 then null else md5(text) end as stored, case when doc_id % 9 = 0 then null else md5(text) end as now from documents)
+select case when now is null then 'unknown' when stored is null then 'adopt' when stored = now then 'ok' else 'stale' end as state, count(*) as n from s group by 1""")
+def content_identity(spark, d):
+    i, h = F.col("doc_id"), F.md5(F.col("text").cast("binary"))
+    stored = F.when(i % 4 == 0, h).when(i % 4 == 1, F.md5(F.concat("text", F.lit("x")).cast("binary"))).when(i % 4 == 3, h)
+    return table(spark, d, "documents").select(V.identity(stored, F.when(i % 9 != 0, h)).alias("state")).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+
+
+_JOBS = """with log as (select user_id as job, case event_type when 'click' then 'queued' when 'view' then 'running' when 'purchase' then 'ready' else 'failed' end as state, ts, event_id as seq from events),
+states as (select job, arg_max(state, (ts, seq)) as state from log group by 1)"""
+
+
+def _jobs(spark, d):
+    state = F.when(F.col("event_type") == "click", "queued").when(F.col("event_type") == "view", "running").when(F.col("event_type") == "purchase", "ready").otherwise("failed")
+    return L.job_states(table(spark, d, "events").select(F.col("user_id").alias("job"), state.alias("state"), "ts", F.col("event_id").alias("seq")))
+
+
+@query(_JOBS + " select job, case when state = 'running' then 'failed' else state end as state from states")
+def recovered_jobs(spark, d):
+    """Job states after a crash: what was running has failed."""
+    return L.recovered(_jobs(spark, d)).select("job", "state")
+
+
+@query(_JOBS + ", asked as (select distinct (event_id * 3) % 700 as job from events where event_id % 5 = 0) select job from asked where job not in (select job from states where state in ('queued', 'running'))")
+def single_flight(spark, d):
+    """Requests for jobs, one a key, of which none is under way."""
+    asked = table(spark, d, "events").where("event_id % 5 = 0").select((F.col("event_id") * 3 % 700).alias("job"))
+    return L.submitted_once(asked, "job", _jobs(spark, d)).select("job")
+
+
+@query("""with p as (select doc_id as key, floor(doc_id / 40)::bigint as block from documents), s as (select distinct doc_id as key from labels)
+select block, count(*) as pairs, count(*) filter (s.key is null) as left_over from p left join s using (key) group by 1 having count(*) filter (s.key is null) > 0""")
+def scoring_blocks(spark, d):
+    """Blocks of pairs that still have something to score; a run that was cut short goes on with these."""
+    pairs = table(spark, d, "documents").select(F.col("doc_id").alias("key"))
+    return L.unscored_blocks(pairs, table(spark, d, "labels").select(F.col("doc_id").alias("key")), 40)

@@ -376,9 +376,11 @@ def signal_hard_check(spark, d):
     return rows.select("conv_id", "turn", F.size("sig").cast("long").alias("n_signals"), F.forall("sig", lambda x: F.contains(F.col("nxt"), F.lower(x))).alias("hard_ok"))
 
 
-@query(PATHS + """, t as (select p.qid, p.key, p.rank, list_distinct(regexp_extract_all(lower(d.text), '[a-z0-9]+')) as w from paths p join documents d on d.doc_id = p.key where p.route = 'hash'), n as (select *, coalesce(lag(w) over (partition by qid order by rank), []) as v from t)
-select qid, key, round(len(list_intersect(w, v)) / cast(greatest(len(v), 1) as double), 6) as overlap from n""")
+@query(PATHS + """, t as (select p.qid, p.key, p.rank, list_distinct(regexp_extract_all(lower(d.text), '[a-z0-9]+')) as w, list_distinct(regexp_extract_all(d.text, '[0-9]+')) as x from paths p join documents d on d.doc_id = p.key where p.route = 'hash'), n as (select *, coalesce(lag(w) over (partition by qid order by rank), []) as v, coalesce(lag(x) over (partition by qid order by rank), []) as y from t)
+select qid, key, round(len(list_intersect(x, y)) / cast(greatest(len(y), 1) as double), 6) as number_overlap, round(len(list_intersect(w, v)) / cast(greatest(len(v), 1) as double), 6) as overlap from n""")
 def failure_attribution(spark, d):
-    texts = table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.array_distinct(T.latin_tokens(F.col("text"))).alias("w"))
-    rows = one(spark, d, "hash").join(texts, "key").withColumn("v", F.coalesce(F.lag("w").over(Window.partitionBy("qid").orderBy("rank")), F.array().cast("array<string>")))
-    return rows.select("qid", "key", F.round(F.size(F.array_intersect("w", "v")) / F.greatest(F.size("v"), F.lit(1)), 6).alias("overlap"))
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.array_distinct(T.latin_tokens(F.col("text"))).alias("w"), F.array_distinct(T.matches(F.col("text"), "[0-9]+")).alias("x"))
+    before = lambda c: F.coalesce(F.lag(c).over(Window.partitionBy("qid").orderBy("rank")), F.array().cast("array<string>"))
+    rows = one(spark, d, "hash").join(texts, "key").withColumns({"v": before("w"), "y": before("x")})
+    numbers = F.round(F.size(F.array_intersect("x", "y")) / F.greatest(F.size("y"), F.lit(1)), 6)
+    return rows.select("qid", "key", numbers.alias("number_overlap"), F.round(F.size(F.array_intersect("w", "v")) / F.greatest(F.size("v"), F.lit(1)), 6).alias("overlap"))

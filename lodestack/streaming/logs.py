@@ -36,6 +36,13 @@ def submitted_once(requests: DataFrame, key: str, active: DataFrame) -> DataFram
     return requests.dropDuplicates([key]).join(waiting, key, "left_anti")
 
 
+def unscored_blocks(pairs: DataFrame, scores: DataFrame, size: int) -> DataFrame:
+    """(block, pairs, left_over) of the blocks of ``size`` keys in which some pair has no score yet; both tables: (key)."""
+    scored = scores.select("key").distinct().withColumn("_done", F.lit(True))
+    met = pairs.withColumn("block", F.floor(F.col("key") / size).cast("long")).join(scored, "key", "left")
+    return met.groupBy("block").agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("_done").isNull()).alias("left_over")).where("left_over > 0")
+
+
 #: Parts of a followed table, by a hash of its keys; a micro-batch rewrites those that it touches.
 PARTS = 64
 
