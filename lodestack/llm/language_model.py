@@ -46,13 +46,13 @@ from .common import ascii_lower_words, crc_fold, cut, mix64
 PRIOR, GROWTH, PRIOR_3 = 10.0, 0.7, 8.0
 #: Tokens gathered before a batch is packed, training tokens in a shard, and the fewest shards.
 BATCH_TOKENS = 1_000_000
-SHARD_TOKENS = 1_500_000
+SHARD_TOKENS = 1_000_000
 LEAST_SHARDS = 16
 #: Most words that are dealt over all shards.
 HEAVY = 1 << 16
 CELLS = 20
 #: Paths that a task looks up together.
-ANSWER_PATHS = 2_000_000
+ANSWER_PATHS = 1_400_000
 #: Bytes of packed paths that one task of ``score`` answers.
 ASKED_BYTES = 256_000_000
 #: Quantised values are multiples of STEP (log10) in 16 bits.
@@ -63,7 +63,7 @@ _V_MASK = np.uint64((1 << _V_BITS) - 1)
 _CELL = np.uint64((1 << CELLS) - 1)
 _HALF = np.uint64(32)
 _LOW = np.uint64(0xFFFFFFFF)
-REMEMBER = 400_000
+REMEMBER = 250_000
 
 
 def before(word: np.ndarray) -> np.ndarray:
@@ -395,22 +395,28 @@ def _totals(texts: DataFrame) -> Totals:
     total = lambda c: F.coalesce(F.sum(c), F.lit(0))
     n, v, ends, once, twice = words.agg(total("n"), F.count(F.lit(1)), total(F.when(F.col("word") == int(END), F.col("n"))), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
     shards = max(LEAST_SHARDS, -(-n // SHARD_TOKENS))
-    frequent = words.where(F.col("n") * min(8 * shards, HEAVY) > n).select("word", "n").toPandas()
-    cells = words.groupBy("cell").agg(F.max("n").alias("n")).toPandas()
+    frequent = words.where(F.col("n") * min(8 * shards, HEAVY) > n).select("word", "n").toArrow().to_pandas()
+    cells = words.groupBy("cell").agg(F.round(F.log2(F.max("n"))).cast("tinyint").alias("k")).toArrow()
     classes = np.zeros(1 << CELLS, np.uint8)
-    classes[cells["cell"].to_numpy(np.int64)] = np.rint(np.log2(cells["n"].to_numpy(float))).astype(np.uint8)
+    classes[cells["cell"].to_numpy()] = cells["k"].to_numpy()
     begin = int(before(np.asarray([BEGIN]))[0] & _CELL)
     classes[begin] = max(int(classes[begin]), round(np.log2(max(1, ends))))
     discount = min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
     return Totals(n, v, ends, shards, discount, dict(zip(frequent["word"].to_numpy(np.int64).view(np.uint64).tolist(), frequent["n"].tolist())), classes)
 
 
+def _numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order, and the number of each value among them, of which a task holds fewer than 2 ** 31."""
+    values, number = np.unique(x, return_inverse=True)
+    return values, number.astype(np.int32)
+
+
 # ---- paths of texts, packed for shards -----------------------------------------------------------------------------
 
 
 def _paths(tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(distinct words, number of the word, of the one before plus one, of the one before that plus one) at every position of texts laid end to end; 0 is their begin."""
-    words, w = np.unique(np.concatenate(tokens), return_inverse=True)
+    words, w = _numbered(np.concatenate(tokens))
     first = np.cumsum([0, *map(len, tokens[:-1])])
     v = np.empty_like(w)
     v[1:] = w[:-1] + 1
@@ -447,12 +453,13 @@ def _ask(docs: DataFrame, shared) -> DataFrame:
             learn = np.asarray([bool(r[1]) for r in rows])
             words, w, v, u = _paths(tokens)
             contexts = np.concatenate([before(np.asarray([BEGIN])), before(words)])
-            text = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
+            text = np.repeat(np.arange(len(tokens), dtype=np.int32), [len(t) for t in tokens])
             bits = np.uint64(len(contexts).bit_length())
             pair = (w.astype(np.uint64) << bits) | v.astype(np.uint64)
             if 3 * int(bits) > 64:
                 pair = np.unique(pair, return_inverse=True)[1].astype(np.uint64)
             path = (pair << bits) | u.astype(np.uint64)
+            del pair
             order = np.argsort(path, kind="stable")
             path, text = path[order], text[order]
             entry = _starts(path, text)
@@ -481,12 +488,6 @@ def _ask(docs: DataFrame, shared) -> DataFrame:
     return docs.mapInPandas(run, "shard int, batch bigint, blob binary, ids array<string>")
 
 
-def _numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct values in order, and the number of each value among them, of which a task holds fewer than 2 ** 31."""
-    values, number = np.unique(x, return_inverse=True)
-    return values, number.astype(np.int32)
-
-
 class Asked:
     """The distinct words, pairs and paths of some blobs of one shard, and what each blob says of them."""
 
