@@ -17,6 +17,7 @@ smallest of its vectors; rows with the query's id are never its candidates. Fewe
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -148,16 +149,20 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, recall: float = 0.
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double, n_measured bigint")
     d, n, n_queries = sizes[0]
     valid = valid.where(F.size("vec") == d)
-    drawn = valid.select("id", "vec", F.xxhash64("id").alias("h")).orderBy("h", "vec").limit(SAMPLE).collect()
+    drawn = valid.select("id", "vec", F.xxhash64("id").alias("h")).orderBy("h", "vec").limit(SAMPLE).select("id", "vec").toArrow()
+    ids, sample = drawn["id"].to_numpy(), np.stack(drawn["vec"].to_numpy())
     # Of equal vectors as many as the index keeps, so that each sample vector stands for one that can be found.
-    copies: dict[tuple, int] = {}
-    drawn = [r for r in drawn if copies.setdefault(key := tuple(r["vec"]), 0) <= k and not copies.__setitem__(key, copies[key] + 1)]
-    sample = np.asarray([r["vec"] for r in drawn])
+    copies: Counter[bytes] = Counter()
+    kept = np.zeros(len(ids), bool)
+    for i, key in enumerate(x.tobytes() for x in sample):
+        copies[key] += 1
+        kept[i] = copies[key] <= k + 1
+    ids, sample = ids[kept], sample[kept]
     parts = next(p for p in range(min(parts, d), 0, -1) if d % p == 0)
     index = fit(sample, cells=max(1, min(SAMPLE // 16, round(np.sqrt(n)))), parts=parts)
     looked = cells_to_look_into(sample, index, k, recall)
     nearer = min(len(sample), max(2 * (k + 1), int(np.ceil(rerank * len(sample) / n))))
-    shared = spark.sparkContext.broadcast((index, Radius(np.asarray([r["id"] for r in drawn]), sample, index, nearer)))
+    shared = spark.sparkContext.broadcast((index, Radius(ids, sample, index, nearer)))
 
     first = F.row_number().over(Window.partitionBy("h", "vec").orderBy("id"))
     distinct = valid.select("id", "vec", F.xxhash64("vec").alias("h")).withColumn("_copy", first).where(F.col("_copy") <= k + 1)

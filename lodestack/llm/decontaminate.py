@@ -312,7 +312,7 @@ def _joined(docs: DataFrame, items: DataFrame, similarity: float, id_col: str, t
 def _bitmap(seed_rows: DataFrame, bits: int) -> np.ndarray:
     """Bit h mod 2 ** bits is set for each seed h; at most 2 ** (bits - 6) words reach the driver."""
     slot = F.col("h").bitwiseAND(F.lit((1 << bits) - 1))
-    words = seed_rows.select(F.shiftright(slot, 6).alias("w"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    words = seed_rows.select(F.shiftright(slot, 6).alias("w"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow().to_pandas()
     out = np.zeros(1 << (bits - 6), np.uint64)
     out[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).view(np.uint64)
     return out

@@ -129,7 +129,7 @@ def _thresholds(known: DataFrame, per_language: int) -> DataFrame | None:
     share, last = {lang: min(1.0, 4.0 * per_language / n) for lang, n in rows.items()}, {}
     while share:
         reach = known.sparkSession.createDataFrame([(lang, min((1 << 63) - 1, int(f * 2.0**64) - (1 << 63))) for lang, f in share.items()], "lang string, reach bigint")
-        below = known.select("lang", "h").join(F.broadcast(reach), "lang").where(F.col("h") <= F.col("reach")).select("lang", "h").distinct().toPandas()
+        below = known.select("lang", "h").join(F.broadcast(reach), "lang").where(F.col("h") <= F.col("reach")).select("lang", "h").distinct().toArrow().to_pandas()
         for lang, f in [*share.items()]:
             hashes = np.sort(below.loc[below["lang"] == lang, "h"].to_numpy(np.int64))
             if len(hashes) >= per_language or f >= 1.0:
@@ -155,7 +155,7 @@ def fit(training: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
         yield pd.DataFrame({"feature": np.append(at, -1), "df": np.append(df[at], n)})
 
     # 2 ** BITS sums at most.
-    sums = known.select("text").mapInPandas(tally, "feature int, df bigint").groupBy("feature").agg(F.sum("df").alias("df")).toPandas()
+    sums = known.select("text").mapInPandas(tally, "feature int, df bigint").groupBy("feature").agg(F.sum("df").alias("df")).toArrow().to_pandas()
     df, total = np.zeros(1 << BITS), 0
     for feature, n in zip(sums["feature"], sums["df"]):
         if feature < 0:
@@ -175,7 +175,7 @@ def fit(training: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
 
     found = picked.select("lang", "h", "text").mapInPandas(features, "lang string, h bigint, at binary, tf binary")
     one = found.groupBy("lang", "h").agg(F.min(F.struct("at", "tf")).alias("m")).select("lang", "h", "m.at", "m.tf")
-    sample = one.toPandas().sort_values(["lang", "h"], kind="stable")
+    sample = one.toArrow().to_pandas().sort_values(["lang", "h"], kind="stable")
     languages = sorted(set(sample["lang"]))
     if not languages:
         return Model([], idf, np.zeros((1 << BITS, 0)), np.zeros(0), 1.0)

@@ -152,7 +152,7 @@ def fit(labelled: DataFrame, categories: tuple[str, ...], id_col: str = "doc_id"
                 dense.append(surface(text or "", len(words), len(distinct)).tobytes())
             yield batch.drop(columns="text").assign(at=at, dense=dense)
 
-    sample = picked.mapInPandas(features, ", ".join(["h bigint", *(f"y{i} double" for i in range(len(categories))), "at binary", "dense binary"])).orderBy("h", "at").limit(up_to).toPandas()
+    sample = picked.mapInPandas(features, ", ".join(["h bigint", *(f"y{i} double" for i in range(len(categories))), "at binary", "dense binary"])).orderBy("h", "at").limit(up_to).toArrow().to_pandas()
     sample = sample.sort_values(["h", "at"], kind="stable")
     rows = [np.frombuffer(b, np.int32) for b in sample["at"]]
     tally = np.bincount(np.concatenate(rows), minlength=1 << BITS) if rows else np.zeros(1 << BITS, int)
