@@ -112,7 +112,9 @@ def gate_action(hard: Column, supplements: Column, unverified: Column) -> Column
 
 def miss_cause(quote: Column, own: Column, others_hold: Column) -> Column:
     """Why a quote is not in its chunk: none (it is), drift (another chunk has it), noise, paraphrase (four in ten word pairs are there), none_found."""
-    pairs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(c) - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.slice(c, i, 2))))
+    # Neighbours by laying the words on themselves, so that they are cut out of the text once, not once for each pair.
+    laid = lambda c: F.zip_with(c, F.slice(c, F.lit(2), F.greatest(F.size(c), F.lit(1))), lambda x, y: F.when(y.isNotNull(), F.concat(x, F.lit(" "), y)))
+    pairs = lambda c: F.when(F.size(c) < 2, F.array(F.array_join(c, " "))).otherwise(F.array_distinct(F.filter(laid(c), lambda p: p.isNotNull())))
     q, t = pairs(T.latin_tokens(quote)), pairs(T.latin_tokens(own))
     cover = F.size(F.array_intersect(q, t)) / F.greatest(F.size(q), F.lit(1))
     state = T.evidence_state(quote, own)
