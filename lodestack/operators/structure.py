@@ -6,8 +6,6 @@ what depends on everything before it is a fold over the document's blocks as an
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
