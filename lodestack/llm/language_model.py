@@ -36,6 +36,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -368,17 +369,19 @@ class Trie:
 # ---- counting ------------------------------------------------------------------------------------------------------
 
 
-def _batches(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[tuple[list[list], list[np.ndarray]]]:
-    """(rows of the named columns, tokens of each) in batches of about BATCH_TOKENS tokens."""
+def _batches(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[list[tuple], list[np.ndarray]]]:
+    """(rows of the named columns, tokens of each) in batches of about BATCH_TOKENS tokens; few texts at a time leave Arrow."""
     known, rows, tokens, size = WordHash(), [], [], 0
     for batch in batches:
-        for row in zip(*(batch[c] for c in columns), batch["text"]):
-            rows.append(list(row[:-1]))
-            tokens.append(known.tokens(row[-1]))
-            size += len(tokens[-1])
-            if size >= BATCH_TOKENS:
-                yield rows, tokens
-                rows, tokens, size = [], [], 0
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            for *row, text in zip(*(part.column(c).to_pylist() for c in (*columns, "text"))):
+                rows.append(row)
+                tokens.append(known.tokens(text))
+                size += len(tokens[-1])
+                if size >= BATCH_TOKENS:
+                    yield rows, tokens
+                    rows, tokens, size = [], [], 0
     if rows:
         yield rows, tokens
 
@@ -386,12 +389,12 @@ def _batches(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[tu
 def _totals(texts: DataFrame) -> Totals:
     """Counts of all training texts. To the driver come one row of sums, at most ``HEAVY`` words and one number for each of 2 ** ``CELLS`` cells."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, tokens in _batches(batches, []):
             w, n = np.unique(np.concatenate(tokens), return_counts=True)
-            yield pd.DataFrame({"word": w.view(np.int64), "cell": (before(w) & _CELL).astype(np.int32), "n": n.astype(np.int32)})
+            yield pa.RecordBatch.from_pydict({"word": w.view(np.int64), "cell": (before(w) & _CELL).astype(np.int32), "n": n.astype(np.int32)})
 
-    words = cut(texts.mapInPandas(run, "word bigint, cell int, n int").groupBy("word", "cell").agg(F.sum("n").alias("n")), "words")
+    words = cut(texts.mapInArrow(run, "word bigint, cell int, n int").groupBy("word", "cell").agg(F.sum("n").alias("n")), "words")
     total = lambda c: F.coalesce(F.sum(c), F.lit(0))
     n, v, ends, once, twice = words.agg(total("n"), F.count(F.lit(1)), total(F.when(F.col("word") == int(END), F.col("n"))), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
     shards = max(LEAST_SHARDS, -(-n // SHARD_TOKENS))
@@ -444,7 +447,7 @@ def _ask(docs: DataFrame, shared) -> DataFrame:
     end token of a text falls to the shard goes, once, the text's id.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task, totals = TaskContext.get().partitionId(), shared.value
@@ -483,9 +486,10 @@ def _ask(docs: DataFrame, shared) -> DataFrame:
                     words[w[a:b][heads]], _least(_lengths(heads, b - a)), *_v40(contexts[used]), _least(place[: b - a]), _least(place[b - a :]), _least(held[a:b]),
                     _least(mine << 1 | learn[mine]), _least(times[i:j]), _least(last))
                 out.append((int(shard[a]), (task << 32) | serial, blob, [rows[k][0] for k in last]))
-            yield pd.DataFrame(out, columns=["shard", "batch", "blob", "ids"])
+            kinds = (pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), kinds)], names=["shard", "batch", "blob", "ids"])
 
-    return docs.mapInPandas(run, "shard int, batch bigint, blob binary, ids array<string>")
+    return docs.mapInArrow(run, "shard int, batch bigint, blob binary, ids array<string>")
 
 
 class Asked:
