@@ -7,9 +7,10 @@ is verified. Variants shared by more than ``PAIRS_UP_TO`` fingerprints would giv
 linked exactly through the points at distance one instead: two fingerprints differ in at most two bits just if they share
 one of their 65 points, and a point needs only one link from each member to its smallest.
 
-``keep_one`` removes near copies: distinct word lists at ``NEAR`` (5) or fewer differing bits, found in three segments the
-same way, are linked where the Jaccard similarity of their five-word shingles is at least ``SIMILARITY``. In a variant that
-more than ``NEAR_PAIRS_UP_TO`` word lists share, each is compared with the smallest and the next of them, and the points link as above.
+``keep_one`` removes near copies, whose shingles differ in more bits than that. Its fingerprints are of distinct words, two for a
+text (``NEAR_SEEDS``): word lists at ``NEAR`` (3) or fewer differing bits of either, found in the same two segments, are linked where the
+Jaccard similarity of their five-word shingles is at least ``SIMILARITY``. In a variant that more than ``NEAR_PAIRS_UP_TO`` word lists share,
+each is compared with the smallest and the next of them, and the points link as above.
 
 Results: a null or wordless text has fingerprint zero and is linked like any other; equal texts share a fingerprint;
 null ids take no part in finding the smallest id (a component of null ids only has a null id); repeated rows are
@@ -32,8 +33,9 @@ SEED = 42
 DISTANCE = 2
 #: Largest variant bucket whose pairs are compared one by one.
 PAIRS_UP_TO = 4
-#: Of keep_one: bits, words of a shingle, Jaccard similarity, largest variant bucket whose pairs are compared one by one.
-NEAR = 5
+#: Of keep_one: bits, seeds of its fingerprints, words of a shingle, Jaccard similarity, largest variant bucket whose pairs are compared one by one.
+NEAR = 3
+NEAR_SEEDS = (42, 43)
 NEAR_WORDS = 5
 SIMILARITY = 0.8
 NEAR_PAIRS_UP_TO = 32
@@ -50,7 +52,17 @@ def fingerprint(text: str | None, width: int = WORDS, seed: int = SEED) -> int:
     width = min(width, len(words))
     starts = np.concatenate([[0], ends[: len(words) - width] + 1]).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, ends[width - 1 :].tolist())), "<u8", len(starts))
+    return _majority(np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, ends[width - 1 :].tolist())), "<u8", len(starts)))
+
+
+def word_fingerprint(words: list[bytes], seed: int) -> int:
+    """SimHash of the distinct words, each counted once: a changed word touches one of them, where it touches several shingles."""
+    distinct = set(words)
+    return _majority(np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in distinct), "<u8", len(distinct))) if distinct else 0
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     total = np.zeros(64, np.int64)
     for at in range(0, len(hashes), _CHUNK):
         part = hashes[at : at + _CHUNK]
@@ -80,8 +92,12 @@ def _variants(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def _shared(variants: DataFrame) -> DataFrame:
-    """Variants with n, the number of rows that share their key, where that is more than one. Keys are counted before they are joined, so that a key of many rows is split among tasks."""
-    counted = variants.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    """Variants with n, the number of rows that share their key, where that is more than one.
+
+    Keys are counted before rows are looked up by them, so that a key of many rows is no single task's. Shared keys are a written
+    table, whose size Spark knows when it chooses the join.
+    """
+    counted = cut(variants.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "counted")
     return cut(variants.join(counted, "key"), "shared")
 
 
@@ -129,18 +145,18 @@ def similarity(a: str | None, b: str | None) -> float:
 
 
 def _candidates(nodes: DataFrame, distance: int) -> DataFrame:
-    """(a, b) pairs of nodes (node, fp) whose fingerprints differ in at most ``distance`` bits, a < b."""
+    """(a, b) pairs of nodes (node, kind, fp) of which a fingerprint of one kind differs in at most ``distance`` bits, a < b."""
     w = Window.partitionBy("key")
-    shared = _shared(_variants(nodes, distance))
+    shared = _shared(_variants(nodes, distance).withColumn("key", F.expr("key | shiftleft(cast(kind as bigint), 40)")))
     few, many = shared.where(F.col("n") <= NEAR_PAIRS_UP_TO), shared.where(F.col("n") > NEAR_PAIRS_UP_TO)
     a, b = (few.select("key", F.col("node").alias(x), F.col("fp").alias(f"fp_{x}")) for x in "ab")
     of_few = a.join(b, (a.key == b.key) & (F.col("a") < F.col("b")) & _close("fp_a", "fp_b", distance)).select("a", "b")
     point = F.struct("fp", "node")
     least = many.groupBy("key").agg(F.min(point).alias("other"))
-    following = many.withColumn("other", F.lead(point).over(w.orderBy("fp", "node"))).where("other is not null").drop("key", "n")
-    points = _points(many.select("node", "fp").distinct())
-    of_point = points.groupBy("point").agg(F.min(point).alias("other"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    star = [big.join(small, by).select("node", "fp", "other") for big, small, by in ((many, least, "key"), (points, of_point, "point"))]
+    following = many.withColumn("other", F.lead(point).over(w.orderBy("fp", "node"))).where("other is not null")
+    points = _points(many.select("node", "kind", "fp").distinct())
+    of_point = points.groupBy("kind", "point").agg(F.min(point).alias("other"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    star = [big.join(small, by).select("node", "fp", "other") for big, small, by in ((many, least, ["key"]), (points, of_point, ["kind", "point"]))]
     met = following.select("node", "fp", "other").unionByName(star[0]).unionByName(star[1]).withColumn("other_fp", F.col("other.fp")).where(_close("fp", "other_fp", distance))
     of_many = met.select(F.least("node", "other.node").alias("a"), F.greatest("node", "other.node").alias("b")).where("a < b")
     return of_few.unionByName(of_many).distinct()
@@ -149,17 +165,21 @@ def _candidates(nodes: DataFrame, distance: int) -> DataFrame:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = NEAR, least_similarity: float = SIMILARITY) -> DataFrame:
     """One document of each component of near copies, with its columns as they came: the one with the smallest id (null ids last)."""
 
-    @F.pandas_udf("fp bigint, node bigint")
+    names = [f"fp{i}" for i in range(len(NEAR_SEEDS))]
+
+    @F.pandas_udf(", ".join([*(f"{n} bigint" for n in names), "node bigint"]))
     def marks(texts: pd.Series) -> pd.DataFrame:
-        fps = np.fromiter(map(fingerprint, texts), np.uint64, len(texts)).view(np.int64)
-        nodes = np.fromiter((xxhash.xxh64_intdigest(b" ".join(ascii_lower_words(t))) for t in texts), np.uint64, len(texts)).view(np.int64)
-        return pd.DataFrame({"fp": fps, "node": nodes})
+        found = np.zeros((len(texts), len(names) + 1), np.uint64)
+        for i, words in enumerate(map(ascii_lower_words, texts)):  # the words of one text at a time
+            found[i] = [*(word_fingerprint(words, seed) for seed in NEAR_SEEDS), xxhash.xxh64_intdigest(b" ".join(words))]
+        return pd.DataFrame(found.view(np.int64), columns=[*names, "node"])
 
     marked = docs.select(F.struct("*").alias("row"), marks(F.col(text_col)).alias("m"), F.monotonically_increasing_id().alias("uid"))
-    rows = cut(marked.select("row", "m.fp", "m.node", "uid"), "rows")
+    rows = cut(marked.select("row", "m.*", "uid"), "rows")
     order = F.struct(F.col(f"row.{id_col}").isNull().alias("null"), F.col(f"row.{id_col}").alias("id"), "uid")
-    distinct = cut(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min(order).alias("least")), "distinct")
-    pairs = cut(_candidates(distinct.select("node", "fp"), distance), "candidates")
+    distinct = cut(rows.groupBy("node").agg(*(F.min(n).alias(n) for n in names), F.min(order).alias("least")), "distinct")
+    kinds = F.explode(F.array(*(F.struct(F.lit(i).alias("kind"), F.col(n).alias("fp")) for i, n in enumerate(names)))).alias("m")
+    pairs = cut(_candidates(distinct.select("node", kinds).select("node", "m.kind", "m.fp"), distance), "candidates")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(distinct, "node").select("node", F.col("least.uid").alias("uid"))
     texts = cut(rows.select("uid", F.col(f"row.{text_col}").alias("text")).join(asked, "uid").select("node", "text"), "texts")
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
