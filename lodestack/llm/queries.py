@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontaminate, html_text, langid, language_model, licences, sharding, simhash, toxicity
+from . import ann, bpe, decontaminate, html_text, langid, language_model, licences, merkle, sharding, simhash, spelling, topk, toxicity
 from .common import crc_fold, table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -76,10 +76,22 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0).drop("n_blocks")
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(table(spark, sf_dir, "documents")).drop("siblings")
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_licences, op2_bpe, op3_decontaminate, op4_sharding, op5_toxicity, op6_html_text, op7_langid, op8_language_model, op9_simhash, op10_ann)
+    every = (op1_licences, op2_bpe, op3_decontaminate, op4_sharding, op5_toxicity, op6_html_text, op7_langid, op8_language_model, op9_simhash, op10_ann, op11_topk, op12_merkle, op13_spelling)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_licences": licences.oracle_sql()}
+    return {"op1_licences": licences.oracle_sql(), "op11_topk": topk.oracle_sql(), "op12_merkle": merkle.oracle_sql(), "op13_spelling": spelling.oracle_sql()}
