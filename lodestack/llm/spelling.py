@@ -43,14 +43,14 @@ _NO_LETTER = re.compile(rb"[^A-Za-z\x80-\xFF]")
 _RUN = re.compile(rb"[a-z]+(?:\xC3[\x80-\xBF][a-z]*)*|(?:\xC3[\x80-\xBF][a-z]*)+")
 
 
-def _runs(text: str) -> Counter:
+def _runs(text: str, size: int = _SLICE) -> Counter:
     """Lower-cased runs of a whole text and how often they occur; a long text is cut where no run is."""
     raw = text.encode("utf-8", "surrogatepass").translate(_ASCII_LOWER)
-    if len(raw) <= _SLICE:
+    if len(raw) <= size:
         return Counter(_RUN.findall(raw))
     found, at = Counter(), 0
     while at < len(raw):
-        end = _NO_LETTER.search(raw, min(len(raw), at + _SLICE))
+        end = _NO_LETTER.search(raw, min(len(raw), at + size))
         stop = end.start() if end else len(raw)
         found.update(_RUN.findall(raw, at, stop))
         at = stop
@@ -138,16 +138,16 @@ def keys(words: list[str]) -> np.ndarray:
     return out
 
 
-def _bits(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The two bits of a key."""
-    return (key * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - FILTER), (key * np.uint64(0x94D049BB133111EB)) >> np.uint64(64 - FILTER)
+def _bit(key: np.ndarray, second: bool, size: int) -> np.ndarray:
+    """One of the two bits of a key, of 2 ** size."""
+    return (key * np.uint64(0x94D049BB133111EB if second else 0xBF58476D1CE4E5B9)) >> np.uint64(64 - size)
 
 
 def _lets_pass(bitmap: np.ndarray, key: np.ndarray) -> np.ndarray:
     """Positions (in the flattened array) of keys with both bits set."""
-    first = _bits_set(bitmap, (key * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - FILTER))
-    at = np.flatnonzero(first)
-    return at[np.flatnonzero(_bits_set(bitmap, _bits(key.ravel()[at])[1]))]
+    size = len(bitmap).bit_length() + 2
+    at = np.flatnonzero(_bits_set(bitmap, _bit(key, False, size)))
+    return at[np.flatnonzero(_bits_set(bitmap, _bit(key.ravel()[at], True, size)))]
 
 
 def _bits_set(bitmap: np.ndarray, bit: np.ndarray) -> np.ndarray:
@@ -155,12 +155,12 @@ def _bits_set(bitmap: np.ndarray, bit: np.ndarray) -> np.ndarray:
     return bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1
 
 
-def neighbours(words: list[str], alphabet: str, bitmap: np.ndarray) -> Iterator[tuple[int, str]]:
+def neighbours(words: list[str], alphabet: str, bitmap: np.ndarray, at_once: int = _MADE) -> Iterator[tuple[int, str]]:
     """(index of a word, a string at one edit of it) for each distinct one that the bitmap lets pass; words of one length."""
     length, letters = len(words[0]), _codes([alphabet], len(alphabet))[0]
     powers = _powers(length + 1)
-    rows = max(1, _MADE // ((length + 1) * len(alphabet)))
-    wide = max(1, _MADE // (rows * len(alphabet)))  # positions of an edit at a time
+    rows = max(1, at_once // ((length + 1) * len(alphabet)))
+    wide = max(1, at_once // (rows * len(alphabet)))  # positions of an edit at a time
     for first in range(0, len(words), rows):
         part = words[first : first + rows]
         codes = _codes(part, length)
@@ -188,12 +188,13 @@ def neighbours(words: list[str], alphabet: str, bitmap: np.ndarray) -> Iterator[
             yield from told((r, part[r][:i] + c + part[r][i:]) for r, i, c in hits)
 
 
-def _bitmap(vocabulary: DataFrame) -> np.ndarray:
-    """The vocabulary's keys as 2 ** FILTER bits: at most 16 MB reach the driver, from at most 2 ** (FILTER - _PART) groups."""
+def _bitmap(vocabulary: DataFrame, size: int) -> np.ndarray:
+    """The vocabulary's keys as 2 ** size bits (16 MB for FILTER), which reach the driver in at most 2 ** (size - _PART) parts."""
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            every = np.unique(np.concatenate(_bits(keys(batch.column(0).to_pylist())))).astype(np.int64)
+            key = keys(batch.column(0).to_pylist())
+            every = np.unique(np.concatenate([_bit(key, False, size), _bit(key, True, size)])).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array((every >> _PART).astype(np.int32)), pa.array((every & ((1 << _PART) - 1)).astype(np.int32))], names=["part", "bit"])
 
     def packed(group: pd.DataFrame) -> pd.DataFrame:
@@ -202,20 +203,20 @@ def _bitmap(vocabulary: DataFrame) -> np.ndarray:
         return pd.DataFrame({"part": group["part"].iloc[:1], "flags": [np.packbits(flags, bitorder="little").tobytes()]})
 
     parts = vocabulary.select("word").mapInArrow(bits, "part int, bit int").distinct().groupBy("part").applyInPandas(packed, "part int, flags binary").toArrow()
-    out = np.zeros((1 << (FILTER - _PART), 1 << (_PART - 3)), np.uint8)
+    out = np.zeros((1 << (size - _PART), 1 << (_PART - 3)), np.uint8)
     for part, flags in zip(parts["part"].to_pylist(), parts["flags"]):
         out[part] = np.frombuffer(flags.as_buffer(), np.uint8)
     return out.ravel()
 
 
-def near_words(vocabulary: DataFrame) -> DataFrame:
+def near_words(vocabulary: DataFrame, filter_bits: int = FILTER) -> DataFrame:
     """(word, n, near, near_n) of all words (word, n, a written table) at one edit, in both directions."""
     spark = vocabulary.sparkSession
     letters = vocabulary.select(F.explode(F.array_distinct(F.split("word", ""))).alias("c")).where("c <> ''").distinct().collect()  # at most 90: a to z and U+00C0 to U+00FF
     if not letters:
         return vocabulary.select("word", "n", F.col("word").alias("near"), F.col("n").alias("near_n")).limit(0)
     alphabet = "".join(sorted(r["c"] for r in letters))
-    shared = spark.sparkContext.broadcast(_bitmap(vocabulary))
+    shared = spark.sparkContext.broadcast(_bitmap(vocabulary, filter_bits))
     schema = pa.schema([("word", pa.string()), ("n", pa.int64()), ("near", pa.string())])
 
     def generate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,14 +255,14 @@ def roots(forms: DataFrame) -> DataFrame:
             return now
 
 
-def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_count: int = LEAST_COUNT) -> DataFrame:
+def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_count: int = LEAST_COUNT, filter_bits: int = FILTER) -> DataFrame:
     """(word, form, root, n, n_near, form_n) of every word that occurs at least ``least_count`` times."""
     spark = docs.sparkSession
     cores = spark.sparkContext.defaultParallelism
     vocabulary = cut(counts(docs, id_col, text_col).where(F.col("n") >= least_count), "vocabulary")
     vocabulary = vocabulary.repartition(max(cores, 2 * vocabulary.rdd.getNumPartitions()), "word")
     ranked = F.struct((-F.col("near_n")).alias("less"), F.col("near").alias("near"))
-    best = near_words(vocabulary).groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(ranked).alias("best"))
+    best = near_words(vocabulary, filter_bits).groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(ranked).alias("best"))
     known = vocabulary.join(best, "word", "left").withColumn("form_n", -F.col("best.less"))
     taken = F.coalesce(F.col("form_n") >= 2 * F.col("n"), F.lit(False))
     found = cut(known.select("word", F.when(taken, F.col("best.near")).alias("form"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(taken, F.col("form_n")).alias("form_n")), "forms")

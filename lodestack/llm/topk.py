@@ -48,12 +48,13 @@ def _exact(peak: int, d: int) -> type:
     return np.float64 if peak * peak * max(1, d) < 1 << 53 else object
 
 
-def _ints(blobs, kind: str, d: int) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), kind).reshape(-1, d) if d else np.zeros((len(blobs), 0), kind)
+def _ints(blobs, kind: str, d: int, rows: int | None = None) -> np.ndarray:
+    """The vectors of blobs, of one row each unless ``rows`` says how many there are in all."""
+    return np.frombuffer(b"".join(blobs), kind).reshape(len(blobs) if rows is None else rows, d) if d else np.zeros((len(blobs) if rows is None else rows, 0), kind)
 
 
-def _array(blobs, kind: str, d: int, number: type) -> np.ndarray:
-    return _ints(blobs, kind, d).astype(np.int64).astype(number)
+def _array(blobs, kind: str, d: int, number: type, rows: int | None = None) -> np.ndarray:
+    return _ints(blobs, kind, d, rows).astype(np.int64).astype(number)
 
 
 def _long(x: np.ndarray) -> np.ndarray:
@@ -217,7 +218,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.
     def look(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
-            blocks = [(np.frombuffer(i, np.int64), _array([w], kind, d, number)) for i, w in zip(left["ids"], left["w"])]
+            blocks = [(np.frombuffer(i, np.int64), _array([w], kind, d, number, len(i) // 8)) for i, w in zip(left["ids"], left["w"])]
             high, low = (_array(left[c], kind, d, number) for c in ("high", "low"))
             for at in range(0, len(right), 256):
                 part = right.iloc[at : at + 256]
