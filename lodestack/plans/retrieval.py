@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import index as X
 from ..operators import ranking as R
 from ..operators import retrieval as S
+from ..sources import scratch
 from .registry import query, table
 
 MIXED_SQL = "'[a-z0-9]+|[\\x{4e00}-\\x{9fff}]'"
@@ -27,9 +29,16 @@ s as (select qf.qid, tf.key, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5))
 select qid, key, score, cast(rank as integer) as rank from (select *, row_number() over (partition by qid order by score desc, key) as rank from s where score > 0) where rank <= {k}"""
 
 
-def _top(spark, d, tokenise, model, k=10):
-    scores = S.bm25(table(spark, d, "documents"), table(spark, d, "benchmark"), tokenise, model)
-    return R.top_k(scores.withColumn("score", F.round("score", 6)).where("score > 0"), k).select("qid", "key", "score", "rank")
+def _index(spark, d, tokenise):
+    path = scratch.folder(spark, "blocks")
+    X.write(spark.read.parquet(f"{d}/documents.parquet"), tokenise(F.col("text")), "doc_id", path)
+    return X.read(spark, path)
+
+
+def _top(spark, d, tokenise, model, k=10, index=None):
+    """The k best documents of each benchmark item, from a kept index (written here unless one is given)."""
+    found = X.search(_index(spark, d, tokenise) if index is None else index, table(spark, d, "benchmark"), tokenise, k, model)
+    return found.select("qid", "key", "score", "rank")
 
 
 @query(_bm25_sql(MIXED_SQL, 1.5, "qf", "1", 1, 10))
@@ -86,7 +95,8 @@ f as (select qid, key, count(*) as n_routes, round(avg(score), 4) as mean_score,
 select qid, key, n_routes, mean_score, fused, cast(rank as integer) as rank from (select *, row_number() over (partition by qid order by fused desc, key) as rank from f) where rank <= 10""")
 def hybrid_topk(spark, d):
     """Two lexical rankings of different kinds fused by rank; the mean of their scores is carried along."""
-    both = _top(spark, d, T.mixed_tokens, S.PLAIN, 50).withColumn("w", F.lit(1.0)).unionByName(_top(spark, d, T.mixed_tokens, S.DISTINCT, 50).withColumn("w", F.lit(0.5)))
+    index = _index(spark, d, T.mixed_tokens)
+    both = _top(spark, d, T.mixed_tokens, S.PLAIN, 50, index).withColumn("w", F.lit(1.0)).unionByName(_top(spark, d, T.mixed_tokens, S.DISTINCT, 50, index).withColumn("w", F.lit(0.5)))
     fused = both.groupBy("qid", "key").agg(F.count(F.lit(1)).alias("n_routes"), F.round(F.avg("score"), 4).alias("mean_score"), F.round(F.sum(F.col("w") / (60 + F.col("rank"))), 9).alias("fused"))
     return R.top_k(fused, 10, order=(F.desc("fused"), F.asc("key")))
 
