@@ -332,5 +332,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
                 yield pd.Series([d not in found for d in range(n)], dtype=bool)
 
         return docs.where(passes(F.col(text_col)))
-    found = _joined(docs, items, similarity, id_col, text_col, item_col).select(F.col(id_col).alias("_leak_id"), F.col("text_hash").alias("_leak_hash")).distinct()
-    return docs.join(found, F.col(id_col).eqNullSafe(F.col("_leak_id")) & (F.xxhash64(F.col(text_col)) == F.col("_leak_hash")), "left_anti")
+    found = _joined(docs, items, similarity, id_col, text_col, item_col).select(F.struct(F.col(id_col).alias("id"), F.col("text_hash").alias("hash")).alias("leak")).distinct()
+    # The whole row travels as one column, so that none of its names can meet one of ours.
+    rows = docs.select(F.struct("*").alias("row"))
+    met = F.col(f"row.`{id_col}`").eqNullSafe(F.col("leak.id")) & (F.xxhash64(F.col(f"row.`{text_col}`")) == F.col("leak.hash"))
+    return rows.join(found, met, "left_anti").select("row.*")
