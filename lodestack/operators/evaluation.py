@@ -95,6 +95,23 @@ def discordant_needed(ratio: float, alpha: float = 0.05, up_to: int = 10_000) ->
     return None
 
 
+def discordant_pairs_needed(ratio: Column, alpha: float = 0.05, up_to: int = 10_000) -> Column:
+    """``discordant_needed`` of a column."""
+
+    @F.pandas_udf("long")
+    def needed(ratios: pd.Series) -> pd.Series:
+        known = {r: discordant_needed(r, alpha, up_to) for r in ratios.dropna().unique()}
+        return pd.Series([known.get(r) for r in ratios], dtype="Int64")
+
+    return needed(ratio)
+
+
+def single_bootstrap(rows: DataFrame, value: Column, id_col: str, by: tuple[str, ...] = (), replicates: int = 1_000, seed: int = 42) -> DataFrame:
+    """(by, n, mean, low, high): the percentile interval of a mean, from the same draws as ``paired_bootstrap``."""
+    keyed = rows if by else rows.withColumn("_all", F.lit(0))
+    return paired_bootstrap(keyed, value, by or ("_all",), id_col, replicates=replicates, seed=seed).select(*by, "n", "mean", "low", "high")
+
+
 def judgeable(budget: float, cost: float) -> int:
     """How many items a budget judges when two units of cost are spent besides."""
     return max(0, math.floor((budget - 2 * cost) / cost))
@@ -166,11 +183,27 @@ def paired_decisions(pairs: DataFrame, by: str, id_col: str) -> DataFrame:
     return rows.withColumn("p_exact", mcnemar_p(F.col("gained"), F.col("lost"))).join(interval, by)
 
 
+def binomial_room(draws: Column, p: Column, room: Column, ties: Column) -> Column:
+    """Of ``ties`` places that follow each other, the share expected to be left: place t counts if at most ``room - t`` of the draws succeed.
+
+    That is the sum over i of P(exactly i of the draws) times min(ties, room - i + 1), up to i = room. Terms are made one from the other
+    as logarithms, so neither many draws nor small p underflow; there are at most room + 1 of them.
+    """
+    last = F.least(room, draws).cast("int")
+    first = F.struct((draws * F.log(1 - p)).cast("double").alias("t"), F.lit(0.0).alias("s"))
+    odds = F.log(p / (1 - p))
+    step = lambda acc, i: F.struct((acc["t"] + F.log((draws - i) / (i + 1.0)) + odds).cast("double").alias("t"), (acc["s"] + F.exp(acc["t"]) * F.least(ties, room - i + 1)).cast("double").alias("s"))
+    between = F.aggregate(F.sequence(F.lit(0), last), first, step)["s"]
+    every = lambda left: F.greatest(F.lit(0), F.least(ties, left + 1)).cast("double")
+    return F.when(room < 0, 0.0).when((p <= 0) | (draws == 0), every(room)).when(p >= 1, every(room - draws)).otherwise(F.least(F.lit(1.0) * ties, between)) / ties
+
+
 def expected_ceiling(scores: DataFrame, sizes: tuple[int, ...], k: int, by: tuple[str, ...] = ("qid",)) -> DataFrame:
-    """How much of the gold would still be in the first k if the corpus grew by D documents like the ones at hand.
+    """How much of the gold is expected among the first k if the corpus grew by D documents like the ones at hand.
 
-    scores: (qid, score, gold). Of n others, g stand above a gold row, so with D more of their kind D * g / n more stand above on
-    average; a gold row counts while g + D * g / n + (gold rows above it) < k. D = 0 is what is measured.
+    scores: (qid, score, gold). A new document stands above a gold row with probability p, the share of others that do (of those of equal
+    score, half), so binomially many of D do. The row counts if they, the rows above it and those of equal score that happen to come
+    first are fewer than k; each order of equals is as likely. D = 0 is what is measured, gold first among equals.
     """
     from pyspark.sql import Window
 
@@ -179,8 +212,10 @@ def expected_ceiling(scores: DataFrame, sizes: tuple[int, ...], k: int, by: tupl
     above = w.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
     rows = counts.withColumn("_og", F.coalesce(F.sum("_g").over(above), F.lit(0))).withColumn("_oo", F.coalesce(F.sum("_o").over(above), F.lit(0)))
     rows = rows.withColumn("_n", F.sum("_o").over(w)).where("_g > 0").withColumn("added", F.explode(F.array(*map(F.lit, sizes))))
-    pushed = F.when(F.col("_n") > 0, F.col("added") * F.col("_oo") / F.col("_n")).otherwise(0.0)
-    room = F.greatest(F.lit(0.0), F.least(F.col("_g").cast("double"), k - F.col("_oo") - pushed - F.col("_og")))
+    measured = F.greatest(F.lit(0.0), F.least(F.col("_g").cast("double"), k - F.col("_oo") - F.col("_og").cast("double")))
+    p = F.when(F.col("_n") > 0, (F.col("_oo") + F.col("_o") / 2) / F.col("_n")).otherwise(0.0)
+    expected = F.col("_g") * binomial_room(F.col("added"), p, (k - 1 - F.col("_oo") - F.col("_og")).cast("int"), F.col("_g") + F.col("_o"))
+    room = F.when(F.col("added") == 0, measured).otherwise(expected)
     return rows.groupBy(*by, "added").agg(F.round(F.sum(room) / F.sum("_g"), 6).alias("ceiling"))
 
 

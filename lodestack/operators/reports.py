@@ -50,6 +50,39 @@ def referential_cleanup(rows: DataFrame, refs: str, valid: DataFrame, by: str, c
     return met.groupBy(by).agg(kept.alias("kept"), F.count_if(F.col("_ref").isNotNull() & F.col("_ok").isNull()).alias("dropped"))
 
 
+def _parts(path: Column) -> Column:
+    """The components of a path, its extension left out, spaces trimmed and either slash taken."""
+    bare = F.regexp_replace(F.translate(F.trim(path), "\\", "/"), r"\.[A-Za-z0-9]{1,5}$", "")
+    return F.filter(F.split(bare, "/"), lambda x: (x != "") & (x != "."))
+
+
+def _suffixes(parts: Column) -> Column:
+    """(n, key) of the last n components, for every n."""
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(n.alias("n"), F.array_join(F.slice(parts, -n, n), "/").alias("key")))
+
+
+def tolerant_cleanup(rows: DataFrame, refs: str, valid: DataFrame, by: str, cap: int = 5) -> DataFrame:
+    """``referential_cleanup`` of paths: (by, kept, dropped), where a reference may lack its extension or leading folders, or have some more.
+
+    A reference means the path it equals; else one that ends with the whole of it; else the longest path that is the end of it; of several the
+    smallest. Endings are keys of an equality join, and of each ending only its smallest path is kept, so a name that many paths share makes no pairs.
+    Each path is kept once, where it is first meant; empty references count as unknown.
+    """
+    known = valid.select(F.col(valid.columns[0]).alias("_id")).where("_id is not null").distinct().withColumn("_p", _parts(F.col("_id"))).where(F.size("_p") > 0)
+    ends = known.select("_id", F.size("_p").alias("_size"), F.explode(_suffixes(F.col("_p"))).alias("_s"))
+    of_key = ends.groupBy(F.col("_s.key").alias("_key")).agg(F.min("_id").alias("_ending"), F.min(F.when(F.col("_s.n") == F.col("_size"), F.col("_id"))).alias("_whole"))
+    each = rows.select(by, F.posexplode_outer(refs).alias("_at", "_ref")).withColumn("_p", _parts(F.col("_ref")))
+    asked = each.select(by, "_at", "_ref", F.size("_p").alias("_size"), F.explode_outer(F.when(F.size("_p") > 0, _suffixes(F.col("_p")))).alias("_s"))
+    met = asked.join(of_key, F.col("_s.key") == F.col("_key"), "left")
+    same = valid.select(F.col(valid.columns[0]).alias("_same")).distinct()
+    # 2: the whole reference is known or the ending of a path; 1: a path is the ending of the reference, the longest first.
+    found = F.when((F.col("_s.n") == F.col("_size")) & F.col("_ending").isNotNull(), F.struct(F.lit(2).alias("how"), F.col("_s.n").alias("n"), F.coalesce("_whole", "_ending").alias("id"))).when(F.col("_whole").isNotNull(), F.struct(F.lit(1).alias("how"), F.col("_s.n").alias("n"), F.col("_whole").alias("id")))
+    meant = met.groupBy(by, "_at", "_ref").agg(F.max(found)["id"].alias("_id")).join(same, F.col("_ref") == F.col("_same"), "left").withColumn("_id", F.coalesce("_same", "_id"))
+    first = meant.groupBy(by, "_id").agg(F.min("_at").alias("_at"), F.count_if(F.col("_ref").isNotNull()).alias("_n"))
+    kept = F.slice(F.array_sort(F.collect_list(F.when(F.col("_id").isNotNull(), F.struct("_at", "_id"))))["_id"], 1, cap)
+    return first.groupBy(by).agg(kept.alias("kept"), F.coalesce(F.sum(F.when(F.col("_id").isNull(), F.col("_n"))), F.lit(0)).alias("dropped"))
+
+
 def dual_judgement(a: Column, b: Column, third: Column) -> Column:
     """Two judges who agree settle it; else the third does, and without one it is unclear."""
     return F.when(a == b, a).otherwise(F.coalesce(third, F.lit("unclear")))

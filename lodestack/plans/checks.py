@@ -239,13 +239,15 @@ def judgeable_items(spark, d):
 
 @query(PATHS + GOLD + """, h as (select p.qid, p.route, k, max(cast(g.key is not null as integer)) as hit from paths p left join gold g on g.qid = p.qid and g.key = p.key cross join (values (1), (2), (5), (20)) t(k) where p.rank <= k group by 1, 2, 3),
 p as (select a.k, a.qid, a.hit as x, b.hit as y from h a join h b on a.qid = b.qid and a.k = b.k and a.route = 'length' and b.route = 'hash')
-select k, count(*) as n, round(avg(x), 6) as mean_x, round(avg(y), 6) as mean_y, round(avg(y) - avg(x), 6) as delta, count(*) filter (y > x) as gained, count(*) filter (x > y) as lost from p group by 1""")
+select k, count(*) as n, round(avg(x), 6) as mean_x, round(avg(y), 6) as mean_y, round(avg(y) - avg(x), 6) as delta, count(*) filter (y > x) as gained, count(*) filter (x > y) as lost,
+  round(least(1.0, 2 * (select sum(exp(lgamma(m + 1) - lgamma(i + 1) - lgamma(m - i + 1) - m * ln(2))) from range(0, least(up, down) + 1) t(i))), 6) as p_exact
+  from (select *, count(*) filter (y > x) over (partition by k) as up, count(*) filter (x > y) over (partition by k) as down, count(*) filter (x <> y) over (partition by k) as m from p) group by k, up, down, m""")
 def paired_decisions(spark, d):
     """For each depth: both systems' hit rates, their difference, and how many questions changed sides, with the exact test and the interval of the mean."""
     swept = M.judged(paths(spark, d), gold(spark, d)).withColumn("k", F.explode(F.array(*map(F.lit, (1, 2, 5, 20))))).where(F.col("rank") <= F.col("k"))
     hits = swept.groupBy("qid", "route", "k").agg(F.max(F.col("hit").cast("int")).alias("hit"))
     x, y = (hits.where(F.col("route") == r).select("qid", "k", F.col("hit").alias(n)) for r, n in (("length", "x"), ("hash", "y")))
-    return M.paired_decisions(x.join(y, ["qid", "k"]), "k", "qid").select("k", "n", "mean_x", "mean_y", "delta", "gained", "lost")
+    return M.paired_decisions(x.join(y, ["qid", "k"]), "k", "qid").select("k", "n", "mean_x", "mean_y", "delta", "gained", "lost", F.round("p_exact", 6).alias("p_exact"))
 
 
 def _fused_sql(mode: str, order: str, pool: str) -> str:

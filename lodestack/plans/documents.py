@@ -330,6 +330,29 @@ def referential_cleanup(spark, d):
     return got.select("conv_id", F.nullif(F.array_join(F.transform("kept", lambda x: x.cast("string")), ","), F.lit("")).alias("kept"), "dropped")
 
 
+@query("""with v as (select id, regexp_replace(id, '\\.[A-Za-z0-9]{1,5}$', '') as stem from (select distinct lang || '/' || source || '/doc ' || doc_id || '.pdf' as id from documents)),
+c as (select c.conv_id, c.conv_id % 400 as i, d.lang, d.source from (select distinct conv_id from conversations) c left join documents d on d.doc_id = c.conv_id % 400),
+r as (select conv_id, unnest(range(5)) as nth, unnest([lang || '/' || source || '/doc ' || i || '.pdf', 'doc ' || (i + 1), 'x/' || lang || '/' || source || '\\doc ' || i, ' /data/' || 'doc ' || (i + 2) || '.PDF', source || '/doc ' || i || '.pdf']) as ref from c),
+s as (select conv_id, nth, ref, regexp_replace(ltrim(replace(trim(ref), '\\', '/'), '/'), '\\.[A-Za-z0-9]{1,5}$', '') as stem from r),
+m as (select s.*, v.id, case when ref = id then 3 when v.stem = s.stem or ends_with(v.stem, '/' || s.stem) then 2 when ends_with(s.stem, '/' || v.stem) then 1 end as how, length(v.stem) as n from s join v on v.stem = s.stem or ends_with(v.stem, '/' || s.stem) or ends_with(s.stem, '/' || v.stem)),
+b as (select conv_id, nth, arg_max(id, (how, case when how = 1 then n else 0 end, case when v2 then 1 else 0 end)) as id from (select *, stem = regexp_replace(id, '\\.[A-Za-z0-9]{1,5}$', '') as v2 from m) group by 1, 2),
+f as (select conv_id, id, min(nth) as nth from b group by 1, 2), k as (select conv_id, array_to_string(list_slice(list(id order by nth), 1, 5), ',') as kept from f group by 1)
+select s.conv_id, k.kept, count(*) filter (s.ref is not null and b.id is null) as dropped from s left join b on b.conv_id = s.conv_id and b.nth = s.nth left join k on k.conv_id = s.conv_id group by 1, 2""")
+def tolerant_references(spark, d):
+    """References to documents by path: whole, by file name, with more folders and the other slash, with a folder that is not theirs, and by the end of the path."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", "source")
+    i = F.col("i")
+    asked = table(spark, d, "conversations").select("conv_id").distinct().withColumn("i", F.col("conv_id") % 400).join(docs, F.col("doc_id") == i, "left")
+    name = F.concat(F.lit("doc "), i)
+    refs = F.array(
+        F.concat("lang", F.lit("/"), "source", F.lit("/"), name, F.lit(".pdf")), F.concat(F.lit("doc "), i + 1), F.concat(F.lit("x/"), "lang", F.lit("/"), "source", F.lit("\\"), name),
+        F.concat(F.lit(" /data/doc "), i + 2, F.lit(".PDF")), F.concat("source", F.lit("/"), name, F.lit(".pdf")),
+    )
+    valid = docs.select(F.concat("lang", F.lit("/"), "source", F.lit("/doc "), "doc_id", F.lit(".pdf")).alias("id"))
+    got = B.tolerant_cleanup(asked.select("conv_id", refs.alias("refs")), "refs", valid, "conv_id")
+    return got.select("conv_id", F.nullif(F.array_join("kept", ","), F.lit("")).alias("kept"), "dropped")
+
+
 @query("""with j as (select doc_id, case when quality = 1 then 'yes' else 'no' end as a, case when doc_id % 4 = 0 then 'no' else 'yes' end as b, case doc_id % 3 when 0 then 'yes' when 1 then 'no' end as t from labels)
 select doc_id, case when a = b then a else coalesce(t, 'unclear') end as verdict from j""")
 def dual_judgement(spark, d):

@@ -110,8 +110,11 @@ def broad_and_specific(spark, d):
 
 @query("""with s as (select d.lang as qid, d.n_chars as score, l.quality = 1 as gold from documents d join labels l using (doc_id)),
 c as (select qid, score, count(*) filter (gold) as g, count(*) filter (not gold) as o from s group by 1, 2),
-w as (select *, coalesce(sum(g) over a, 0) as og, coalesce(sum(o) over a, 0) as oo, sum(o) over (partition by qid) as n from c window a as (partition by qid order by score desc rows between unbounded preceding and 1 preceding))
-select qid, t.added, round(sum(greatest(0.0, least(cast(g as double), 50 - oo - case when n > 0 then t.added * oo / cast(n as double) else 0.0 end - og))) / sum(g), 6) as ceiling from w, (values (0), (100), (1000), (10000)) t(added) where g > 0 group by 1, 2""")
+w as (select *, coalesce(sum(g) over a, 0) as og, coalesce(sum(o) over a, 0) as oo, sum(o) over (partition by qid) as n from c window a as (partition by qid order by score desc rows between unbounded preceding and 1 preceding)),
+r as (select w.*, t.added, 49 - oo - og as room, case when n > 0 then (oo + o / 2.0) / n else 0.0 end as p from w, (values (0), (100), (1000), (10000)) t(added) where g > 0),
+b as (select r.*, case when room < 0 then 0.0 when p <= 0 then least(g + o, room + 1) when p >= 1 then greatest(0, least(g + o, room - added + 1)) else
+  (select sum(exp(lgamma(added + 1) - lgamma(i + 1) - lgamma(added - i + 1) + i * ln(p) + (added - i) * ln(1 - p)) * least(g + o, room - i + 1)) from range(0, cast(least(room, added) as bigint) + 1) x(i)) end / cast(g + o as double) as share from r)
+select qid, added, round(sum(case when added = 0 then greatest(0.0, least(cast(g as double), 50 - oo - og)) else g * share end) / sum(g), 6) as ceiling from b group by 1, 2""")
 def corpus_growth_ceiling(spark, d):
     rows = table(spark, d, "documents").select("doc_id", F.col("lang").alias("qid"), F.col("n_chars").alias("score")).join(table(spark, d, "labels").select("doc_id", (F.col("quality") == 1).alias("gold")), "doc_id")
     return M.expected_ceiling(rows, (0, 100, 1000, 10000), 50)
@@ -151,3 +154,28 @@ def multi_value_match(spark, d):
 
     words = table(spark, d, "benchmark").select("item_id", F.explode(F.array_distinct(F.filter(T.latin_tokens(F.col("text")), lambda w: F.length(w) >= 8))).alias("value"))
     return M.multi_value_match(words, words.withColumn("item_id", F.col("item_id") + 2), "item_id")
+
+
+@query("""with r as (select lang as grp, (1 + count(*) filter (l.quality = 1)) / cast(1 + count(*) filter (l.quality = 0) as double) as ratio from documents d join labels l using (doc_id) group by 1),
+n as (select grp, ratio, n, cast(n - ceil(n * ratio / (1 + ratio)) as bigint) as m from r, range(1, 401) t(n)),
+p as (select grp, ratio, n, least(1.0, 2 * (select sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))) from range(0, m + 1) x(i))) as p from n)
+select grp, round(any_value(ratio), 6) as ratio, min(n) filter (p < 0.05) as needed from p group by 1""")
+def discordant_power(spark, d):
+    """How many discordant pairs, split as each language's good to bad documents, an exact test needs to reach 0.05; null if over 400."""
+    rows = table(spark, d, "documents").select("doc_id", F.col("lang").alias("grp")).join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id")
+    ratio = rows.groupBy("grp").agg(((1 + F.count_if(F.col("quality") == 1)) / (1 + F.count_if(F.col("quality") == 0))).alias("ratio"))
+    return ratio.select("grp", F.round("ratio", 6).alias("ratio"), M.discordant_pairs_needed(F.col("ratio"), 0.05, 400).alias("needed"))
+
+
+@query("""with j as (select quality, toxic from labels), c as (select count(*) filter (quality = 1) as good, count(*) as n from j)
+select n, round(good / cast(n as double), 6) as mean from c""")
+def single_sample_mean(spark, d):
+    """The mean that ``single_sample_interval`` gives an interval of."""
+    return M.single_bootstrap(table(spark, d, "labels"), (F.col("quality") == 1).cast("double"), "doc_id").select("n", F.round("mean", 6).alias("mean"))
+
+
+@query()
+def single_sample_interval(spark, d):
+    """Percentile interval of a share, by language; draws are hashes of ids, so a test draws the same."""
+    rows = table(spark, d, "documents").select("doc_id", F.col("lang").alias("grp")).join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id")
+    return M.single_bootstrap(rows, (F.col("quality") == 1).cast("double"), "doc_id", ("grp",))
