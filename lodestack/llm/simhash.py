@@ -7,10 +7,13 @@ is verified. Variants shared by more than ``PAIRS_UP_TO`` fingerprints would giv
 linked exactly through the points at distance one instead: two fingerprints differ in at most two bits just if they share
 one of their 65 points, and a point needs only one link from each member to its smallest.
 
-``keep_one`` removes near copies, whose shingles differ in more bits than that. Its fingerprints are of distinct words, two for a
-text (``NEAR_SEEDS``): word lists at ``NEAR`` (3) or fewer differing bits of either, found in the same two segments, are linked where the
-Jaccard similarity of their five-word shingles is at least ``SIMILARITY``. In a variant that more than ``NEAR_PAIRS_UP_TO`` word lists share,
-each is compared with the smallest and the next of them, and the points link as above.
+``keep_one`` removes near copies, whose shingles differ in more bits than that. Its fingerprints are of distinct words, three for a
+text (``NEAR_SEEDS``): word lists that differ in at most one bit of a segment of any of the three (a fingerprint that differs in 3 bits
+or fewer always has such a segment, one that differs in more often has) are linked where the Jaccard similarity of their five-word shingles
+is at least ``SIMILARITY``. Variants that up to ``NEAR_PAIRS_UP_TO`` word lists share give all pairs. In a variant that more share, each
+is first compared with the smallest and the next of them; then every one that these links leave outside the variant's largest component
+is compared with all of the others that are not in its own. Any two that are still apart have one of them outside the largest, so no
+link between components is lost, and near copies of one text are not compared pair by pair.
 
 Results: a null or wordless text has fingerprint zero and is linked like any other; equal texts share a fingerprint;
 null ids take no part in finding the smallest id (a component of null ids only has a null id); repeated rows are
@@ -33,9 +36,9 @@ SEED = 42
 DISTANCE = 2
 #: Largest variant bucket whose pairs are compared one by one.
 PAIRS_UP_TO = 4
-#: Of keep_one: bits, seeds of its fingerprints, words of a shingle, Jaccard similarity, largest variant bucket whose pairs are compared one by one.
+#: Of keep_one: bits (which say how many segments a fingerprint has), seeds of its fingerprints, words of a shingle, Jaccard similarity, largest variant bucket whose pairs are compared at once.
 NEAR = 3
-NEAR_SEEDS = (42, 43)
+NEAR_SEEDS = (42, 43, 44)
 NEAR_WORDS = 5
 SIMILARITY = 0.8
 NEAR_PAIRS_UP_TO = 32
@@ -133,7 +136,10 @@ def classes(distinct: DataFrame) -> DataFrame:
 
 
 def _shingles(text: str | None) -> set[bytes]:
-    words = ascii_lower_words(text)
+    return _shingles_of(ascii_lower_words(text))
+
+
+def _shingles_of(words: list[bytes]) -> set[bytes]:
     width = min(NEAR_WORDS, len(words))
     return {b" ".join(words[i : i + width]) for i in range(len(words) - width + 1)} if words else set()
 
@@ -144,51 +150,73 @@ def similarity(a: str | None, b: str | None) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
-def _candidates(nodes: DataFrame, distance: int) -> DataFrame:
-    """(a, b) pairs of nodes (node, kind, fp) of which a fingerprint of one kind differs in at most ``distance`` bits, a < b."""
-    w = Window.partitionBy("key")
-    shared = _shared(_variants(nodes, distance).withColumn("key", F.expr("key | shiftleft(cast(kind as bigint), 40)")))
+def _first_pairs(shared: DataFrame) -> DataFrame:
+    """(a, b), a < b: all pairs of the small buckets of ``shared`` (key, n, node), of the large ones each with the smallest and the next."""
     few, many = shared.where(F.col("n") <= NEAR_PAIRS_UP_TO), shared.where(F.col("n") > NEAR_PAIRS_UP_TO)
-    a, b = (few.select("key", F.col("node").alias(x), F.col("fp").alias(f"fp_{x}")) for x in "ab")
-    of_few = a.join(b, (a.key == b.key) & (F.col("a") < F.col("b")) & _close("fp_a", "fp_b", distance)).select("a", "b")
-    point = F.struct("fp", "node")
-    least = many.groupBy("key").agg(F.min(point).alias("other"))
-    following = many.withColumn("other", F.lead(point).over(w.orderBy("fp", "node"))).where("other is not null")
-    points = _points(many.select("node", "kind", "fp").distinct())
-    of_point = points.groupBy("kind", "point").agg(F.min(point).alias("other"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    star = [big.join(small, by).select("node", "fp", "other") for big, small, by in ((many, least, ["key"]), (points, of_point, ["kind", "point"]))]
-    met = following.select("node", "fp", "other").unionByName(star[0]).unionByName(star[1]).withColumn("other_fp", F.col("other.fp")).where(_close("fp", "other_fp", distance))
-    of_many = met.select(F.least("node", "other.node").alias("a"), F.greatest("node", "other.node").alias("b")).where("a < b")
+    a, b = (few.select(F.col("key").alias(f"key_{x}"), F.col("node").alias(x)) for x in "ab")
+    of_few = a.join(b, (F.col("key_a") == F.col("key_b")) & (F.col("a") < F.col("b"))).select("a", "b")
+    # Counted in parts of a bucket, which name their smallest to the whole.
+    parts = many.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(64)))
+    least = parts.groupBy("key", "part").agg(F.min("node").alias("other")).groupBy("key").agg(F.min("other").alias("other"))
+    following = parts.withColumn("other", F.lead("node").over(Window.partitionBy("key", "part").orderBy("node"))).where("other is not null")
+    met = following.select("node", "other").unionByName(many.join(least, "key").select("node", "other"))
+    of_many = met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).where("a < b")
     return of_few.unionByName(of_many).distinct()
 
 
+def _pairs_between(shared: DataFrame, roots: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(a, b), a < b, of the large buckets of ``shared``: members outside a bucket's largest component with those of other components.
+
+    roots: (node, root) of nodes that are not their own root; sizes: (node, size), the number of shingles.
+    """
+    many = shared.where(F.col("n") > NEAR_PAIRS_UP_TO).select("key", "node").join(sizes, "node")
+    rooted = cut(many.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    held = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    largest = held.groupBy("key").agg(F.max(F.struct("c", "root"))["root"].alias("largest"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    apart = rooted.join(largest, "key")
+    outside = apart.where("root <> largest").select("key", F.col("node").alias("x"), F.col("root").alias("x_root"), F.col("size").alias("x_size"))
+    near = (F.col("x_root") != F.col("root")) & (F.col("x_size") >= SIMILARITY * F.col("size")) & (F.col("size") >= SIMILARITY * F.col("x_size"))
+    met = outside.join(apart.select("key", "node", "root", "size"), "key").where(near)
+    return met.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = NEAR, least_similarity: float = SIMILARITY) -> DataFrame:
     """One document of each component of near copies, with its columns as they came: the one with the smallest id (null ids last)."""
 
     names = [f"fp{i}" for i in range(len(NEAR_SEEDS))]
 
-    @F.pandas_udf(", ".join([*(f"{n} bigint" for n in names), "node bigint"]))
+    @F.pandas_udf(", ".join([*(f"{n} bigint" for n in names), "node bigint", "size bigint"]))
     def marks(texts: pd.Series) -> pd.DataFrame:
-        found = np.zeros((len(texts), len(names) + 1), np.uint64)
+        found = np.zeros((len(texts), len(names) + 2), np.uint64)
         for i, words in enumerate(map(ascii_lower_words, texts)):  # the words of one text at a time
-            found[i] = [*(word_fingerprint(words, seed) for seed in NEAR_SEEDS), xxhash.xxh64_intdigest(b" ".join(words))]
-        return pd.DataFrame(found.view(np.int64), columns=[*names, "node"])
+            found[i] = [*(word_fingerprint(words, seed) for seed in NEAR_SEEDS), xxhash.xxh64_intdigest(b" ".join(words)), len(_shingles_of(words))]
+        return pd.DataFrame(found.view(np.int64), columns=[*names, "node", "size"])
 
     marked = docs.select(F.struct("*").alias("row"), marks(F.col(text_col)).alias("m"), F.monotonically_increasing_id().alias("uid"))
     rows = cut(marked.select("row", "m.*", "uid"), "rows")
     order = F.struct(F.col(f"row.{id_col}").isNull().alias("null"), F.col(f"row.{id_col}").alias("id"), "uid")
-    distinct = cut(rows.groupBy("node").agg(*(F.min(n).alias(n) for n in names), F.min(order).alias("least")), "distinct")
+    distinct = cut(rows.groupBy("node").agg(*(F.min(n).alias(n) for n in names), F.min("size").alias("size"), F.min(order).alias("least")), "distinct")
     kinds = F.explode(F.array(*(F.struct(F.lit(i).alias("kind"), F.col(n).alias("fp")) for i, n in enumerate(names)))).alias("m")
-    pairs = cut(_candidates(distinct.select("node", kinds).select("node", "m.kind", "m.fp"), distance), "candidates")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(distinct, "node").select("node", F.col("least.uid").alias("uid"))
-    texts = cut(rows.select("uid", F.col(f"row.{text_col}").alias("text")).join(asked, "uid").select("node", "text"), "texts")
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    nodes = distinct.select("node", kinds).select("node", "m.kind", "m.fp")
+    shared = _shared(_variants(nodes, distance).select("node", F.expr("key | shiftleft(cast(kind as bigint), 40)").alias("key")))
 
     @F.pandas_udf("double")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([similarity(x, y) for x, y in zip(a, b)], dtype=float)
 
-    roots = components(both.where(alike("text_a", "text_b") >= least_similarity).select("a", "b"))
+    def linked(pairs: DataFrame) -> DataFrame:
+        pairs = cut(pairs, "candidates")
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(distinct, "node").select("node", F.col("least.uid").alias("uid"))
+        texts = cut(rows.select("uid", F.col(f"row.{text_col}").alias("text")).join(asked, "uid").select("node", "text"), "texts")
+        both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+        return cut(both.where(alike("text_a", "text_b") >= least_similarity).select("a", "b"), "links")
+
+    sizes = distinct.select(F.col("node").alias("a"), F.col("size").alias("size_a")), distinct.select(F.col("node").alias("b"), F.col("size").alias("size_b"))
+    possible = (F.col("size_a") >= least_similarity * F.col("size_b")) & (F.col("size_b") >= least_similarity * F.col("size_a"))
+    links = linked(_first_pairs(shared).join(sizes[0], "a").join(sizes[1], "b").where(possible).select("a", "b"))
+    roots = components(links)
+    between = linked(_pairs_between(shared, roots, distinct.select("node", "size")))
+    roots = components(between.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     rooted = distinct.select(F.col("node").alias("_node"), "least").join(roots, F.col("_node") == F.col("node"), "left").select("least", F.coalesce("root", "_node").alias("root"))
     first = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.uid").alias("uid"))
     return rows.join(first, "uid", "left_semi").select("row.*")

@@ -214,7 +214,11 @@ def marks(text):
 
 
 def met(a, b):
-    return min((x ^ y).bit_count() for x, y in zip(marks(a), marks(b))) <= simhash.NEAR
+    """At most one bit of a half of one of the fingerprints differs."""
+    return any((h & (x ^ y)).bit_count() <= 1 for x, y in zip(marks(a), marks(b)) for h in HALVES)
+
+
+HALVES = ((1 << 32) - 1, ((1 << 32) - 1) << 32)
 
 
 def test_word_fingerprints_by_definition():
@@ -246,7 +250,7 @@ def smallest_of_components(texts):
         return i
 
     for i in range(len(texts)):
-        for j in np.flatnonzero((np.bitwise_count(fps[:i] ^ fps[i]) <= simhash.NEAR).any(axis=1)):
+        for j in np.flatnonzero(np.any([(np.bitwise_count((fps[:i] ^ fps[i]) & np.uint64(h)) <= 1).any(axis=1) for h in HALVES], axis=0)):
             if find(i) != find(j) and simhash.similarity(texts[i], texts[j]) >= simhash.SIMILARITY:
                 root[max(find(i), find(j))] = min(find(i), find(j))
     return [i for i in range(len(texts)) if root[i] == i]
@@ -291,3 +295,50 @@ def test_items_of_five_and_six_words_with_one_substitution(spark):
     df = spark.createDataFrame(docs, f"{SCHEMA}, item int")
     got = decontaminate.leaks(df, spark.createDataFrame(items, "item_id bigint, text string")).collect()
     assert sorted((r.doc_id, r.item_id) for r in got) == [(i, n) for i, _, n in docs if n]
+
+
+def brute_near(texts):
+    """The indexes that stay if all pairs at 0.8 are linked, and those pairs, by shared five-word shingles."""
+    sets = [simhash._shingles(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    pairs = [(j, i) for i in range(len(texts)) for j in range(i) if sets[i] & sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    for j, i in pairs:
+        if find(i) != find(j):
+            root[max(find(i), find(j))] = min(find(i), find(j))
+    return {i for i in range(len(texts)) if root[i] == i}, pairs
+
+
+def test_keep_one_of_a_large_group_with_edits_of_many_sizes(spark):
+    """400 texts that are one component, in buckets larger than those compared pair by pair: nine tenths of what should go do, and more."""
+    rng = np.random.default_rng(1)
+    base, texts = [f"w{i}" for i in range(200)], set()
+    while len(texts) < 400:
+        n = int(rng.choice([1, 8, 14]))
+        at = int(rng.integers(0, 200 - n))
+        texts.add(" ".join([*base[:at], *(f"x{i}" for i in rng.integers(0, 10**6, n)), *base[at + n :]]))
+    texts = sorted(texts)
+    want, _ = brute_near(texts)
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()}
+    assert want == {0} and want <= kept and len(kept) <= 8
+
+
+def test_large_buckets_lose_no_link(spark, monkeypatch):
+    """With buckets of three compared pair by pair, the same texts stay as when all pairs of all buckets are."""
+    rng = np.random.default_rng(6)
+    base, texts = [f"w{i}" for i in range(120)], set()
+    while len(texts) < 150:
+        n = int(rng.integers(1, 9))
+        at = int(rng.integers(0, 120 - n))
+        texts.add(" ".join([*base[:at], *(f"x{i}" for i in rng.integers(0, 10**6, n)), *base[at + n :]]))
+    df = spark.createDataFrame(list(enumerate(sorted(texts))), SCHEMA)
+    kept = []
+    for up_to in (3, 10_000):
+        monkeypatch.setattr(simhash, "NEAR_PAIRS_UP_TO", up_to)
+        kept.append(sorted(r.doc_id for r in simhash.keep_one(df).collect()))
+    assert kept[0] == kept[1]
