@@ -5,6 +5,11 @@ and after, and what encloses it: an article or main element (1), nothing of note
 mentions a part of a page that is no article (-1), or one that is such a part by its element, role, hiding or whole class name
 (-2). A decision tree grown from the small labelled table below keeps or drops a block.
 
+A page of which this leaves next to nothing is read again, leniently: forms around the page and names that also speak of a layout (a
+sidebar on the right, a header) count for nothing there, so that words and links decide. What then is kept is taken if it is
+several times as much; a page with no unmarked text at all is read more leniently still. If nothing is left, the page's unmarked blocks
+that are no links are its text, however short.
+
 The scanner reads a page once from left to right; what it looks ahead for and does not find (a closing quote, a closing
 script) is not looked for again, so that a page takes time in proportion to its length whatever it holds.
 
@@ -42,6 +47,13 @@ PARTS = frozenset(
 HOLDERS = frozenset("wrapper wrap container inner outer box area block list listing item items section group row col column bar left right top bottom site page global main primary secondary fixed sticky slot unit panel form button buttons icons icon links link posts articles stories reads news thread body text title heading count feed small large mobile desktop 1 2 3 4".split())
 OWN = frozenset("entry post article story content section chapter card".split())
 COMMENTS = frozenset("comment comments commentlist reply replies respond response responses".split())
+#: PARTS that also name layouts or whole pages, which count for nothing where a page is read leniently; so do forms.
+LAYOUT = frozenset("header masthead banner sidebar aside".split())
+#: More of them, for pages without any unmarked text.
+BOXES = LAYOUT | frozenset("social tags related".split())
+SIDES = frozenset("left right top bottom both none".split())
+#: A page with fewer kept words is read leniently, and what is found then is taken from so many times as many words.
+FEW, TIMES = 25, 4
 #: Names that speak of what an element has, lacks or allows, not of what it is.
 ABOUT = re.compile(r"(?:^|[-_])(?:no|not|non|has|with|without|is|show|hide|enable|disable)[-_]|[-_](?:open|opened|closed|enabled|disabled|visible|active)$", re.I)
 PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
@@ -106,12 +118,14 @@ def trained_tree() -> tuple:
     return grow(data[:, :-1], data[:, -1])
 
 
-def named(token: str) -> int:
+def named(token: str, lenient: frozenset[str] = frozenset()) -> int:
     """What one class or id says: STRONG where, boxes and positions aside, its last word names a part that is no article, WEAK where an earlier word does, else 0."""
     if ABOUT.search(token):
         return 0
     pieces = [p.lower() for p in PIECES.findall(token)]
     told = [p for p in pieces if p not in HOLDERS] or pieces
+    if lenient:
+        told = [p for p in told if p not in lenient]
     if not told or not any(p in PARTS for p in told):
         return 0
     if told[-1] == "header" and len(told) > 1 and told[-2] in OWN:
@@ -119,18 +133,21 @@ def named(token: str) -> int:
     return STRONG if told[-1] in PARTS else WEAK
 
 
-def place_of(name: str, attributes: dict[str, str]) -> int:
+def place_of(name: str, attributes: dict[str, str], lenient: frozenset[str] = frozenset()) -> int:
     """What an element announces: 1 an article, 0 nothing, WEAK, STRONG or OUT."""
     if "hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true" or NONE_SHOWN.search(attributes.get("style", "")):
         return OUT
-    if attributes.get("role", "").strip().lower() in ROLES or name in BOILERPLATE:
+    role = attributes.get("role", "").strip().lower()
+    if (role in ROLES and not (lenient and role == "form")) or (name in BOILERPLATE and not (lenient and name == "form")):
         return OUT
     if name == "body" or not attributes:
         return int(name in ARTICLE)
     tokens = f"{attributes.get('class', '')} {attributes.get('id', '')}".split()
     if name in ARTICLE:  # its names speak of the whole page, but that a comment is one
         return STRONG if any(t.lower().split("-")[0] in COMMENTS and not ABOUT.search(t) for t in tokens) else 1
-    return min(map(named, tokens), default=0)
+    if len(tokens) > 1:  # beside another name, "sidebar-right" says where the sidebar stands that the content has
+        tokens = [t for t in tokens if not (SIDES & {*(w := [p.lower() for p in PIECES.findall(t)])} and "sidebar" in w)]
+    return min((named(t, lenient) for t in tokens), default=0)
 
 
 class Scanner:
@@ -181,7 +198,7 @@ class Scanner:
                 attributes.setdefault(key, unescape(value) if "&" in value else value)
 
 
-def blocks(html: str) -> list[tuple[str, int, float, int]]:
+def blocks(html: str, lenient: frozenset[str] = frozenset()) -> list[tuple[str, int, float, int]]:
     """(text, words, link density, place) of each flat block, in page order."""
     found: list[tuple[str, int, float, int]] = []
     parts: list[str] = []
@@ -257,7 +274,7 @@ def blocks(html: str) -> list[tuple[str, int, float, int]]:
                     flush()
                     while stack and stack[-1][0] in INLINE and pop() != name:
                         pass
-            elif (place := place_of(name, attributes) if attributes else 0) < 0 or opened[name]:
+            elif (place := place_of(name, attributes, lenient) if attributes else 0) < 0 or opened[name]:
                 # A marked inline element, or one inside of it by the same name: its end must not be taken for the outer one's.
                 above = stack[-1][1] if stack else 0
                 if place < 0:
@@ -279,7 +296,7 @@ def blocks(html: str) -> list[tuple[str, int, float, int]]:
         if ends and stack and stack[-1][0] in ends:
             while stack and stack[-1][0] in ends:
                 pop()
-        place = place_of(name, attributes)
+        place = place_of(name, attributes, lenient)
         if (name in CONTAINERS or place < 0) and not ("/" in attributes and name in UNSEEN):
             above = stack[-1][1] if stack else 0
             if above == OUT:
@@ -297,15 +314,30 @@ def blocks(html: str) -> list[tuple[str, int, float, int]]:
     return found
 
 
-def main_text(html: str | None, tree: tuple) -> str:
-    """The kept blocks of a page, one a line."""
-    got = blocks(html) if html else []
+def _judged(got: list[tuple[str, int, float, int]], tree: tuple) -> list[tuple[str, int, float, int]]:
+    """The blocks that the tree keeps."""
     if not got:
-        return ""
+        return []
     words, links, place = (np.asarray([b[i] for b in got], float) for i in (1, 2, 3))
     before, after = (lambda x: np.concatenate([[0.0], x[:-1]])), (lambda x: np.concatenate([x[1:], [0.0]]))
     keep = judge(tree, np.column_stack([words, links, before(words), before(links), after(words), after(links), place]))
-    return "\n".join(b[0] for b, ok in zip(got, keep) if ok)
+    return [b for b, ok in zip(got, keep) if ok]
+
+
+def main_text(html: str | None, tree: tuple) -> str:
+    """The kept blocks of a page, one a line."""
+    got = blocks(html) if html else []
+    kept = _judged(got, tree)
+    words = sum(b[1] for b in kept)
+    if words < FEW and any(b[3] < WEAK for b in got):
+        unmarked = sum(b[1] for b in got if b[3] >= 0 and b[2] < 0.5)
+        again = blocks(html, LAYOUT if unmarked else BOXES)
+        more = _judged(again, tree)
+        if sum(b[1] for b in more) > TIMES * max(words, unmarked):
+            got, kept = again, more
+    if not kept:
+        kept = [b for b in got if b[3] >= 0 and b[2] < 0.5]
+    return "\n".join(b[0] for b in kept)
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

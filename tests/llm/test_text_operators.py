@@ -408,3 +408,30 @@ def test_toxicity_edge_cases(spark):
 def test_word_features_are_in_range(word):
     found = toxicity.word_features(word)
     assert len(found) == 1 + sum(len(word) >= n for n in toxicity.PREFIXES) and all(0 <= f < 1 << toxicity.BITS for f in found)
+
+
+PROSE = " ".join(f"word{i}" for i in range(60)) + "."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<form id="form1"><nav><a href=x>Home</a></nav><main><article><p>{}</p></article></main></form>', '<div role="form"><article><p>{}</p></article></div>', '<form id="aspnetForm"><input><div id="content"><p>{}</p></div></form>',
+        '<div class="content sidebar-right"><p>{}</p></div>', '<div class="layout sidebar-left"><p>{}</p></div>', '<div id="header"><p>{}</p></div>', '<div class="article-social"><p>{}</p></div>', '<div class="social"><p>{}</p></div>',
+        '<div class="tags"><p>{}</p></div>', '<div class="related"><p>{}</p></div>', '<div class="news-banner"><p>{}</p></div>', '<h1>Two words</h1><div class="content sidebar-right"><p>{}</p></div>',
+    ],
+)
+def test_articles_inside_forms_and_layout_names_stay(page):
+    assert PROSE in html_text.main_text(page.format(PROSE), html_text.trained_tree())
+
+
+@pytest.mark.parametrize("page", ['<div class="comments"><p>{}</p></div>', '<div class="cookie-notice"><p>{}</p></div>', "<footer><p>{}</p></footer>", "<nav><p>{}</p></nav>", '<div class="related"><p>{}</p></div><p>A short piece of news.</p>', '<form><p>{}</p></form><article><p>' + PROSE.replace("word", "term") + "</p></article>"])
+def test_boilerplate_still_goes(page):
+    assert PROSE not in html_text.main_text(page.format(PROSE), html_text.trained_tree())
+
+
+def test_short_pages():
+    tree = html_text.trained_tree()
+    assert html_text.main_text("<body><h1>A title</h1><p>Short news text of nine words is here.</p></body>", tree) == "A title\nShort news text of nine words is here."
+    assert html_text.main_text("<p>Hello world.</p>", tree) == "Hello world."
+    assert html_text.main_text("<ul><li><a href=a>One</a><li><a href=b>Two</a></ul>", tree) == ""
