@@ -5,7 +5,7 @@ and after, and what encloses it: an article or main element (1), nothing of note
 mentions a part of a page that is no article (-1), or one that is such a part by its element, role, hiding or whole class name
 (-2). A decision tree grown from the small labelled table below keeps or drops a block.
 
-A page of which this leaves next to nothing is read again, leniently: forms around the page and names that also speak of a layout (a
+A page of which this leaves next to nothing, and nothing of an article, is read again, leniently: forms around the page and names that also speak of a layout (a
 sidebar on the right, a header) count for nothing there, so that words and links decide. What then is kept is taken if it is
 several times as much; a page with no unmarked text at all is read more leniently still. If nothing is left, the page's unmarked blocks
 that are no links are its text, however short.
@@ -329,7 +329,7 @@ def main_text(html: str | None, tree: tuple) -> str:
     got = blocks(html) if html else []
     kept = _judged(got, tree)
     words = sum(b[1] for b in kept)
-    if words < FEW and any(b[3] < WEAK for b in got):
+    if words < FEW and not any(b[3] == 1 for b in kept) and any(b[3] < WEAK for b in got):
         unmarked = sum(b[1] for b in got if b[3] >= 0 and b[2] < 0.5)
         again = blocks(html, LAYOUT if unmarked else BOXES)
         more = _judged(again, tree)
