@@ -22,6 +22,8 @@ returned each. Empty tables give empty results.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -196,9 +198,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", di
     rows = cut(marked.select("row", "m.*", "uid"), "rows")
     order = F.struct(F.col(f"row.{id_col}").isNull().alias("null"), F.col(f"row.{id_col}").alias("id"), "uid")
     distinct = cut(rows.groupBy("node").agg(*(F.min(n).alias(n) for n in names), F.min("size").alias("size"), F.min(order).alias("least")), "distinct")
-    kinds = F.explode(F.array(*(F.struct(F.lit(i).alias("kind"), F.col(n).alias("fp")) for i, n in enumerate(names)))).alias("m")
-    nodes = distinct.select("node", kinds).select("node", "m.kind", "m.fp")
-    shared = _shared(_variants(nodes, distance).select("node", F.expr("key | shiftleft(cast(kind as bigint), 40)").alias("key")))
+    # One kind of fingerprint after the other, so that no task holds the variants of all of them.
+    of_kind = [_shared(_variants(distinct.select("node", F.col(n).alias("fp")), distance).select("node", F.expr(f"key | shiftleft({i}L, 40)").alias("key"))) for i, n in enumerate(names)]
+    shared = reduce(DataFrame.unionByName, of_kind)
 
     @F.pandas_udf("double")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
