@@ -15,6 +15,7 @@ from ..streaming import logs as L
 from .documents import _anchor_sql
 from .evaluation import GOLD, gold
 from .ranking import PATHS, paths
+from ..sources import scratch
 from .registry import query, table
 
 _S = "[ \\t\\n\\x0B\\f\\r]"
@@ -385,3 +386,26 @@ def scoring_blocks(spark, d):
     """Blocks of pairs that still have something to score; a run that was cut short goes on with these."""
     pairs = table(spark, d, "documents").select(F.col("doc_id").alias("key"))
     return L.unscored_blocks(pairs, table(spark, d, "labels").select(F.col("doc_id").alias("key")), 40)
+
+
+@query("""with recursive e as (select user_id % 50 as job, case event_type when 'click' then 'queued' when 'view' then 'running' when 'purchase' then 'ready' when 'error' then 'failed' else 'running' end as state, ts, event_id as seq from events),
+o as (select *, epoch_us(ts) as us, row_number() over (partition by job order by ts, seq) as n from e),
+m as (select job, n, seq, us, state as wanted, null::varchar as before, null::bigint as lost_at, case when state = 'queued' then 'queued' end as now, case when state = 'queued' then us + 900000000 else 0 end as until, state = 'queued' as taken from o where n = 1
+union all select o.job, o.n, o.seq, o.us, o.state, b.before, b.lost_at, case when b.ok then o.state else b.before end, case when b.ok then o.us + 900000000 else m.until end, b.ok from m join o on o.job = m.job and o.n = m.n + 1,
+  lateral (select case when m.now = 'running' and m.until < o.us then 'failed' else m.now end as before, case when m.now = 'running' and m.until < o.us then m.until end as lost_at) l,
+  lateral (select l.before, l.lost_at, case when l.before is null then o.state = 'queued' when l.before = 'queued' then o.state in ('running', 'failed', 'cancelled') when l.before = 'running' then o.state <> 'queued' else o.state = 'queued' end as ok) b),
+w as (select max(us) - 60000000 as mark from o), last as (select * from m qualify row_number() over (partition by job order by n desc) = 1),
+a as (select job, now as state, case when taken then 'taken' else 'refused' end as verdict, us from m union all select job, 'failed', 'lost', lost_at from m where lost_at is not null union all select job, 'failed', 'lost', until from last, w where now = 'running' and until < mark)
+select job, state, verdict, count(*) as n, max(us) as last from a group by 1, 2, 3""")
+def job_machine(spark, d):
+    """Events as a stream through the job state machine, in two runs with a restart between; what was told, by job, state and verdict."""
+    e = table(spark, d, "events")
+    state = F.when(F.col("event_type") == "click", "queued").when(F.col("event_type") == "purchase", "ready").when(F.col("event_type") == "error", "failed").otherwise("running")
+    rows = e.select((F.col("user_id") % 50).alias("job"), state.alias("state"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").cast("long").alias("seq"))
+    source, told, kept = (scratch.folder(spark, name) for name in ("job_events", "job_told", "job_state"))
+    half = rows.agg(F.expr("percentile_approx(ts, 0.5)")).first()[0]
+    for part in (rows.where(F.col("ts") < F.lit(half)), rows.where(F.col("ts") >= F.lit(half))):
+        part.coalesce(4).write.mode("append").parquet(source)
+        stream = L.job_machine(spark.readStream.schema(rows.schema).parquet(source), 900)
+        stream.writeStream.format("parquet").option("path", told).option("checkpointLocation", kept).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(told).groupBy("job", "state", "verdict").agg(F.count(F.lit(1)).alias("n"), F.max(F.unix_micros("ts")).alias("last"))
