@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions import tables as H
+from ..functions import tabular as TF
 from ..functions import text as T
 from ..operators import ranking as R
 from ..operators import reports as B
@@ -261,6 +262,37 @@ def table_markdown(spark, d):
     return table(spark, d, "conversations").groupBy("conv_id").agg(rows.alias("c")).select("conv_id", H.markdown(html).alias("markdown"))
 
 
+@query()
+def number_token_rows(spark, d):
+    """The numbers of all documents by the table function, in SQL text; summed as ``numeric_scan`` does by arrays."""
+    TF.register(spark)
+    return spark.sql("""with n as (select doc_id, raw, value, percent from {docs}, lateral number_tokens(text))
+      select doc_id, count(raw) as n_numbers, count_if(percent) as n_percent, coalesce(max(value), 0.0) as largest, md5(array_join(array_sort(collect_list(raw)), ' ')) as digest from n group by doc_id""", docs=table(spark, d, "documents"))
+
+
+@query("""with r as (select event_id, cast(user_id as varchar) as u, cast(cast(round(value, 2) as decimal(18, 2)) as varchar) as v from events)
+select event_id, unnest([1, 2, 3]) as pos, unnest([u, v, '7k']) as raw, round(unnest([cast(u as double), cast(v as double), 7000.0e0]), 4) as value, unnest([false, true, false]) as percent from r""")
+def number_lateral(spark, d):
+    """A sentence with three numbers for each event, taken apart by a lateral join: a count, a share and thousands."""
+    said = F.concat(F.lit("for "), F.col("user_id").cast("string"), F.lit(" users it is "), F.round("value", 2).cast("decimal(18,2)").cast("string"), F.lit("% with 7k more"))
+    rows = TF.with_numbers(table(spark, d, "events").select("event_id", said.alias("said")), "said")
+    return rows.select("event_id", "pos", "raw", F.round("value", 4).alias("value"), "percent")
+
+
+@query("""with r as (select conv_id, turn, role, coalesce(length(text), 0) as n, row_number() over (partition by conv_id order by turn, role, coalesce(length(text), 0)) as i from conversations)
+select conv_id, cast(i as integer) as row, unnest([0, 1, 2, 3]) as col, false as header, unnest([cast(turn as varchar), role, role, cast(n as varchar)]) as text from r
+union all select conv_id, 0, unnest([0, 1, 2, 3]), true, unnest(['turn', 'said', 'said', 'size']) from (select distinct conv_id from conversations)""")
+def table_cell_rows(spark, d):
+    """Cells of one table a conversation by the table function, in SQL text; a cell over two columns stands in both."""
+    TF.register(spark)
+    n = F.coalesce(F.length("text"), F.lit(0))
+    row = F.concat(F.lit("<tr><td>"), "turn", F.lit("</td><td colspan=2>"), "role", F.lit("</td><td>"), n, F.lit("</td></tr>"))
+    rows = F.array_sort(F.collect_list(F.struct("turn", "role", n.alias("n"), row.alias("r"))))
+    html = F.concat(F.lit("<table><tr><th>turn</th><th colspan=2>said</th><th>size</th></tr>"), F.array_join(F.col("c.r"), ""), F.lit("</table>"))
+    made = table(spark, d, "conversations").groupBy("conv_id").agg(rows.alias("c")).select("conv_id", html.alias("html"))
+    return spark.sql("select conv_id, row, col, header, text from {made}, lateral table_cells(html)", made=made)
+
+
 @query("""with t as (select doc_id, regexp_extract_all(lower(text), '[a-z]+') as t from documents)
 select doc_id, cast(len(t) as bigint) as n, md5(array_to_string(list_transform(t, lambda w, i: case i % 5 when 1 then upper(w) when 2 then 'alpha ' || w when 3 then w when 4 then w || ' 2' else case when length(w) >= 5 then upper(w[1]) || substr(w, 2) else array_to_string(list_transform(range(1, length(w) + 1), lambda k: substr(w, k, 1)), ' ') end end), ' ')) as words from t""")
 def latex_words(spark, d):

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources import harvest as V
 from ..sources import readers as I
 from ..sources import scratch
 from .registry import query, table
@@ -116,6 +117,38 @@ def harvested_months(spark, d):
     return I.harvest_of_months(_pages(spark, d), I.missing_months(months, cached)).select("arxiv_id", F.col("created").cast("string").alias("created"), "title", "page")
 
 
+def _laid_out(pages):
+    """Pages of a month counted from 0, as the source reads them."""
+    at = F.row_number().over(Window.partitionBy("month_start").orderBy("page")) - 1
+    return pages.select(F.col("month_start").alias("month"), at.cast("int").alias("page"), "xml")
+
+
+@query(f"""with r as ({_RECORDS}), m as (select * from r union all select doc_id, arxiv_id, created, title, categories, n_authors, page + 1 from r where doc_id % 7 = 0),
+p as (select *, cast(dense_rank() over (partition by date_trunc('month', created) order by page) - 1 as integer) as nth from m)
+select cast(cast(date_trunc('month', created) as date) as varchar) as month, nth as page, arxiv_id, cast(cast(created as date) as varchar) as created, title, categories, n_authors from p where created between date '2024-02-01' and date '2024-03-31'""")
+def harvest_source(spark, d):
+    """Two months of cached pages, read by the source's name; the others are not listed."""
+    path = scratch.folder(spark, "harvest")
+    V.register(spark)
+    V.write_pages(_laid_out(_pages(spark, d)), path)
+    asked = spark.read.format(V.NAME).option("path", path).option("since", "2024-02-01").option("until", "2024-03-31").load()
+    return asked.select(F.col("month").cast("string").alias("month"), "page", "arxiv_id", F.col("created").cast("string").alias("created"), "title", "categories", F.size("authors").alias("n_authors"))
+
+
+@query(f"""with r as ({_RECORDS}), m as (select * from r union all select doc_id, arxiv_id, created, title, categories, n_authors, page + 1 from r where doc_id % 7 = 0)
+select arxiv_id, cast(cast(created as date) as varchar) as created, title, cast(count(*) as bigint) as times from m group by all""")
+def harvest_stream(spark, d):
+    """Pages followed as a stream that is stopped after the first half of them and goes on from its checkpoint: each is read once."""
+    path, out, state = (scratch.folder(spark, n) for n in ("harvest", "harvested", "harvest-state"))
+    V.register(spark)
+    pages = _laid_out(_pages(spark, d))
+    for part in (F.col("page") < 2, F.col("page") >= 2):
+        V.write_pages(pages.where(part), path)
+        run = spark.readStream.format(V.NAME).option("path", path).load().writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+        run.awaitTermination()
+    return spark.read.parquet(out).groupBy("arxiv_id", F.col("created").cast("string").alias("created"), "title").agg(F.count(F.lit(1)).alias("times"))
+
+
 @query("select floor(vec_id / 100)::bigint as part, count(*) as n, sum(vec_id)::bigint as ids from embeddings group by 1")
 def resumed_vectors(spark, d):
     """Vector shards of which a first run wrote every other one; the second writes the rest and none again."""
