@@ -68,7 +68,7 @@ def number_support(answers: DataFrame, chunks: DataFrame, by: str = "qid", group
     nums = answers.select(*dict.fromkeys([by, place]), N.significant_numbers(F.col("question")).alias("q"), N.significant_numbers(F.col("answer")).alias("a"), N.significant_numbers(F.col("evidence")).alias("e"))
     open_ = F.array_except(F.array_except("a", "q"), "e")
     operands = F.array_intersect("a", "e")
-    asked = nums.withColumn("_o", operands).withColumn("open", F.filter(open_, lambda v: ~N.derivable(v, F.col("_o")))).select(*dict.fromkeys([by, place]), "open")
+    asked = nums.withColumn("open", N.underivable(open_, operands)).select(*dict.fromkeys([by, place]), "open")
     each = asked.select(*dict.fromkeys([by, place]), F.explode("open").alias("value"))
     held = chunks.select(F.col(place).alias("_place"), F.col(by).alias("_own"), "chunk", F.explode(N.significant_numbers(F.col("text"))).alias("_value")).distinct()
     # With a group, one chunk of each owner and one owner more than is named: the own one may be among them.

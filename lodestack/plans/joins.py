@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import joins as J
+from ..operators import patterns as M
 from ..operators import ranking as R
 from .ranking import PATHS, paths
 from .registry import query, table
@@ -239,3 +240,15 @@ def append_safety(spark, d):
     new = old.where("pos <> 5").unionByName(old.agg((F.max("pos") + 1).alias("pos")).withColumn("h", F.lit("new"))).withColumnRenamed("h", "h_new").withColumn("there", F.lit(1))
     met = old.withColumn("was", F.lit(1)).join(new, "pos", "full_outer")
     return met.agg(F.count_if(F.col("was").isNotNull() & F.col("there").isNull()).alias("lost"), F.count_if(F.col("was").isNotNull() & F.col("there").isNotNull() & (F.col("h") != F.col("h_new"))).alias("changed"), (F.count("there") > F.count("was")).alias("longer"))
+
+
+@query("""with w as (select item_id, string_split(lower(text), ' ') as w from benchmark), r as (select item_id, unnest(range(1, len(w) - 1, 3)) as pos, w from w),
+p as (select item_id, pos, array_to_string(w[pos:pos + 2], ' ') as pattern from r)
+select item_id, cast(pos as integer) as pos, doc_id, cast(instr(lower(text), pattern) as integer) as first from p, (select doc_id, text from documents) where contains(lower(text), pattern)""")
+def pattern_hits(spark, d):
+    """Every third run of three words of every benchmark item, looked for in all documents in one pass."""
+    w = table(spark, d, "benchmark").select("item_id", F.split(F.lower("text"), " ").alias("w")).where(F.size("w") > 2)
+    runs = w.select("item_id", "w", F.explode(F.sequence(F.lit(1), F.size("w") - 2, F.lit(3))).alias("pos"))
+    patterns = runs.select(F.struct("item_id", "pos").alias("at"), F.array_join(F.slice("w", F.col("pos"), 3), " ").alias("pattern"))
+    docs = table(spark, d, "documents").select("doc_id", F.lower("text").alias("text"))
+    return M.occurrences(patterns, docs, "at", "pattern", "doc_id", "text").select("at.item_id", "at.pos", "doc_id", "first")
