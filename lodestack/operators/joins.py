@@ -17,13 +17,15 @@ def numbered(rows: DataFrame, group: str, order: str, block: Column | None = Non
     """``pos`` from 1 in each group, by ``order`` (whole numbers), though a group may hold most rows.
 
     Rows are counted by blocks of 1024 consecutive values of ``order``; a row's place is that of its block plus its place in it.
+    Null is a group, and the first place, of its own.
     """
     blocked = rows.withColumn("_block", F.floor(F.col(order) / 1024) if block is None else block)
     sizes = blocked.groupBy(group, "_block").agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select(group, "_block", before.alias("_before"))
+    starts = sizes.select(F.col(group).alias("_group"), F.col("_block").alias("_at"), before.alias("_before"))
     inside = F.row_number().over(Window.partitionBy(group, "_block").orderBy(order))
-    return blocked.withColumn("_in", inside).join(starts, [group, "_block"]).withColumn("pos", (F.col("_before") + F.col("_in")).cast("long")).drop("_block", "_in", "_before")
+    placed = blocked.withColumn("_in", inside).join(starts, F.col(group).eqNullSafe(F.col("_group")) & F.col("_block").eqNullSafe(F.col("_at")))
+    return placed.withColumn("pos", (F.col("_before") + F.col("_in")).cast("long")).drop("_block", "_in", "_before", "_group", "_at")
 
 
 def _words(text: Column) -> Column:

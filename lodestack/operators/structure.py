@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .splitters import prefix_sums
+
 # Headings without a number, prefixes that rule a heading out, letters that begin an appendix.
 SPECIAL = ("Abstract", "ABSTRACT", "Introduction", "Conclusion", "Conclusions", "References", "REFERENCES", "Acknowledgments", "Acknowledgements", "Limitations", "Related Work")
 EXCLUDED = ("Figure ", "Fig. ", "Table ", "Algorithm ", "arXiv:", "http", "Equation ", "•", "- ")
@@ -165,22 +167,35 @@ def titled_chunks(blocks: DataFrame, max_len: int = 4_000) -> DataFrame:
 def length_batches(rows: DataFrame, most: int, budget: int, by: str) -> DataFrame:
     """(by, key, size, batch): keys of a group by size, in batches of at most ``most`` whose number times the largest size is at most ``budget``.
 
-    For models that pad a batch to its longest text; a text beyond the budget stands alone. A group's sizes are one array, so
-    groups should be what one worker embeds.
+    For models that pad a batch to its longest text; a text beyond the budget stands alone. Where a batch ends depends only on how
+    often each size occurs, so the fold sees one row for each size of a group, never its keys; a key's batch follows from its place among
+    those of its size, which is found over ranges. A group, or a size, may therefore hold most rows. A null size counts as 0.
     """
 
     def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["size", "key"], kind="stable")
-        batch, n, numbers = 1, 0, []
-        for size in part["size"]:  # ascending, so the newest is the largest
-            if n and (n >= most or size * (n + 1) > budget):
-                batch, n = batch + 1, 0
-            n += 1
-            numbers.append(batch)
-        return part.assign(batch=numbers)
+        batch, n, out = 1, 0, []
+        for size, count in part.sort_values("_size")[["_size", "_n"]].itertuples(index=False):
+            fits = max(1, min(most, int(budget // size) if size > 0 else most))
+            room = max(0, fits - n)  # a size takes what room its batch has left, then whole batches
+            out.append((size, batch, room, fits))
+            beyond = count - room
+            if beyond > 0:
+                batch, n = batch + -(-beyond // fits), (beyond - 1) % fits + 1
+            else:
+                n += count
+        ends = pd.DataFrame(out, columns=["_size", "_batch", "_room", "_fits"])
+        ends.insert(0, "_by", [part["_by"].iloc[0]] * len(out))
+        return ends
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    return rows.select(by, "key", "size").groupBy(by).applyInPandas(fold, f"{by} {kinds[by]}, key {kinds['key']}, size {kinds['size']}, batch int")
+    given = rows.select(by, "key", F.coalesce("size", F.lit(0)).cast(kinds["size"]).alias("size"))
+    counts = given.groupBy(F.col(by).alias("_by"), F.col("size").alias("_size")).agg(F.count(F.lit(1)).alias("_n"))
+    starts = counts.groupBy("_by").applyInPandas(fold, f"_by {kinds[by]}, _size {kinds['size']}, _batch long, _room long, _fits long")
+    placed = prefix_sums(given.withColumn("_one", F.lit(1)), (by, "size"), "key", ("_one",))
+    past = F.col("_one_before") - F.col("_room")
+    number = F.col("_batch") + F.when(past >= 0, F.floor(past / F.col("_fits")) + 1).otherwise(0)
+    met = placed.join(starts, F.col(by).eqNullSafe(F.col("_by")) & (F.col("size") == F.col("_size")))
+    return met.select(by, "key", "size", number.cast("int").alias("batch"))
 
 
 def element_text(kind: Column, text: Column, caption: Column, body: Column, footnote: Column) -> Column:

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import numbers as N
 from ..functions import text as T
 from ..operators import evaluation as M
+from ..operators import joins as J
 from ..operators import ranking as R
 from ..operators import reports as B
+from ..operators import splitters as S
 from ..operators import verification as V
 from ..sources import readers as I
 from ..streaming import logs as L
@@ -215,11 +217,14 @@ def cross_validated_classes(spark, d):
 select source, count(*) as answers, sum(len(said))::bigint as n, sum(len(list_filter(said, lambda x: contains(evidence, x))))::bigint as held, round(sum(len(list_filter(said, lambda x: contains(evidence, x)))) / nullif(cast(sum(len(said)) as double), 0), 6) as coverage from a group by 1""")
 def support_coverage(spark, d):
     """The share of the numbers of answers that stand in their evidence (here: the document before of the same source)."""
-    from pyspark.sql import Window
-
     said = F.array_distinct(T.matches(F.col("text"), r"[0-9]+(?:\.[0-9]+)?"))
-    before = F.coalesce(F.lag("text").over(Window.partitionBy("source").orderBy("doc_id")), F.lit(""))
-    rows = table(spark, d, "documents").select("source", said.alias("said"), before.alias("evidence"))
+    docs = table(spark, d, "documents")
+    # Ids are numbered, not texts: the text before comes by its id, whatever share of all documents a source has.
+    placed = J.numbered(docs.select("source", "doc_id"), "source", "doc_id")
+    earlier = placed.select(F.col("source").alias("_source"), (F.col("pos") + 1).alias("_next"), F.col("doc_id").alias("before"))
+    linked = placed.join(earlier, F.col("source").eqNullSafe(F.col("_source")) & (F.col("pos") == F.col("_next")), "left").select("doc_id", "before")
+    texts = docs.select(F.col("doc_id").alias("before"), F.col("text").alias("evidence"))
+    rows = docs.select("doc_id", "source", said.alias("said")).join(linked, "doc_id").join(texts, "before", "left").select("source", "said", F.coalesce("evidence", F.lit("")).alias("evidence"))
     return M.coverage(rows, F.col("said"), F.col("evidence"), ("source",))
 
 
@@ -304,9 +309,8 @@ def focus_patterns(spark, d):
         F.when(k == 0, _join("What says paper ", (i % 9 + 1).cast("string"), "?")).when(k == 1, "compare Paper A with the 2nd paper").when(k == 2, _join("is the deep ", s, " net better than src1 net?")).when(k == 3, "see the third paper").when(k == 4, _join(F.lower(s), " and src1"))
         .otherwise(F.col("text"))
     )
-    from pyspark.sql import Window
-
-    papers = docs.select("source").distinct().withColumn("no", F.row_number().over(Window.orderBy("source")))  # a corpus of papers, which a person numbers
+    one = docs.select("source", F.lit(1).alias("n")).distinct()
+    papers = S.prefix_sums(one, (), "source", ("n",)).select("source", (F.col("n_before") + 1).cast("int").alias("no"))
     names = papers.select(F.col("source").alias("paper"), F.explode(F.array(_join("deep ", s, " net"), s)).alias("name"))
     return B.focus(docs.select(i.alias("qid"), text.alias("question")), papers.select(F.col("source").alias("paper"), "no"), names)
 

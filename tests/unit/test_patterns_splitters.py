@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from lodestack.functions import numbers as N
 from lodestack.operators import aggregates as A
+from lodestack.operators import joins as J
 from lodestack.operators import patterns as M
 from lodestack.operators import splitters as S
+from lodestack.operators import structure as D
 
 
 def places(pattern, text):
@@ -121,3 +123,28 @@ def test_ten_thousand_operands_under_a_second(spark):
     assert time.perf_counter() - begun < 1
     df = spark.createDataFrame([([5.0, 900.0, 7.0], [2.0, 3.0]), ([5.0], []), ([5.0], None), (None, [1.0, 2.0]), ([], [1.0, 4.0])], "v array<double>, o array<double>")
     assert [r[0] for r in df.select(N.underivable(F.col("v"), F.col("o"))).collect()] == [[900.0, 7.0], [5.0], [5.0], None, []]
+
+
+def test_length_batches_against_one_key_at_a_time(spark):
+    rng = random.Random(8)
+    rows = [(g, i, rng.choice((0, 1, 7, 7, 7, rng.randrange(400), 5_000))) for g in ("big", "small", None) for i in range(400 if g == "big" else 25)] + [("nulls", 1, None), ("nulls", 2, None), ("nulls", 2, None)]
+    for most, budget in ((8, 900), (3, 10**9), (1, 1), (1_000, 50)):
+        want, groups = [], defaultdict(list)
+        for g, k, size in rows:
+            groups[g].append((size or 0, k))
+        for g, members in groups.items():
+            batch, n = 1, 0
+            for size, k in sorted(members):
+                if n and (n >= most or size * (n + 1) > budget):
+                    batch, n = batch + 1, 0
+                n += 1
+                want.append((g, k, size, batch))
+        got = D.length_batches(spark.createDataFrame(rows, "g string, key int, size int"), most, budget, "g").collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    assert D.length_batches(spark.createDataFrame([], "g string, key int, size int"), 8, 9, "g").count() == 0
+
+
+def test_places_in_groups_with_nulls(spark):
+    rows = [(g, i) for g in ("a", None) for i in range(3_000 if g else 50)]
+    got = J.numbered(spark.createDataFrame(rows, "g string, i int"), "g", "i").collect()
+    assert {(r.g, r.i): r.pos for r in got} == {(g, i): i + 1 for g, i in rows} and len(got) == len(rows)
