@@ -49,7 +49,7 @@ def external_chunks(elements: DataFrame, max_len: int = 4_000) -> DataFrame:
 
 def table_numbers(text: Column) -> Column:
     """The distinct numbers of the tables that a text names."""
-    return F.array_distinct(F.transform(T.matches(F.coalesce(text, F.lit("")), r"(?i)\b(?:table|tab\.?)\s*(?:~|#)?\s*(\d+|[IVX]+\b)", 1), lambda n: F.upper(n)))
+    return F.array_distinct(F.transform(T.matches(F.coalesce(text, F.lit("")), rf"(?i){T.EDGE}(?:table|tab\.?)\s*(?:~|#)?\s*(\d+|[IVX]+{T.EDGE})", 1), lambda n: F.upper(n)))
 
 
 def table_targets(questions: DataFrame, chunks: DataFrame, group: str) -> DataFrame:
@@ -70,7 +70,7 @@ def table_targets(questions: DataFrame, chunks: DataFrame, group: str) -> DataFr
 
 def common_words(text: Column) -> Column:
     """How many common English words a text holds: text that was cut in the wrong places holds few."""
-    return F.regexp_count(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"\b(?:" + "|".join(COMMON) + r")\b"))
+    return F.regexp_count(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"{T.EDGE}(?:" + "|".join(COMMON) + f"){T.EDGE}"))
 
 
 def retention(view: Column, whole: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import EDGE
 from .ranking import top_k
 
 
@@ -135,7 +136,7 @@ def listing(rows: DataFrame, unclear: int = 5, by: str = "qid") -> DataFrame:
 
 # Ordinals in words, and the patterns that name a paper by its place in the corpus.
 ORDINALS = ("first", "second", "third", "fourth", "fifth", "sixth", "seventh", "eighth", "ninth")
-PLACES = (r"\bpaper (\d{1,3})\b", r"\b(\d{1,3})(?:st|nd|rd|th) paper\b", r"\bpaper ([a-z])\b", r"\b(" + "|".join(ORDINALS) + r") paper\b")
+PLACES = tuple(f"{EDGE}{p}{EDGE}" for p in (r"paper (\d{1,3})", r"(\d{1,3})(?:st|nd|rd|th) paper", r"paper ([a-z])", "(" + "|".join(ORDINALS) + ") paper"))
 
 
 def focus(questions: DataFrame, papers: DataFrame, names: DataFrame) -> DataFrame:

@@ -106,3 +106,20 @@ def test_captions_and_headers(spark):
     assert one(spark, H.header_cells(F.col("s")), s="no table") == []
     assert one(spark, H.masked_rows(F.col("s")), s="a\n| b |\nc") == "a\n\nc"
     assert one(spark, H.without_scripts(F.col("s"), keep=False), s="x<sup>2</sup><i>y</i>") == "xy"
+
+
+@pytest.mark.parametrize(("text", "want"), [("doña ana pays", True), ("isé", True), ("island", False), ("so 是吗", True), ("so 是吗\n", False)])
+def test_verdict_questions_end_words_at_ascii_letters_only(spark, text, want):
+    assert one(spark, T.asks_verdict(F.col("q")), q=text) is want
+
+
+def test_acronyms_end_at_letters_with_accents(spark):
+    f = T.surface_features(F.col("q"))
+    got = {c: one(spark, f[c], q="the éNLP and BERTé for camelCaseé; a\x0bb") for c in ("n_acronyms", "n_words")}
+    assert got == {"n_acronyms": 2, "n_words": 7}
+
+
+def test_verdict_sentences_end_at_letters_with_accents(spark):
+    from lodestack.operators import verification as V
+
+    assert one(spark, V.masked_verdicts(F.col("a")), a="Noé came. No, never. Nothing.") == "Nothing."
