@@ -1,10 +1,12 @@
 """Approximate nearest neighbours: inverted file of coarse centroids, product-quantised residuals, exact reranking.
 
 Centroids and codebooks are fitted on a bounded sample (``SAMPLE`` vectors, those with the smallest hash of their id); every
-vector is indexed. A query looks into its nearest cells, as many as hold the share ``recall`` of the true neighbours of sample
-vectors. Asymmetric distance tables rank the codes of all cells that it looks into: its shortlist is what lies within one
-radius of it, the asymmetric distance of so many sample vectors that about ``rerank`` of all vectors are nearer (at least
-``2 * (k + 1)`` of the sample, so that k are always found). Only the shortlist is measured, in double precision, on the original vectors.
+vector is indexed. A query looks into its nearest cells, as many as hold the share ``recall`` of the true neighbours, among the sample,
+of up to ``TRIED`` queries (queries may lie elsewhere than the rows). Asymmetric distance tables rank the codes of all cells that it
+looks into: its shortlist is what lies within one radius of it, the asymmetric distance of so many sample vectors that about ``rerank``
+of all vectors are nearer (at least ``2 * (k + 1)`` of the sample, so that k are always found), and of as many more as it takes to hold
+all but half of the share that the cells may miss: where codes tell little, as of evenly spread vectors of many dimensions, shortlists are
+longer. Only the shortlist is measured, in double precision, on the original vectors.
 
 Of equal vectors only the k + 1 with the smallest ids can ever be among k neighbours (ties go to smaller ids), so the
 others need no place in a cell: a third of all rows being one vector costs nothing. Large cells are dealt into blocks, and so
@@ -32,8 +34,10 @@ SAMPLE = 16_384
 #: Rows of a cell that one task compares with its queries, and queries that it compares them with.
 BLOCK = 8_192
 QUERIES = 16_384
-#: Sample vectors that are searched for among the sample, to find how many cells to look into.
+#: Queries that are searched for among the sample, to find how many cells to look into and how long shortlists are.
 TRIED = 256
+#: Dimensions that one code stands for, at most.
+WIDE = 8
 
 
 @dataclass
@@ -80,30 +84,44 @@ def _usable(vec: Column) -> Column:
 
 def _tables(q: np.ndarray, centroid: np.ndarray, index: Index) -> list[np.ndarray]:
     """For each group of dimensions, squared distances of the queries' residuals to its codes."""
-    return [((part[:, None, :] - book[None, :, :]) ** 2).sum(2).astype(np.float32) for part, book in zip(np.split(q - centroid, index.parts, axis=1), index.books)]
+    return [((part[:, None, :] - book[None, :, :]) ** 2).sum(2) for part, book in zip(np.split(q - centroid, index.parts, axis=1), index.books)]
 
 
 def _asymmetric(q: np.ndarray, codes: np.ndarray, centroid: np.ndarray, index: Index) -> np.ndarray:
     """Squared distances of queries to the vectors that codes of one cell stand for."""
-    near = np.zeros((len(q), len(codes)), np.float32)
+    near = np.zeros((len(q), len(codes)))  # single precision would overflow beyond 1e19
     for m, table in enumerate(_tables(q, centroid, index)):
         near += table[:, codes[:, m]]
     return near
 
 
-def cells_to_look_into(sample: np.ndarray, index: Index, k: int, recall: float) -> int:
-    """How many nearest cells hold the share ``recall`` of the k nearest neighbours, of sample vectors among the sample."""
-    tried = sample[np.linspace(0, len(sample) - 1, min(TRIED, len(sample))).astype(int)]
-    cell, found = _nearest(sample, index.centroids), []
-    for q in tried:
-        distance = ((sample - q) ** 2).sum(1)
+def _holding(places: list[np.ndarray], share: float) -> int:
+    """The least place, counted from 0, up to which the share of all places lies; -1 where there are none."""
+    ordered = np.sort(np.concatenate([np.zeros(0, int), *places]))
+    return int(ordered[min(len(ordered) - 1, int(np.ceil(share * len(ordered))))]) if len(ordered) else -1
+
+
+def effort(qids: np.ndarray, tried: np.ndarray, radius: Radius, sample: np.ndarray, index: Index, k: int, recall: float) -> tuple[int, int]:
+    """(cells, shortlist): how many nearest cells hold the share ``recall`` of the k nearest sample vectors of the queries tried, and how
+    many sample vectors of these cells have an asymmetric distance up to theirs, but for half of the share that may be missed."""
+    orders, neighbours, places = [], [], []
+    for qid, q in zip(qids, tried):
+        others = np.flatnonzero(radius.ids != qid)
+        distance = ((sample[others] - q) ** 2).sum(1)
+        neighbours.append(others[np.argsort(distance, kind="stable")[:k]])
         order = np.argsort(((index.centroids - q) ** 2).sum(1), kind="stable")
         rank = np.empty(len(order), int)
         rank[order] = np.arange(len(order))
-        nearest = np.argpartition(distance, min(k, len(sample) - 1))[: k + 1]
-        found.append(rank[cell[nearest[np.argsort(distance[nearest])][1:]]])
-    ranks = np.sort(np.concatenate(found))
-    return int(ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))))]) + 1 if len(ranks) else len(index.centroids)
+        orders.append(rank)
+        places.append(rank[radius.cell[neighbours[-1]]])
+    cells = _holding(places, recall) + 1 or len(index.centroids)
+    places = []
+    for qid, q, rank, nearest in zip(qids, tried, orders, neighbours):
+        inside = np.flatnonzero((rank[radius.cell] < cells) & (radius.ids != qid))
+        ordered = np.sort(radius.distances(q, inside))
+        met = nearest[rank[radius.cell[nearest]] < cells]
+        places.append(np.searchsorted(ordered, radius.distances(q, met) * (1 + 1e-9), side="right"))
+    return cells, max(0, _holding(places, (1 + recall) / 2))
 
 
 class Radius:
@@ -114,12 +132,15 @@ class Radius:
         codes = _codes(sample, self.cell, index)
         # A code's asymmetric distance is that to the vector it stands for.
         self.decoded = index.centroids[self.cell] + np.concatenate([book[codes[:, k]] for k, book in enumerate(index.books)], axis=1)
-        self.norm = (self.decoded * self.decoded).sum(1)
+
+    def distances(self, q: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Squared, from differences: products of vectors far from the origin would leave no digits of near ones."""
+        return ((self.decoded[rows] - q) ** 2).sum(1)
 
     def of(self, qid: int, q: np.ndarray, cells: np.ndarray) -> float:
         inside = np.zeros(self.cells, bool)
         inside[cells] = True
-        near = (self.norm - 2.0 * (self.decoded @ q) + q @ q)[inside[self.cell] & (self.ids != qid)]
+        near = self.distances(q, np.flatnonzero(inside[self.cell] & (self.ids != qid)))
         return float(np.partition(near, self.m - 1)[self.m - 1]) * (1 + 1e-6) if len(near) >= self.m else float("inf")
 
 
@@ -158,11 +179,14 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, recall: float = 0.
         copies[key] += 1
         kept[i] = copies[key] <= k + 1
     ids, sample = ids[kept], sample[kept]
-    parts = next(p for p in range(min(parts, d), 0, -1) if d % p == 0)
+    wanted = max(parts, -(-d // WIDE))
+    parts = next(p for p in range(min(wanted, d), 0, -1) if d % p == 0)
     index = fit(sample, cells=max(1, min(SAMPLE // 16, round(np.sqrt(n)))), parts=parts)
-    looked = cells_to_look_into(sample, index, k, recall)
-    nearer = min(len(sample), max(2 * (k + 1), int(np.ceil(rerank * len(sample) / n))))
-    shared = spark.sparkContext.broadcast((index, Radius(ids, sample, index, nearer)))
+    radius = Radius(ids, sample, index, max(2 * (k + 1), int(np.ceil(rerank * len(sample) / n))))
+    asked = valid.where("q").select("id", "vec", F.xxhash64("id").alias("h")).orderBy("h", "vec").limit(TRIED).select("id", "vec").toArrow()
+    looked, short = effort(asked["id"].to_numpy(), np.stack(asked["vec"].to_numpy()), radius, sample, index, k, recall) if n_queries else (1, 0)
+    radius.m = min(len(sample), max(radius.m, short))
+    shared = spark.sparkContext.broadcast((index, radius))
 
     first = F.row_number().over(Window.partitionBy("h", "vec").orderBy("id"))
     distinct = valid.select("id", "vec", F.xxhash64("vec").alias("h")).withColumn("_copy", first).where(F.col("_copy") <= k + 1)

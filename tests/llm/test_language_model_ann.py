@@ -226,3 +226,21 @@ def test_cells_and_queries_dealt_into_blocks_find_the_same(spark, sf, monkeypatc
     monkeypatch.setattr(ann, "BLOCK", 7)
     monkeypatch.setattr(ann, "QUERIES", 5)
     assert find() == want
+
+
+@pytest.mark.parametrize("kind", ["wide", "huge", "queries apart"])
+def test_neighbours_are_found_where_codes_tell_little_or_numbers_are_large(spark, kind):
+    rng, n = np.random.default_rng(5), 4_000
+    clustered = lambda d: rng.normal(size=(40, d))[rng.integers(0, 40, n)] + 0.2 * rng.normal(size=(n, d))
+    if kind == "wide":
+        x = rng.normal(size=(n, 256))
+    else:
+        x = 1e25 * clustered(32) if kind == "huge" else np.where((np.arange(n) % 40 == 0)[:, None], 3 * rng.normal(size=(n, 32)), clustered(32))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = ann.search(table, F.col("vec_id") % 40 == 0).toPandas()
+    met = 0
+    for q in range(0, n, 40):
+        distance = np.sqrt(((x - x[q]) ** 2).sum(1))
+        distance[q] = np.inf
+        met += len(set(np.argsort(distance, kind="stable")[:10]) & set(got.loc[got["query_id"] == q, "vec_id"]))
+    assert met >= 0.9 * 10 * (n // 40)
