@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import folder
+
 
 def judged(paths: DataFrame, gold: DataFrame, by: tuple[str, ...] = ("qid",)) -> DataFrame:
     """Ranked rows with ``hit`` (the key is among the query's gold keys)."""
@@ -149,7 +151,10 @@ def cross_validated(rows: DataFrame, features: tuple[str, ...], truth: str, id_c
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
-    dealt = VectorAssembler(inputCols=[*features], outputCol="_x").transform(rows).select(F.pmod(F.xxhash64(id_col), F.lit(folds)).cast("int").alias("fold"), "_x", F.col(truth).cast("double").alias("_y"))
+    # Features are read twice for each fold, so they are written, not computed from the rows each time.
+    path = folder(rows.sparkSession, "folds")
+    rows.select(F.pmod(F.xxhash64(id_col), F.lit(folds)).cast("int").alias("fold"), *features, F.col(truth).cast("double").alias("_y")).write.parquet(path)
+    dealt = VectorAssembler(inputCols=[*features], outputCol="_x").transform(rows.sparkSession.read.parquet(path)).select("fold", "_x", "_y")
     judged = None
     for k in range(folds):
         learn, test = dealt.where(F.col("fold") != k), dealt.where(F.col("fold") == k)
@@ -167,10 +172,9 @@ def coverage(rows: DataFrame, anchors: Column, evidence: Column, by: tuple[str,
 
 def reachable(anchors: Column, views: dict[str, Column]) -> dict[str, Column]:
     """For each view of a document how many of the anchors can be met in it."""
-    from ..functions.text import anchor_in
+    from ..functions.text import anchors_in
 
-    met = lambda view: F.size(F.filter(anchors, lambda a: anchor_in(a, view)))
-    return {name: met(view) for name, view in views.items()}
+    return {name: F.size(anchors_in(anchors, view)) for name, view in views.items()}
 
 
 def paired_decisions(pairs: DataFrame, by: str, id_col: str) -> DataFrame:

@@ -123,3 +123,23 @@ def test_verdict_sentences_end_at_letters_with_accents(spark):
     from lodestack.operators import verification as V
 
     assert one(spark, V.masked_verdicts(F.col("a")), a="Noé came. No, never. Nothing.") == "Nothing."
+
+
+def test_views_of_a_text_are_made_once_for_all_anchors(spark):
+    """Made for each anchor they would take minutes here."""
+    import time
+
+    rows = spark.createDataFrame([("*so* it goes " * 30_000,)], "t string").withColumn("a", F.transform(F.sequence(F.lit(1), F.lit(1_500)), lambda i: F.concat(F.lit("z"), i.cast("string"))))
+    begun = time.monotonic()
+    got = rows.select(F.size(T.missing(F.col("a"), F.col("t"))).alias("n"), T.hit_any(F.col("a"), F.col("t")).alias("any"), T.hit_all(F.array(F.lit("so it")), F.col("t")).alias("all")).first()
+    assert tuple(got) == (1_500, False, True)
+    assert time.monotonic() - begun < 15
+
+
+def test_number_scan_and_formula_words_take_time_in_proportion_to_the_text():
+    import time
+
+    begun = time.process_time()
+    assert N.scan("é 5² " * 10 + "naïve " * 500_000)[0][3] == 52.0 and not N.scan("naïve " * 2_000_000)
+    assert len(H.formula_words(r"\mathrm { a b } x " * 20_000).split()) == 60_000
+    assert time.process_time() - begun < 3
