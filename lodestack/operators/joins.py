@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.scratch import folder
 
 #: Consecutive inner words of a quote by which it is looked up before it is compared.
 PROBE = 3
@@ -37,6 +38,13 @@ def _runs(words: Column, n: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.xxhash64(F.array_join(F.slice(words, i, n), " ")))
 
 
+def _kept(rows: DataFrame, name: str) -> DataFrame:
+    """Rows as a written table, for what is asked for more than once."""
+    path = folder(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 def containing(quotes: DataFrame, texts: DataFrame, quote_id: str, quote_col: str, text_id: str, text_col: str) -> DataFrame:
     """(quote_id, text_id) of each text that contains a quote once both are in the normal form of quotes.
 
@@ -51,13 +59,16 @@ def containing(quotes: DataFrame, texts: DataFrame, quote_id: str, quote_col: st
     long = q.where(F.size("_w") >= PROBE + 2).select("_qid", "_q", F.explode(_runs(inner, PROBE)).alias("_run"))
     wanted = long.select("_run").distinct()
     runs = t.where(F.size("_w") >= PROBE).select("_tid", F.explode(F.array_distinct(_runs(F.col("_w"), PROBE))).alias("_run")).join(wanted, "_run", "left_semi")
+    runs = _kept(runs, "runs")  # asked for twice
     often = runs.groupBy("_run").agg(F.count(F.lit(1)).alias("_n"))
     rarest = long.join(often, "_run", "left").groupBy("_qid", "_q").agg(F.min_by("_run", F.struct(F.coalesce("_n", F.lit(0)), F.col("_run"))).alias("_run"))
     by_run = rarest.join(runs, "_run").select("_qid", "_q", "_tid")
     middling = q.where((F.size("_w") < PROBE + 2) & (F.size("_w") >= 3)).select("_qid", "_q", F.element_at(F.array_sort(F.transform(inner, lambda w: F.struct(-F.length(w), w.alias("w")))), 1)["w"].alias("_word"))
-    words = t.select("_tid", F.explode(F.array_distinct("_w")).alias("_word")).join(middling.select("_word").distinct(), "_word", "left_semi")
-    by_word = middling.join(words, "_word").select("_qid", "_q", "_tid")
-    near = by_run.unionByName(by_word).distinct().join(t.select("_tid", "_t"), "_tid").where(F.col("_t").contains(F.col("_q")))
+    met = by_run
+    if not middling.isEmpty():
+        words = t.select("_tid", F.explode(F.array_distinct("_w")).alias("_word")).join(middling.select("_word").distinct(), "_word", "left_semi")
+        met = met.unionByName(middling.join(words, "_word").select("_qid", "_q", "_tid"))
+    near = met.distinct().join(t.select("_tid", "_t"), "_tid").where(F.col("_t").contains(F.col("_q")))
     # One or two words may stand inside other words, so they are looked up by characters.
     short = q.where(F.size("_w") < 3).select("_qid", "_q")
     grams = lambda text, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substr(text, i, F.lit(n)))
@@ -69,6 +80,7 @@ def containing(quotes: DataFrame, texts: DataFrame, quote_id: str, quote_col: st
     wanted_runs = asked.select("_run").distinct()
     pieces = F.flatten(F.array(*(grams(F.col("_t"), n) for n in range(1, GRAM + 1))))
     texts_of = t.select("_tid", F.explode(F.array_distinct(pieces)).alias("_run")).join(wanted_runs, "_run", "left_semi")
+    texts_of = _kept(texts_of, "grams")
     count = texts_of.groupBy("_run").agg(F.count(F.lit(1)).alias("_n"))
     least = asked.join(count, "_run", "left").groupBy("_qid", "_q").agg(F.min_by("_run", F.struct(F.coalesce("_n", F.lit(0)), F.col("_run"))).alias("_run"))
     by_gram = least.join(texts_of, "_run").select("_qid", "_q", "_tid").join(t.select("_tid", "_t"), "_tid").where(F.col("_t").contains(F.col("_q")))
