@@ -6,7 +6,10 @@ what depends on everything before it is a fold over the document's blocks as an
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,32 +139,54 @@ def titled_chunks(blocks: DataFrame, max_len: int = 4_000) -> DataFrame:
     document's blocks are one group, so memory is that of the longest document.
     """
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        path: list[tuple[float | None, str]] = []
+    def chunked(doc_id: int | None, rows: list[tuple]) -> list[tuple]:
+        path: list[tuple[int | None, str]] = []
         chunks: list[dict] = []
-        for r in rows.sort_values("pos").itertuples():
-            if r.is_heading:
-                deep = None if pd.isna(r.level) else int(r.level)
-                path = [p for p in path if deep is not None and p[0] is not None and p[0] < deep] + [(deep, " ".join(r.text.split()))]
+        for page, text, is_heading, level in rows:
+            if is_heading:
+                deep = None if level is None or level != level else int(level)
+                path = [p for p in path if deep is not None and p[0] is not None and p[0] < deep] + [(deep, " ".join(text.split()))]
                 if not chunks or chunks[-1]["body"]:
                     chunks.append({"blocks": [], "body": False})
                 chunks[-1]["path"] = [t for _, t in path]
             elif not chunks:
                 chunks.append({"path": ["(PREAMBLE)"], "blocks": [], "body": True})
-            chunks[-1]["blocks"].append((int(r.page), r.text))
-            chunks[-1]["body"] |= not r.is_heading
-        out = []
+            chunks[-1]["blocks"].append((int(page), text))
+            chunks[-1]["body"] |= not is_heading
+        out: list[tuple] = []
         for i, c in enumerate(chunks, 1):
             parts: list[list[tuple[int, str]]] = [[]]
+            size = 0
             for page, text in c["blocks"]:
-                if parts[-1] and sum(len(t) + 1 for _, t in parts[-1]) + len(text) + 1 > max_len:
+                if parts[-1] and size + len(text) + 1 > max_len:
                     parts.append([])
+                    size = 0
                 parts[-1].append((page, text))
+                size += len(text) + 1
             for k, p in enumerate(parts, 1):
-                out.append((rows["doc_id"].iloc[0], f"c{i}" if len(parts) == 1 else f"c{i}-p{k}", len(out) + 1, c["path"], k, len(parts), p[0][0], p[-1][0], "\n".join(t for _, t in p)))
-        return pd.DataFrame(out, columns=["doc_id", "chunk_id", "pos", "title_path", "part", "parts", "first_page", "last_page", "text"])
-
-    return blocks.groupBy("doc_id").applyInPandas(fold, "doc_id bigint, chunk_id string, pos int, title_path array<string>, part int, parts int, first_page int, last_page int, text string")
+                out.append((doc_id, f"c{i}" if len(parts) == 1 else f"c{i}-p{k}", len(out) + 1, c["path"], k, len(parts), p[0][0], p[-1][0], "\n".join(t for _, t in p)))
+        return out
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.schema([("doc_id", pa.int64()), ("chunk_id", pa.string()), ("pos", pa.int32()), ("title_path", pa.list_(pa.string())), *((n, pa.int32()) for n in ("part", "parts", "first_page", "last_page")), ("text", pa.string())])
+        made = lambda out: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), kinds)], schema=kinds)
+        doc, held = None, []  # the document that is being read; it may go on in the next batch
+        for batch in batches:
+            out: list[tuple] = []
+            for doc_id, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and doc_id != doc:
+                    out += chunked(doc, held)
+                    held = []
+                doc = doc_id
+                held.append(row)
+            if out:
+                yield made(out)
+        if held:
+            yield made(chunked(doc, held))
+
+    # Documents follow each other in a partition, so that many share a batch: a group of its own costs each a frame.
+    ordered = blocks.select(F.col("doc_id").cast("long").alias("doc_id"), "pos", "page", "text", "is_heading", "level").repartition("doc_id").sortWithinPartitions("doc_id", "pos").drop("pos")
+    return ordered.mapInArrow(fold, "doc_id bigint, chunk_id string, pos int, title_path array<string>, part int, parts int, first_page int, last_page int, text string")
 
 
 def length_batches(rows: DataFrame, most: int, budget: int, by: str) -> DataFrame:
