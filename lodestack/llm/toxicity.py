@@ -122,9 +122,9 @@ def _fit_link(name: str, rows: list[np.ndarray], dense: np.ndarray, y: np.ndarra
             step = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA
             z[at] += g - step * w
             n[at] += g * g
-    w = solve(np.arange(size + width + 1))
-    at = np.flatnonzero(w[:size])
-    return Link(name, dict(zip(at.tolist(), w[at].tolist())), w[size : size + width], float(w[-1]))
+    at = np.flatnonzero(np.abs(z[:size]) > penalty[:size])  # all other weights are zero, and are not spelled out
+    w = solve(tail)
+    return Link(name, dict(zip(at.tolist(), solve(at).tolist())), w[:width], float(w[-1]))
 
 
 def _scores(link: Link, rows: list[np.ndarray], dense: np.ndarray) -> np.ndarray:

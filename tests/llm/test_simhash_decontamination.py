@@ -342,3 +342,48 @@ def test_large_buckets_lose_no_link(spark, monkeypatch):
         monkeypatch.setattr(simhash, "NEAR_PAIRS_UP_TO", up_to)
         kept.append(sorted(r.doc_id for r in simhash.keep_one(df).collect()))
     assert kept[0] == kept[1]
+
+
+def _components_by_hand(texts):
+    """Smallest index of each component: one bit at most apart in a half of one of the fingerprints, and similar."""
+    words = [t.encode().split() for t in texts]
+    prints = [[simhash.word_fingerprint(w, seed) for seed in simhash.NEAR_SEEDS] for w in words]
+    shingles, root = [simhash._shingles_of(w) for w in words], list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for j in range(len(texts)):
+        for i in range(j):
+            half = any(((x ^ y) >> at & 0xFFFFFFFF).bit_count() <= 1 for x, y in zip(prints[i], prints[j]) for at in (0, 32))
+            if half and len(shingles[i] & shingles[j]) >= simhash.SIMILARITY * len(shingles[i] | shingles[j]):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    return {top(i) for i in range(len(texts))}
+
+
+def test_copies_outside_a_large_component_are_not_compared_with_all_of_it(spark, monkeypatch):
+    """Copies of one text with 1 to 14 changed words: those too far from the rest met every one of it before."""
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for k in range(240):
+        words = list(base)
+        for at in rng.choice(200, 1 + k % 14, replace=False):
+            words[at] = f"n{k}x{at}"
+        texts.append(" ".join(words))
+    texts += [texts[13].replace("w199", "other"), texts[27].replace("w198", "other")]  # copies of two far ones
+    compared, kept_of = [], simhash.cut
+
+    def counted(df, name):
+        out = kept_of(df, name)
+        if name == "candidates":
+            compared.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "cut", counted)
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).collect()}
+    assert kept == _components_by_hand(texts) and 1 < len(kept) < 200
+    assert len(compared) == 2 and compared[1] < 3 * len(texts)
