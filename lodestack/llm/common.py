@@ -35,10 +35,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage ends in files that outlive executors."""
-    spark = df.sparkSession
+    return cut_in_turn(name, df)
+
+
+def cut_in_turn(name: str, *tables: DataFrame) -> DataFrame:
+    """Write tables of the same columns one after the other into one Parquet table, and read that back."""
+    spark = tables[0].sparkSession
     path = f"{shared_dir(spark)}/lodestack/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    for table in tables:
+        table.write.mode("append").parquet(path)
+    return spark.read.schema(tables[0].schema).parquet(path)
+
+
+def merged(left: DataFrame, right: DataFrame, on: str | list[str] | Column, how: str = "inner") -> DataFrame:
+    """A join by sorted shuffles on small tables as on large ones.
+
+    Of small tables Spark broadcasts one side, for which the driver collects it and builds a hash table of a few MB, whatever its
+    rows need, that stays until garbage is collected: dozens of such joins fill the driver's memory on the smallest input.
+    """
+    return left.join(right.hint("merge"), on, how)
 
 
 _ARROW = {"bigint": pa.int64(), "double": pa.float64(), "string": pa.string(), "array<bigint>": pa.list_(pa.int64())}

@@ -2,7 +2,9 @@
 
 Each round replaces the edges of a node by edges to its smallest neighbour; rounds end when an edge set repeats. The
 rounds grow with the logarithm of the longest chain. Every round is written to the shared folder, so lost executors cost
-one round. A round aggregates before it joins, so a hub costs no more than its edges and its join can be split.
+one round. A round aggregates before it joins, so a hub costs no more than its edges and its join can be split. The large star
+is written before the small one reads it: the small one names its edges three times, and a plan that held the large star as often
+would be planned anew in the driver after every shuffle.
 """
 
 from __future__ import annotations
@@ -10,14 +12,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, merged
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
     both = edges if small else edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     # small: a > b for every edge; the neighbours of a are the b's. large: every neighbour.
     least = both.groupBy("a").agg(F.min("b").alias("_m")).select("a", F.least("a", "_m").alias("m"))
-    joined = both.join(least, "a")
+    joined = merged(both, least, "a")
     if small:
         out = joined.select(F.col("b").alias("v"), "m").unionByName(least.select(F.col("a").alias("v"), "m"))
     else:
@@ -34,7 +36,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = _signature(now)
     while seen[0]:
-        now = cut(_star(_star(now, small=False), small=True), "edges")
+        now = cut(_star(cut(_star(now, small=False), "stars"), small=True), "edges")
         found = _signature(now)
         if found == seen:
             break

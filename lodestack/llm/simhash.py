@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower_words, computed, cut
+from .common import ascii_lower_words, computed, cut, cut_in_turn, merged
 from .components import components
 
 WORDS = 3
@@ -97,14 +97,17 @@ def _variants(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return at.withColumn("key", F.expr("shiftrightunsigned(fp & _mask, _from) | shiftleft(cast(i as bigint), 32)")).drop("i", "_mask", "_from")
 
 
-def _shared(variants: DataFrame) -> DataFrame:
-    """Variants with n, the number of rows that share their key, where that is more than one.
+def _shared(*variants: DataFrame) -> DataFrame:
+    """Variants with n, the number of rows that share their key, where that is more than one; of several tables one after the other, each by itself.
 
     Keys are counted before rows are looked up by them, so that a key of many rows is no single task's. Shared keys are a written
-    table, whose size Spark knows when it chooses the join.
+    table, whose size Spark knows when it chooses the join. What is returned is one written table, which plans read as one.
     """
-    counted = cut(variants.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "counted")
-    return cut(variants.join(counted, "key"), "shared")
+
+    def of(table: DataFrame) -> DataFrame:
+        return merged(table, cut(table.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "counted"), "key")
+
+    return cut_in_turn("shared", *map(of, variants))
 
 
 def _close(a: str, b: str, distance: int = DISTANCE) -> Column:
@@ -157,12 +160,12 @@ def _first_pairs(shared: DataFrame) -> DataFrame:
     """(a, b), a < b: all pairs of the small buckets of ``shared`` (key, n, node), of the large ones each with the smallest and the next."""
     few, many = shared.where(F.col("n") <= NEAR_PAIRS_UP_TO), shared.where(F.col("n") > NEAR_PAIRS_UP_TO)
     a, b = (few.select(F.col("key").alias(f"key_{x}"), F.col("node").alias(x)) for x in "ab")
-    of_few = a.join(b, (F.col("key_a") == F.col("key_b")) & (F.col("a") < F.col("b"))).select("a", "b")
+    of_few = merged(a, b, (F.col("key_a") == F.col("key_b")) & (F.col("a") < F.col("b"))).select("a", "b")
     # Counted in parts of a bucket, which name their smallest to the whole.
     parts = many.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(64)))
     least = parts.groupBy("key", "part").agg(F.min("node").alias("other")).groupBy("key").agg(F.min("other").alias("other"))
     following = parts.withColumn("other", F.lead("node").over(Window.partitionBy("key", "part").orderBy("node"))).where("other is not null")
-    met = following.select("node", "other").unionByName(many.join(least, "key").select("node", "other"))
+    met = following.select("node", "other").unionByName(merged(many, least, "key").select("node", "other"))
     of_many = met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).where("a < b")
     return of_few.unionByName(of_many).distinct()
 
@@ -181,8 +184,8 @@ def _differences(nodes: DataFrame, texts: DataFrame) -> DataFrame:
             found.append((len(y), [xxhash.xxh64_intdigest(s) - (1 << 63) for s in x ^ y]))
         return pd.DataFrame(found, columns=["pivot_size", "differs"])
 
-    of_pivots = texts.join(nodes.select(F.col("pivot").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("pivot"), F.col("text").alias("pivot_text"))
-    both = nodes.join(texts, "node").join(of_pivots, "pivot")
+    of_pivots = merged(texts, nodes.select(F.col("pivot").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("pivot"), F.col("text").alias("pivot_text"))
+    both = merged(merged(nodes, texts, "node"), of_pivots, "pivot")
     return both.withColumn("m", apart("text", "pivot_text")).select(*nodes.columns, "m.*")
 
 
@@ -207,10 +210,10 @@ def _pairs_apart(differing: DataFrame, least: float = SIMILARITY) -> DataFrame:
         "asked": F.least(F.floor((e + further) / 2), F.floor(most)) + 1,
     }), "differing")
     spelled = rows.select("pivot", "node", F.explode("differs").alias("s"))
-    ranked = spelled.join(spelled.groupBy("pivot", "s").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), ["pivot", "s"], "left")
+    ranked = merged(spelled, spelled.groupBy("pivot", "s").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), ["pivot", "s"], "left")
     # Of shingles that no other has (df is null) only the number counts: they come first.
     own = Window.partitionBy("pivot", "node").orderBy(F.col("df").asc_nulls_first(), "s")
-    placed = cut(ranked.withColumn("at", F.row_number().over(own) - 1).where("df is not null").join(rows.drop("differs"), ["pivot", "node"]).where("at < greatest(asks, asked)"), "placed")
+    placed = cut(merged(ranked.withColumn("at", F.row_number().over(own) - 1).where("df is not null"), rows.drop("differs"), ["pivot", "node"]).where("at < greatest(asks, asked)"), "placed")
 
     def renamed(df: DataFrame) -> DataFrame:
         return df.select("pivot", *(["s"] if "s" in df.columns else []), *(F.col(c).alias(f"x_{c}") for c in ("node", "root", "size", "e", "at") if c in df.columns))
@@ -218,8 +221,8 @@ def _pairs_apart(differing: DataFrame, least: float = SIMILARITY) -> DataFrame:
     fits = (F.col("x_root") != F.col("root")) & (F.col("x_size") >= least * F.col("size") - 1e-6) & (F.col("size") >= least * F.col("x_size") - 1e-6)
     common = (F.col("x_e") + F.col("e") - spread * (F.col("x_size") + F.col("size"))) / 2 - 1e-6
     left = F.least(F.col("x_e") - F.col("x_at"), F.col("e") - F.col("at"))
-    meet = renamed(placed.where("root <> pivot and not near and at < asks")).join(placed.where("at < asked"), ["pivot", "s"]).where(fits & (left >= common))
-    close = renamed(rows.where("root <> pivot and near")).join(rows, "pivot").where(fits)
+    meet = merged(renamed(placed.where("root <> pivot and not near and at < asks")), placed.where("at < asked"), ["pivot", "s"]).where(fits & (left >= common))
+    close = merged(renamed(rows.where("root <> pivot and near")), rows, "pivot").where(fits)
     pairs = meet.select("x_node", "node").unionByName(close.select("x_node", "node"))
     return pairs.select(F.least("node", "x_node").alias("a"), F.greatest("node", "x_node").alias("b")).distinct()
 
@@ -229,11 +232,11 @@ def _apart(shared: DataFrame, roots: DataFrame, sizes: DataFrame) -> DataFrame:
 
     roots: (node, root) of nodes that are not their own root; sizes: (node, size), the number of shingles.
     """
-    many = shared.where(F.col("n") > NEAR_PAIRS_UP_TO).select("key", "node").join(sizes, "node")
-    rooted = cut(many.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    many = merged(shared.where(F.col("n") > NEAR_PAIRS_UP_TO).select("key", "node"), sizes, "node")
+    rooted = cut(merged(many, roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     held = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
     largest = held.groupBy("key").agg(F.max(F.struct("c", "root"))["root"].alias("pivot"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    return cut(rooted.join(largest, "key").select("pivot", "node", "root", "size").distinct(), "apart")
+    return cut(merged(rooted, largest, "key").select("pivot", "node", "root", "size").distinct(), "apart")
 
 
 def _share_variant(names: list[str], distance: int) -> Column:
@@ -262,38 +265,37 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", di
     order = F.struct(F.col(f"row.{id_col}").isNull().alias("null"), F.col(f"row.{id_col}").alias("id"), "uid")
     distinct = cut(rows.groupBy("node").agg(*(F.min(n).alias(n) for n in names), F.min("size").alias("size"), F.min(order).alias("least")), "distinct")
     # One kind of fingerprint after the other, so that no task holds the variants of all of them.
-    of_kind = [_shared(_variants(distinct.select("node", F.col(n).alias("fp")), distance).select("node", F.expr(f"key | shiftleft({i}L, 40)").alias("key"))) for i, n in enumerate(names)]
-    shared = reduce(DataFrame.unionByName, of_kind)
+    shared = _shared(*(_variants(distinct.select("node", F.col(n).alias("fp")), distance).select("node", F.expr(f"key | shiftleft({i}L, 40)").alias("key")) for i, n in enumerate(names)))
 
     @F.pandas_udf("double")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([similarity(x, y) for x, y in zip(a, b)], dtype=float)
 
     def texts_of(nodes: DataFrame) -> DataFrame:
-        asked = nodes.distinct().join(distinct, "node").select("node", F.col("least.uid").alias("uid"))
-        return cut(rows.select("uid", F.col(f"row.{text_col}").alias("text")).join(asked, "uid").select("node", "text"), "texts")
+        asked = merged(nodes.distinct(), distinct, "node").select("node", F.col("least.uid").alias("uid"))
+        return cut(merged(rows.select("uid", F.col(f"row.{text_col}").alias("text")), asked, "uid").select("node", "text"), "texts")
 
     def linked(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs, "candidates")
         texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")))
-        both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+        both = merged(merged(pairs, texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a"), texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         return cut(both.where(alike("text_a", "text_b") >= least_similarity).select("a", "b"), "links")
 
     sizes = distinct.select(F.col("node").alias("a"), F.col("size").alias("size_a")), distinct.select(F.col("node").alias("b"), F.col("size").alias("size_b"))
     possible = (F.col("size_a") >= least_similarity * F.col("size_b")) & (F.col("size_b") >= least_similarity * F.col("size_a"))
-    links = linked(_first_pairs(shared).join(sizes[0], "a").join(sizes[1], "b").where(possible).select("a", "b"))
+    links = linked(merged(merged(_first_pairs(shared), sizes[0], "a"), sizes[1], "b").where(possible).select("a", "b"))
     roots = components(links)
     apart = _apart(shared, roots, distinct.select("node", "size"))
     if not apart.isEmpty():
         differing = _differences(apart, texts_of(apart.select(F.explode(F.array("pivot", "node")).alias("node"))))
         marks_of = {x: distinct.select(F.col("node").alias(x), F.struct(*names).alias(f"of_{x}")) for x in "ab"}
-        pairs = _pairs_apart(differing, least_similarity).join(marks_of["a"], "a").join(marks_of["b"], "b").where(_share_variant(names, distance)).select("a", "b")
+        pairs = merged(merged(_pairs_apart(differing, least_similarity), marks_of["a"], "a"), marks_of["b"], "b").where(_share_variant(names, distance)).select("a", "b")
         between = linked(pairs)
         if not between.isEmpty():
             roots = components(between.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-    rooted = distinct.select(F.col("node").alias("_node"), "least").join(roots, F.col("_node") == F.col("node"), "left").select("least", F.coalesce("root", "_node").alias("root"))
+    rooted = merged(distinct.select(F.col("node").alias("_node"), "least"), roots, F.col("_node") == F.col("node"), "left").select("least", F.coalesce("root", "_node").alias("root"))
     first = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.uid").alias("uid"))
-    return rows.join(first, "uid", "left_semi").select("row.*")
+    return merged(rows, first, "uid", "left_semi").select("row.*")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -387,3 +387,21 @@ def test_copies_outside_a_large_component_are_not_compared_with_all_of_it(spark,
     kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).collect()}
     assert kept == _components_by_hand(texts) and 1 < len(kept) < 200
     assert len(compared) == 2 and compared[1] < 3 * len(texts)
+
+
+def test_no_table_is_broadcast_by_keep_one(spark, monkeypatch):
+    """Small tables are joined by sorted shuffles, too: a broadcast is collected and built in the driver."""
+    rng = np.random.default_rng(7)
+    texts = [" ".join([*(f"w{i}" for i in range(60)), *(f"x{i}" for i in rng.integers(0, 10**6, k % 5))]) for k in range(60)]
+    plans, kept_of = [], simhash.cut
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept_of(df, name)
+
+    monkeypatch.setattr(simhash, "cut", seen)
+    monkeypatch.setattr(components, "cut", seen)
+    found = simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), SCHEMA))
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert len({r.doc_id for r in found.collect()}) < 60
+    assert sum("SortMergeJoin" in p for p in plans) >= 6 and not any("Broadcast" in p for p in plans)
