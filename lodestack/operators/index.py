@@ -134,9 +134,9 @@ class Index:
 
     @property
     def documents(self) -> DataFrame:
-        """One row: n_docs, avgdl of those with a text (0 for an empty corpus), and the number of segments."""
+        """One row: n_docs, avgdl of those with a text (0 for an empty corpus), the number of segments, and of tasks that wrote them."""
         with_text = F.sum("df")
-        return self.rows.where("term is null").agg(F.coalesce(F.sum(F.size("keys")), F.lit(0)).alias("n_docs"), F.when(with_text > 0, F.sum("tf") / with_text).otherwise(0.0).alias("avgdl"), F.count(F.lit(1)).alias("segments"))
+        return self.rows.where("term is null").agg(F.coalesce(F.sum(F.size("keys")), F.lit(0)).alias("n_docs"), F.when(with_text > 0, F.sum("tf") / with_text).otherwise(0.0).alias("avgdl"), F.count(F.lit(1)).alias("segments"), (F.coalesce(F.max(F.shiftright("segment", 32)), F.lit(0)) + 1).alias("writers"))
 
 
 def read(spark: SparkSession, path: str) -> Index:
@@ -153,11 +153,16 @@ class Postings:
         self.skips, self._coded, self._factor = np.frombuffer(skips, _SKIP), {"ids": np.frombuffer(ids, np.uint8), "tfs": np.frombuffer(tfs, np.uint8)}, factor
         most = self.skips["max_tf"].astype(float)
         self.bound = float((most if factor is None else most / (most + least_factor(self.skips["min_dl"]))).max())
-        self.ids, self.impacts, self._ready = np.zeros(df, np.int64), np.zeros(df), np.zeros(len(self.skips), bool)
-        self._all = False
+        self.df, self.ids, self.impacts, self._ready, self._all = df, None, None, None, False
+
+    def _room(self) -> None:
+        """What is decoded takes ten bytes a posting, and none where no query asks."""
+        self.ids, self.impacts, self._ready = np.zeros(self.df, _SKIP["first"]), np.zeros(self.df), np.zeros(len(self.skips), bool)
 
     def _decode(self, low: int, high: int) -> None:
         """Blocks low to high - 1. A block's first gap is 0 and stands for its first id."""
+        if self.ids is None:
+            self._room()
         gaps, tf = (numbers(data[self.skips[name][low] : self.skips[name][high] if high < len(self.skips) else len(data)]) for name, data in self._coded.items())
         at, run = np.arange(0, len(gaps), BLOCK), np.cumsum(gaps)
         ids = run + np.repeat(self.skips["first"][low:high].astype(np.int64) - run[at], np.diff(np.append(at, len(gaps))))
@@ -167,7 +172,7 @@ class Postings:
 
     def whole(self) -> tuple[np.ndarray, np.ndarray]:
         if not self._all:
-            self._decode(0, len(self._ready))
+            self._decode(0, len(self.skips))
             self._all = True
         return self.ids, self.impacts
 
@@ -178,6 +183,8 @@ class Postings:
             place = np.minimum(np.searchsorted(self.ids, wanted), len(self.ids) - 1)
             return np.where(self.ids[place] == wanted, self.impacts[place], 0.0), min(len(self.skips), len(wanted))
         touched = np.unique(np.maximum(np.searchsorted(self.skips["first"], wanted, "right") - 1, 0))
+        if self.ids is None:
+            self._room()
         lacking = touched[~self._ready[touched]]
         cuts = np.flatnonzero(np.diff(lacking, prepend=-2) != 1)
         for a, b in zip(cuts, np.append(cuts[1:], len(lacking))):
@@ -196,7 +203,7 @@ def search_segment(postings: list[tuple[Postings, float]], n_docs: int, k: int,
     order = np.argsort(-bound, kind="stable")
     lists, left = [postings[j] for j in order], np.append(np.cumsum(bound[order][::-1])[::-1], 0.0)
     score, looked = np.zeros(n_docs), [0] * len(lists)
-    first, read, every, seeded = 0, 0, sum(len(p.ids) for p, _ in lists), False
+    first, read, every, seeded = 0, 0, sum(p.df for p, _ in lists), False
     while first < len(lists) and not left[first] < least - _ROOM:  # a document without a score yet can still get among the best
         p, w = lists[first]
         ids, impacts = p.whole()
@@ -289,8 +296,10 @@ def scored(index: Index, queries: DataFrame, tokenise: Callable[[Column], Column
     """
     spark = queries.sparkSession
     terms = queries.select(F.col(qid_col).alias("qid"), F.explode(tokenise(F.col(text_col))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qf"))
-    n_docs, average, segments = index.documents.first()
+    n_docs, average, segments, writers = index.documents.first()
     bundles = bundles or max(-(-segments // BUNDLE), min(segments, spark.sparkContext.defaultParallelism), 1)
+    # Segments of one task have consecutive numbers, and so have those of all tasks about: bundles get equally many, where a hash gives some twice the mean.
+    number = F.shiftright("segment", 32) * max(1, round(segments / writers)) + F.col("segment").bitwiseAND(F.lit((1 << 32) - 1))
     known = index.rows.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df")).where(F.col("df") >= model.min_df)
     weight = idf(F.lit(n_docs), F.col("df")) * F.pow(F.col("qf"), F.lit(model.query_power)) * (model.k1 + 1 if model.numerator else 1.0)
     weighed = terms.join(known, "term").select("qid", "term", weight.alias("w"))
@@ -302,7 +311,7 @@ def scored(index: Index, queries: DataFrame, tokenise: Callable[[Column], Column
         shared = spark.sparkContext.broadcast(asked)
         wanted = F.broadcast(spark.createDataFrame(pa.table({"term": pa.chunked_array([asked["term"].combine_chunks().unique()], pa.string())})))  # about PAIRS at most
 
-        relevant = index.rows.join(wanted, "term", "left_semi").unionByName(index.rows.where("term is null")).withColumn("bundle", F.pmod(F.xxhash64("segment"), F.lit(bundles)).cast("int")).repartition(bundles, "bundle")
+        relevant = index.rows.join(wanted, "term", "left_semi").unionByName(index.rows.where("term is null")).withColumn("bundle", F.pmod(number, F.lit(bundles)).cast("int")).repartition(bundles, "bundle")
         part = relevant.groupBy("bundle").applyInPandas(_looker(shared, average, model, k), f"qid {qid}, key {key}, score double, decoded bigint, blocks bigint")
         out = part if out is None else out.unionByName(part)
     return out

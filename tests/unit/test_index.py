@@ -76,3 +76,24 @@ def test_an_empty_corpus_and_no_queries(spark, tmp_path):
     assert X.search(X.read(spark, f"{tmp_path}/x"), asked, T.latin_tokens, 3).count() == 0
     X.write(docs, T.latin_tokens(F.col("text")), "doc_id", f"{tmp_path}/y")
     assert X.search(X.read(spark, f"{tmp_path}/y"), asked.limit(0), T.latin_tokens, 3).count() == 0
+
+
+def test_bundles_hold_equally_many_segments(spark, tmp_path, monkeypatch):
+    """A task's memory is that of its bundle: by a hash some bundles held far more segments than others."""
+    docs = spark.range(0, 960, 1, 6).selectExpr("id as doc_id", "concat('w', id % 7, ' all') as text")
+    monkeypatch.setattr(X, "SEGMENT", 10)
+    X.write(docs, T.latin_tokens(F.col("text")), "doc_id", f"{tmp_path}/x")
+    monkeypatch.setattr(X, "_looker", lambda *_: lambda rows: rows[rows["term"].isna()].head(1).assign(qid=0, key=0, score=0.0, decoded=rows["segment"].nunique(), blocks=0)[["qid", "key", "score", "decoded", "blocks"]])
+    asked = spark.createDataFrame([(0, "all")], "item_id bigint, text string")
+    held = [r.decoded for r in X.scored(X.read(spark, f"{tmp_path}/x"), asked, T.latin_tokens, 10, bundles=12).collect()]
+    assert sum(held) == 96 and len(held) == 12 and max(held) <= 9
+
+
+def test_postings_take_no_room_before_they_are_asked_for():
+    of, tf = X.varints(np.asarray([0, 2, 5])), X.varints(np.asarray([1, 3, 2]))
+    skips = np.zeros(1, X._SKIP)
+    skips["first"], skips["max_tf"], skips["min_dl"] = 4, 3, 9
+    p = X.Postings(3, skips.tobytes(), of[0].tobytes(), tf[0].tobytes(), None, None)
+    assert p.ids is None and p.bound == 3.0
+    assert p.of(np.asarray([5, 6, 11]))[0].tolist() == [0.0, 3.0, 2.0] and p.whole()[0].tolist() == [4, 6, 11]
+    assert p.ids.nbytes + p.impacts.nbytes == 30
