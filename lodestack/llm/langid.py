@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,7 +80,13 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def _ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classes: int, rounds: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def _weighed(row: tuple[np.ndarray, np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(features, their weights) of a row of the sample, which holds features and counts as they were collected: weights take nearly three times that room."""
+    at = row[0].astype(np.int64)
+    return at, weigh(at, row[1], idf)
+
+
+def _ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classes: int, rounds: int, seed: int, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Weights by the proximal update: z and n accumulate, and a weight is zero while its z stays within L1."""
     size = (1 << BITS) + 1
     z, n = np.zeros((size, classes)), np.zeros((size, classes))
@@ -91,7 +98,7 @@ def _ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classes
     rng = np.random.default_rng(seed)
     for _ in range(rounds):
         for i in rng.permutation(len(rows)):
-            at, x = rows[i]
+            at, x = _weighed(rows[i], idf)
             at, x = np.append(at, size - 1), np.append(x, 0.3)
             w = solve(at)
             p = _softmax(x @ w)
@@ -175,19 +182,18 @@ def fit(training: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
 
     found = picked.select("lang", "h", "text").mapInPandas(features, "lang string, h bigint, at binary, tf binary")
     one = found.groupBy("lang", "h").agg(F.min(F.struct("at", "tf")).alias("m")).select("lang", "h", "m.at", "m.tf")
-    sample = one.toArrow().to_pandas().sort_values(["lang", "h"], kind="stable")
-    languages = sorted(set(sample["lang"]))
+    sample = one.toArrow()
+    order, langs = pc.sort_indices(sample, sort_keys=[("lang", "ascending"), ("h", "ascending")]).to_pylist(), sample["lang"].to_pylist()
+    languages = sorted(set(langs))
     if not languages:
         return Model([], idf, np.zeros((1 << BITS, 0)), np.zeros(0), 1.0)
-    rows = []
-    for at, tf in zip(sample["at"], sample["tf"]):
-        index = np.frombuffer(at, np.uint16).astype(np.int64)
-        rows.append((index, weigh(index, np.frombuffer(tf, np.uint32), idf)))
-    labels = sample["lang"].map(languages.index).to_numpy()
+    # Views of what was collected, without a copy.
+    rows = [(np.frombuffer(at.as_buffer(), np.uint16), np.frombuffer(tf.as_buffer(), np.uint32)) for at, tf in zip(sample["at"], sample["tf"])]
+    rows, labels = [rows[i] for i in order], np.asarray([languages.index(langs[i]) for i in order])
     kept_out = np.arange(len(rows)) % 5 == 4
     fold = lambda mask: [r for r, m in zip(rows, mask) if m]
-    w, b = _ftrl(fold(~kept_out), labels[~kept_out], len(languages), ROUNDS, 1)
-    logits = np.asarray([x @ w[at] + b for at, x in fold(kept_out)])
+    w, b = _ftrl(fold(~kept_out), labels[~kept_out], len(languages), ROUNDS, 1, idf)
+    logits = np.asarray([x @ w[at] + b for at, x in (_weighed(r, idf) for r in fold(kept_out))])
     temperature = _temperature(logits, labels[kept_out]) if kept_out.any() else 1.0
     return Model(languages, idf, w, b, temperature)
 

@@ -16,10 +16,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -96,13 +97,12 @@ class Chain:
         return out
 
 
-def _fit_link(name: str, rows: list[np.ndarray], dense: np.ndarray, y: np.ndarray, seed: int) -> Link:
-    """Logistic regression by the proximal update; features are word buckets (value 1 for each distinct word), then dense ones, then the bias."""
+def _fit_link(name: str, rows: list[np.ndarray], size: int, dense: np.ndarray, y: np.ndarray, seed: int) -> Link:
+    """Logistic regression by the proximal update; features are ``size`` word columns (value 1 for each distinct word), then dense ones, then the bias."""
     width = dense.shape[1]
     if not len(y) or y.min() == y.max():
         share = (y.sum() + 0.5) / (len(y) + 1.0)
         return Link(name, {}, np.zeros(width), float(np.log(share / (1 - share))))
-    size = 1 << BITS
     z, n = np.zeros(size + width + 1), np.zeros(size + width + 1)
     tail = np.arange(size, size + width + 1)
     penalty = np.full(size + width + 1, L1 * np.sqrt(len(y)))
@@ -152,22 +152,31 @@ def fit(labelled: DataFrame, categories: tuple[str, ...], id_col: str = "doc_id"
                 dense.append(surface(text or "", len(words), len(distinct)).tobytes())
             yield batch.drop(columns="text").assign(at=at, dense=dense)
 
-    sample = picked.mapInPandas(features, ", ".join(["h bigint", *(f"y{i} double" for i in range(len(categories))), "at binary", "dense binary"])).orderBy("h", "at").limit(up_to).toArrow().to_pandas()
-    sample = sample.sort_values(["h", "at"], kind="stable")
-    rows = [np.frombuffer(b, np.int32) for b in sample["at"]]
-    tally = np.bincount(np.concatenate(rows), minlength=1 << BITS) if rows else np.zeros(1 << BITS, int)
-    rows = [r[tally[r] >= 3] for r in rows]  # rarer buckets could not pass the penalty
-    dense = np.asarray([np.frombuffer(b) for b in sample["dense"]]).reshape(-1, N_SURFACE)
-    folds = (sample["h"].to_numpy(np.int64).view(np.uint64) % np.uint64(FOLDS)).astype(int)
+    sample = picked.mapInPandas(features, ", ".join(["h bigint", *(f"y{i} double" for i in range(len(categories))), "at binary", "dense binary"])).orderBy("h", "at").limit(up_to).toArrow()
+    order = pc.sort_indices(sample, sort_keys=[("h", "ascending"), ("at", "ascending")]).to_numpy()
+    rows = [np.frombuffer(b.as_buffer(), np.int32) for b in sample["at"]]  # views of what was collected, without a copy
+    tally = np.zeros(1 << BITS, np.int32)
+    for r in rows:  # a bucket once a row
+        tally[r] += 1
+    # Rarer buckets could not pass the penalty; those that are left are numbered, in their order.
+    buckets = np.flatnonzero(tally >= 3)
+    place = np.zeros(1 << BITS, np.int32)
+    place[buckets] = np.arange(len(buckets))
+    rows = [place[r[tally[r] >= 3]] for r in (rows[i] for i in order)]
+    dense = np.asarray([np.frombuffer(b.as_py()) for b in sample["dense"]]).reshape(-1, N_SURFACE)[order]
+    folds = (sample["h"].to_numpy()[order].view(np.uint64) % np.uint64(FOLDS)).astype(int)
+    labels = [sample[f"y{i}"].to_numpy()[order] for i in range(len(categories))]
+    del sample
     links = []
     for i, name in enumerate(categories):
-        y = sample[f"y{i}"].to_numpy()
-        links.append(_fit_link(name, rows, dense, y, seed=i))
+        y = labels[i]
+        link = _fit_link(name, rows, len(buckets), dense, y, seed=i)
+        links.append(replace(link, words={int(buckets[k]): w for k, w in link.words.items()}))
         if i + 1 < len(categories):
             ahead = np.zeros(len(y))
             for k in range(FOLDS):
                 inside, outside = np.flatnonzero(folds != k), np.flatnonzero(folds == k)
-                part = _fit_link(name, [rows[j] for j in inside], dense[inside], y[inside], seed=100 * i + k)
+                part = _fit_link(name, [rows[j] for j in inside], len(buckets), dense[inside], y[inside], seed=100 * i + k)
                 ahead[outside] = _scores(part, [rows[j] for j in outside], dense[outside])
             dense = np.column_stack([dense, ahead])
     return Chain(links)

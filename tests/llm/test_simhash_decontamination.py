@@ -405,3 +405,15 @@ def test_no_table_is_broadcast_by_keep_one(spark, monkeypatch):
     plans.append(found._jdf.queryExecution().executedPlan().toString())
     assert len({r.doc_id for r in found.collect()}) < 60
     assert sum("SortMergeJoin" in p for p in plans) >= 6 and not any("Broadcast" in p for p in plans)
+
+
+def test_components_end_once_every_node_hangs_on_a_root(spark, monkeypatch):
+    """Stars are left as they come; two that are joined take one round, which is not repeated to see that nothing changes."""
+    written, write = [], components.cut
+    monkeypatch.setattr(components, "cut", lambda df, name: written.append(name) or write(df, name))
+    stars = [(1, i) for i in range(2, 9)] + [(20, i) for i in range(21, 25)]
+    for edges, tables in ((stars, ["edges"]), ([*stars, (20, 1)], ["edges", "stars", "edges"]), ([], ["edges"])):
+        written.clear()
+        got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+        want = {b: a for a, b in stars} if len(edges) == len(stars) else {i: 1 for i in [*range(2, 9), *range(20, 25)]} if edges else {}
+        assert got == want and written == tables

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import time
+import tracemalloc
 import zlib
 
 import duckdb
@@ -435,3 +436,18 @@ def test_short_pages():
     assert html_text.main_text("<body><h1>A title</h1><p>Short news text of nine words is here.</p></body>", tree) == "A title\nShort news text of nine words is here."
     assert html_text.main_text("<p>Hello world.</p>", tree) == "Hello world."
     assert html_text.main_text("<ul><li><a href=a>One</a><li><a href=b>Two</a></ul>", tree) == ""
+
+
+def test_the_driver_holds_samples_as_they_were_collected(spark, monkeypatch):
+    """Of language ID 6 bytes for each feature of a document, not its weights; of toxicity no array over all buckets in double precision."""
+    rows = [(i, ("the cat sat " if i % 2 else "der hund lag ") + f"w{i} x{i % 7}", "en" if i % 2 else "de", int(i % 3 == 0)) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, rude int")
+    held, ftrl = [], langid._ftrl
+    monkeypatch.setattr(langid, "_ftrl", lambda rows, *rest: held.extend(rows) or ftrl(rows, *rest))
+    assert langid.fit(df).languages == ["de", "en"]
+    assert held and {x.dtype.itemsize for row in held for x in row} == {2, 4}
+    tracemalloc.start()
+    toxicity.fit(df, ("rude",))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 2 * 8 << toxicity.BITS
