@@ -10,7 +10,8 @@ one of their 65 points, and a point needs only one link from each member to its
 ``keep_one`` removes near copies, whose shingles differ in more bits than that. Its fingerprints are of distinct words, three for a
 text (``NEAR_SEEDS``): word lists that differ in at most one bit of a segment of any of the three (a fingerprint that differs in 3 bits
 or fewer always has such a segment, one that differs in more often has) are linked where the Jaccard similarity of their five-word shingles
-is at least ``SIMILARITY``. Variants that up to ``NEAR_PAIRS_UP_TO`` word lists share give all pairs. In a variant that more share, each
+is at least ``SIMILARITY``. Texts of a pair are only read if its sketches of their shingles leave that open (``_may_be_alike``), which
+loses no link. Variants that up to ``NEAR_PAIRS_UP_TO`` word lists share give all pairs. In a variant that more share, each
 is first compared with the smallest and the next of them; then every one that these links leave outside the variant's largest component
 is compared with those of other components that may be like it, told by their differences from a text of the largest (``_pairs_apart``). Any
 two that are still apart have one of them outside the largest, so no link between components is lost, and near copies of one text are
@@ -45,6 +46,8 @@ NEAR_SEEDS = (42, 43, 44)
 NEAR_WORDS = 5
 SIMILARITY = 0.8
 NEAR_PAIRS_UP_TO = 32
+#: Bits of the sketch that tells from afar how many shingles of two texts differ at least.
+ODD_BITS = 1024
 _CHUNK = 1 << 16
 
 
@@ -150,12 +153,26 @@ def _shingles_of(words: list[bytes]) -> set[bytes]:
     return {b" ".join(words[i : i + width]) for i in range(len(words) - width + 1)} if words else set()
 
 
+def _odd(shingles: set[bytes]) -> list[int]:
+    """Which of ``ODD_BITS`` groups, by a hash, hold an odd number of the shingles. Sketches of two sets differ in no more bits than the sets in shingles."""
+    at = np.fromiter((xxhash.xxh64_intdigest(s) % ODD_BITS for s in shingles), np.int64, len(shingles))
+    return np.packbits(np.bincount(at, minlength=ODD_BITS) % 2 == 1).view(np.int64).tolist()
+
+
 def similarity(a: str | None, b: str | None) -> float:
     """Jaccard similarity of the sets of five-word shingles; two wordless texts are equal."""
     x, y = _shingles(a), _shingles(b)
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
+def _may_be_alike(least: float) -> Column:
+    """Whether the Jaccard similarity of a pair with of_a.* and of_b.* (size, odd) may be ``least``, by the numbers of shingles and by how many differ at least."""
+    a, b = F.col("of_a.size"), F.col("of_b.size")
+    differ = F.aggregate(F.zip_with("of_a.odd", "of_b.odd", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    # A little more than the bound, so that rounding loses nothing.
+    return (a >= least * b) & (b >= least * a) & (differ <= (1 - least) / (1 + least) * (a + b) + 1e-6)
+
+
 def _first_pairs(shared: DataFrame) -> DataFrame:
     """(a, b), a < b: all pairs of the small buckets of ``shared`` (key, n, node), of the large ones each with the smallest and the next."""
     few, many = shared.where(F.col("n") <= NEAR_PAIRS_UP_TO), shared.where(F.col("n") > NEAR_PAIRS_UP_TO)
@@ -253,17 +270,19 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", di
 
     names = [f"fp{i}" for i in range(len(NEAR_SEEDS))]
 
-    @F.pandas_udf(", ".join([*(f"{n} bigint" for n in names), "node bigint", "size bigint"]))
+    @F.pandas_udf(", ".join([*(f"{n} bigint" for n in names), "node bigint", "size bigint", "odd array<bigint>"]))
     def marks(texts: pd.Series) -> pd.DataFrame:
-        found = np.zeros((len(texts), len(names) + 2), np.uint64)
+        found, odd = np.zeros((len(texts), len(names) + 2), np.uint64), []
         for i, words in enumerate(map(ascii_lower_words, texts)):  # the words of one text at a time
-            found[i] = [*(word_fingerprint(words, seed) for seed in NEAR_SEEDS), xxhash.xxh64_intdigest(b" ".join(words)), len(_shingles_of(words))]
-        return pd.DataFrame(found.view(np.int64), columns=[*names, "node", "size"])
+            shingles = _shingles_of(words)
+            found[i] = [*(word_fingerprint(words, seed) for seed in NEAR_SEEDS), xxhash.xxh64_intdigest(b" ".join(words)), len(shingles)]
+            odd.append(_odd(shingles))
+        return pd.DataFrame(found.view(np.int64), columns=[*names, "node", "size"]).assign(odd=odd)
 
     marked = docs.select(F.struct("*").alias("row"), marks(F.col(text_col)).alias("m"), F.monotonically_increasing_id().alias("uid"))
     rows = cut(marked.select("row", "m.*", "uid"), "rows")
     order = F.struct(F.col(f"row.{id_col}").isNull().alias("null"), F.col(f"row.{id_col}").alias("id"), "uid")
-    distinct = cut(rows.groupBy("node").agg(*(F.min(n).alias(n) for n in names), F.min("size").alias("size"), F.min(order).alias("least")), "distinct")
+    distinct = cut(rows.groupBy("node").agg(*(F.min(n).alias(n) for n in names), F.min("size").alias("size"), F.min("odd").alias("odd"), F.min(order).alias("least")), "distinct")
     # One kind of fingerprint after the other, so that no task holds the variants of all of them.
     shared = _shared(*(_variants(distinct.select("node", F.col(n).alias("fp")), distance).select("node", F.expr(f"key | shiftleft({i}L, 40)").alias("key")) for i, n in enumerate(names)))
 
@@ -281,16 +300,17 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", di
         both = merged(merged(pairs, texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a"), texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         return cut(both.where(alike("text_a", "text_b") >= least_similarity).select("a", "b"), "links")
 
-    sizes = distinct.select(F.col("node").alias("a"), F.col("size").alias("size_a")), distinct.select(F.col("node").alias("b"), F.col("size").alias("size_b"))
-    possible = (F.col("size_a") >= least_similarity * F.col("size_b")) & (F.col("size_b") >= least_similarity * F.col("size_a"))
-    links = linked(merged(merged(_first_pairs(shared), sizes[0], "a"), sizes[1], "b").where(possible).select("a", "b"))
+    def marked_pairs(pairs: DataFrame, *columns: str) -> DataFrame:
+        a, b = (distinct.select(F.col("node").alias(x), F.struct(*columns).alias(f"of_{x}")) for x in "ab")
+        return merged(merged(pairs, a, "a"), b, "b")
+
+    links = linked(marked_pairs(_first_pairs(shared), "size", "odd").where(_may_be_alike(least_similarity)).select("a", "b"))
     roots = components(links)
     apart = _apart(shared, roots, distinct.select("node", "size"))
     if not apart.isEmpty():
         differing = _differences(apart, texts_of(apart.select(F.explode(F.array("pivot", "node")).alias("node"))))
-        marks_of = {x: distinct.select(F.col("node").alias(x), F.struct(*names).alias(f"of_{x}")) for x in "ab"}
-        pairs = merged(merged(_pairs_apart(differing, least_similarity), marks_of["a"], "a"), marks_of["b"], "b").where(_share_variant(names, distance)).select("a", "b")
-        between = linked(pairs)
+        pairs = marked_pairs(_pairs_apart(differing, least_similarity), *names, "size", "odd")
+        between = linked(pairs.where(_share_variant(names, distance) & _may_be_alike(least_similarity)).select("a", "b"))
         if not between.isEmpty():
             roots = components(between.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     rooted = merged(distinct.select(F.col("node").alias("_node"), "least"), roots, F.col("_node") == F.col("node"), "left").select("least", F.coalesce("root", "_node").alias("root"))
