@@ -153,10 +153,10 @@ def _shingles_of(words: list[bytes]) -> set[bytes]:
     return {b" ".join(words[i : i + width]) for i in range(len(words) - width + 1)} if words else set()
 
 
-def _odd(shingles: set[bytes]) -> list[int]:
+def _odd(shingles: set[bytes]) -> np.ndarray:
     """Which of ``ODD_BITS`` groups, by a hash, hold an odd number of the shingles. Sketches of two sets differ in no more bits than the sets in shingles."""
     at = np.fromiter((xxhash.xxh64_intdigest(s) % ODD_BITS for s in shingles), np.int64, len(shingles))
-    return np.packbits(np.bincount(at, minlength=ODD_BITS) % 2 == 1).view(np.int64).tolist()
+    return np.packbits(np.bincount(at, minlength=ODD_BITS) % 2 == 1).view(np.int64)
 
 
 def similarity(a: str | None, b: str | None) -> float:
@@ -272,12 +272,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", di
 
     @F.pandas_udf(", ".join([*(f"{n} bigint" for n in names), "node bigint", "size bigint", "odd array<bigint>"]))
     def marks(texts: pd.Series) -> pd.DataFrame:
-        found, odd = np.zeros((len(texts), len(names) + 2), np.uint64), []
+        found, odd = np.zeros((len(texts), len(names) + 2), np.uint64), np.zeros((len(texts), ODD_BITS // 64), np.int64)
         for i, words in enumerate(map(ascii_lower_words, texts)):  # the words of one text at a time
             shingles = _shingles_of(words)
             found[i] = [*(word_fingerprint(words, seed) for seed in NEAR_SEEDS), xxhash.xxh64_intdigest(b" ".join(words)), len(shingles)]
-            odd.append(_odd(shingles))
-        return pd.DataFrame(found.view(np.int64), columns=[*names, "node", "size"]).assign(odd=odd)
+            odd[i] = _odd(shingles)
+        return pd.DataFrame(found.view(np.int64), columns=[*names, "node", "size"]).assign(odd=list(odd))
 
     marked = docs.select(F.struct("*").alias("row"), marks(F.col(text_col)).alias("m"), F.monotonically_increasing_id().alias("uid"))
     rows = cut(marked.select("row", "m.*", "uid"), "rows")
