@@ -15,11 +15,13 @@ category of which only one class is labelled is predicted as that class's share;
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
@@ -133,6 +135,15 @@ def _scores(link: Link, rows: list[np.ndarray], dense: np.ndarray) -> np.ndarray
     return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
 
+def _packed(at: np.ndarray) -> bytes:
+    """Ascending bucket numbers, as they are sent to the driver: their steps, compressed, take little more than half the room."""
+    return zlib.compress(np.diff(at, prepend=np.int32(0)).tobytes())
+
+
+def _unpacked(at: pa.Scalar) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(at.as_buffer()), np.int32), dtype=np.int32)
+
+
 def fit(labelled: DataFrame, categories: tuple[str, ...], id_col: str = "doc_id", text_col: str = "text", up_to: int = LABELLED_UP_TO) -> Chain:
     """Fit a chain over 0/1 label columns, in their order."""
     known = labelled.select(F.col(text_col).alias("text"), F.xxhash64(id_col).alias("h"), *(F.col(c).cast("double").alias(f"y{i}") for i, c in enumerate(categories)))
@@ -148,21 +159,20 @@ def fit(labelled: DataFrame, categories: tuple[str, ...], id_col: str = "doc_id"
             for text in batch["text"]:
                 words = WORD.findall((text or "").lower())
                 distinct = set(words)
-                at.append(np.unique(np.fromiter((i for w in distinct for i in word_features(w)), np.int32)).tobytes())
+                at.append(_packed(np.unique(np.fromiter((i for w in distinct for i in word_features(w)), np.int32))))
                 dense.append(surface(text or "", len(words), len(distinct)).tobytes())
             yield batch.drop(columns="text").assign(at=at, dense=dense)
 
     sample = picked.mapInPandas(features, ", ".join(["h bigint", *(f"y{i} double" for i in range(len(categories))), "at binary", "dense binary"])).orderBy("h", "at").limit(up_to).toArrow()
     order = pc.sort_indices(sample, sort_keys=[("h", "ascending"), ("at", "ascending")]).to_numpy()
-    rows = [np.frombuffer(b.as_buffer(), np.int32) for b in sample["at"]]  # views of what was collected, without a copy
     tally = np.zeros(1 << BITS, np.int32)
-    for r in rows:  # a bucket once a row
-        tally[r] += 1
+    for b in sample["at"]:  # one row at a time, a bucket once a row
+        tally[_unpacked(b)] += 1
     # Rarer buckets could not pass the penalty; those that are left are numbered, in their order.
     buckets = np.flatnonzero(tally >= 3)
     place = np.zeros(1 << BITS, np.int32)
     place[buckets] = np.arange(len(buckets))
-    rows = [place[r[tally[r] >= 3]] for r in (rows[i] for i in order)]
+    rows = [place[r[tally[r] >= 3]] for r in (_unpacked(sample["at"][i]) for i in order.tolist())]
     dense = np.asarray([np.frombuffer(b.as_py()) for b in sample["dense"]]).reshape(-1, N_SURFACE)[order]
     folds = (sample["h"].to_numpy()[order].view(np.uint64) % np.uint64(FOLDS)).astype(int)
     labels = [sample[f"y{i}"].to_numpy()[order] for i in range(len(categories))]

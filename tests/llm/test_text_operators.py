@@ -9,6 +9,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -451,3 +452,12 @@ def test_the_driver_holds_samples_as_they_were_collected(spark, monkeypatch):
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert most < 2 * 8 << toxicity.BITS
+
+
+def test_buckets_of_a_sample_are_sent_packed():
+    rng = np.random.default_rng(8)
+    for n in (0, 1, 2, 800):
+        at = np.unique(rng.integers(0, 1 << toxicity.BITS, n).astype(np.int32))
+        packed = toxicity._packed(at)
+        assert toxicity._unpacked(pa.scalar(packed)).tolist() == at.tolist()
+        assert n < 800 or len(packed) < 0.7 * at.nbytes
